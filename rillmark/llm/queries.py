@@ -21,6 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, num=85, den=100)
+    return out.withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op1_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(d.doc_id, m.m), d.doc_id) AS component_id, coalesce(least(d.doc_id, m.m), d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) m USING (doc_id)
+"""
+
+
 @query
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
@@ -36,3 +60,49 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
   doc_id = first_value(doc_id) OVER w AS kept, sha256(k) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY k ORDER BY c DESC, doc_id)
 """
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents"), ratio=0.05, min_pages=3)
+    return out.select("doc_id", "source", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"))
+
+
+ORACLES["op3_line_dedup"] = r"""
+WITH l AS (SELECT rowid AS d, source, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT rowid, source, string_split(coalesce(text, ''), chr(10)) AS x FROM (SELECT *, row_number() OVER () AS rowid FROM documents))),
+t AS (SELECT coalesce(source, '') AS host, count(*) AS total FROM documents GROUP BY 1),
+b AS (SELECT coalesce(source, '') AS host, trim(line, ' ') AS line FROM l WHERE trim(line, ' ') <> '' GROUP BY 1, 2 HAVING count(DISTINCT d) >= 3),
+c AS (SELECT b.host, b.line FROM b JOIN (SELECT coalesce(source, '') AS host, trim(line, ' ') AS line, count(DISTINCT d) AS pages FROM l GROUP BY 1, 2) p USING (host, line) JOIN t USING (host) WHERE pages > 0.05 * total),
+k AS (SELECT l.d, l.i, l.line, c.line IS NULL AS stays FROM l LEFT JOIN c ON c.host = coalesce(l.source, '') AND c.line = trim(l.line, ' ')),
+j AS (SELECT d, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '') AS kept FROM k GROUP BY d)
+SELECT doc_id, source, CASE WHEN n_dropped > 0 THEN kept ELSE text END AS text, n_lines, n_dropped
+FROM (SELECT *, row_number() OVER () AS rowid FROM documents) x JOIN j ON j.d = x.rowid
+"""
+
+
+def public_bpe() -> tuple:
+    """The byte-level BPE of the public tokenizers; the same ids as byte_bpe_50k.json, which the tests check."""
+    import public_tokenizers
+
+    from .packing import byte_bpe
+
+    return byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_bpe, window=2048, end_id=1).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import fit_rules, quality_verdicts
+
+    docs = table(spark, sf_dir, "documents")
+    out = quality_verdicts(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return out.select("doc_id", *(F.col(f"__c_{c}").alias(c) for c in counts), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__rule").alias("rule"))
