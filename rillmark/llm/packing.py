@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from .text_batches import slices
 
-#: What a cut costs, in padding tokens: between documents, after a sentence, elsewhere.
-SENTENCE_CUT, INNER_CUT = 6, 40
+#: What a cut costs, in padding tokens: between documents (nothing), after a sentence, elsewhere.
+SENTENCE_CUT, INNER_CUT = 2, 24
+#: What a window of a smaller power of two costs.
+SHORT = 48
 #: Without a sentence's end for this many tokens, cuts elsewhere are considered, this far apart.
-GAP, STEP = 128, 32
+GAP, STEP = 64, 16
 
 
 @lru_cache(maxsize=2)
@@ -51,7 +53,7 @@ def sentence_cuts(ids: np.ndarray, ends: np.ndarray, opens: np.ndarray) -> np.nd
 def best_cuts(at: np.ndarray, cost: np.ndarray, window: int, all_powers_from: int | None = None) -> list[int]:
     """The cheapest increasing positions of at, from its first to its last, at most window apart.
 
-    A window of length n costs window - n padding, or none where n is a power of two, and cost[k] for its cut at k.
+    A window of length n costs window - n padding, or SHORT where n is a smaller power of two, and cost[k] for its cut.
     The padding falls as the window's start comes nearer, at the same rate for all starts, so a queue of starts with
     rising (best cost + position) gives the best one at its head; each position enters and leaves it once. Powers of
     two are tried besides: the three largest, or all of them from position all_powers_from on.
@@ -70,8 +72,8 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, window: int, all_powers_from: in
         b = low + window - p
         for w in powers if p >= full else few:
             j = index.get(p - w)
-            if j is not None and best[j] < b:
-                b, i = best[j], j
+            if j is not None and best[j] + SHORT < b:
+                b, i = best[j] + SHORT, j
         b += pen[k]
         best[k], back[k] = b, i
         key = b + p
