@@ -16,7 +16,7 @@ from .text_batches import slices, window_hashes, word_hashes, words
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_upper", "n_digits", "n_bangs", "n_distinct_words"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_upper", "n_digits", "n_bangs"]
 _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 
 
@@ -27,7 +27,6 @@ RATIOS = {
     "upper_share": ("n_upper", "n_chars"),
     "digit_share": ("n_digits", "n_chars"),
     "mean_word": ("word_chars", "n_words"),
-    "distinct_share": ("n_distinct_words", "n_words"),
     "repeat_share": ("n_repeat_words", "n_words"),
     "dup_line_share": ("n_dup_lines", "n_lines"),
     "words_a_line": ("n_words", "n_lines"),
@@ -63,7 +62,6 @@ def text_counts(text: str) -> tuple[int, ...]:
         len(raw) - len(raw.translate(None, _UPPER)),
         len(raw) - len(raw.translate(None, _DIGITS)),
         text.count("!"),
-        len(set(ws)),
     )
 
 
