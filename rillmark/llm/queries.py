@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import held_out
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -82,6 +84,15 @@ FROM (SELECT *, row_number() OVER () AS rowid FROM documents) x JOIN j ON j.d =
 """
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, toxicity_scores
+
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def public_bpe() -> tuple:
     """The byte-level BPE of the public tokenizers; the same ids as byte_bpe_50k.json, which the tests check."""
     import public_tokenizers
@@ -98,6 +109,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_bpe, window=2048, end_id=1).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_languages, identify
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, fit_languages(docs))
+    return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import fit_rules, quality_verdicts
