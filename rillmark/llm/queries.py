@@ -109,6 +109,66 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_bpe, window=2048, end_id=1).withColumnRenamed("id", "doc_id")
 
 
+#: The mixture that the mixing query and the pipeline aim at: sources alike, languages and topics as given.
+TARGETS = {"source": None, "lang": {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2, "other": 0.05}, "topic": {"prose": 0.75, "brief": 0.15, "listing": 0.06, "shouted": 0.02, "symbolic": 0.02}}
+RATE, ROUNDS = 0.5, 6
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    from .mixing import mix, topic
+
+    return mix(docs, TARGETS, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"))}, rate=RATE, rounds=ROUNDS)
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__tokens").alias("tokens"), F.round("__p", 6).alias("p"), F.col("__kept").alias("kept"))
+
+
+def _mixing_sql() -> str:
+    blank = r"[\x20\x09-\x0D]+"
+    dims = list(TARGETS)
+
+    def target(dim: str) -> str:
+        if TARGETS[dim] is None:
+            return "1.0::DOUBLE"
+        cases = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in TARGETS[dim].items())
+        return f"CASE {dim} {cases} ELSE {TARGETS[dim].get('other', 0.0)}::DOUBLE END"
+
+    shares = ", ".join(f"t_{d} AS (SELECT {d}, t / sum(t) OVER () AS t_{d} FROM (SELECT DISTINCT {d}, {target(d)} AS t FROM c))" for d in dims)
+    steps, last = [], "w0"
+    for i in range(ROUNDS * len(dims)):
+        d = dims[i % len(dims)]
+        steps.append(f"w{i + 1} AS (SELECT * EXCLUDE (own) REPLACE (CASE WHEN own > 0 THEN weight * t_{d} / own ELSE 0 END AS weight) FROM (SELECT *, sum(weight) OVER (PARTITION BY {d}) AS own FROM {last}))")
+        last = f"w{i + 1}"
+    return f"""
+WITH x AS (
+  SELECT doc_id, coalesce(source, 'other') AS source, coalesce(lang, 'other') AS lang, coalesce(text, '') AS t FROM documents),
+d AS (
+  SELECT doc_id, source, lang, greatest(len(regexp_split_to_array(regexp_replace(t, '^{blank}|{blank}$', '', 'g'), '{blank}')), 1)::BIGINT AS tokens,
+    CASE WHEN length(t) < 400 THEN 'brief' WHEN (length(t) - length(translate(t, '|', ''))) * 50 > length(t) THEN 'listing'
+      WHEN (length(t) - length(translate(t, '#*$%&<>', ''))) * 20 > length(t) THEN 'symbolic'
+      WHEN (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) * 5 > length(t) THEN 'shouted' ELSE 'prose' END AS topic
+  FROM x),
+c AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROUP BY ALL),
+{shares},
+w0 AS (SELECT c.*, tokens / sum(tokens) OVER () AS weight, {", ".join(f"t_{d}" for d in dims)} FROM c {" ".join(f"JOIN t_{d} USING ({d})" for d in dims)}),
+{", ".join(steps)},
+r AS (SELECT *, weight / tokens AS ratio FROM {last}),
+s AS (
+  SELECT *, {RATE} * sum(tokens) OVER () - coalesce(sum(tokens) OVER o, 0) AS budget, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS mass
+  FROM r WINDOW o AS (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT max(CASE WHEN ratio > 0 AND budget / mass * ratio <= 1 THEN budget / mass END) AS final FROM s),
+p AS (SELECT source, lang, topic, CASE WHEN ratio > 0 THEN least(1.0, coalesce(final * ratio, 1.0)) ELSE 0 END AS p FROM r, f)
+SELECT doc_id, tokens, round(p, 6) AS p, ('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < p AS kept
+FROM d JOIN p USING (source, lang, topic)
+"""
+
+
+ORACLES["op6_mixing"] = _mixing_sql()
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit_languages, identify
@@ -118,6 +178,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract, fit_labeller
+
+    pages = table(spark, sf_dir, "pages")
+    out = extract(pages, fit_labeller(pages))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_main")
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import fit_rules, quality_verdicts
@@ -126,3 +195,25 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_verdicts(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.select("doc_id", *(F.col(f"__c_{c}").alias(c) for c in counts), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__rule").alias("rule"))
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from .common import shared_dir
+    from .warc import archive_round_trip
+
+    pages = table(spark, sf_dir, "pages")
+    captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))
+    out = archive_round_trip(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}", captured)
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op10_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to
+FROM f
+"""
