@@ -1,8 +1,59 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, line and near deduplication, mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and gives what the next one reads. All but the last give the columns of
+documents. A null id is never dropped by a stage that decides by id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillmark.llm import queries
+from rillmark.llm.common import staged
+from rillmark.llm.line_dedup import line_dedup
+from rillmark.llm.near_dedup import near_duplicates
+from rillmark.llm.packing import pack
+from rillmark.llm.quality_rules import fit_rules, quality_verdicts
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base test or a learned rule go."""
+    rules = fit_rules(docs, queries.table(spark, sf_dir, "labels"))
+    return quality_verdicts(docs, rules).filter("__kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of a source go from its texts; n_chars follows the text."""
+    out = line_dedup(docs, ratio=0.05, min_pages=3)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
+    copies = near_duplicates(docs, shingle_words=5, num=4, den=5).filter("NOT kept AND id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose token weights follow the targets by source, language and topic."""
+    return queries.mixed(docs).filter("__kept").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, with their ids, in windows of 2048."""
+    return pack(docs, queries.public_bpe, window=2048, end_id=1, with_ids=True).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near), ("mixing", mixture), ("packing", packed)]
+#: The rules are learned and the links found by hashing, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
