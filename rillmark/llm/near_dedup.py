@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -41,7 +41,7 @@ def superminhash(elements: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
     for j in range(m):
         if not len(live):
             break
-        r = mix(live + _SEED * np.uint64(j + 1))
+        r = mix(live + np.uint64(int(_SEED) * (j + 1) & (1 << 64) - 1))
         k = (j + (r >> _RANK_BITS) % np.uint64(m - j)).astype(np.intp)
         if perm is None:
             slot = k
@@ -120,6 +120,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.mapInArrow(_linked(num, den), f"a {kind}, b {kind}").distinct()
 
 
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of nodes (node, n, component) of different components, among them all that are similar enough.
+
+    Each set's shingles are ordered by how many of the nodes have them. If two sets are similar enough, the first
+    shingle in this order that both have lies so early in both that what follows still suffices for the overlap they
+    need; so only the first n - ceil(num / den * n) + 1 shingles of each are joined, and positions too late for the
+    other's size are left out. Shingles that no other node has take up positions, but no rows. Of a shingle's
+    nodes, those of its most frequent component meet only the others.
+    """
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = np.frombuffer(batch.column(3)[i].as_py(), np.int64)
+                one = batch.slice(i, 1).select([0, 1, 2]).take(pa.array(np.zeros(len(own), np.int32)))
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array(own)], names=["node", "n", "component", "shingle"])
+
+    own = nodes.join(sets, nodes["node"] == sets["id"]).select("node", "n", "component", "shingles")
+    each = own.mapInArrow(spread, f"node {kind}, n bigint, component {kind}, shingle bigint")
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    w = Window.partitionBy("node")
+    at = F.col("n") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("df", "shingle")) - 1
+    rows = each.join(common, "shingle").withColumn("at", at).filter((F.col("n") - F.col("at")) * den >= F.col("n") * num)
+    rows = staged(rows.select("shingle", "node", "n", "component", "at"), "near-prefixes")
+    parts = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("shingle", "main")
+    split = rows.join(main, "shingle")
+    few = split.filter("component <> main").select("shingle", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("at").alias("pat"))
+    enough = lambda n, at: (n - at) * (num + den) >= (F.col("n") + F.col("pn")) * num
+    meet = (F.col("component") != F.col("pc")) & ((F.col("component") == F.col("main")) | (F.col("p") < F.col("node")))
+    pairs = split.join(few, "shingle").filter(meet & enough(F.col("n"), F.col("at")) & enough(F.col("pn"), F.col("pat")))
+    return pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 4, den: int = 5, rows: int = BAND_ROWS, miss: float = MISS
 ) -> DataFrame:
@@ -129,9 +164,9 @@ def near_duplicates(
     as one. Texts are linked when den * |intersection| >= num * |union|, checked on full sets; component_id is the
     smallest id that links reach. Candidates come from bands of SuperMinHash signatures (bands_for gives their number;
     a link at the threshold shares no band with a probability of at most miss). Equal sets are one node from the start.
-    In a bucket every node meets the bucket's smallest; then, of the nodes that no link has joined yet, only those
-    outside the bucket's largest component meet the others. So a bucket of n copies costs n pairs, not n * n, and no
-    pair of a bucket that could still join two components is left out.
+    In a bucket every node meets the bucket's smallest. Nodes of buckets that these links leave in several components
+    then meet through their rarest shingles (_prefix_pairs), which misses no link between two components. So a bucket of
+    n copies costs n pairs, not n * n, and the pairs in a group of looser copies are those that could be links.
 
     Null or blank texts have no shingles and are linked with nothing. A null id is never a node: its row gets the
     component of an equal set, if there is one, else null. Rows that repeat an id are one node. Other columns are
@@ -155,18 +190,12 @@ def near_duplicates(
     sets = staged(base.join(involved, "id", "left_semi").mapInArrow(_sets(shingle_words), f"id {kind}, shingles binary"), "near-sets")
     links = staged(_verified(star, sets, num, den), "near-links")
 
-    def rest(links: DataFrame) -> DataFrame:
-        joined = connected_components(links)
-        now = staged(member.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")), "near-now")
-        parts = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-        main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("bucket", "main")
-        split = now.join(main, "bucket")
-        few = split.filter("component <> main").select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-        cross = split.join(few, "bucket").filter((F.col("component") != F.col("pc")) & ((F.col("component") == F.col("main")) | (F.col("p") < F.col("node"))) & fits(F.col("n"), F.col("pn")))
-        pairs = cross.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-        return pairs.join(star, ["a", "b"], "left_anti")
-
-    links = links.unionByName(staged(_verified(rest(links), sets, num, den), "near-links"))
+    joined = connected_components(links)
+    now = staged(member.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")), "near-now")
+    split = now.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("bucket")
+    undecided = now.join(split, "bucket", "left_semi").select("node", "n", "component").distinct()
+    pairs = _prefix_pairs(undecided, sets, num, den).join(star, ["a", "b"], "left_anti")
+    links = links.unionByName(staged(_verified(pairs, sets, num, den), "near-links"))
     components = connected_components(links)
     of_set = nodes.join(components, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     again = sketch.select("id", "n_shingles", "set_key").join(of_set, "set_key", "left")
