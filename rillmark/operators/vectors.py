@@ -16,19 +16,18 @@ def mean_template(df: DataFrame, label: str, vector: str) -> DataFrame:
     return each.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("template"))
 
 
-def centred(v: Column) -> Column:
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(v)
-    return F.transform(v, lambda x: x.cast("double") - mean)
-
-
 def correlation(a: Column, b: Column, mask: Column | None = None) -> Column:
-    """Normalized correlation of mean-centred arrays, -1 to 1; 0 where one is constant. mask: an array of 0 and 1."""
+    """Normalized correlation of arrays about their means, -1 to 1; 0 where one is constant. mask: an array of 0 and 1.
+
+    Written with sums of products: a mean inside a lambda would be computed again for each element.
+    """
     if mask is not None:
         keep = lambda v: F.transform(F.filter(F.arrays_zip(v.alias("v"), mask.alias("m")), lambda s: s["m"] > 0), lambda s: s["v"])
         a, b = keep(a), keep(b)
-    x, y = centred(a), centred(b)
-    norm = F.sqrt(_dot(x, x) * _dot(y, y))
-    return F.when(norm > 0, _dot(x, y) / norm).otherwise(0.0)
+    n, sum_of = F.size(a), lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    x, y = sum_of(a), sum_of(b)
+    norm = F.sqrt((_dot(a, a) - x * x / n) * (_dot(b, b) - y * y / n))
+    return F.when(norm > 0, (_dot(a, b) - x * y / n) / norm).otherwise(0.0)
 
 
 def difference_confidence(a: Column, b: Column, largest: float, mask: Column | None = None) -> Column:

@@ -597,7 +597,7 @@ def I9_command_results(t):
     return G.command_results(_commands(t), t.chunks)
 
 
-@q()
+@q(domain("SELECT w.id, max_by(w.status, seq) AS status, max_by(tm, seq) FILTER (w.status = 'processing') AS started_at, max_by(tm, seq) FILTER (w.status = 'completed') AS completed_at, (CASE WHEN p.p IS NOT NULL THEN 1 + count(*) FILTER (w.status = 'pending' AND seq > p.p) ELSE c.attempt_count + count(*) FILTER (w.status = 'pending') END)::INT AS attempt_count, max_by(error, seq) FILTER (error IS NOT NULL) AS last_error FROM ok w JOIN chunks c ON c.id = w.id JOIN (SELECT id, max(seq) FILTER (status = 'processing') AS p FROM ok GROUP BY 1) p ON p.id = w.id GROUP BY w.id, p.p, c.attempt_count", CMD))
 def I10_worker_commands(t):
     return G.apply_worker_commands(_commands(t).filter("status <> 'archived'"), t.chunks)
 
@@ -621,7 +621,10 @@ def _messages(t) -> DataFrame:
     return rows.withColumn("signature", F.when(F.col("event_id") % 7 == 0, F.lit("sha256=00")).otherwise(signed))
 
 
-@q("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'missing_header' WHEN event_id % 7 = 0 THEN 'bad_signature' WHEN event_id % 4 = 1 THEN 'challenge' WHEN event_id % 4 = 2 THEN 'revoked' WHEN event_id % 4 = 0 AND event_type = 'view' THEN 'process' ELSE 'ignored' END AS route, CASE WHEN event_id % 11 = 0 THEN 400 WHEN event_id % 7 = 0 THEN 403 ELSE 200 END AS code FROM events")
+ROUTES = "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'missing_header' WHEN event_id % 7 = 0 THEN 'bad_signature' WHEN event_id % 4 = 1 THEN 'challenge' WHEN event_id % 4 = 2 THEN 'revoked' WHEN event_id % 4 = 0 AND event_type = 'view' THEN 'process' ELSE 'ignored' END AS route, CASE WHEN event_id % 11 = 0 THEN 400 WHEN event_id % 7 = 0 THEN 403 ELSE 200 END AS code FROM events"
+
+
+@q(ROUTES)
 def I14_webhook_router(t):
     return G.route(_messages(t), "a secret").select("event_id", "route", "code")
 
@@ -659,7 +662,7 @@ def I19_metric_windows(t):
     return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("total", F.round("total", 6))
 
 
-@q()
+@q(ROUTES)
 def I16_routed_stream(t):
     """Signed messages, written as a table and read as a stream, routed once each."""
     path = S.shared_dir(t.spark)
@@ -789,18 +792,21 @@ def J19_discovery(t):
     return J.discover(videos, t.streamers.filter("id % 3 <> 0"))
 
 
-@q()
+@q(f"WITH {FRAMES}, rk AS (SELECT frame_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY s DESC, p) AS r FROM (SELECT frame_id, rank, p, (frame_id * 37 + p * 53) % 100 AS s FROM (SELECT frame_id, unnest({list(A.RANKS)}) AS rank, unnest(range(5)) AS p FROM fr))) WHERE r = 1 AND s >= 95), hit AS (SELECT fr.*, rank FROM fr JOIN rk USING (frame_id)), {THIN.format('hit')}, one AS (SELECT h.*, row_number() OVER (PARTITION BY h.chunk_id, h.ts ORDER BY frame_id) AS r FROM hit h JOIN th ON th.chunk_id = h.chunk_id AND th.ts = h.ts) SELECT one.chunk_id, one.ts AS frame_time_seconds, event_type || '_' || user_id AS username, 0.9 AS confidence, rank FROM one JOIN events ON event_id = frame_id WHERE r = 1 AND length(event_type || user_id) >= 3")
 def J20_frames_to_detections(t):
     frames = _frames(t)
-    ranks = frames.select("frame_id", F.explode(F.arrays_zip(F.array(*map(F.lit, A.RANKS)).alias("rank"), F.sequence(F.lit(0), F.lit(4)).alias("position"))).alias("r")).select("frame_id", "r.rank", "r.position", (F.pmod(F.xxhash64("frame_id", "r.position"), F.lit(100)) / 100).alias("score"))
-    texts = t.events.select(F.col("event_id").alias("frame_id"), F.lit(0).alias("idx"), F.concat("event_type", F.lit("_"), "user_id").alias("text"), F.lit(0.9).alias("score"))
-    return J.frames_to_detections(frames, ranks, texts)
+    ranks = frames.select("frame_id", F.posexplode(F.array(*map(F.lit, A.RANKS))).alias("position", "rank")).withColumn("score", (F.col("frame_id") * 37 + F.col("position") * 53) % 100)
+    texts = t.events.select(F.col("event_id").alias("frame_id"), F.lit(0).alias("idx"), F.concat("event_type", F.lit("_ "), "user_id").alias("text"), F.lit(0.9).alias("score"))
+    return J.frames_to_detections(frames, ranks, texts, threshold=95)
 
 
 # --- K: vectors
 
 
-@q()
+TEMPLATES = "tp AS (SELECT label, list(x ORDER BY i) AS t FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i) GROUP BY label), ce AS (SELECT vec_id, tp.label, list_transform(embedding, lambda x: x::DOUBLE - list_avg(list_transform(embedding, lambda y: y::DOUBLE))) AS a, list_transform(t, lambda x: x - list_avg(t)) AS b FROM embeddings, tp), sc AS (SELECT vec_id, label, list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)) AS score FROM ce)"
+
+
+@q(f"WITH {TEMPLATES} SELECT vec_id, round(score, 6) AS score FROM sc WHERE label = 0")
 def K1_correlation(t):
     e = t.embeddings
     tp = K.mean_template(e, "label", "embedding").filter("label = 0").select(F.col("template").alias("t"))
@@ -814,7 +820,7 @@ def K2_difference_confidence(t):
     return t.embeddings.crossJoin(F.broadcast(z)).select("vec_id", F.round(K.difference_confidence(F.col("embedding"), F.col("z"), 2.0), 6).alias("confidence"))  # one row
 
 
-@q()
+@q(f"WITH {TEMPLATES} SELECT vec_id, CASE WHEN score >= 0.5 THEN label END AS label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS r FROM sc) WHERE r = 1")
 def K3_classify(t):
     tp = K.mean_template(t.embeddings, "label", "embedding")
     return K.classify(t.embeddings, tp, "vec_id", "embedding", "label", 0.5).withColumn("score", F.round("score", 6))

@@ -79,6 +79,7 @@ def notify(detections: DataFrame, subscriptions: DataFrame, channels: DataFrame)
 
 
 def routed(messages: DataFrame, secret: str, late: str = "10 minutes") -> DataFrame:
-    """Webhook messages with their route, each id once within the watermark."""
-    once = messages.withWatermark("received", late).dropDuplicatesWithinWatermark(["message_id"])
-    return changes.route(once, secret)
+    """Webhook messages with their route, each id once within the watermark; those without an id are told apart by all they hold."""
+    key = F.coalesce(F.col("message_id"), F.xxhash64(*messages.columns).cast("string"))
+    once = messages.withColumn("__key", key).withWatermark("received", late).dropDuplicatesWithinWatermark(["__key"])
+    return changes.route(once, secret).drop("__key")

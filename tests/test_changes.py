@@ -83,3 +83,18 @@ def test_notify_stream_equals_batch(spark, tmp_path):
     want = sorted(tuple(r) for r in G.notifications(det, subs, channels).collect())
     got = S.notify(S.source(spark, str(tmp_path / "in"), 1), subs, channels)
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_correlation_and_difference(spark):
+    import numpy as np
+
+    from rillmark.operators import vectors as K
+
+    r = np.random.default_rng(0)
+    x, y, m = r.normal(size=8), r.normal(size=8), np.array([1, 1, 0, 1, 1, 0, 1, 1])
+    df = spark.createDataFrame([(x.tolist(), y.tolist(), m.tolist(), [2.0] * 8)], "x array<double>, y array<double>, m array<int>, c array<double>")
+    col = F.col
+    got = df.select(K.correlation(col("x"), col("y")), K.correlation(col("x"), col("y"), col("m")), K.correlation(col("x"), col("c")), K.difference_confidence(col("x"), col("y"), 4.0, col("m"))).first()
+    keep = m > 0
+    want = [np.corrcoef(x, y)[0, 1], np.corrcoef(x[keep], y[keep])[0, 1], 0.0, 1 - ((x - y) ** 2 * m).sum() / (8 * 16)]
+    assert np.allclose(list(got), want)
