@@ -518,7 +518,11 @@ def H21_quality_label(t):
     return t.part.select("p_partkey", C.quality_label(F.concat(F.col("p_size").cast("string"), F.lit("p")), F.when(F.col("p_size") % 2 == 0, 60).otherwise(30)).alias("label"))
 
 
-@q()
+def _pad(x: int) -> str:
+    return "unhex('" + bytes(b ^ x for b in b"a secret".ljust(64, b"\0")).hex() + "')"
+
+
+@q(f"SELECT event_id, 'sha256=' || sha256({_pad(0x5C)} || unhex(sha256({_pad(0x36)} || encode(event_id || props)))) AS signature FROM events")
 def H24_signature(t):
     return t.events.select("event_id", C.signature("a secret", F.concat(F.col("event_id").cast("string"), F.col("props"))).alias("signature"))
 
@@ -824,3 +828,165 @@ def K2_difference_confidence(t):
 def K3_classify(t):
     tp = K.mean_template(t.embeddings, "label", "embedding")
     return K.classify(t.embeddings, tp, "vec_id", "embedding", "label", 0.5).withColumn("score", F.round("score", 6))
+
+
+# --- parts of the above on their own
+
+
+@q(domain("SELECT status, label, count(*) AS n FROM chunks JOIN (VALUES ('pending', 'open'), ('queued', 'open'), ('failed', 'shut')) l(s, label) ON s = status GROUP BY ALL"))
+def A2_inline_values(t):
+    words = T.values(t.spark, [("pending", "open"), ("queued", "open"), ("failed", "shut")], "status string, label string")
+    return t.chunks.join(F.broadcast(words), "status").groupBy("status", "label").agg(F.count(F.lit(1)).alias("n"))  # three rows
+
+
+@q(domain("SELECT id, vod_id FROM chunks ORDER BY id LIMIT 1000"))
+def A12_row_cap(t):
+    return T.cap_rows(t.chunks.select("id", "vod_id").orderBy("id"))
+
+
+@q(domain("SELECT s.id AS streamer_id, count(*) AS n FROM detections d JOIN vods v ON v.id = d.vod_id JOIN streamers s ON s.id = v.streamer_id GROUP BY 1"))
+def C1_inner_chain(t):
+    v, s = t.vods.select(F.col("id").alias("vod_id"), "streamer_id"), t.streamers.select(F.col("id").alias("streamer_id"))
+    return t.detections.join(v, "vod_id").join(s, "streamer_id").groupBy("streamer_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q(domain("SELECT s.id AS streamer_id, count(d.id) AS detections, count(DISTINCT v.id) AS vods FROM streamers s LEFT JOIN vods v ON v.streamer_id = s.id LEFT JOIN detections d ON d.vod_id = v.id GROUP BY 1"))
+def C2_left_chain(t):
+    v, d = t.vods.select(F.col("id").alias("vod_id"), "streamer_id"), t.detections.select("vod_id", F.col("id").alias("d"))
+    rows = t.streamers.select(F.col("id").alias("streamer_id")).join(v, "streamer_id", "left").join(d, "vod_id", "left")
+    return rows.groupBy("streamer_id").agg(F.count("d").alias("detections"), F.countDistinct("vod_id").alias("vods"))
+
+
+LATERAL = "SELECT v.id, c.n, f.first FROM {vods} v LEFT JOIN LATERAL (SELECT count(*) AS n FROM {chunks} c WHERE c.vod_id = v.id) c ON true LEFT JOIN LATERAL (SELECT min(d.frame_time_seconds) AS first FROM {detections} d WHERE d.vod_id = v.id) f ON true"
+
+
+@q(domain(LATERAL.format(vods="vods", chunks="chunks", detections="detections")))
+def C3_lateral(t):
+    return t.spark.sql(LATERAL, vods=t.vods, chunks=t.chunks, detections=t.detections)
+
+
+@q(domain("SELECT id FROM vods v WHERE EXISTS (SELECT 1 FROM chunks c WHERE c.vod_id = v.id AND c.status = 'pending')"))
+def C4_exists(t):
+    return t.vods.join(t.chunks.filter("status = 'pending'").select(F.col("vod_id").alias("id")), "id", "left_semi").select("id")
+
+
+@q(domain("SELECT id FROM chunks WHERE vod_id IN (SELECT id FROM vods WHERE streamer_id IN (SELECT id FROM streamers WHERE NOT processing_enabled))"))
+def C6_in_subquery(t):
+    off = t.streamers.filter("NOT processing_enabled").select(F.col("id").alias("streamer_id"))
+    v = t.vods.join(off, "streamer_id", "left_semi").select(F.col("id").alias("vod_id"))
+    return t.chunks.join(v, "vod_id", "left_semi").select("id")
+
+
+@q(ORACLES["I1_notifications"])
+def C11_stream_enrichment(t):
+    """I1 over detections that arrive as files, a batch at a time, joined to the tables as they stand."""
+    path = S.shared_dir(t.spark)
+    t.detections.filter("chunk_id % 5 = 0").select("id", "username").write.parquet(path)
+    return S.notify(S.source(t.spark, path), t.subscriptions, t.channels)
+
+
+@q(domain("SELECT v.streamer_id, count(DISTINCT v.id) FILTER (ro.status = 'completed') AS completed, count(DISTINCT v.id) FILTER (ro.status <> 'completed') AS other FROM vods v JOIN ro ON ro.vod_id = v.id GROUP BY 1", ROLLUP))
+def D3_distinct_conditional_counts(t):
+    rows = t.vods.select(F.col("id").alias("vod_id"), "streamer_id").join(A.rollup_status(t), "vod_id")
+    done = F.col("status") == "completed"
+    return rows.groupBy("streamer_id").agg(F.countDistinct(F.when(done, F.col("vod_id"))).alias("completed"), F.countDistinct(F.when(~done, F.col("vod_id"))).alias("other"))
+
+
+@q(domain("SELECT vod_id, round(avg(confidence), 9) AS mean, max(frame_time_seconds) AS latest, min(frame_time_seconds) AS earliest FROM detections GROUP BY 1"))
+def D4_avg_max_min(t):
+    return t.detections.groupBy("vod_id").agg(F.round(F.avg("confidence"), 9).alias("mean"), F.max("frame_time_seconds").alias("latest"), F.min("frame_time_seconds").alias("earliest"))
+
+
+@q(domain("SELECT vod_id, CASE WHEN q > 0 THEN round(n::DECIMAL(18, 6) / q, 2)::DOUBLE ELSE 0 END AS each FROM (SELECT vod_id, count(*) AS n, count(quality) AS q FROM chunks GROUP BY 1)"))
+def D5_safe_ratio(t):
+    rows = t.chunks.groupBy("vod_id").agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("q"))
+    return rows.select("vod_id", C.ratio(F.col("n"), F.col("q")).cast("double").alias("each"))
+
+
+@q(domain("SELECT vod_id, CASE WHEN count(DISTINCT quality) = 1 AND count(quality) = count(*) THEN max(quality) END AS quality FROM chunks GROUP BY 1"))
+def D9_singleton_collapse(t):
+    return t.chunks.groupBy("vod_id").agg(A.only_value("quality").alias("quality"))
+
+
+@q(domain("SELECT guild_id, string_agg('<@' || user_id || '>', ' ' ORDER BY user_id) AS mentions FROM (SELECT DISTINCT guild_id, user_id FROM subscriptions WHERE enabled) GROUP BY 1"))
+def D14_grouped_list(t):
+    users = F.sort_array(F.collect_set("user_id"))
+    return t.subscriptions.filter("enabled").groupBy("guild_id").agg(F.array_join(F.transform(users, lambda u: F.concat(F.lit("<@"), u, F.lit(">"))), " ").alias("mentions"))
+
+
+@q(domain("SELECT id, (SELECT count(*) FROM vods WHERE availability = 'available') AS total_count FROM vods WHERE availability = 'available' ORDER BY id LIMIT 20 OFFSET 5"))
+def E2_total_over_page(t):
+    rows = t.vods.filter("availability = 'available'").select("id")
+    return A.with_total(rows.orderBy("id").offset(5).limit(20), rows)
+
+
+@q(domain("SELECT vod_id, b AS hole_start, start_seconds AS hole_end FROM (SELECT vod_id, start_seconds, coalesce(max(end_seconds) OVER (PARTITION BY vod_id ORDER BY start_seconds, end_seconds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM chunks) WHERE start_seconds > b"))
+def E5_gap_scan(t):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("vod_id").orderBy("start_seconds", "end_seconds").rowsBetween(Window.unboundedPreceding, -1)
+    return t.chunks.select("vod_id", F.coalesce(F.max("end_seconds").over(w), F.lit(0)).alias("hole_start"), F.col("start_seconds").alias("hole_end")).filter("hole_end > hole_start")
+
+
+@q(domain("SELECT streamer_id, count(*) AS n FROM ds GROUP BY 1 ORDER BY n DESC, streamer_id LIMIT 10", search_cte()))
+def F2_top_groups(t):
+    return V.detection_search(t).groupBy("streamer_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "streamer_id").limit(10)
+
+
+@q(domain("SELECT id, chunk_index FROM chunks WHERE vod_id % 100 = 1"))
+def F6_by_index(t):
+    return t.chunks.filter("vod_id % 100 = 1").select("id", "chunk_index").orderBy("chunk_index", "id")
+
+
+@q("SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0")
+def G9_page_union(t):
+    return I.union_pages(t.orders.filter("o_orderkey % 2 = 0").select("o_orderkey"), t.orders.filter("o_orderkey % 3 = 0").select("o_orderkey"))
+
+
+@q(f"SELECT p_partkey FROM part WHERE {sim(tri('p_name'), tri('p_type'))}::DOUBLE >= 0.05")
+def H2_similar(t):
+    return t.part.filter(C.similar(C.similarity(F.col("p_name"), F.col("p_type")), 0.05)).select("p_partkey")
+
+
+@q(domain(f"SELECT id, published_at + to_seconds(duration_seconds) AS ends, '{URL}' || source_id || '?t=' || duration_seconds || 's' AS url FROM vods"))
+def H3_H4_time_and_url(t):
+    return t.vods.select("id", C.plus_seconds(F.col("published_at"), F.col("duration_seconds")).alias("ends"), C.watch_url(F.col("source_id"), F.col("duration_seconds")).alias("url"))
+
+
+@q("SELECT o_orderkey, greatest(a, b) AS g, least(a, b) AS l, a % 7 AS m, a // 7 AS d, ceil(a / 7.0)::BIGINT AS c, coalesce(nullif(a % 3, 0), -1) AS z, len([a, b]) AS n FROM (SELECT o_orderkey, o_orderkey AS a, o_custkey AS b FROM orders)")
+def H10_arithmetic(t):
+    a, b = F.col("o_orderkey"), F.col("o_custkey")
+    return t.orders.select("o_orderkey", F.greatest(a, b).alias("g"), F.least(a, b).alias("l"), (a % 7).alias("m"), F.expr("o_orderkey div 7").alias("d"), F.ceil(a / 7).alias("c"), F.coalesce(F.nullif(a % 3, F.lit(0)), F.lit(-1)).alias("z"), F.size(F.array(a, b)).cast("long").alias("n"))
+
+
+@q("SELECT event_id, (props::JSON->>'k')::BIGINT AS k, to_json({id: event_id, kind: event_type})::STRING AS doc, 'event ' || event_id || ' is ' || event_type AS text FROM events")
+def H14_json_and_format(t):
+    return t.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))).alias("doc"), F.format_string("event %d is %s", "event_id", "event_type").alias("text"))
+
+
+@q("SELECT c_custkey, TRY_CAST(x AS INT) AS i, coalesce(TRY_CAST(x AS INT), 1) AS one, CASE WHEN x = 'all' THEN 10 ELSE coalesce(TRY_CAST(x AS INT), 1) END AS n FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'none' ELSE c_custkey::STRING END AS x FROM customer)")
+def H17_config_cast(t):
+    x = F.when(F.col("c_custkey") % 3 == 0, "all").when(F.col("c_custkey") % 3 == 1, "none").otherwise(F.col("c_custkey").cast("string"))
+    return t.customer.select("c_custkey", C.as_int(x).alias("i"), C.as_int(x, 1).alias("one"), C.result_count(x).alias("n"))
+
+
+@q(domain("SELECT user_id, CASE notify_type WHEN 'dm' THEN 'direct message' WHEN 'server' THEN 'server channel' ELSE 'direct message and server channel' END AS label, '**' || username || '** - <t:' || user_id || ':f> - [Watch](u)' AS line FROM subscriptions"))
+def H23_H26_text_lines(t):
+    return t.subscriptions.select("user_id", C.notify_label(F.col("notify_type")).alias("label"), C.result_line(F.col("username"), F.col("user_id").cast("long"), F.lit("u")).alias("line"))
+
+
+@q(domain(f"SELECT vod_id, source_id, pending_chunks FROM pe WHERE {ACTIVE} < 50 ORDER BY mac, published_at DESC NULLS FIRST, vod_id LIMIT 5", PENDING))
+def I12_admission_full(t):
+    """At capacity nothing is taken."""
+    return G.admitted(t, 50, 10, 5, by_attempts=True)
+
+
+@q(domain(f"SELECT id, CASE WHEN id % 5 = 0 THEN 'changed' ELSE title END AS title, CASE WHEN id % 5 = 0 THEN {NOW_SQL} ELSE published_at END AS updated_at FROM vods"))
+def I21_updated_at(t):
+    base = t.vods.select("id", "title", F.col("published_at").alias("updated_at"))
+    return T.stamped(base, base.filter("id % 5 = 0").select("id", F.lit("changed").alias("title")), ["id"], ["title"], NOW)
+
+
+@q(ORACLES["I22_force_reprocess"].replace("v.id % 8 = 0", "v.id % 6 = 0"))
+def J12_force_process(t):
+    return J.force_process(t, t.vods.filter("id % 6 = 0").select(F.col("id").alias("vod_id")))

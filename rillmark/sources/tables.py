@@ -34,6 +34,11 @@ def load(spark: SparkSession, sf_dir: str, name: str, cols: Iterable[str] | None
     return df.select(*cols) if cols else df
 
 
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Literal rows as a table."""
+    return spark.createDataFrame(rows, schema)
+
+
 class Tables:
     """The star schema and the domain tables of a folder, by name; each is built when first asked for."""
 
@@ -124,4 +129,11 @@ def parse_event_log(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def cap_rows(df: DataFrame, n: int = 1000) -> DataFrame:
+    """At most n rows of any result, as the API gives them."""
     return df.limit(n)
+
+
+def stamped(df: DataFrame, updates: DataFrame, keys: list[str], cols: list[str], now) -> DataFrame:
+    """merge_snapshot, with updated_at set to now on the rows that updates names."""
+    marked = updates.withColumn("updated_at", F.lit(now).cast("timestamp_ntz"))
+    return merge_snapshot(df, marked, keys, [*cols, "updated_at"])
