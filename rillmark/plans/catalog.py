@@ -341,9 +341,9 @@ def D17_counters(t):
     return A.counter(t.metrics.withColumn("d", F.lit(1)), ["name", "attr"], "d")
 
 
-@q(domain(f"SELECT name, len(list_filter({A.BOUNDS}::DOUBLE[], lambda b: v > b))::INT AS bucket, count(*) AS count, round(sum(v), 6) AS sum FROM (SELECT name, round(value / 100, 2) AS v FROM metrics) GROUP BY ALL"))
+@q(domain(f"SELECT name, len(list_filter({A.BOUNDS}::DOUBLE[], lambda b: v > b))::INT AS bucket, count(*) AS count, round(sum(v), 6) AS sum FROM (SELECT name, value / 100 AS v FROM metrics) GROUP BY ALL"))
 def D18_histogram(t):
-    rows = A.histogram(t.metrics.select("name", F.round(F.col("value") / 100, 2).alias("v")), ["name"], "v")
+    rows = A.histogram(t.metrics.select("name", (F.col("value") / 100).alias("v")), ["name"], "v")
     return rows.withColumn("sum", F.round("sum", 6))
 
 
