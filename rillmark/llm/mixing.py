@@ -16,20 +16,19 @@ def topic(text: Column) -> Column:
     """A coarse topic from a text's form: listing (cells between bars), symbolic, shouted, brief or prose; null: brief."""
     t = F.coalesce(text, F.lit(""))
     n = F.length(t)
-    count = lambda chars: n - F.length(F.translate(t, chars, ""))
+    count = lambda chars: F.regexp_count(t, F.lit(f"[{chars}]"))
     return (
         F.when(n < 400, F.lit("brief"))
         .when(count("|") * 50 > n, F.lit("listing"))
         .when(count("#*$%&<>") * 20 > n, F.lit("symbolic"))
-        .when(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") * 5 > n, F.lit("shouted"))
+        .when(count("A-Z") * 5 > n, F.lit("shouted"))
         .otherwise(F.lit("prose"))
     )
 
 
 def tokens(text: Column) -> Column:
     """Words as a stand-in for tokens; at least 1, so that every document has a weight."""
-    t = F.coalesce(text, F.lit(""))
-    return F.greatest(F.size(F.split(F.regexp_replace(t, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")), F.lit(1)).cast("long")
+    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long")
 
 
 def chance(id_col: str) -> Column:
