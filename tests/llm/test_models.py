@@ -165,3 +165,14 @@ def test_extraction(spark):
     assert "Head & line First bold text here. Second part é A." in [r.text for r in got]
     assert H.extract(odd.limit(0), model).collect() == []
     assert H.extract(odd.filter(F.col("page_id") == 1), H.fit_labeller(odd.limit(0))).count() == 1
+
+
+def test_labelled_sample_is_the_smallest_hashes(spark):
+    from rillmark.llm.common import few_by_hash, labelled_sample
+
+    rows = spark.range(20_000).select("id", (F.col("id") % 2).alias("y"))
+    rows = rows.unionByName(rows.filter("id < 50").withColumn("y", F.lit(7))).unionByName(rows.limit(1).select(F.lit(None).cast("long").alias("id"), "y"))
+    assert few_by_hash(rows, "id", 100).count() < 1000
+    got = [r.id for r in labelled_sample(rows, "id", "y", 100, True).collect()]
+    want = rows.filter("id >= 50").filter(~held_out("id")).orderBy(F.xxhash64("id")).limit(100).collect()
+    assert sorted(got) == sorted(r.id for r in want)
