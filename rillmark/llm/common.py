@@ -39,6 +39,17 @@ def held_out(id_col: str, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
+def few_by_hash(rows: DataFrame, id_col: str, max_rows: int) -> DataFrame:
+    """rows whose hashed id is so small that about four times max_rows of them are left, if there are more than that.
+
+    One count, then a filter in each task: what a following sort and limit gathers does not grow with the table.
+    """
+    total = rows.count()
+    if total <= 4 * max_rows:
+        return rows
+    return rows.filter(F.xxhash64(id_col) < F.lit(-(2**63) + int(2**64 * (4 * max_rows / total))))
+
+
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, max_rows: int, training_only: bool) -> DataFrame:
     """(id, label) of at most max_rows labelled ids, one row an id, the same ones on every run.
 
@@ -48,5 +59,6 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, max_rows: in
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).dropna()
     if training_only:
         rows = rows.filter(~held_out("id"))
+    rows = few_by_hash(rows, "id", max_rows)
     one = rows.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other")
     return one.select("id", "label").orderBy(F.xxhash64("id"), "id").limit(max_rows)

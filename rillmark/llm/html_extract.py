@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import few_by_hash
 from .nets import Adam, lstm, lstm_back, sigmoid
 from .text_batches import slices
 
@@ -164,7 +165,7 @@ class Labeller:
     def fit(self, pages: list[tuple[tuple, np.ndarray]], epochs: int = 10, seed: int = 7) -> None:
         """pages: (block_inputs, 0/1 labels)."""
         r, adam, h = np.random.default_rng(seed), Adam(self.p, 0.01), HIDDEN
-        for _ in range(epochs):
+        for _ in range(epochs if pages else 0):
             order = r.permutation(len(pages))
             for some in np.array_split(order, max(1, len(order) // 16)):
                 x, mask = self.padded([self.vectors(pages[i][0]) for i in some])
@@ -255,8 +256,9 @@ def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     The tables hold no labels. Pages that mark an article and nothing odd within it label themselves by their tags; the
     arranged pages set the same texts under many other names, so that only tag paths and context tell them apart.
     """
-    few = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.length("html").between(1, max_chars))
-    rows = few.orderBy(F.xxhash64("id", "html"), "id").limit(max_pages).collect()
+    ids = few_by_hash(pages.select(F.col(id_col).alias("id")).dropna(), "id", max_pages).orderBy(F.xxhash64("id"), "id").limit(max_pages)
+    texts = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.length("html").between(1, max_chars))
+    rows = texts.join(F.broadcast(ids.distinct()), "id").orderBy("id", "html").limit(max_pages).collect()  # bounded by max_pages
     model, r, data, prose, short = Labeller(seed), np.random.default_rng(seed), [], [], []
     odd = {"nav", "aside", "footer", "header", "form", ".ad", ".comments", ".sidebar"}
     for row in rows:

@@ -99,9 +99,9 @@ def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 12) ->
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_labelled: int = 2000, max_chars: int = 20_000) -> LanguageModel:
     """Fits on at most max_labelled texts of at most max_chars characters with a language, of ids that are not held out."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.length("text").between(1, max_chars))
-    sample = labelled_sample(rows, "id", "lang", max_labelled, training_only=True)
-    got = rows.select("id", "text").join(F.broadcast(sample), "id").dropDuplicates(["id"]).orderBy("id").limit(max_labelled).collect()  # bounded by max_labelled
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text").between(1, max_chars))
+    sample = labelled_sample(docs, id_col, lang_col, max_labelled, training_only=True)
+    got = rows.join(F.broadcast(sample), "id").dropDuplicates(["id"]).orderBy("id").limit(max_labelled).collect()  # bounded by max_labelled
     return fit([r["text"] for r in got], [str(r["label"]) for r in got])
 
 
