@@ -9,6 +9,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import staged
+
 # The parts of a WARC/1.1 record.
 VERSION, CRLF = "WARC/1.1", "\r\n"
 END = CRLF + CRLF
@@ -193,8 +195,9 @@ def archive_round_trip(pages: DataFrame, path: str, date: Column, id_col: str =
     id_type = pages.schema[id_col].dataType.simpleString()
     write_archives(plan_records(pages, date, id_col, url_col, html_col, min_bytes), path)
     back = read_archives(pages.sparkSession, path, id_type)
-    index = capture_index(back).withColumn("of", F.coalesce("refers_to", "id"))
     content = F.col("payload").cast("binary")
-    stored = back.filter("type = 'response'").select(F.col("id").alias("stored_id"), F.octet_length(content).cast("long").alias("payload_bytes"), F.sha2(content, 256).alias("payload_digest")).distinct()
+    read = staged(back.withColumns({"payload_bytes": F.octet_length(content).cast("long"), "payload_digest": F.sha2(content, 256)}).drop("payload"), "warc-read")
+    index = capture_index(read).withColumn("of", F.coalesce("refers_to", "id"))
+    stored = read.filter("type = 'response'").select(F.col("id").alias("stored_id"), "payload_bytes", "payload_digest").distinct()
     joined = index.join(stored, index["of"].eqNullSafe(stored["stored_id"]) & (index["digest"] == stored["payload_digest"]), "left")
     return joined.select("id", "url_key", "place", F.col("type").alias("record_type"), "refers_to", "payload_bytes", "payload_digest")
