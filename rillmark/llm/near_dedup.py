@@ -68,7 +68,7 @@ def _sketches(k: int, bands: int, rows: int):
     m = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, 1):
+        for batch, texts in slices(batches, 1, 500_000):  # superminhash holds m ranks for each shingle of a small set
             sets = [shingle_set([w.lower() for w in words(t)], k) for t in texts]
             sizes = np.array([len(s) for s in sets])
             sig = superminhash(np.concatenate(sets), sizes, m).reshape(len(sets), bands, rows)
