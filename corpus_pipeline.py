@@ -44,7 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents left, with their ids, in windows of 2048."""
-    return pack(docs, queries.public_bpe, window=2048, end_id=1, with_ids=True).withColumnRenamed("id", "doc_id")
+    return pack(docs, queries.public_tokenizer, window=2048, end_id=1, with_ids=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near), ("mixing", mixture), ("packing", packed)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -25,23 +26,35 @@ GAP, STEP = 64, 16
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str, pattern: str):
-    """(encode, ends, opens) of a byte-level BPE vocabulary in a .tiktoken file.
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """(content, id) of the added tokens of a tokenizers .json file; only such that match as they stand are known."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: added tokens that do not match as they stand")
+    return tuple((t["content"], t["id"]) for t in tokens)
 
-    encode: text to uint32 ids; ends[id]: 2 if a line ends in the token, 1 if its last character can end a sentence;
-    opens[id]: the token starts with white space.
+
+@lru_cache(maxsize=2)
+def byte_bpe(path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
+    """(encode, ends, opens) of a byte-level BPE vocabulary in a .tiktoken file, and of (content, id) tokens added to it.
+
+    encode: text to uint32 ids, split at the added tokens first; ends[id]: 2 if a line ends in the token, 1 if its last
+    character can end a sentence; opens[id]: the token starts with white space.
     """
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encoding = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
+    ranks |= {content.encode(): i for content, i in added}
     n = max(ranks.values()) + 2
     ends, opens = np.zeros(n, np.int8), np.zeros(n, bool)
     for b, i in ranks.items():
         ends[i] = 2 if b"\n" in b else int(b.rstrip(b"\"')]").endswith((b".", b"!", b"?")))
         opens[i] = b[:1].isspace()
-    return (lambda text: np.array(encoding.encode_ordinary(text), np.uint32)), ends, opens
+    allowed = {content for content, _ in added}
+    return (lambda text: np.array(encoding.encode(text, allowed_special=allowed, disallowed_special=()), np.uint32)), ends, opens
 
 
 def sentence_cuts(ids: np.ndarray, ends: np.ndarray, opens: np.ndarray) -> np.ndarray:

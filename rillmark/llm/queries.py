@@ -94,7 +94,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def public_bpe() -> tuple:
-    """The byte-level BPE of the public tokenizers; the same ids as byte_bpe_50k.json, which the tests check."""
+    """The byte-level BPE of the public tokenizers alone: the added token of byte_bpe_50k.json is text like any other."""
     import public_tokenizers
 
     from .packing import byte_bpe
@@ -102,11 +102,20 @@ def public_bpe() -> tuple:
     return byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def public_tokenizer() -> tuple:
+    """public_bpe with the added tokens: the same ids as byte_bpe_50k.json as it is, which the tests check."""
+    import public_tokenizers
+
+    from .packing import added_tokens, byte_bpe
+
+    return byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), public_bpe, window=2048, end_id=1).withColumnRenamed("id", "doc_id")
+    return pack(table(spark, sf_dir, "documents"), public_tokenizer, window=2048, end_id=1).withColumnRenamed("id", "doc_id")
 
 
 #: The mixture that the mixing query and the pipeline aim at: sources alike, languages and topics as given.

@@ -27,6 +27,23 @@ def test_ids_are_those_of_the_tokenizers_library(docs):
         assert encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_packed_ids_are_those_of_the_json_as_it_is(spark, tmp_path):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x.<|endoftext|><|endoftext|>\n y", "<|<|endoftext|>|> <|endoftext|", "no such text", "", "日本語<|endoftext|>\U0001f600 it's"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert any(50256 in ids for ids in want.values())
+    rows = QUERIES["op5_packing"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {i: len(ids) for i, ids in want.items()}
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+    got = {}
+    for r in sorted(corpus_pipeline.packed(spark, docs, "").collect(), key=lambda r: r.start):
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == want
+
+
 def cheapest(at, cost, window):
     """All ways to cut, tried one by one."""
     price = lambda n: 0 if n == window else packing.SHORT if n & (n - 1) == 0 else window - n
