@@ -22,6 +22,8 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 SILENT = frozenset("script style head title template noscript svg math iframe object textarea select canvas audio video".split())
 RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What can stand in a head; all else ends one that is open.
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: What an opening tag closes, if it is the innermost open block.
 CLOSES = {"li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}} | {t: {"p"} for t in BLOCK - {"li", "dd", "dt", "tr", "td", "th", "option", "body", "html"}}
 
@@ -41,7 +43,10 @@ class Block:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, as a browser would build them: unclosed and stray end tags are put up with."""
+    """The blocks of a page in order, as a browser would build them: unclosed and stray end tags are put up with.
+
+    A head ends, closed or not, where something comes that cannot stand in one.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []  # tag, path parts
     run: list[str] = []
@@ -63,11 +68,16 @@ def leaf_blocks(page: str) -> list[Block]:
             links -= tag == "a"
         del stack[k:]
 
+    def in_head() -> bool:
+        return bool(stack) and stack[-1][0] == "head"
+
     while at < end:
         m = _TAG.search(page, at)
         upto = m.start() if m else end
+        piece = page[at:upto]
+        if in_head() and html.unescape(piece).strip(" \t\n\f\r"):
+            close(len(stack) - 1)
         if upto > at and not silent:
-            piece = page[at:upto]
             run.append(piece)
             size += len(piece)
             linked += len(piece) * (links > 0)
@@ -77,6 +87,8 @@ def leaf_blocks(page: str) -> list[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if in_head() and (tag in ("body", "html", "br") if m[1] else tag not in HEAD):
+            close(len(stack) - 1)
         if m[1]:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if tag in BLOCK:

@@ -150,6 +150,16 @@ def test_blocks_of_loose_html():
         H.leaf_blocks(broken)
 
 
+@pytest.mark.parametrize("head", ["<head><title>T</title></head><body>", "<head><title>T</title><body>", "<head><title>T</title>", "<title>T</title><body>", "<title>T</title>", "<head><meta charset=x><title>T</title><noscript><p>gone</p></noscript><style>p{}</style>\n", "<head><body>", "<HEAD>\n<BODY class=x>", "<head><title>T</title></body>"])
+def test_blocks_behind_a_head_with_omitted_tags(head):
+    for start in ("", "<!doctype html><html>"):
+        got = H.leaf_blocks(start + head + "<article><p>x</p><p>y</article>")
+        assert [b.text for b in got] == ["x", "y"]
+        assert all("article" in b.path and "head" not in b.path for b in got)
+        assert [b.text for b in H.leaf_blocks(start + head + "bare <b>text</b><p>x")] == ["bare text", "x"]
+    assert [b.text for b in H.leaf_blocks("<head><title>T</title><img src=a> a<p>b")] == ["a", "b"]
+
+
 def test_extraction(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     model = H.fit_labeller(pages)
