@@ -18,19 +18,36 @@ WINDOW, STRIDE, HIDDEN = 48, 36, 8
 #: Character n-grams of these byte lengths, in so many buckets; words in buckets of their own.
 GRAMS, BUCKETS, WORD_BUCKETS = (3, 4, 5, 6), 1 << 20, 1 << 20
 INPUTS = 7
+#: Longer words (text without blanks, say) are cut into parts of so many bytes, a new one every STEP bytes.
+PART, STEP = 64, 32
+#: Marks a cut end of a part; no byte of UTF-8.
+_CUT = b"\xff"
+#: The inputs of so many bytes of words are computed at once.
+SLICE = 1 << 20
 _EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_~`"
 
 
 def bare_words(text: str) -> list[bytes]:
-    """Lower-cased words without punctuation at their ends; words of punctuation alone become empty ones."""
-    return [w.strip(_EDGES) for w in text.lower().encode("utf-8", "surrogatepass").split()]
+    """Lower-cased words without punctuation at their ends; words of punctuation alone become empty ones.
+
+    Of a word of more than PART bytes its overlapping parts, the cut ends marked; together they hold all its n-grams.
+    """
+    out: list[bytes] = []
+    for w in text.lower().encode("utf-8", "surrogatepass").split():
+        w = w.strip(_EDGES)
+        if len(w) <= PART:
+            out.append(w)
+        else:
+            starts = range(0, len(w) - PART + STEP, STEP)
+            out += [_CUT * (i > 0) + w[i : i + PART] + _CUT * (i + PART < len(w)) for i in starts]
+    return out
 
 
 def gram_buckets(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, word) of every character n-gram of every word, its edges marked; words in rising order."""
-    joined = np.frombuffer(b"".join(b"\x02" + w[:64] + b"\x03" for w in ws), np.uint8).astype(np.uint64)
-    sizes = np.array([min(len(w), 64) + 2 for w in ws])
-    owner = np.repeat(np.arange(len(ws)), sizes)
+    """(bucket, word) of every character n-gram of every word, its edges marked but for cut ends; words in rising order."""
+    marked = [(b"" if w[:1] == _CUT else b"\x02") + w.strip(_CUT) + (b"" if w[-1:] == _CUT else b"\x03") for w in ws]
+    joined = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(ws)), [len(w) for w in marked])
     buckets, owners = [], []
     for n in GRAMS:
         if len(joined) < n:
@@ -67,8 +84,12 @@ class Counts:
 
     def inputs(self, ws: list[bytes], without: int | None = None) -> np.ndarray:
         """(len(ws), INPUTS) of distinct words; without: leave a document of that label out of the counts."""
-        if not ws:
-            return np.zeros((0, INPUTS), np.float32)
+        part = np.cumsum([len(w) for w in ws]) // SLICE
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(ws)]
+        rows = [self._inputs(ws[a:b], without) for a, b in zip(bounds, bounds[1:]) if a < b]
+        return np.concatenate(rows or [np.zeros((0, INPUTS), np.float32)])
+
+    def _inputs(self, ws: list[bytes], without: int | None) -> np.ndarray:
         less = np.zeros(2)
         if without is not None:
             less[without] = 1
@@ -256,7 +277,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score), one row per input row: the calibrated highest score of a text's overlapping windows, 0 to 1.
 
-    Whole texts are scored, by nothing but their words. Null, empty and wordless texts get a low base score. Null ids
+    Whole texts are scored, by nothing but their words, long ones in parts. Null, empty and wordless texts get a low base score. Null ids
     stay null; repeated rows each get the same score. Other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS, WORD_BUCKETS and HIDDEN

@@ -54,6 +54,49 @@ def test_windows_cover_every_word():
         assert {int(x) for x in at[docs == 1].ravel() if x >= 0} == set(range(3, 3 + n))
 
 
+def test_parts_hold_all_of_a_long_word():
+    r = np.random.default_rng(3)
+    for n in (1, 63, 64, 65, 96, 97, 128, 200, 1000):
+        w = bytes(r.integers(97, 123, n).astype(np.uint8))
+        parts = toxicity.bare_words(w.decode())
+        assert all(len(p.strip(b"\xff")) <= toxicity.PART for p in parts)
+        got = set(toxicity.gram_buckets(parts)[0].tolist())
+        whole = b"\x02" + w + b"\x03"
+        grams = {whole[i : i + k] for k in toxicity.GRAMS for i in range(len(whole) - k + 1)}
+
+        def bucket(g):
+            h = 0
+            for c in g:
+                h = (h * 0x100000001B3 + c) % (1 << 64)
+            return int(toxicity.mix(np.array([(h + len(g)) % (1 << 64)], np.uint64))[0] % np.uint64(toxicity.BUCKETS))
+
+        assert got == {bucket(g) for g in grams}
+
+
+def test_inputs_do_not_depend_on_slices(monkeypatch):
+    counts = toxicity.Counts(*(np.random.default_rng(i).integers(0, 9, (2, 1 << 20)).astype(np.float32) for i in (1, 2)), np.array([90.0, 10.0]))
+    ws = list(dict.fromkeys(toxicity.bare_words("a bc " + "".join(map(chr, range(0x4E00, 0x5200))) + " def , ghij")))
+    want = counts.inputs(ws, 1)
+    monkeypatch.setattr(toxicity, "SLICE", 50)
+    assert want.shape == (len(ws), toxicity.INPUTS) and np.array_equal(counts.inputs(ws, 1), want)
+    assert counts.inputs([]).shape == (0, toxicity.INPUTS)
+
+
+def test_toxicity_behind_the_start_of_text_without_blanks():
+    r = np.random.default_rng(4)
+    kana, term = [chr(c) for c in range(0x3042, 0x3090)], "殺死毒"
+
+    def text(toxic):
+        t = "".join(r.choice(kana, 300))
+        at = int(r.integers(40, 290))
+        return t[:at] + term + t[at:] if toxic else t
+
+    y = np.arange(300) % 3 == 0
+    model = toxicity.fit([text(t) for t in y], y.astype(np.int64))
+    got = model.scores([text(t) for t in y]) >= 0.5
+    assert (got == y).mean() >= 0.95
+
+
 def test_toxicity_of_odd_rows(odd, none, docs, labels):
     model = toxicity.fit_toxicity(docs, labels)
     got = toxicity.toxicity_scores(odd, model).collect()
