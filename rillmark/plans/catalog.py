@@ -493,6 +493,22 @@ def H8_clean_username(t):
     return t.documents.select("doc_id", C.clean_username(F.substring("text", 1, 20)).alias("name"))
 
 
+CLEANED = r"CASE WHEN length(b) BETWEEN 4 AND 25 AND regexp_matches(b, '^[a-zA-Z0-9]') THEN b END AS name"
+
+
+@q(rf"SELECT doc_id, {CLEANED}, count(*) AS n FROM (SELECT doc_id, regexp_replace(w, '[^a-zA-Z0-9_\-.]', '', 'g') AS b FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[\x20\x09-\x0D]+')) AS w FROM documents) WHERE w <> '') GROUP BY ALL")
+def H8_clean_words(t):
+    """Every word of every whole text."""
+    words = t.documents.select("doc_id", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''")
+    return words.groupBy("doc_id", C.clean_username(F.col("w")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q(rf"SELECT doc_id, {CLEANED} FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9_\-.]', '', 'g') AS b FROM documents)")
+def H8_clean_whole_texts(t):
+    """Texts of more than 25 characters that stay give null."""
+    return t.documents.select("doc_id", C.clean_username(F.col("text")).alias("name"))
+
+
 @q("SELECT p_partkey, least(ceil(0.3 * w), w - x)::INT AS w, least(ceil(0.2 * h), h - y)::INT AS h, x, y FROM (SELECT *, least(floor(0.25 * w), w - 1)::INT AS x, least(floor(0.6 * h), h - 1)::INT AS y FROM (SELECT p_partkey, p_size * 16 AS w, p_size * 9 AS h FROM part))")
 def H18_pixel_box(t):
     lit = F.lit

@@ -28,3 +28,11 @@ def test_query_without_sql_gives_rows(spark, name):
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_values_are_cleaned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("text IS NOT NULL")
+    got = catalog.QUERIES["H8_clean_words"](spark, SF)
+    assert got.agg({"n": "sum"}).head()[0] == sum(len(r.text.encode().split()) for r in docs.collect())
+    cut = catalog.QUERIES["H8_clean_username"](spark, SF).filter("name IS NOT NULL")
+    assert catalog.QUERIES["H8_clean_whole_texts"](spark, SF).filter("name IS NULL").join(cut, "doc_id").count() > 0
