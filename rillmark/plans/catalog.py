@@ -668,6 +668,17 @@ def I17_subscription_toggles(t):
     return G.toggle_subscriptions(_toggles(t), t.subscriptions.limit(0), t.channels)
 
 
+KNOWN_TOGGLES = "own AS (SELECT user_id, min(username) AS name FROM subscriptions GROUP BY 1), kt AS (SELECT * FROM (SELECT event_id AS seq, e.user_id::STRING AS user_id, CASE WHEN event_id % 11 = 0 THEN coalesce(own.name, 'name') ELSE 'name' END AS username, (['dm', 'server', 'both'])[event_id % 3 + 1] AS k, CASE WHEN event_id % 4 <> 0 THEN (e.user_id % 25)::STRING END AS g FROM events e LEFT JOIN own ON own.user_id = e.user_id::STRING) WHERE k = 'dm' OR g IN (SELECT guild_id FROM channels)), kn AS (SELECT kt.*, row_number() OVER (PARTITION BY kt.user_id, kt.username ORDER BY seq) + coalesce(s.enabled, false)::INT AS n FROM kt LEFT JOIN subscriptions s ON s.user_id = kt.user_id AND s.username = kt.username), kf AS (SELECT user_id, username, max(n) % 2 = 1 AS enabled, max_by({k: k, g: CASE WHEN k <> 'dm' THEN g END}, n) FILTER (n % 2 = 1) AS l FROM kn GROUP BY ALL)"
+
+
+@q(domain("SELECT coalesce(f.user_id, s.user_id) AS user_id, coalesce(f.username, s.username) AS username, coalesce(f.enabled, s.enabled) AS enabled, CASE WHEN f.l IS NULL THEN s.notify_type ELSE f.l['k'] END AS notify_type, CASE WHEN f.l IS NULL THEN s.guild_id ELSE f.l['g'] END AS guild_id FROM kf f FULL JOIN subscriptions s ON s.user_id = f.user_id AND s.username = f.username", KNOWN_TOGGLES))
+def I17_known_subscription_toggles(t):
+    """Toggles of new pairs and of the subscriptions there are, all of which are carried through."""
+    own = t.subscriptions.groupBy("user_id").agg(F.min("username").alias("own"))
+    rows = _toggles(t).join(own, "user_id", "left").withColumn("username", F.when(F.col("seq") % 11 == 0, F.coalesce("own", "username")).otherwise(F.col("username"))).drop("own")
+    return G.toggle_subscriptions(rows, t.subscriptions, t.channels)
+
+
 @q("SELECT (user_id % 25)::STRING AS guild_id, c AS channel_id FROM (SELECT user_id % 25 AS user_id, max_by({v: CASE WHEN event_id % 5 <> 0 THEN 'c' || event_id END}, event_id).v AS c FROM events GROUP BY 1) WHERE c IS NOT NULL")
 def I18_channel_commands(t):
     rows = t.events.select(F.col("event_id").alias("seq"), (F.col("user_id") % 25).cast("string").alias("guild_id"), F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("c"), "event_id")).alias("channel_id"))

@@ -36,3 +36,14 @@ def test_whole_values_are_cleaned(spark):
     assert got.agg({"n": "sum"}).head()[0] == sum(len(r.text.encode().split()) for r in docs.collect())
     cut = catalog.QUERIES["H8_clean_username"](spark, SF).filter("name IS NOT NULL")
     assert catalog.QUERIES["H8_clean_whole_texts"](spark, SF).filter("name IS NULL").join(cut, "doc_id").count() > 0
+
+
+def test_toggles_start_from_the_subscriptions_there_are(spark):
+    old = {(r.user_id, r.username): r for r in catalog.T.Tables(spark, SF).subscriptions.collect()}
+    new = {(r.user_id, r.username): r for r in catalog.QUERIES["I17_known_subscription_toggles"](spark, SF).collect()}
+    assert old.keys() < new.keys()
+    same_row = lambda a, b: (a.enabled, a.notify_type, a.guild_id) == (b.enabled, b.notify_type, b.guild_id)
+    both = [(old[k], new[k]) for k in old]
+    assert any(same_row(a, b) for a, b in both)
+    assert any(a.enabled and not b.enabled and same_row(a, b.__class__(**(b.asDict() | {"enabled": True}))) for a, b in both)
+    assert any(not a.enabled and b.enabled for a, b in both)
