@@ -409,6 +409,12 @@ def E7_frame_clock(t):
     return A.frame_times(t.chunks.filter("chunk_index = 0 AND vod_id % 50 = 0"), 0.5)
 
 
+@q()
+def E7_all_frame_clocks(t):
+    """E7 over all chunks; its SQL makes 900 rows of each, so a test holds a few chunks to it instead."""
+    return A.frame_times(t.chunks, 0.5)
+
+
 @q(domain(f"SELECT id, source_id, last_availability_check FROM vods WHERE availability = 'available' AND (last_availability_check IS NULL OR last_availability_check < {NOW_SQL} - INTERVAL 24 HOUR) ORDER BY last_availability_check NULLS FIRST, id LIMIT 100"))
 def F3_vods_to_check(t):
     return J.vods_to_check(t, NOW)
@@ -559,6 +565,19 @@ def I2_notification_counts(t):
     return G.notification_counts(t.detections.filter("chunk_id % 5 = 0"), t.subscriptions)
 
 
+ALL_NOTES = """hit AS (SELECT d.id AS detection_id, s.* FROM detections d JOIN subscriptions s ON s.username = d.username AND s.enabled)"""
+
+
+@q(domain("SELECT detection_id, 'dm' AS kind, user_id AS target, user_id AS users FROM hit WHERE notify_type IN ('dm', 'both') UNION ALL SELECT detection_id, 'server', channel_id, string_agg(DISTINCT user_id, ' ' ORDER BY user_id) FROM hit JOIN channels USING (guild_id) WHERE notify_type IN ('server', 'both') GROUP BY detection_id, channel_id", ALL_NOTES))
+def I1_all_notifications(t):
+    return G.notifications(t.detections, t.subscriptions, t.channels)
+
+
+@q(domain("SELECT username, user_id, count(*) AS n FROM hit GROUP BY ALL", ALL_NOTES))
+def I2_all_notification_counts(t):
+    return G.notification_counts(t.detections, t.subscriptions)
+
+
 @q(domain("SELECT vod_id, status FROM ro WHERE vod_id % 3 = 0 AND status IS DISTINCT FROM CASE WHEN vod_id % 2 = 0 THEN 'pending' END", ROLLUP))
 def I3_changed_rollups(t):
     before = t.vods.select(F.col("id").alias("vod_id"), F.when(F.col("id") % 2 == 0, "pending").alias("status"))
@@ -780,6 +799,11 @@ def J11_simulate_plan(t):
     return I.simulate_chunk_plan(G._With(t, vods=t.vods.filter("id % 2 = 1")))
 
 
+@q(domain("SELECT * FROM pl", f"{SEGMENTS}, {GAPS}, {PIECES}"))
+def J11_simulate_whole_plan(t):
+    return I.simulate_chunk_plan(t)
+
+
 @q(domain(f"SELECT detection_id, '**' || username || '** - <t:' || epoch(actual_timestamp)::BIGINT || ':f> - [Watch](' || vod_url || ')' AS line FROM ds, qq WHERE {sim(tri('username'), 'qq.g')} >= 1 AND actual_timestamp IS NOT NULL ORDER BY actual_timestamp DESC, detection_id LIMIT 10", f"{search_cte()}, qq AS (SELECT {tri(f"'{QUERY}'")} AS g)"))
 def J13_search_command(t):
     return J.search_command(t, NOW, QUERY, exact=True, count="all").filter("line NOT LIKE '%null%'")
@@ -912,6 +936,13 @@ def C11_stream_enrichment(t):
     return S.notify(S.source(t.spark, path), t.subscriptions, t.channels)
 
 
+@q(ORACLES["I1_all_notifications"])
+def C11_whole_stream_enrichment(t):
+    path = S.shared_dir(t.spark)
+    t.detections.select("id", "username").write.parquet(path)
+    return S.notify(S.source(t.spark, path), t.subscriptions, t.channels)
+
+
 @q(domain("SELECT v.streamer_id, count(DISTINCT v.id) FILTER (ro.status = 'completed') AS completed, count(DISTINCT v.id) FILTER (ro.status <> 'completed') AS other FROM vods v JOIN ro ON ro.vod_id = v.id GROUP BY 1", ROLLUP))
 def D3_distinct_conditional_counts(t):
     rows = t.vods.select(F.col("id").alias("vod_id"), "streamer_id").join(A.rollup_status(t), "vod_id")
@@ -965,6 +996,11 @@ def F6_by_index(t):
     return t.chunks.filter("vod_id % 100 = 1").select("id", "chunk_index").orderBy("chunk_index", "id")
 
 
+@q(domain("SELECT id, chunk_index FROM chunks"))
+def F6_all_by_index(t):
+    return t.chunks.select("id", "chunk_index").orderBy("chunk_index", "id")
+
+
 @q("SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0")
 def G9_page_union(t):
     return I.union_pages(t.orders.filter("o_orderkey % 2 = 0").select("o_orderkey"), t.orders.filter("o_orderkey % 3 = 0").select("o_orderkey"))

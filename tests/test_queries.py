@@ -47,3 +47,17 @@ def test_toggles_start_from_the_subscriptions_there_are(spark):
     assert any(same_row(a, b) for a, b in both)
     assert any(a.enabled and not b.enabled and same_row(a, b.__class__(**(b.asDict() | {"enabled": True}))) for a, b in both)
     assert any(not a.enabled and b.enabled for a, b in both)
+
+
+def test_no_chunk_or_detection_is_left_out(spark):
+    t = catalog.T.Tables(spark, SF)
+    chunks = t.chunks.filter("end_seconds > start_seconds").count()
+    assert catalog.QUERIES["E7_all_frame_clocks"](spark, SF).select("id").distinct().count() == chunks
+    few = t.chunks.filter("chunk_index > 0").orderBy("id").limit(3)
+    want = sorted((r.id, k, r.start_seconds + 2 * k) for r in few.collect() for k in range((r.end_seconds - r.start_seconds) // 2))
+    assert sorted(map(tuple, catalog.A.frame_times(few, 0.5).collect())) == want
+    assert catalog.QUERIES["F6_all_by_index"](spark, SF).count() == t.chunks.count()
+    hit = catalog.QUERIES["I1_all_notifications"](spark, SF).select("detection_id").distinct()
+    lines = t.detections.withColumnRenamed("id", "detection_id").join(hit, "detection_id").selectExpr("chunk_id % 10 AS line").distinct()
+    assert lines.count() > 1
+    assert catalog.QUERIES["J11_simulate_whole_plan"](spark, SF).filter("vod_id % 2 = 0").count() > 0
