@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\f\r"
 
 
+#: A Bloom filter has so many bits for each key, up to MAX_BITS in all (64 MB); beyond, it only lets more rows through.
+BITS_PER_KEY, MAX_BITS = 16, 1 << 29
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set and Spark runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -30,6 +36,47 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing still to be run reads."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _bloom_marked(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """rows with __hit: true where key may be among the one column of ids (never false if it is), and where key is null.
+
+    The filter has one bit for each hashed id, in pieces of 4 KB that Spark's bitmap functions build in parallel; rows
+    look their piece up in a broadcast map of at most MAX_BITS, whatever the number of ids.
+    """
+    bits = 1 << 15
+    wanted = min(MAX_BITS, BITS_PER_KEY * ids.count())
+    while bits < wanted:
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    at = place(F.col(ids.columns[0]))
+    pieces = ids.dropna().groupBy(F.bitmap_bucket_number(at).alias("__piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+    out = rows.withColumn("__at", place(key)).withColumn("__piece", F.bitmap_bucket_number("__at")).join(F.broadcast(pieces), "__piece", "left")
+    byte = F.expr("cast(conv(hex(substring(__bits, cast(bitmap_bit_position(__at) div 8 as int) + 1, 1)), 16, 10) as bigint)")
+    hit = F.coalesce(F.getbit(byte, F.expr("cast(bitmap_bit_position(__at) % 8 as int)")) == 1, F.lit(False)) | key.isNull()
+    return out.withColumn("__hit", hit).select(*rows.columns, "__hit")
+
+
+def with_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ids (one column of distinct values, staged). Only rows that pass the Bloom filter are shuffled."""
+    likely = _bloom_marked(rows, F.col(id_col), ids).filter("__hit").drop("__hit")
+    return likely.join(ids.withColumnRenamed(ids.columns[0], id_col), id_col, "left_semi")
+
+
+def without_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is not among ids, null ids included. Only rows that pass the Bloom filter are shuffled."""
+    marked = _bloom_marked(rows, F.col(id_col), ids)
+    unsure = marked.filter("__hit").drop("__hit").join(ids.withColumnRenamed(ids.columns[0], id_col), id_col, "left_anti")
+    return marked.filter("NOT __hit").drop("__hit").unionByName(unsure.select(*rows.columns))
+
+
 def without_blanks(text: Column) -> Column:
     return F.translate(text, BLANKS, "")
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged, with_ids
 from .components import connected_components
 from .text_batches import mix, shingle_set, slices, words
 
@@ -120,39 +120,89 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.mapInArrow(_linked(num, den), f"a {kind}, b {kind}").distinct()
 
 
-def _prefix_pairs(nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of nodes (node, n, component) of different components, among them all that are similar enough.
+def _spread(kind: str, columns: int):
+    """Rows of the first columns and one shingle each, from rows whose next column holds a set's shingles."""
 
-    Each set's shingles are ordered by how many of the nodes have them. If two sets are similar enough, the first
-    shingle in this order that both have lies so early in both that what follows still suffices for the overlap they
-    need; so only the first n - ceil(num / den * n) + 1 shingles of each are joined, and positions too late for the
-    other's size are left out. Shingles that no other node has take up positions, but no rows. Of a shingle's
-    nodes, those of its most frequent component meet only the others.
-    """
-    kind = nodes.schema["node"].dataType.simpleString()
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own = np.frombuffer(batch.column(3)[i].as_py(), np.int64)
-                one = batch.slice(i, 1).select([0, 1, 2]).take(pa.array(np.zeros(len(own), np.int32)))
-                yield pa.RecordBatch.from_arrays([*one.columns, pa.array(own)], names=["node", "n", "component", "shingle"])
+                own = np.frombuffer(batch.column(columns)[i].as_py(), np.int64)
+                one = batch.slice(i, 1).select(range(columns)).take(pa.array(np.zeros(len(own), np.int32)))
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array(own)], names=[*batch.schema.names[:columns], "shingle"])
+
+    return run
+
 
-    own = nodes.join(sets, nodes["node"] == sets["id"]).select("node", "n", "component", "shingles")
-    each = own.mapInArrow(spread, f"node {kind}, n bigint, component {kind}, shingle bigint")
-    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, node, n, component, d, diff) from (..., shingles, base): the shingles that only one of set and base has."""
+    for batch in batches:
+        diffs = []
+        for own, base in zip(batch.column(4), batch.column(5)):
+            mine = np.frombuffer(own.as_py(), np.int64)
+            diffs.append(np.setxor1d(mine, base.values.to_numpy()) if base.is_valid else mine)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([len(x) for x in diffs], pa.int64()), pa.array(diffs, pa.list_(pa.int64()))], names=["grp", "node", "n", "component", "d", "diff"])
+
+
+def _split(member: DataFrame) -> DataFrame:
+    """The rows (bucket, node, n, component) of buckets that hold several components."""
+    split = member.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("bucket")
+    return member.join(split, "bucket", "left_semi")
+
+
+def _loose_pairs(member: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of nodes of member (bucket, node, n, component), among them enough to join all linked components.
+
+    A node that shares too few of its shingles with any other undecided node can have no link and leaves. The rest falls
+    into groups, joined by the buckets that still hold several components. The shingles that over half of a group have
+    are its base, and each set is held against it: diff, of d shingles, is what only one of the two has. Two sets are
+    linked exactly if |diff ^ diff'| * (den + num) <= (den - num) * (n + n'), so with k = (den + num) * d - (den - num) * n
+    if they share at least (k + k') / 2 / (den + num) shingles of their diffs. Where k + k' <= 0 nothing need be shared,
+    and then both are linked with the node of the smallest k, the group's hub: one pair a node. All other pairs share
+    one of the rarest shingles of their diffs, at a place of both that leaves enough behind it (prefix filter); a place is
+    joined only if another one of its shingle could be its partner. Copies of one text, each changed in other places,
+    differ from their base by little that others share, so few places are left whatever the group's size.
+    """
+    kind = member.schema["node"].dataType.simpleString()
+    undecided = _split(member)
+    nodes = staged(undecided.select("node", "n", "component").distinct(), "near-undecided")
+    each = nodes.join(sets, nodes["node"] == sets["id"]).select("node", "n", "shingles").mapInArrow(_spread(kind, 2), f"node {kind}, n bigint, shingle bigint")
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").select("shingle")
+    able = each.join(common, "shingle").groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") * den >= F.col("n") * num).select("node")
+    live = staged(_split(undecided.join(able, "node", "left_semi")), "near-live")
+
+    firsts = live.groupBy("bucket").agg(F.min("node").alias("a"))
+    groups = connected_components(live.join(firsts, "bucket").select("a", F.col("node").alias("b")).distinct())
+    own = staged(live.select("node", "n", "component").distinct().join(groups.withColumnRenamed("component", "grp"), "node").select("grp", "node", "n", "component"), "near-groups")
+    full = own.join(sets, own["node"] == sets["id"]).select("grp", "node", "n", "component", "shingles")
+    shingles = full.select("grp", "shingles").mapInArrow(_spread(kind, 1), f"grp {kind}, shingle bigint")
+    size = own.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    base = shingles.groupBy("grp", "shingle").agg(F.count(F.lit(1)).alias("f")).join(size, "grp").filter("2 * f > size").groupBy("grp").agg(F.collect_list("shingle").alias("base"))
+    diff = staged(full.join(base, "grp", "left").mapInArrow(_differences, f"grp {kind}, node {kind}, n bigint, component {kind}, d bigint, diff array<bigint>"), "near-diffs")
+
+    whole, rest = den + num, den - num
+    keyed = diff.withColumn("k", F.col("d") * whole - F.col("n") * rest)
+    hubs = keyed.groupBy("grp").agg(F.min(F.struct("k", "node", "component")).alias("hub"))
+    near = keyed.join(hubs, "grp").filter(F.col("k") + F.col("hub.k") <= 0).select("grp", "component", "node", F.col("hub.node").alias("h"), F.col("hub.component").alias("hc"))
+    near = staged(near, "near-hubs")
+    hub_pairs = near.filter("component <> hc").select(F.least("h", "node").alias("a"), F.greatest("h", "node").alias("b"))
+    inside = near.select("grp", "component", F.lit(False).alias("out")).distinct()
+    placed = keyed.join(inside, ["grp", "component"], "left").withColumn("out", F.coalesce("out", F.lit(True)))
+    placed = placed.join(placed.filter("out").select("grp").distinct(), "grp", "left_semi")
+    posts = placed.select("grp", "node", "component", "out", "k", "n", "d", F.explode("diff").alias("shingle"))
+    often = posts.groupBy("grp", "shingle").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     w = Window.partitionBy("node")
-    at = F.col("n") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("df", "shingle")) - 1
-    rows = each.join(common, "shingle").withColumn("at", at).filter((F.col("n") - F.col("at")) * den >= F.col("n") * num)
-    rows = staged(rows.select("shingle", "node", "n", "component", "at"), "near-prefixes")
-    parts = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = parts.groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("shingle", "main")
-    split = rows.join(main, "shingle")
-    few = split.filter("component <> main").select("shingle", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("at").alias("pat"))
-    enough = lambda n, at: (n - at) * (num + den) >= (F.col("n") + F.col("pn")) * num
-    meet = (F.col("component") != F.col("pc")) & ((F.col("component") == F.col("main")) | (F.col("p") < F.col("node")))
-    pairs = split.join(few, "shingle").filter(meet & enough(F.col("n"), F.col("at")) & enough(F.col("pn"), F.col("pat")))
-    return pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+    at = F.col("d") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("f", "shingle")) - 1
+    slack = F.col("d") * whole + F.col("n") * rest - 2 * whole * at  # the largest k of a partner that first meets here
+    posts = staged(posts.join(often, ["grp", "shingle"]).withColumn("slack", slack).select("grp", "shingle", "node", "component", "out", "k", "slack"), "near-posts")
+    of_out = lambda c: F.when(F.col("out"), F.col(c))
+    seen = posts.groupBy("grp", "shingle").agg(F.min("k").alias("k0"), F.max("slack").alias("s0"), F.min(of_out("k")).alias("k1"), F.max(of_out("slack")).alias("s1"))
+    low, high = F.when(F.col("out"), F.col("k0")).otherwise(F.col("k1")), F.when(F.col("out"), F.col("s0")).otherwise(F.col("s1"))
+    posts = posts.join(seen, ["grp", "shingle"]).filter((F.col("slack") >= low) & (F.col("k") <= high)).select("grp", "shingle", "node", "component", "out", "k", "slack")
+    posts = staged(posts, "near-posts")
+    few = posts.filter("out").select("grp", "shingle", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("k").alias("pk"), F.col("slack").alias("ps"))
+    meet = (F.col("component") != F.col("pc")) & (F.col("slack") >= F.col("pk")) & (F.col("ps") >= F.col("k")) & (~F.col("out") | (F.col("p") < F.col("node")))
+    pairs = posts.join(few, ["grp", "shingle"]).filter(meet).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
+    return staged(hub_pairs.unionByName(pairs).distinct(), "near-loose")
 
 
 def near_duplicates(
@@ -165,8 +215,8 @@ def near_duplicates(
     smallest id that links reach. Candidates come from bands of SuperMinHash signatures (bands_for gives their number;
     a link at the threshold shares no band with a probability of at most miss). Equal sets are one node from the start.
     In a bucket every node meets the bucket's smallest. Nodes of buckets that these links leave in several components
-    then meet through their rarest shingles (_prefix_pairs), which misses no link between two components. So a bucket of
-    n copies costs n pairs, not n * n, and the pairs in a group of looser copies are those that could be links.
+    then meet by what they differ in from their group's common shingles (_loose_pairs), which misses no link between two
+    components. So a bucket of n copies costs n pairs, not n * n, in groups of looser copies too.
 
     Null or blank texts have no shingles and are linked with nothing. A null id is never a node: its row gets the
     component of an equal set, if there is one, else null. Rows that repeat an id are one node. Other columns are
@@ -186,18 +236,17 @@ def near_duplicates(
     star = member.filter(F.col("node") != F.col("first.node")).filter(fits(F.col("n"), F.col("first.n"))).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
     star = staged(star, "near-star")
 
-    involved = member.select(F.col("node").alias("id")).distinct()
-    sets = staged(base.join(involved, "id", "left_semi").mapInArrow(_sets(shingle_words), f"id {kind}, shingles binary"), "near-sets")
+    involved = staged(member.select("node").distinct(), "near-involved")
+    sets = staged(with_ids(base.select("id", "text"), "id", involved).mapInArrow(_sets(shingle_words), f"id {kind}, shingles binary"), "near-sets")
     links = staged(_verified(star, sets, num, den), "near-links")
 
     joined = connected_components(links)
     now = staged(member.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")), "near-now")
-    split = now.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("bucket")
-    undecided = now.join(split, "bucket", "left_semi").select("node", "n", "component").distinct()
-    pairs = _prefix_pairs(undecided, sets, num, den).join(star, ["a", "b"], "left_anti")
+    pairs = _loose_pairs(now, sets, num, den)
     links = links.unionByName(staged(_verified(pairs, sets, num, den), "near-links"))
     components = connected_components(links)
-    of_set = nodes.join(components, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    of_set = staged(nodes.join(components, "node", "left").select("set_key", F.coalesce("component", "node").alias("component")), "near-of-set")
+    discard(nodes, member, star, involved, sets, now, pairs)
     again = sketch.select("id", "n_shingles", "set_key").join(of_set, "set_key", "left")
     component = F.coalesce("component", "id")
     return again.select("id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))

@@ -6,6 +6,8 @@ import random
 import numpy as np
 import pytest
 
+from rillmark.llm import near_dedup
+from rillmark.llm.common import with_ids, without_ids
 from rillmark.llm.components import connected_components
 from rillmark.llm.exact_dedup import exact_dedup
 from rillmark.llm.line_dedup import line_dedup
@@ -59,6 +61,56 @@ def test_near_duplicates_equal_brute_force(spark, k, num, den):
     assert sorted((r.id, r.n_shingles, r.component_id) for r in got.collect()) == components(rows, k, num, den)
 
 
+def test_a_large_group_of_loose_copies_costs_few_pairs(spark, monkeypatch):
+    """2000 copies of one text, most of them linked with none or few others: all links are found, without all pairs."""
+    r, n, k, num, den = random.Random(5), 2000, 5, 4, 5
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        t = list(base)
+        for at in r.sample(range(len(t)), r.randrange(2, 10)):
+            t[at] = r.choice([f"v{r.randrange(20)}", f"own{i}x{at}", ""])
+        rows.append((i, " ".join(t)))
+    sets = [shingles(t, k) for _, t in rows]
+    seen: dict = {}
+    for s in sets:
+        for x in s:
+            seen[x] = seen.get(x, 0) + 1
+    column = {x: j for j, x in enumerate(x for x, c in seen.items() if c > 1)}
+    matrix = np.zeros((n, len(column)), np.float32)
+    for i, s in enumerate(sets):
+        matrix[i, [column[x] for x in s if x in column]] = 1
+    both, size = matrix @ matrix.T, np.array([len(s) for s in sets])
+    links = np.argwhere(den * both >= num * (size[:, None] + size[None, :] - both))
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links.tolist():
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    asked = []
+    real = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *a: asked.append(pairs.count()) or real(pairs, *a))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=k, num=num, den=den).collect()
+    assert {x.id: x.component_id for x in got} == {i: root(i) for i in range(n)}
+    assert len({root(i) for i in range(n)}) > 500  # most are linked with none, which is what would cost all pairs
+    assert asked[1] < 10 * n  # of 2 million
+
+
+def test_rows_by_ids_through_a_bloom_filter(spark):
+    rows = spark.createDataFrame([(i if i % 50 else None, str(i)) for i in range(1000)], "k long, __bits string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 5000, 7)], "a long")
+    want = {i for i in range(1000) if i % 50 and i % 7 == 0}
+    assert {r.k for r in with_ids(rows, "k", ids).collect()} == want
+    rest = without_ids(rows, "k", ids).collect()
+    assert len(rest) == 1000 - len(want) and not want & {r.k for r in rest}
+    assert with_ids(rows, "k", ids.limit(0)).count() == 0 and without_ids(rows, "k", ids.limit(0)).count() == 1000
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = near_duplicates(odd, shingle_words=3, num=85, den=100).collect()
     assert len(got) == odd.count()
