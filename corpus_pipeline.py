@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.llm import queries
-from rillmark.llm.common import staged
+from rillmark.llm.common import staged, without_ids
 from rillmark.llm.line_dedup import line_dedup
 from rillmark.llm.near_dedup import near_duplicates
 from rillmark.llm.packing import pack
@@ -33,8 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
-    copies = near_duplicates(docs, shingle_words=5, num=4, den=5).filter("NOT kept AND id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    copies = near_duplicates(docs, shingle_words=5, num=4, den=5).filter("NOT kept AND id IS NOT NULL").select("id").distinct()
+    return without_ids(docs, "doc_id", staged(copies, "near-copies"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
