@@ -27,94 +27,156 @@ HEAD = frozenset("html head base basefont bgsound link meta title noscript nofra
 #: What an opening tag closes, if it is the innermost open block.
 CLOSES = {"li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}} | {t: {"p"} for t in BLOCK - {"li", "dd", "dt", "tr", "td", "th", "option", "body", "html"}}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_REST = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _NAMED = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
+#: A block's path has the parts of so many outermost and innermost open elements, and of each so many names.
+OUTER, INNER, NAMES = 16, 32, 12
+#: Tags whose quotes never end are tried so often in a page; after that, quotes are ignored.
+BAD_QUOTES = 8
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 512, 1024, 12, 6, 6, 12
 
 
 @dataclass
 class Block:
-    """A run of text between block tags: its text, its ancestors' tags with the parts of their names, its share of links."""
+    """A run of text between block tags: its text, its ancestors' tags with the parts of their names (OUTER, INNER, NAMES), its share of links."""
 
     text: str
     path: tuple[str, ...]
     linked: float
 
 
+def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" or "", tag, attributes) of each tag, comment and declaration, the last two without a tag.
+
+    One pass: every character is looked at a bounded number of times, however tags are broken. A tag whose quotes never
+    end stops at the next ">"; what no ">" follows is text. Texts of RAW elements belong to their start tag's token.
+    """
+    at, bad = 0, 0
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        m = _NAME.match(page, at)
+        if m:
+            rest = _REST.match(page, m.end()) if bad < BAD_QUOTES else None
+            if rest:
+                attributes, end = rest[1], rest.end()
+            else:
+                bad += 1
+                stop = page.find(">", m.end())
+                if stop < 0:
+                    return
+                attributes, end = page[m.end() : stop], stop + 1
+            tag = m[2].lower()
+            if tag in RAW and not m[1]:
+                stop = re.compile(rf"</{tag}\s*>", re.I).search(page, end)
+                end = stop.end() if stop else len(page)
+            yield start, end, m[1], tag, attributes
+            at = end
+        elif page.startswith("!--", at):
+            stop = page.find("-->", at + 3)
+            at = stop + 3 if stop >= 0 else len(page)
+            yield start, at, "", "", ""
+        elif page[at : at + 1] in ("!", "?"):
+            stop = page.find(">", at)
+            if stop < 0:
+                return
+            at = stop + 1
+            yield start, at, "", "", ""
+
+
+class _Open:
+    """The open elements of a page, with the places of each tag and of block tags, so that no end tag searches."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[str, ...]] = []
+        self.tags: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.silent = self.links = 0
+
+    def push(self, tag: str, parts: tuple[str, ...]) -> None:
+        at = len(self.tags)
+        self.tags.append(tag)
+        self.parts.append(parts)
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCK:
+            self.blocks.append(at)
+        self.silent += tag in SILENT
+        self.links += tag == "a"
+
+    def close(self, k: int) -> None:
+        """Closes the elements from place k on."""
+        while len(self.tags) > k:
+            tag = self.tags.pop()
+            self.parts.pop()
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            self.silent -= tag in SILENT
+            self.links -= tag == "a"
+
+    def path(self) -> tuple[str, ...]:
+        some = self.parts if len(self.parts) <= OUTER + INNER else self.parts[:OUTER] + self.parts[-INNER:]
+        return tuple(p for parts in some for p in parts)
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks of a page in order, as a browser would build them: unclosed and stray end tags are put up with.
 
-    A head ends, closed or not, where something comes that cannot stand in one.
+    A head ends, closed or not, where something comes that cannot stand in one. The time grows with the page's length.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # tag, path parts
+    opened = _Open()
     run: list[str] = []
-    size = linked = silent = links = 0
-    at, end = 0, len(page)
+    size = linked = at = 0
 
     def flush() -> None:
         nonlocal size, linked
         text = " ".join(html.unescape("".join(run)).split())
         if text:
-            out.append(Block(text, tuple(p for _, parts in stack for p in parts), linked / max(size, 1)))
+            out.append(Block(text, opened.path(), linked / max(size, 1)))
         run.clear()
         size = linked = 0
 
-    def close(k: int) -> None:
-        nonlocal silent, links
-        for tag, _ in stack[k:]:
-            silent -= tag in SILENT
-            links -= tag == "a"
-        del stack[k:]
-
     def in_head() -> bool:
-        return bool(stack) and stack[-1][0] == "head"
+        return bool(opened.tags) and opened.tags[-1] == "head"
 
-    while at < end:
-        m = _TAG.search(page, at)
-        upto = m.start() if m else end
-        piece = page[at:upto]
+    def read(piece: str) -> None:
+        nonlocal size, linked
         if in_head() and html.unescape(piece).strip(" \t\n\f\r"):
-            close(len(stack) - 1)
-        if upto > at and not silent:
+            opened.close(len(opened.tags) - 1)
+        if piece and not opened.silent:
             run.append(piece)
             size += len(piece)
-            linked += len(piece) * (links > 0)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+            linked += len(piece) * (opened.links > 0)
+
+    for start, end, slash, tag, attributes in _tokens(page):
+        read(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if in_head() and (tag in ("body", "html", "br") if m[1] else tag not in HEAD):
-            close(len(stack) - 1)
-        if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+        if in_head() and (tag in ("body", "html", "br") if slash else tag not in HEAD):
+            opened.close(len(opened.tags) - 1)
+        if slash:
             if tag in BLOCK:
                 flush()
-            if k is not None and (tag in BLOCK or tag in SILENT or not any(t in BLOCK for t, _ in stack[k + 1 :])):
-                close(k)
+            places = opened.places.get(tag)
+            if places and (tag in BLOCK or tag in SILENT or not opened.blocks or opened.blocks[-1] <= places[-1]):
+                opened.close(places[-1])
         elif tag in VOID:
             if tag == "hr":
                 flush()
             run.append(" ")
-        else:
+        elif tag not in RAW:
             if tag in BLOCK:
                 flush()
-                inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), None)
-                if inner is not None and stack[inner][0] in CLOSES.get(tag, ()):
-                    close(inner)
-            names = " ".join(a or b or c for a, b, c in _NAMED.findall(m[3])).lower() if m[3] else ""
-            stack.append((tag, (tag, *(f".{x}" for x in _PART.findall(names)))))
-            silent += tag in SILENT
-            links += tag == "a"
-            if m[3].rstrip().endswith("/") and tag not in BLOCK:
-                close(len(stack) - 1)
-            elif tag in RAW:
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else end
-                close(len(stack) - 1)
+                if opened.blocks and opened.tags[opened.blocks[-1]] in CLOSES.get(tag, ()):
+                    opened.close(opened.blocks[-1])
+            names = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower() if attributes else ""
+            if not (attributes.rstrip().endswith("/") and tag not in BLOCK):
+                opened.push(tag, (tag, *(f".{x}" for x in _PART.findall(names)[:NAMES])))
+    read(page[at:])
     flush()
     return out
 
@@ -214,6 +276,19 @@ def _tag(spec: str, inner: str) -> str:
     return f"<{tag}{attr}>{inner}</{tag}>"
 
 
+_ATTRIBUTE = re.compile(r' (?:class|id)="[^"]*"')
+_SEMANTIC = re.compile(r"<(/?)(?:article|main|nav|aside|header|footer|section|dialog)\b")
+
+
+def anonymous(page: str, r: np.random.Generator) -> str:
+    """Drops a page's names, or gives it ones that say nothing; in half of such pages every sectioning tag becomes a div."""
+    if r.random() < 0.5:
+        page = _ATTRIBUTE.sub("", page)
+    else:
+        page = _ATTRIBUTE.sub(lambda m: f' class="{"".join(chr(97 + c) for c in r.integers(0, 26, 5))}"', page)
+    return _SEMANTIC.sub(r"<\1div", page) if r.random() < 0.5 else page
+
+
 def arranged(prose: list[str], short: list[str], r: np.random.Generator) -> tuple[str, set[str]]:
     """A page that sets given texts in a layout drawn at random, and its main text's blocks. Each text is used once."""
     prose, short = list(prose), list(short)
@@ -227,6 +302,11 @@ def arranged(prose: list[str], short: list[str], r: np.random.Generator) -> tupl
 
     def aside() -> str:
         spec, n = pick(PROSE), int(r.integers(1, 3))
+        if r.random() < 0.35:  # linked teasers
+            n = int(r.integers(2, 7))
+            items = [f'<a href="#">{esc(take(short) if r.random() < 0.7 else take(prose))}</a>' for _ in range(n)]
+            title = f"<h3>{esc(take(short))}</h3>" if r.random() < 0.6 else ""
+            return _tag(spec, title + ("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if r.random() < 0.6 else "".join(f"<div>{x}</div>" for x in items)))
         inner = "".join(f"<p>{esc(take(prose))}</p>" if r.random() < 0.6 else f"<div>{esc(take(prose))}</div>" if r.random() < 0.5 else esc(take(prose)) for _ in range(n))
         if r.random() < 0.3:
             inner = f"<h3>{esc(take(short))}</h3>" + inner
@@ -262,21 +342,14 @@ def arranged(prose: list[str], short: list[str], r: np.random.Generator) -> tupl
     return f"<html><head><title>x</title></head><body>{top}{''.join(before)}{body}{''.join(after)}{bottom}</body></html>", main
 
 
-def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = 300, max_chars: int = 30_000, layouts: int = 900, seed: int = 7) -> Labeller:
-    """Trains on at most max_pages pages of at most max_chars characters, and on layouts pages arranged from their texts.
-
-    The tables hold no labels. Pages that mark an article and nothing odd within it label themselves by their tags; the
-    arranged pages set the same texts under many other names, so that only tag paths and context tell them apart.
-    """
-    ids = few_by_hash(pages.select(F.col(id_col).alias("id")).dropna(), "id", max_pages).orderBy(F.xxhash64("id"), "id").limit(max_pages)
-    texts = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.length("html").between(1, max_chars))
-    rows = texts.join(F.broadcast(ids.distinct()), "id").orderBy("id", "html").limit(max_pages).collect()  # bounded by max_pages
+def train(pages: list[str], layouts: int, nameless: float, seed: int) -> Labeller:
+    """A labeller of pages that mark their article, and of layouts arranged from their texts."""
     model, r, data, prose, short = Labeller(seed), np.random.default_rng(seed), [], [], []
     odd = {"nav", "aside", "footer", "header", "form", ".ad", ".comments", ".sidebar"}
-    for row in rows:
-        blocks = leaf_blocks(row["html"])
+    for page in pages:
+        blocks = leaf_blocks(page)
         for b in blocks:
-            (prose if len(b.text) >= 60 else short).append(b.text[:600])
+            (prose if len(b.text) >= 60 else short).append(b.text)
         if blocks and any("article" in b.path for b in blocks):
             y = np.array(["article" in b.path and not odd & set(b.path) for b in blocks], np.float32)
             data.append((block_inputs(blocks), y))
@@ -286,7 +359,7 @@ def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
         p = [prose[i] for i in r.permutation(len(prose))[:24]]
         s = [short[i] for i in r.permutation(len(short))[:60]]
         page, main = arranged(p, s, r)
-        blocks = leaf_blocks(page)
+        blocks = leaf_blocks(anonymous(page, r) if r.random() < nameless else page)
         y = np.array([b.text in main for b in blocks], np.float32)
         if blocks:
             data.append((block_inputs(blocks), y))
@@ -294,6 +367,19 @@ def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     return model
 
 
+def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = 300, max_chars: int = 30_000, layouts: int = 1100, nameless: float = 0.3, seed: int = 7) -> Labeller:
+    """Trains on at most max_pages pages of at most max_chars characters, and on layouts pages arranged from their texts.
+
+    The tables hold no labels. Pages that mark an article and nothing odd within it label themselves by their tags; the
+    arranged pages set the same texts under many other names, and a share of nameless ones under none that say
+    anything, so that length, links, place and the blocks around must tell them apart.
+    """
+    ids = few_by_hash(pages.select(F.col(id_col).alias("id")).dropna(), "id", max_pages).orderBy(F.xxhash64("id"), "id").limit(max_pages)
+    texts = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.length("html").between(1, max_chars))
+    rows = texts.join(F.broadcast(ids.distinct()), "id").orderBy("id", "html").limit(max_pages).collect()  # bounded by max_pages
+    return train([row["html"] for row in rows], layouts, nameless, seed)
+
+
 def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_blocks, n_main), one row per input row.
 

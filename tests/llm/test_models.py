@@ -11,6 +11,8 @@ from rillmark.llm import langid, nets, toxicity
 from rillmark.llm import quality_rules as Q
 from rillmark.llm.common import held_out
 
+from . import layouts
+
 
 def numeric(f, x, eps=1e-5):
     g = np.zeros_like(x)
@@ -39,13 +41,13 @@ def test_recurrent_gradients(cell, back, gates):
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    model = toxicity.fit_toxicity(docs, labels, max_labelled=1200)
-    test = docs.join(labels, "doc_id").filter(held_out("doc_id")).orderBy("doc_id").limit(300)
+    model = toxicity.fit_toxicity(docs, labels)
+    test = docs.join(labels, "doc_id").filter(held_out("doc_id")).orderBy("doc_id")
     got = toxicity.toxicity_scores(test, model).withColumnRenamed("id", "doc_id").join(labels, "doc_id").collect()
     right = sum((r.score >= 0.5) == (r.toxic == 1) for r in got)
     assert right >= 0.95 * len(got)
     caught = [r.score >= 0.5 for r in got if r.toxic == 1]
-    assert sum(caught) >= 0.6 * len(caught)
+    assert sum(caught) >= 0.85 * len(caught)
 
 
 def test_windows_cover_every_word():
@@ -76,10 +78,58 @@ def test_parts_hold_all_of_a_long_word():
 def test_inputs_do_not_depend_on_slices(monkeypatch):
     counts = toxicity.Counts(*(np.random.default_rng(i).integers(0, 9, (2, 1 << 20)).astype(np.float32) for i in (1, 2)), np.array([90.0, 10.0]))
     ws = list(dict.fromkeys(toxicity.bare_words("a bc " + "".join(map(chr, range(0x4E00, 0x5200))) + " def , ghij")))
-    want = counts.inputs(ws, 1)
+    net = toxicity.Network()
+
+    def inputs(ws):
+        w = toxicity.Words(ws)
+        return net.inputs(w, np.arange(len(ws)), counts.numbers(1).of(w.ws, w.gram, w.owner, w.word))
+
+    want = inputs(ws)
     monkeypatch.setattr(toxicity, "SLICE", 50)
-    assert want.shape == (len(ws), toxicity.INPUTS) and np.array_equal(counts.inputs(ws, 1), want)
-    assert counts.inputs([]).shape == (0, toxicity.INPUTS)
+    assert want.shape == (len(ws), toxicity.INPUTS) and np.array_equal(inputs(ws), want)
+    assert inputs([]).shape == (0, toxicity.INPUTS)
+
+
+def test_toxicity_of_punctuation_alone():
+    model = toxicity.fit(["...", "good words here", "vile words there", "!!! ???"] * 20, np.array([0, 0, 1, 0] * 20))
+    assert (model.scores(["...", "!!!", "", " ", "- - -"]) < 0.5).all()
+    assert toxicity.fit(["...", "!!!"], np.array([0, 1])).scores(["..."]).shape == (1,)
+    assert toxicity.fit(["", " "], np.array([0, 1])).scores(["", "x"]).shape == (2,)
+
+
+def test_toxicity_scores_equal_a_naive_loop(docs, labels):
+    rows = docs.join(labels, "doc_id").filter("text IS NOT NULL").orderBy("doc_id").limit(120).collect()
+    model = toxicity.fit([r.text for r in rows], np.array([r.toxic or 0 for r in rows]))
+    net, h = model.net, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def cell(x, state, u):
+        hu = state @ u
+        z, r = sig(x[:h] + hu[:h]), sig(x[h : 2 * h] + hu[h : 2 * h])
+        return z * state + (1 - z) * np.tanh(x[2 * h :] + r * hu[2 * h :])
+
+    def score(text):
+        best, ws = -np.inf, toxicity.bare_words(text)
+        for start in range(0, max(len(ws) - toxicity.WINDOW + toxicity.STRIDE, 1), toxicity.STRIDE):
+            xs = []
+            for w in ws[start : start + toxicity.WINDOW]:
+                one = toxicity.Words([w])
+                grams = toxicity.gram_buckets([w], toxicity.GRAMS[:1])[0] % toxicity.VECTORS
+                chars = net.char[grams].mean(axis=0) if len(grams) else np.zeros(toxicity.VECTOR)
+                numbers = model.numbers.of([w], one.gram, one.owner, one.word)[0]
+                xs.append(np.concatenate((numbers, net.word[one.word[0] % toxicity.VECTORS], chars)) @ net.p["w"])
+            f, b, fs, bs = np.zeros(h), np.zeros(h), [], []
+            for x, y in zip(xs, xs[::-1]):
+                f, b = cell(x[: 3 * h], f, net.p["uf"]), cell(y[3 * h :], b, net.p["ub"])
+                fs.append(f)
+                bs.append(b)
+            states = np.array([np.concatenate(p) for p in zip(fs, bs[::-1])])
+            e = np.exp(states @ net.p["v"])
+            best = max(best, float((e / e.sum()) @ states @ net.p["o"] + net.p["b"][0]))
+        return sig(model.scale[0] * best + model.scale[1])
+
+    texts = [rows[i].text for i in (0, 3, 7)] + ["one", "a , b ... c", "x" * 10_000]
+    assert np.allclose(model.scores(texts), [score(t) for t in texts], atol=1e-4)
 
 
 def test_toxicity_behind_the_start_of_text_without_blanks():
@@ -203,6 +253,44 @@ def test_blocks_behind_a_head_with_omitted_tags(head):
     assert [b.text for b in H.leaf_blocks("<head><title>T</title><img src=a> a<p>b")] == ["a", "b"]
 
 
+def test_scanning_takes_time_in_proportion():
+    """Hostile pages of a megabyte; twice the page takes about twice the time, not four times."""
+    import time
+
+    def took(page):
+        began = time.process_time()
+        H.leaf_blocks(page)
+        return time.process_time() - began
+
+    for unit in ("<a ", '<a "', "'<a '", "<!", "<!--", "<script>", "<b>x</i>", "<div>", "</b>", '<p class="a b c">x'):
+        n = 500_000 // len(unit)
+        assert took(unit * 2 * n) < 3 * took(unit * n) + 1
+    assert took("<a " * 350_000) < 1
+    deep = H.leaf_blocks("<div>x" * 100_000)
+    assert len(deep) == 100_000 and max(len(b.path) for b in deep) == H.OUTER + H.INNER
+    assert [b.text for b in H.leaf_blocks("<p title='>never ends<p>b")] == ["never ends", "b"]
+    assert [b.text for b in H.leaf_blocks("<p>a <b and no end")] == ["a <b and no end"]
+
+
+def test_layouts_of_other_origin(spark):
+    """Pages written by hand under names that training never draws, and generated ones whose names say nothing."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    model = H.fit_labeller(pages)
+    rows = spark.createDataFrame([(i, "u", html) for i, (html, _) in enumerate(layouts.PAGES)], "page_id long, url string, html string")
+    got = {r.id: r.text for r in H.extract(rows, model).collect()}
+    assert layouts.block_f1([got[i] for i in range(len(got))], [b for _, b in layouts.PAGES]) >= 0.85
+    r, texts, hit, said, want = np.random.default_rng(99), [], 0, 0, 0
+    for row in pages.limit(60).collect():
+        texts += [b.text for b in H.leaf_blocks(row.html)]
+    prose, short = [t for t in texts if len(t) >= 60], [t for t in texts if len(t) < 60]
+    for _ in range(60):
+        page, main = H.arranged([prose[i] for i in r.permutation(len(prose))[:24]], [short[i] for i in r.permutation(len(short))[:60]], r)
+        blocks = H.leaf_blocks(H.anonymous(page, r))
+        y, is_main = model.label([blocks])[0], np.array([b.text in main for b in blocks])
+        hit, said, want = hit + (y & is_main).sum(), said + y.sum(), want + is_main.sum()
+    assert 2 * hit / (said + want) >= 0.8
+
+
 def test_extraction(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     model = H.fit_labeller(pages)
