@@ -64,17 +64,22 @@ def _bloom_marked(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
     return out.withColumn("__hit", hit).select(*rows.columns, "__hit")
 
 
+def bloom_split(rows: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among ids, rows whose key is not): what must be joined with ids and what need not be shuffled."""
+    marked = _bloom_marked(rows, key, ids)
+    return marked.filter("__hit").drop("__hit"), marked.filter("NOT __hit").drop("__hit")
+
+
 def with_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows whose id is among ids (one column of distinct values, staged). Only rows that pass the Bloom filter are shuffled."""
-    likely = _bloom_marked(rows, F.col(id_col), ids).filter("__hit").drop("__hit")
+    likely, _ = bloom_split(rows, F.col(id_col), ids)
     return likely.join(ids.withColumnRenamed(ids.columns[0], id_col), id_col, "left_semi")
 
 
 def without_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows whose id is not among ids, null ids included. Only rows that pass the Bloom filter are shuffled."""
-    marked = _bloom_marked(rows, F.col(id_col), ids)
-    unsure = marked.filter("__hit").drop("__hit").join(ids.withColumnRenamed(ids.columns[0], id_col), id_col, "left_anti")
-    return marked.filter("NOT __hit").drop("__hit").unionByName(unsure.select(*rows.columns))
+    likely, never = bloom_split(rows, F.col(id_col), ids)
+    return never.unionByName(likely.join(ids.withColumnRenamed(ids.columns[0], id_col), id_col, "left_anti").select(*rows.columns))
 
 
 def without_blanks(text: Column) -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bloom_split, staged
 
 # The parts of a WARC/1.1 record.
 VERSION, CRLF = "WARC/1.1", "\r\n"
@@ -32,12 +32,16 @@ def plan_records(pages: DataFrame, date: Column, id_col: str, url_col: str, html
     """(id, url, html, date, payload_bytes, digest, refers_to): which captures are revisits, and of which one.
 
     Of equal payloads of min_bytes at least, the smallest id is stored, the others refer to it. Digests and ids are
-    grouped as partial minima; only digests that repeat are joined back, so Spark may broadcast them where they are few.
+    grouped as partial minima. Only payloads whose digest passes a Bloom filter of those that repeat are shuffled to
+    meet them; all others go from their scan to the archives.
     """
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.coalesce(date, F.timestamp_seconds(F.lit(0))).alias("date"))
     base = base.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     first = base.filter(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    return base.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("first") != F.col("id"), F.col("first"))).drop("first")
+    first = staged(first, "warc-repeated")
+    again, once = bloom_split(base, F.col("digest"), first.select("digest"))
+    known = again.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("first") != F.col("id"), F.col("first"))).drop("first")
+    return once.withColumn("refers_to", F.lit(None).cast(base.schema["id"].dataType)).unionByName(known)
 
 
 def _record() -> Column:
@@ -150,37 +154,42 @@ class LoserTree:
             self._replay(w)
 
 
-def capture_index(records: DataFrame, partitions: int | None = None) -> DataFrame:
+def _sort_key(key: str, date: int | None, row_id: object) -> tuple:
+    return key, date or 0, row_id is not None, row_id or 0
+
+
+def capture_index(records: DataFrame, rows_per_range: int = 50_000, partitions: int | None = None) -> DataFrame:
     """(url_key, date, id, file, type, digest, refers_to, place), in global order of URL key, date and id.
 
-    Every archive is a sorted run. The runs are cut at common ranges of (key, date, id), so that a key with many
-    captures spreads over tasks; the task of a range takes its piece of each run and merges the pieces with a loser
-    tree. place rises along the whole index, so a key's captures in order of place are its history. Only index rows
-    move, without payloads. A null URL has the key of an empty one.
+    Every archive is a sorted run. The runs are cut at common ranges of (key, date, id, file) with about rows_per_range
+    index rows each, so that neither a large table nor a key with many captures makes a task large. A task gets its
+    range's piece of every run in the run's order (a piece that was read in parts is put in order first) and merges the
+    pieces with a loser tree. place is a row's number in the whole index, 0 the first: a range's rows follow those of
+    the ranges before it, so a key's captures in order of place are its history. Only index rows move, without
+    payloads. A null URL has the key of an empty one.
     """
     rows = records.select(F.coalesce(url_key(F.col("url")), F.lit("")).alias("url_key"), F.col("date").cast("long").alias("date"), "id", "file", "type", "digest", "refers_to")
-    n = partitions or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "url_key", "date", "id").sortWithinPartitions("file", "url_key", "date", "id")
+    n = partitions or max(1, -(-records.count() // rows_per_range))
     id_type = records.schema["id"].dataType.simpleString()
-    schema = f"url_key string, date bigint, id {id_type}, file string, type string, digest string, refers_to {id_type}, place bigint"
+    schema = f"url_key string, date bigint, id {id_type}, file string, type string, digest string, refers_to {id_type}, range int, nth bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = list(batches)  # index rows of one range
+        own = list(batches)  # index rows of one range, about rows_per_range
         table = pa.Table.from_batches(own) if own else None
         if table is None or not table.num_rows:
             return
-        keys, dates, ids, files = (table.column(c).to_pylist() for c in ("url_key", "date", "id", "file"))
-        starts = [i for i in range(len(files)) if i == 0 or files[i] != files[i - 1]]
-
-        def piece(a: int, b: int) -> Iterator[tuple]:
-            return ((keys[i], dates[i] or 0, ids[i] is not None, ids[i] or 0, i) for i in range(a, b))
-
-        merged = LoserTree([piece(a, b) for a, b in zip(starts, [*starts[1:], len(files)])])
-        first = TaskContext.get().partitionId() << 33
+        pieces: dict[str, list[tuple]] = {}
+        for i, (key, date, row_id, file) in enumerate(zip(*(table.column(c).to_pylist() for c in ("url_key", "date", "id", "file")))):
+            pieces.setdefault(file, []).append((*_sort_key(key, date, row_id), i))
+        merged = LoserTree([iter(sorted(pieces[f])) for f in sorted(pieces)])  # sorting what is in order is one pass
         out = table.take(pa.array([row[-1] for row in merged]))
-        yield from out.append_column("place", pa.array(range(first, first + len(files)), pa.int64())).to_batches(max_chunksize=10_000)
+        out = out.append_column("range", pa.array([TaskContext.get().partitionId()] * len(out), pa.int32()))
+        yield from out.append_column("nth", pa.array(range(len(out)), pa.int64())).to_batches(max_chunksize=10_000)
 
-    return dealt.mapInArrow(run, schema)
+    index = staged(rows.repartitionByRange(n, "url_key", "date", "id", "file").mapInArrow(run, schema), "warc-index")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = index.groupBy("range").agg(F.count(F.lit(1)).alias("c")).select("range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    return index.join(starts, "range").withColumn("place", F.col("start") + F.col("nth")).drop("range", "start", "nth")
 
 
 def archive_round_trip(pages: DataFrame, path: str, date: Column, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 100) -> DataFrame:
