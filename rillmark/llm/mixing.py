@@ -2,28 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 #: The part of a hash that a sampling decision uses: 13 hexadecimal digits, which a double holds exactly.
 HEX = 13
 OTHER = "other"
+#: Topic words have so many letters, and stand in at most one of so many documents.
+LETTERS, COMMON = (5, 20), 10
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: A dimension's target: weights by class; None, the same weight for every class; or a number, the power to which each
+#: class's own share is raised (1 leaves the shares as they are, 0 makes them alike).
+Target = dict[str, float] | float | None
 
-def topic(text: Column) -> Column:
-    """A coarse topic from a text's form: listing (cells between bars), symbolic, shouted, brief or prose; null: brief."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    count = lambda chars: F.regexp_count(t, F.lit(f"[{chars}]"))
-    return (
-        F.when(n < 400, F.lit("brief"))
-        .when(count("|") * 50 > n, F.lit("listing"))
-        .when(count("#*$%&<>") * 20 > n, F.lit("symbolic"))
-        .when(count("A-Z") * 5 > n, F.lit("shouted"))
-        .otherwise(F.lit("prose"))
-    )
+
+def topic_words(docs: DataFrame, text_col: str = "text", k: int = 12) -> list[str]:
+    """The k words of most documents, of those of LETTERS letters a to z that one in COMMON documents has at most.
+
+    Document frequencies over all whole texts, as partial sums; only the k words reach the driver.
+    """
+    words = F.array_distinct(_letters(F.col(text_col)))
+    each = docs.select(F.explode(F.filter(words, lambda w: F.length(w).between(*LETTERS))).alias("word"))
+    found = each.groupBy("word").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") * COMMON <= docs.count())
+    return [r["word"] for r in found.orderBy(F.desc("df"), "word").limit(k).collect()]
+
+
+def _letters(text: Column) -> Column:
+    return F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), "[^a-z]+")
+
+
+def topic(text: Column, words: list[str]) -> Column:
+    """The topic word that a text has most often, the first of words among equals; OTHER without any."""
+    if not words:
+        return F.lit(OTHER)
+    hits = F.filter(_letters(text), lambda w: w.isin(words))
+    counted = [F.struct(F.size(F.array_remove(hits, w)).alias("others"), F.lit(i).alias("at"), F.lit(w).alias("word")) for i, w in enumerate(words)]
+    return F.when(F.size(hits) == 0, F.lit(OTHER)).otherwise(F.array_min(F.array(*counted))["word"])
 
 
 def tokens(text: Column) -> Column:
@@ -36,66 +53,76 @@ def chance(id_col: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, HEX), 16, 10).cast("double") / float(16**HEX)
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], rounds: int = 6) -> DataFrame:
-    """cells (dims..., tokens) with weight: token weights whose marginals approach the targets of every dimension.
+def _class_targets(cells: DataFrame, dim: str, target: Target, budget: float, steps: int = 40) -> DataFrame:
+    """(dim, t_dim): the tokens to keep of every class, budget in all: in proportion to its weight, but no more than it has.
 
-    targets[dim]: weights by class, or None for the same weight of every class; scaled to sum 1. Each round scales the
-    weights of every dimension's classes in turn to their target. Classes without a target share OTHER's, else get
-    none. A class is scaled by window sums over its cells: as many rows as there are combinations of classes.
+    What a class has too little of goes to the others in proportion; each step finds more such classes, until none is
+    new. A class without a weight gets OTHER's, else none. Only sums reach the driver.
+    """
+    own = cells.groupBy(dim).agg(F.sum("tokens").alias("has"))
+    if isinstance(target, dict):
+        weight = F.coalesce(F.create_map(*[F.lit(x) for kv in target.items() for x in kv])[F.col(dim)], F.lit(float(target.get(OTHER, 0.0)))).cast("double")
+    else:
+        weight = F.lit(1.0) if target is None else F.pow(F.col("has").cast("double"), F.lit(float(target)))
+    classes = staged(own.select(dim, "has", weight.alias("weight")), "classes")
+    scale, full = 0.0, -1
+    for _ in range(steps):
+        is_full = F.col("has") < F.col("weight") * scale
+        n, used, left = classes.agg(F.count_if(is_full), F.sum(F.when(is_full, F.col("has")).otherwise(0)), F.sum(F.when(is_full, 0.0).otherwise(F.col("weight")))).first()
+        if n == full or not left:
+            break
+        scale, full = (budget - used) / left, n
+    return classes.select(dim, F.least(F.col("has").cast("double"), F.col("weight") * scale).alias(f"t_{dim}"))
+
+
+def rake(cells: DataFrame, targets: dict[str, Target], rate: float, rounds: int = 25, tolerance: float = 1e-3) -> DataFrame:
+    """cells (dims..., tokens) with keep, the expected tokens kept of a cell, and residual.
+
+    Iterative proportional fitting within bounds: from rate * tokens, each round scales every dimension's classes in
+    turn to their targets (_class_targets), then cuts what exceeds a cell's tokens. It stops when every class is within
+    tolerance of its target, or after rounds; residual is the largest relative distance left, the same in each row.
+    A class's sum is a partial aggregate joined back to its cells, so no class meets in one task.
     """
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    now = cells.withColumn("weight", F.col("tokens") / total)
+    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    now = cells.withColumn("keep", F.col("tokens") * float(rate))
     for dim, target in targets.items():
-        if target is None:
-            classes = cells.select(dim).distinct().withColumn("__t", F.lit(1.0))
-        else:
-            pairs = F.create_map(*[F.lit(x) for kv in target.items() for x in kv])
-            classes = cells.select(dim).distinct().withColumn("__t", F.coalesce(pairs[F.col(dim)], F.lit(float(target.get(OTHER, 0.0)))).cast("double"))
-        classes = classes.withColumn(f"__t_{dim}", F.col("__t") / F.sum("__t").over(Window.partitionBy(F.lit(0)))).drop("__t")
-        now = now.join(classes, dim)
-    now = staged(now, "cells")
-    for _ in range(rounds):
+        now = now.join(_class_targets(cells, dim, target, rate * total), dim)
+    now, columns = staged(now, "raked"), now.columns
+    residual = 0.0
+    for step in range(rounds + 1):
+        apart = [now.groupBy(dim).agg(F.sum("keep").alias("own"), F.first(f"t_{dim}").alias("t")).select(F.when(F.col("t") > 0, F.abs(F.col("own") / F.col("t") - 1)).otherwise(0.0).alias("off")) for dim in targets]
+        worst = apart[0]
+        for more in apart[1:]:
+            worst = worst.unionByName(more)
+        residual = worst.agg(F.coalesce(F.max("off"), F.lit(0.0))).first()[0]
+        if residual <= tolerance or step == rounds:
+            break
+        start = now
         for dim in targets:
-            own = F.sum("weight").over(Window.partitionBy(dim))
-            now = now.withColumn("weight", F.when(own > 0, F.col("weight") * F.col(f"__t_{dim}") / own).otherwise(0.0))
-    return now.select(*cells.columns, "weight")
-
-
-def mix(docs: DataFrame, targets: dict[str, dict[str, float] | None], dims: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rate: float = 0.5, rounds: int = 6) -> DataFrame:
-    """docs with __tokens, __p and __kept: a sample whose token weights follow the targets.
-
-    dims: the classes of a document by dimension; a null class is OTHER. Tokens are summed by cell, the cells raked, and
-    a cell's documents kept with probability min(1, scale * weight / tokens share), where scale makes the expected
-    tokens kept the share rate of all, as far as the cells whose probability reaches 1 allow. A document is kept if the hash of its
-    id falls below its probability, so repeated rows share their fate and a run can be repeated. A null id hashes as
-    an empty one. Cells are combinations of classes: their number is that of the targets' classes, not of documents, and
-    only cells are raked and joined back. No document is dropped by anything but its probability; null and empty texts
-    weigh 1 token. Other columns pass through unchanged.
+            own = now.groupBy(dim).agg(F.sum("keep").alias("own"))
+            scaled = F.when(F.col("own") > 0, F.col("keep") * F.col(f"t_{dim}") / F.col("own")).otherwise(0.0)
+            now = now.join(own, dim).withColumn("keep", scaled).select(columns)
+        now = staged(now.withColumn("keep", F.least("keep", F.col("tokens").cast("double"))), "raked")
+        discard(start)
+    return now.select(*cells.columns, "keep").withColumn("residual", F.lit(float(residual)))
+
+
+def mix(docs: DataFrame, targets: dict[str, Target], dims: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rate: float = 0.5, rounds: int = 25, tolerance: float = 1e-3) -> DataFrame:
+    """docs with __tokens, __p, __residual and __kept: a sample whose token weights follow the targets.
+
+    dims: the classes of a document by dimension; a null class is OTHER. Tokens are summed by cell (a combination of
+    classes that documents have), the cells raked to rate of all tokens (rake), and a cell's documents kept with
+    probability keep / tokens, at most 1. A document is kept if the hash of its id falls below its probability, so
+    repeated rows share their fate and a run can be repeated. A null id hashes as an empty one. Only cells are raked and
+    joined back; where a dimension has a class a source, there are as many cells as sources times other classes, and all
+    steps over them are partial sums and joins. No document is dropped by anything but its probability; null and empty
+    texts weigh 1 token. Other columns pass through unchanged. __residual is how far, in proportion, the worst class is
+    from its target.
     """
     names = {d: f"__d_{d}" for d in dims}
     rows = docs.withColumns({names[d]: F.coalesce(c.cast("string"), F.lit(OTHER)) for d, c in dims.items()} | {"__tokens": tokens(F.col(text_col))})
-    cells = rows.groupBy(*(F.col(v).alias(d) for d, v in names.items())).agg(F.sum("__tokens").alias("tokens"))
-    raked = rake(staged(cells, "cells"), targets, rounds)
-    found = staged(probabilities(raked, rate), "raked").select(*(F.col(d).alias(v) for d, v in names.items()), F.col("p").alias("__p"))
+    cells = staged(rows.groupBy(*(F.col(v).alias(d) for d, v in names.items())).agg(F.sum("__tokens").alias("tokens")), "cells")
+    found = rake(cells, targets, rate, rounds, tolerance)
+    found = found.select(*(F.col(d).alias(v) for d, v in names.items()), (F.col("keep") / F.col("tokens")).alias("__p"), F.col("residual").alias("__residual"))
     out = rows.join(found, list(names.values()), "left")
-    return out.withColumn("__kept", chance(id_col) < F.col("__p")).select(*docs.columns, "__tokens", "__p", "__kept")
-
-
-def probabilities(raked: DataFrame, rate: float) -> DataFrame:
-    """raked (..., tokens, weight) with p = min(1, scale * weight / tokens).
-
-    Sorted by weight / tokens, the first k cells are kept whole; scale spends what is left of rate * all tokens on the
-    rest. k is the smallest number for which no probability behind it passes 1.
-    """
-    w = Window.partitionBy(F.lit(0))
-    order = w.orderBy(F.desc("ratio"), *[c for c in raked.columns if c not in ("tokens", "weight")])
-    x = raked.withColumn("ratio", F.col("weight") / F.col("tokens"))
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("full", F.coalesce(F.sum("tokens").over(upto), F.lit(0))).withColumn("spent", F.coalesce(F.sum("weight").over(upto), F.lit(0.0)))
-    x = x.withColumn("all", F.sum("tokens").over(w)).withColumn("mass", F.sum("weight").over(w))
-    scale = (F.lit(rate) * F.col("all") - F.col("full")) / (F.col("mass") - F.col("spent"))
-    x = x.withColumn("scale", F.when(F.col("ratio") > 0, scale))
-    fits = F.col("scale") * F.col("ratio") <= 1
-    x = x.withColumn("final", F.max(F.when(fits, F.col("scale"))).over(w))
-    return x.withColumn("p", F.when(F.col("ratio") > 0, F.least(F.lit(1.0), F.coalesce(F.col("final") * F.col("ratio"), F.lit(1.0)))).otherwise(0.0)).drop("ratio", "full", "spent", "all", "mass", "scale", "final")
-
+    return out.withColumn("__kept", chance(id_col) < F.col("__p")).select(*docs.columns, "__tokens", "__p", "__residual", "__kept")

@@ -118,59 +118,70 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizer, window=2048, end_id=1).withColumnRenamed("id", "doc_id")
 
 
-#: The mixture that the mixing query and the pipeline aim at: sources alike, languages and topics as given.
-TARGETS = {"source": None, "lang": {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2, "other": 0.05}, "topic": {"prose": 0.75, "brief": 0.15, "listing": 0.06, "shouted": 0.02, "symbolic": 0.02}}
-RATE, ROUNDS = 0.5, 6
+#: The mixture that the mixing query and the pipeline aim at: sources alike, languages as given, topics flattened.
+TARGETS = {"source": None, "lang": {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2, "other": 0.05}, "topic": 0.7}
+RATE, ROUNDS, TOLERANCE, TOPICS = 0.5, 25, 0.001, 12
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    from .mixing import mix, topic
+    from .mixing import mix, topic, topic_words
 
-    return mix(docs, TARGETS, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"))}, rate=RATE, rounds=ROUNDS)
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"), topic_words(docs, k=TOPICS))}
+    return mix(docs, TARGETS, dims, rate=RATE, rounds=ROUNDS, tolerance=TOLERANCE)
 
 
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixed(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__tokens").alias("tokens"), F.round("__p", 6).alias("p"), F.col("__kept").alias("kept"))
+    return out.select("doc_id", F.col("__tokens").alias("tokens"), F.round("__p", 6).alias("p"), F.round("__residual", 4).alias("residual"), F.col("__kept").alias("kept"))
 
 
 def _mixing_sql() -> str:
+    """The same in SQL: class targets by sorting instead of steps; rounds that change nothing once within tolerance."""
     blank = r"[\x20\x09-\x0D]+"
     dims = list(TARGETS)
 
-    def target(dim: str) -> str:
-        if TARGETS[dim] is None:
-            return "1.0::DOUBLE"
-        cases = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in TARGETS[dim].items())
-        return f"CASE {dim} {cases} ELSE {TARGETS[dim].get('other', 0.0)}::DOUBLE END"
-
-    shares = ", ".join(f"t_{d} AS (SELECT {d}, t / sum(t) OVER () AS t_{d} FROM (SELECT DISTINCT {d}, {target(d)} AS t FROM c))" for d in dims)
+    def weight(dim: str) -> str:
+        t = TARGETS[dim]
+        if isinstance(t, dict):
+            return f"CASE {dim} {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in t.items())} ELSE {t.get('other', 0.0)}::DOUBLE END"
+        return "1.0::DOUBLE" if t is None else f"pow(sum(tokens)::DOUBLE, {t})"
+
+    parts = []
+    for d in dims:  # classes that lack most come first; the first scale under which the next class has enough holds
+        parts.append(f"""h_{d} AS (SELECT {d}, sum(tokens)::DOUBLE AS has, {weight(d)} AS w FROM c GROUP BY {d}),
+o_{d} AS (SELECT *, coalesce(sum(has) OVER o, 0) AS used, row_number() OVER (ORDER BY has / w, {d}) AS nth, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS free FROM h_{d} WHERE w > 0 WINDOW o AS (ORDER BY has / w, {d} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s_{d} AS (SELECT arg_min(({RATE} * (SELECT sum(tokens) FROM c) - used) / free, nth) FILTER (has / w >= ({RATE} * (SELECT sum(tokens) FROM c) - used) / free) AS scale FROM o_{d}),
+t_{d} AS (SELECT {d}, least(has, w * coalesce(scale, 1e300)) AS t_{d} FROM h_{d}, s_{d})""")
     steps, last = [], "w0"
-    for i in range(ROUNDS * len(dims)):
-        d = dims[i % len(dims)]
-        steps.append(f"w{i + 1} AS (SELECT * EXCLUDE (own) REPLACE (CASE WHEN own > 0 THEN weight * t_{d} / own ELSE 0 END AS weight) FROM (SELECT *, sum(weight) OVER (PARTITION BY {d}) AS own FROM {last}))")
+    for i in range(ROUNDS):
+        own = ", ".join(f"sum(keep) OVER (PARTITION BY {d}) AS own_{d}" for d in dims)
+        off = ", ".join(f"CASE WHEN t_{d} > 0 THEN abs(own_{d} / t_{d} - 1) ELSE 0 END" for d in dims)
+        steps.append(f"r{i} AS (SELECT * EXCLUDE ({', '.join(f'own_{d}' for d in dims)}) REPLACE (max(greatest({off})) OVER () AS res) FROM (SELECT *, {own} FROM {last}))")
+        last = f"r{i}"
+        for d in dims:
+            steps.append(f"r{i}_{d} AS (SELECT * EXCLUDE (own) REPLACE (CASE WHEN res <= {TOLERANCE} THEN keep WHEN own > 0 THEN keep * t_{d} / own ELSE 0 END AS keep) FROM (SELECT *, sum(keep) OVER (PARTITION BY {d}) AS own FROM {last}))")
+            last = f"r{i}_{d}"
+        steps.append(f"w{i + 1} AS (SELECT * REPLACE (least(keep, tokens::DOUBLE) AS keep) FROM {last})")
         last = f"w{i + 1}"
+    own = ", ".join(f"sum(keep) OVER (PARTITION BY {d}) AS own_{d}" for d in dims)
+    off = ", ".join(f"CASE WHEN t_{d} > 0 THEN abs(own_{d} / t_{d} - 1) ELSE 0 END" for d in dims)
     return f"""
 WITH x AS (
-  SELECT doc_id, coalesce(source, 'other') AS source, coalesce(lang, 'other') AS lang, coalesce(text, '') AS t FROM documents),
+  SELECT doc_id, coalesce(source, 'other') AS source, coalesce(lang, 'other') AS lang, coalesce(text, '') AS t,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+') AS letters FROM documents),
+a AS (SELECT word, row_number() OVER (ORDER BY df DESC, word) AS r FROM (
+  SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(letters)) AS word FROM x) WHERE length(word) BETWEEN 5 AND 20 GROUP BY word HAVING count(*) * 10 <= (SELECT count(*) FROM documents)) ORDER BY df DESC, word LIMIT {TOPICS}),
+b AS (SELECT doc_id, n, word, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, r) AS pick FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(letters) AS word FROM x) GROUP BY ALL) JOIN a USING (word)),
 d AS (
-  SELECT doc_id, source, lang, greatest(len(regexp_split_to_array(regexp_replace(t, '^{blank}|{blank}$', '', 'g'), '{blank}')), 1)::BIGINT AS tokens,
-    CASE WHEN length(t) < 400 THEN 'brief' WHEN (length(t) - length(translate(t, '|', ''))) * 50 > length(t) THEN 'listing'
-      WHEN (length(t) - length(translate(t, '#*$%&<>', ''))) * 20 > length(t) THEN 'symbolic'
-      WHEN (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) * 5 > length(t) THEN 'shouted' ELSE 'prose' END AS topic
-  FROM x),
+  SELECT x.doc_id, source, lang, greatest(len(regexp_split_to_array(regexp_replace(t, '^{blank}|{blank}$', '', 'g'), '{blank}')), 1)::BIGINT AS tokens, coalesce(b.word, 'other') AS topic
+  FROM x LEFT JOIN b ON b.doc_id = x.doc_id AND pick = 1),
 c AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROUP BY ALL),
-{shares},
-w0 AS (SELECT c.*, tokens / sum(tokens) OVER () AS weight, {", ".join(f"t_{d}" for d in dims)} FROM c {" ".join(f"JOIN t_{d} USING ({d})" for d in dims)}),
+{", ".join(parts)},
+w0 AS (SELECT c.*, tokens * {RATE}::DOUBLE AS keep, 0::DOUBLE AS res, {", ".join(f"t_{d}" for d in dims)} FROM c {" ".join(f"JOIN t_{d} USING ({d})" for d in dims)}),
 {", ".join(steps)},
-r AS (SELECT *, weight / tokens AS ratio FROM {last}),
-s AS (
-  SELECT *, {RATE} * sum(tokens) OVER () - coalesce(sum(tokens) OVER o, 0) AS budget, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS mass
-  FROM r WINDOW o AS (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT max(CASE WHEN ratio > 0 AND budget / mass * ratio <= 1 THEN budget / mass END) AS final FROM s),
-p AS (SELECT source, lang, topic, CASE WHEN ratio > 0 THEN least(1.0, coalesce(final * ratio, 1.0)) ELSE 0 END AS p FROM r, f)
-SELECT doc_id, tokens, round(p, 6) AS p, ('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < p AS kept
+p AS (SELECT source, lang, topic, keep / tokens AS p, max(greatest({off})) OVER () AS residual FROM (SELECT *, {own} FROM {last}))
+SELECT doc_id, tokens, round(p, 6) AS p, round(residual, 4) AS residual, ('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < p AS kept
 FROM d JOIN p USING (source, lang, topic)
 """
 
@@ -216,13 +227,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))
     out = archive_round_trip(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}", captured)
-    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "place")
 
 
-ORACLES["op10_warc"] = """
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+ORACLES["op10_warc"] = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d, regexp_replace(regexp_replace(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://', ''), '#.*$', '') AS u FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first, regexp_replace(u, '^[^/?]*', '') AS t FROM p),
+k AS (SELECT *, array_to_string(list_reverse(string_split(regexp_extract(u, '^([^/?:]*)', 1), '.')), ',') || ')' || CASE WHEN t = '' THEN '/' ELSE t END AS url_key FROM f)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to
-FROM f
+  CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to, url_key, row_number() OVER (ORDER BY url_key, page_id) - 1 AS place
+FROM k
 """

@@ -146,6 +146,9 @@ def test_archive_round_trip(spark, tmp_path):
     index = warc.capture_index(warc.read_archives(spark, str(tmp_path / "w"))).orderBy("place").collect()
     order = [(r.url_key, r.date) for r in index]
     assert order == sorted(order) and len({r.file for r in index}) > 1
+    assert [r.place for r in index] == list(range(len(rows)))
+    cut = warc.capture_index(warc.read_archives(spark, str(tmp_path / "w")), partitions=5).orderBy("place").collect()
+    assert [(r.place, r.url_key, r.date, r.id) for r in cut] == [(r.place, r.url_key, r.date, r.id) for r in index]
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert order[-1][0].startswith("u)") and any(k.startswith("com,example,h0)/p?q=") for k, _ in order)
 
@@ -157,25 +160,52 @@ def test_archives_of_nothing(spark, tmp_path):
 
 def test_raking_meets_targets(spark):
     r = random.Random(1)
-    cells = spark.createDataFrame([(a, b, r.randrange(1, 100)) for a in "xyz" for b in "pq"], "a string, b string, tokens long")
-    out = mixing.rake(cells, {"a": None, "b": {"p": 3.0, "q": 1.0}}, 30).collect()
+    cells = spark.createDataFrame([(a, b, r.randrange(50, 100)) for a in "xyz" for b in "pq"], "a string, b string, tokens long")
+    total = sum(c.tokens for c in cells.collect())
+    out = mixing.rake(cells, {"a": None, "b": {"p": 3.0, "q": 1.0}}, 0.3, 60, 1e-9).collect()
+    assert out[0].residual <= 1e-6 and all(0 < c.keep <= c.tokens for c in out)
     for a in "xyz":
-        assert sum(c.weight for c in out if c.a == a) == pytest.approx(1 / 3, abs=1e-6)
-    assert sum(c.weight for c in out if c.b == "p") == pytest.approx(0.75, abs=1e-6)
-    p = mixing.probabilities(spark.createDataFrame(out), 0.4).collect()
-    assert sum(c.p * c.tokens for c in p) == pytest.approx(0.4 * sum(c.tokens for c in p)) and all(0 < c.p <= 1 for c in p)
-    free = [c for c in p if c.p < 1]
-    assert len({round(c.p * c.tokens / c.weight, 6) for c in free}) == 1  # those below 1 stay in proportion
+        assert sum(c.keep for c in out if c.a == a) == pytest.approx(0.1 * total, rel=1e-6)
+    assert sum(c.keep for c in out if c.b == "p") == pytest.approx(0.225 * total, rel=1e-6)
+    ratios = {c.b: out_c for c in out for out_c in [c.keep / c.tokens] if c.a == "x"}
+    for a in "yz":  # fitted cells keep the odds they had
+        own = {c.b: c.keep / c.tokens for c in out if c.a == a}
+        assert own["p"] / own["q"] == pytest.approx(ratios["p"] / ratios["q"], rel=1e-5)
+
+
+def test_raking_within_bounds(spark):
+    """A class that has too little is kept whole, what it lacks goes to the others, and no cell is kept more than whole."""
+    rows = [("big", "p", 900), ("big", "q", 700), ("mid", "p", 300), ("mid", "q", 50), ("small", "p", 20), ("small", "q", 5)]
+    cells = spark.createDataFrame(rows, "a string, b string, tokens long")
+    out = mixing.rake(cells, {"a": None, "b": {"p": 1.0, "q": 1.0}}, 0.4, 200, 1e-6).collect()
+    assert all(c.keep <= c.tokens for c in out) and out[0].residual < 0.01
+    assert sum(c.keep for c in out if c.a == "small") == pytest.approx(25, rel=0.01)
+    want = (0.4 * 1975 - 25) / 2
+    assert want > 350  # mid is kept whole as well
+    assert sum(c.keep for c in out if c.a == "mid") == pytest.approx(350, rel=0.01)
+    assert sum(c.keep for c in out) == pytest.approx(0.4 * 1975, rel=0.01)
+    alike = mixing.rake(cells, {"a": 1.0}, 0.4).collect()
+    assert all(c.keep == pytest.approx(0.4 * c.tokens) for c in alike)
 
 
 def test_mixing_of_odd_rows(odd, none):
-    dims = {"source": F.col("source"), "topic": mixing.topic(F.col("text"))}
-    targets = {"source": None, "topic": {"prose": 1.0, "brief": 1.0, "other": 0.5}}
+    words = mixing.topic_words(odd, k=3)
+    assert mixing.topic_words(none) == [] and len(words) <= 3
+    dims = {"source": F.col("source"), "topic": mixing.topic(F.col("text"), ["delta", "alpha"])}
+    targets = {"source": None, "topic": {"delta": 1.0, "other": 0.5}}
     out = mixing.mix(odd, targets, dims).collect()
     assert len(out) == odd.count() and all(0 <= r["__p"] <= 1 and r["__tokens"] >= 1 for r in out)
     assert mixing.mix(none, targets, dims).collect() == []
 
 
+def test_topics_are_what_a_text_says_most_often(spark):
+    rows = [(1, "alpha beta beta gamma"), (2, "Alpha, alpha; beta"), (3, "none of these"), (4, None), (5, "BETA alpha")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert [r.t for r in df.select("id", mixing.topic(F.col("text"), ["alpha", "beta"]).alias("t")).orderBy("id").collect()] == ["beta", "alpha", "other", "other", "alpha"]
+    many = spark.createDataFrame([(i, "the " + ("special words here" if i < 3 else "plain")) for i in range(40)], "id long, text string")
+    assert mixing.topic_words(many, k=5) == ["special", "words"]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     sf = "/root/testdata/sf0.001"
