@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import BLANKS, bloom_split, staged
 
-#: Up to so many (host, line) rows are broadcast after they were counted; beyond, they are joined by shuffling.
+#: Up to so many (host, line) rows are broadcast after they were counted; beyond, those of the largest hosts are.
 BROADCAST_ROWS = 200_000
+#: At most so many hosts count as the largest.
+HOT_HOSTS = 1000
 
 
 def _lines(text: Column) -> Column:
@@ -17,43 +19,68 @@ def _lines(text: Column) -> Column:
 
 def _key(line: Column) -> Column:
     """128 bits of the trimmed line; null for a blank one, which is never counted."""
-    bare = F.trim(line)
+    bare = F.trim(line, F.lit(BLANKS))
     return F.when(bare != "", F.unhex(F.md5(bare.cast("binary"))))
 
 
+def _host(docs: DataFrame, host_col: str) -> Column:
+    return F.coalesce(docs[host_col].cast("string"), F.lit(""))
+
+
+def _beside(docs: DataFrame, host_col: str, found: DataFrame) -> DataFrame:
+    """docs with __host and __lines, the array of the host's lines in found (host, line, total); null without any.
+
+    A host has at most (lines per page / ratio) boilerplate lines, so an array a host. Up to BROADCAST_ROWS rows of found
+    are broadcast. Of more, those of the hosts with most pages are, so that no large host is shuffled; documents of the
+    others meet their array by shuffling, if a Bloom filter says that their host may have one.
+    """
+    keyed = docs.withColumn("__host", _host(docs, host_col))
+    arrays = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__lines"), F.max("total").alias("total"))
+    if found.count() <= BROADCAST_ROWS:
+        return keyed.join(F.broadcast(arrays.drop("total")), "__host", "left")
+    hot, rows = [], 0
+    for r in arrays.select("__host", F.size("__lines").alias("n")).orderBy(F.desc(arrays["total"]), "__host").limit(HOT_HOSTS).collect():
+        if (rows := rows + r["n"]) > BROADCAST_ROWS:
+            break
+        hot.append(r["__host"])
+    is_hot, arrays = F.col("__host").isin(hot) if hot else F.lit(False), arrays.drop("total")
+    large = keyed.filter(is_hot).join(F.broadcast(arrays.filter(is_hot)), "__host", "left")
+    hosts = staged(arrays.select("__host"), "hosts")
+    some, never = bloom_split(keyed.filter(~is_hot), F.col("__host"), hosts)
+    kind = arrays.schema["__lines"].dataType
+    return large.unionByName(some.join(arrays, "__host", "left").select(large.columns)).unionByName(never.withColumn("__lines", F.lit(None).cast(kind)).select(large.columns))
+
+
 def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int) -> DataFrame:
-    """(host, line): the lines (as keys) that at least min_pages pages and over ratio of the host's pages contain.
+    """(host, line, total): lines (as keys) on so many pages of different texts that they make min_pages and over ratio of the host's.
 
-    Each page counts a line once, before anything is shuffled. The counts of (host, line) are partial sums, so neither
-    a hot host nor a hot line meets in one task. Null hosts are one host.
+    First every page counts a line once; then the few lines with enough pages are counted again over different texts, so
+    that copies of one page lift none of its lines. The counts of (host, line) are partial sums, so neither a hot host
+    nor a hot line meets in one task. Null hosts are one host.
     """
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    pages = docs.select(host.alias("host"), _lines(F.col(text_col)).alias("lines"))
+    pages = docs.select(_host(docs, host_col).alias("host"), F.array_distinct(F.transform(_lines(F.col(text_col)), _key)).alias("lines"), F.xxhash64(text_col).alias("text"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    each = pages.select("host", F.explode(F.array_distinct(F.transform("lines", _key))).alias("line")).filter("line IS NOT NULL")
-    counts = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
-    return counts.join(totals, "host").filter(F.col("pages") > ratio * F.col("total")).select("host", "line")
+    enough = (F.col("pages") >= min_pages) & (F.col("pages") > ratio * F.col("total"))
+
+    def often(each: DataFrame) -> DataFrame:
+        counts = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
+        return counts.join(totals, "host").filter(enough).select("host", "line", "total")
 
+    likely = staged(often(pages.select("host", F.explode("lines").alias("line")).filter("line IS NOT NULL")), "boilerplate-likely")
+    some = _beside(pages, "host", likely).filter("__lines IS NOT NULL").select("host", "text", F.explode(F.array_intersect("lines", "__lines")).alias("line"))
+    return often(some.distinct())
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 3) -> DataFrame:
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = 0.01, min_pages: int = 3) -> DataFrame:
     """docs with two columns more, __n_lines and __n_dropped, and with text_col without its site's boilerplate lines.
 
-    A line (\\n-split, compared without blanks at its ends) is boilerplate on a host when over ratio of the host's
-    pages, min_pages at least, contain it. All its occurrences go; the lines left are joined by \\n again. Blank lines
-    stay. A page without boilerplate keeps its text as it is; null text stays null and has one blank line. All other
-    columns pass through unchanged, whatever their names. A host has at most (lines per page / ratio) boilerplate
-    lines, so they are kept as one array a host, broadcast only after counting; with more than BROADCAST_ROWS rows the
-    array is joined by host and part, with hot hosts dealt to salted parts.
+    A line (\\n-split, compared without white space at its ends) is boilerplate on a host when pages of different texts,
+    min_pages at least and over ratio of all the host's pages, contain it. All its occurrences go; the lines left are
+    joined by \\n again. Blank lines stay. A page without boilerplate keeps its text as it is; null text stays null and
+    has one blank line. All other columns pass through unchanged, whatever their names.
     """
     found = staged(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
-    arrays = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__lines"))
-    if found.count() <= BROADCAST_ROWS:
-        joined = docs.withColumn("__host", F.coalesce(F.col(host_col).cast("string"), F.lit(""))).join(F.broadcast(arrays), "__host", "left")
-    else:
-        parts = 64
-        salted = arrays.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        rows = docs.withColumn("__host", F.coalesce(F.col(host_col).cast("string"), F.lit(""))).withColumn("__part", F.pmod(F.xxhash64(text_col), F.lit(parts)).cast("int"))
-        joined = rows.join(salted, ["__host", "__part"], "left").drop("__part")
+    joined = _beside(docs, host_col, found)
     lines = _lines(F.col(text_col))
     left = F.when(F.col("__lines").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__lines"), _key(x)), F.lit(False))))
     out = joined.withColumn("__left", left).withColumn("__n_lines", F.size(lines).cast("long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, staged
@@ -10,8 +10,8 @@ from .common import discard, staged
 #: The part of a hash that a sampling decision uses: 13 hexadecimal digits, which a double holds exactly.
 HEX = 13
 OTHER = "other"
-#: Topic words have so many letters, and stand in at most one of so many documents.
-LETTERS, COMMON = (5, 20), 10
+#: Topic words have so many letters, and stand in one of RARE documents of their class at least, one of COMMON at most.
+LETTERS, RARE, COMMON = (5, 20), 200, 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A dimension's target: weights by class; None, the same weight for every class; or a number, the power to which each
@@ -19,15 +19,19 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Target = dict[str, float] | float | None
 
 
-def topic_words(docs: DataFrame, text_col: str = "text", k: int = 12) -> list[str]:
-    """The k words of most documents, of those of LETTERS letters a to z that one in COMMON documents has at most.
+def topic_words(docs: DataFrame, by: Column, text_col: str = "text", k: int = 3) -> list[str]:
+    """Of each class of by (a language, say), the k words of most documents: in one of RARE at least, one of COMMON at most.
 
-    Document frequencies over all whole texts, as partial sums; only the k words reach the driver.
+    Words are of LETTERS letters a to z. Document frequencies cover all whole texts, as partial sums; at most RARE words
+    for each word of a text pass the lower bound, and only k words a class reach the driver. Classes and their words in
+    order; a word that several classes share counts for the first.
     """
-    words = F.array_distinct(_letters(F.col(text_col)))
-    each = docs.select(F.explode(F.filter(words, lambda w: F.length(w).between(*LETTERS))).alias("word"))
-    found = each.groupBy("word").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") * COMMON <= docs.count())
-    return [r["word"] for r in found.orderBy(F.desc("df"), "word").limit(k).collect()]
+    rows = docs.select(F.coalesce(by.cast("string"), F.lit(OTHER)).alias("by"), F.array_distinct(_letters(F.col(text_col))).alias("words"))
+    sizes = rows.groupBy("by").agg(F.count(F.lit(1)).alias("docs"))
+    each = rows.select("by", F.explode(F.filter("words", lambda w: F.length(w).between(*LETTERS))).alias("word"))
+    common = each.groupBy("by", "word").agg(F.count(F.lit(1)).alias("df")).join(sizes, "by").filter((F.col("df") * RARE >= F.col("docs")) & (F.col("df") * COMMON <= F.col("docs")))
+    best = common.withColumn("r", F.row_number().over(Window.partitionBy("by").orderBy(F.desc("df"), "word"))).filter(F.col("r") <= k)
+    return list(dict.fromkeys(r["word"] for r in best.orderBy("by", "r").collect()))
 
 
 def _letters(text: Column) -> Column:

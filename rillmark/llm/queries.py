@@ -64,23 +64,28 @@ FROM n WINDOW w AS (PARTITION BY k ORDER BY c DESC, doc_id)
 """
 
 
+#: A line goes where over so large a share of a source's pages have it, and so many pages at least.
+LINE_RATIO, LINE_PAGES = 0.01, 3
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
-    out = line_dedup(table(spark, sf_dir, "documents"), ratio=0.05, min_pages=3)
+    out = line_dedup(table(spark, sf_dir, "documents"), ratio=LINE_RATIO, min_pages=LINE_PAGES)
     return out.select("doc_id", "source", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"))
 
 
-ORACLES["op3_line_dedup"] = r"""
-WITH l AS (SELECT rowid AS d, source, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT rowid, source, string_split(coalesce(text, ''), chr(10)) AS x FROM (SELECT *, row_number() OVER () AS rowid FROM documents))),
+ORACLES["op3_line_dedup"] = rf"""
+WITH x AS (SELECT *, row_number() OVER () AS d FROM documents),
+l AS (SELECT d, source, text, i, line, trim(line, E' \\t\\n\\x0b\\f\\r') AS bare FROM (SELECT d, source, text, generate_subscripts(y, 1) AS i, unnest(y) AS line FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS y FROM x))),
 t AS (SELECT coalesce(source, '') AS host, count(*) AS total FROM documents GROUP BY 1),
-b AS (SELECT coalesce(source, '') AS host, trim(line, ' ') AS line FROM l WHERE trim(line, ' ') <> '' GROUP BY 1, 2 HAVING count(DISTINCT d) >= 3),
-c AS (SELECT b.host, b.line FROM b JOIN (SELECT coalesce(source, '') AS host, trim(line, ' ') AS line, count(DISTINCT d) AS pages FROM l GROUP BY 1, 2) p USING (host, line) JOIN t USING (host) WHERE pages > 0.05 * total),
-k AS (SELECT l.d, l.i, l.line, c.line IS NULL AS stays FROM l LEFT JOIN c ON c.host = coalesce(l.source, '') AND c.line = trim(l.line, ' ')),
+b AS (SELECT coalesce(source, '') AS host, bare, count(DISTINCT text) AS pages FROM l WHERE bare <> '' GROUP BY 1, 2 HAVING count(DISTINCT text) >= {LINE_PAGES}),
+c AS (SELECT host, bare FROM b JOIN t USING (host) WHERE pages > {LINE_RATIO} * total),
+k AS (SELECT l.d, l.i, l.line, c.bare IS NULL AS stays FROM l LEFT JOIN c ON c.host = coalesce(l.source, '') AND c.bare = l.bare),
 j AS (SELECT d, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '') AS kept FROM k GROUP BY d)
 SELECT doc_id, source, CASE WHEN n_dropped > 0 THEN kept ELSE text END AS text, n_lines, n_dropped
-FROM (SELECT *, row_number() OVER () AS rowid FROM documents) x JOIN j ON j.d = x.rowid
+FROM x JOIN j USING (d)
 """
 
 
@@ -118,15 +123,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizer, window=2048, end_id=1).withColumnRenamed("id", "doc_id")
 
 
-#: The mixture that the mixing query and the pipeline aim at: sources alike, languages as given, topics flattened.
-TARGETS = {"source": None, "lang": {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2, "other": 0.05}, "topic": 0.7}
-RATE, ROUNDS, TOLERANCE, TOPICS = 0.5, 25, 0.001, 12
+#: The mixture that the mixing query and the pipeline aim at: sources alike, large languages and topics held back.
+TARGETS = {"source": None, "lang": 0.7, "topic": 0.9}
+RATE, ROUNDS, TOLERANCE, TOPICS = 0.5, 25, 0.001, 3
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     from .mixing import mix, topic, topic_words
 
-    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"), topic_words(docs, k=TOPICS))}
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"), topic_words(docs, F.col("lang"), k=TOPICS))}
     return mix(docs, TARGETS, dims, rate=RATE, rounds=ROUNDS, tolerance=TOLERANCE)
 
 
@@ -170,8 +175,10 @@ t_{d} AS (SELECT {d}, least(has, w * coalesce(scale, 1e300)) AS t_{d} FROM h_{d}
 WITH x AS (
   SELECT doc_id, coalesce(source, 'other') AS source, coalesce(lang, 'other') AS lang, coalesce(text, '') AS t,
     regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+') AS letters FROM documents),
-a AS (SELECT word, row_number() OVER (ORDER BY df DESC, word) AS r FROM (
-  SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(letters)) AS word FROM x) WHERE length(word) BETWEEN 5 AND 20 GROUP BY word HAVING count(*) * 10 <= (SELECT count(*) FROM documents)) ORDER BY df DESC, word LIMIT {TOPICS}),
+g AS (SELECT lang, count(*) AS docs FROM x GROUP BY lang),
+q AS (SELECT lang, word, count(*) AS df FROM (SELECT lang, unnest(list_distinct(letters)) AS word FROM x) WHERE length(word) BETWEEN 5 AND 20 GROUP BY ALL),
+v AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY df DESC, word) AS k FROM q JOIN g USING (lang) WHERE df * 200 >= docs AND df * 10 <= docs),
+a AS (SELECT word, row_number() OVER (ORDER BY min((lang, k))) AS r FROM v WHERE k <= {TOPICS} GROUP BY word),
 b AS (SELECT doc_id, n, word, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, r) AS pick FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(letters) AS word FROM x) GROUP BY ALL) JOIN a USING (word)),
 d AS (
   SELECT x.doc_id, source, lang, greatest(len(regexp_split_to_array(regexp_replace(t, '^{blank}|{blank}$', '', 'g'), '{blank}')), 1)::BIGINT AS tokens, coalesce(b.word, 'other') AS topic

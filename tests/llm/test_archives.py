@@ -189,8 +189,8 @@ def test_raking_within_bounds(spark):
 
 
 def test_mixing_of_odd_rows(odd, none):
-    words = mixing.topic_words(odd, k=3)
-    assert mixing.topic_words(none) == [] and len(words) <= 3
+    lang = F.col("lang")
+    assert mixing.topic_words(none, lang) == [] and isinstance(mixing.topic_words(odd, lang), list)
     dims = {"source": F.col("source"), "topic": mixing.topic(F.col("text"), ["delta", "alpha"])}
     targets = {"source": None, "topic": {"delta": 1.0, "other": 0.5}}
     out = mixing.mix(odd, targets, dims).collect()
@@ -203,7 +203,8 @@ def test_topics_are_what_a_text_says_most_often(spark):
     df = spark.createDataFrame(rows, "id long, text string")
     assert [r.t for r in df.select("id", mixing.topic(F.col("text"), ["alpha", "beta"]).alias("t")).orderBy("id").collect()] == ["beta", "alpha", "other", "other", "alpha"]
     many = spark.createDataFrame([(i, "the " + ("special words here" if i < 3 else "plain")) for i in range(40)], "id long, text string")
-    assert mixing.topic_words(many, k=5) == ["special", "words"]
+    assert mixing.topic_words(many, F.lit("en"), k=5) == ["special", "words"]
+    assert mixing.topic_words(many, F.when(F.col("id") == 0, "a"), k=1) == ["special"]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -162,28 +162,33 @@ def test_exact_dedup_of_odd_rows(odd, none, digest):
     assert exact_dedup(none, digest=digest).collect() == []
 
 
-def test_line_dedup_against_brute_force(spark):
+def test_line_dedup_against_brute_force(spark, monkeypatch):
     r = random.Random(3)
     rows = []
     for i in range(300):
         host = r.choice(["a", "a", "a", "b", None])
-        lines = [r.choice(["hot", " hot ", "warm", f"l{r.randrange(200)}", "", "cold"]) for _ in range(r.randrange(0, 6))]
+        lines = [r.choice(["hot", "\thot \r", "warm", f"l{r.randrange(200)}", "", "cold"]) for _ in range(r.randrange(0, 6))]
         rows.append((i, host, "\n".join(lines) if i % 50 else None))
+    rows += [(i, "c", "the same\npage") for i in range(300, 330)] + [(i, "c", f"one\r\n{i}") for i in range(330, 340)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    ratio, least = 0.3, 3
-    count, total = {}, {}
+    ratio, least = 0.2, 3
+    pages, total = {}, {}
     for _, h, t in rows:
         total[h or ""] = total.get(h or "", 0) + 1
-        for x in {x.strip(" ") for x in (t or "").split("\n")} - {""}:
-            count[h or "", x] = count.get((h or "", x), 0) + 1
-    bad = {k for k, c in count.items() if c >= least and c > ratio * total[k[0]]}
-    assert bad
-    got = {x.doc_id: x for x in line_dedup(df, ratio=ratio, min_pages=least).collect()}
-    for i, h, t in rows:
-        left = [x for x in (t or "").split("\n") if (h or "", x.strip(" ")) not in bad]
-        n = len((t or "").split("\n"))
-        assert (got[i]["__n_lines"], got[i]["__n_dropped"]) == (n, n - len(left))
-        assert got[i].text == (t if n == len(left) else "\n".join(left))
+        for x in {x.strip(BLANKS) for x in (t or "").split("\n")} - {""}:
+            pages.setdefault((h or "", x), set()).add(t)
+    bad = {k for k, c in pages.items() if len(c) >= least and len(c) > ratio * total[k[0]]}
+    assert ("c", "one") in bad and ("c", "page") not in bad and ("a", "hot") in bad
+    for rows_broadcast in (None, 3, -1):
+        if rows_broadcast is not None:  # the ways beyond the bound: large hosts alone, or none, broadcast
+            monkeypatch.setattr("rillmark.llm.line_dedup.BROADCAST_ROWS", rows_broadcast)
+        got = {x.doc_id: x for x in line_dedup(df, ratio=ratio, min_pages=least).collect()}
+        assert len(got) == len(rows)
+        for i, h, t in rows:
+            left = [x for x in (t or "").split("\n") if (h or "", x.strip(BLANKS)) not in bad]
+            n = len((t or "").split("\n"))
+            assert (got[i]["__n_lines"], got[i]["__n_dropped"]) == (n, n - len(left))
+            assert got[i].text == (t if n == len(left) else "\n".join(left))
 
 
 def test_line_dedup_of_odd_rows(odd, none, monkeypatch):
