@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source go from its texts; n_chars follows the text."""
-    out = line_dedup(docs, ratio=0.05, min_pages=3)
+    out = line_dedup(docs, ratio=queries.LINE_RATIO, min_pages=queries.LINE_PAGES)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
