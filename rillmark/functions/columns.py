@@ -49,6 +49,10 @@ def hms(seconds: Column) -> Column:
     return F.format_string("%dh%dm%ds", F.expr("0") + F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60)))
 
 
+def hms_url(source_id: Column, seconds: Column) -> Column:
+    return F.concat(F.lit(WATCH_URL), source_id, F.lit("?t="), hms(seconds))
+
+
 def parse_hms(text: Column) -> Column:
     """Seconds of 1h2m3s with optional parts; a missing part counts 0, null stays null."""
     part = lambda unit: F.coalesce(F.regexp_extract(text, rf"(\d+){unit}", 1).try_cast("long"), F.lit(0))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .views import detection_search, eligible_vods
 
+#: The statuses of chunks, in the order of their columns.
 STATUSES = ("pending", "queued", "processing", "completed", "failed")
 #: The upper bounds of the confidence histogram.
 BOUNDS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 1.0]
+#: The ranks, from the lowest.
 RANKS = ("bronze", "silver", "gold", "diamond", "legend")
 
 
@@ -43,8 +48,10 @@ def only_value(col: str) -> Column:
 
 
 def streamers_with_detections(t) -> DataFrame:
+    """Streamers with their detections, recordings and latest detection; counted by recording first."""
     by = ["streamer_id", "streamer_login", "streamer_display_name", "streamer_avatar"]
-    return detection_search(t).groupBy(*by).agg(F.countDistinct("detection_id").alias("detection_count"), F.countDistinct("vod_id").alias("vod_count"), F.max("actual_timestamp").alias("latest_detection"))
+    per = detection_search(t).groupBy(*by, "vod_id").agg(F.countDistinct("detection_id").alias("n"), F.max("actual_timestamp").alias("latest"))
+    return per.groupBy(*by).agg(F.sum("n").alias("detection_count"), F.count("vod_id").alias("vod_count"), F.max("latest").alias("latest_detection"))
 
 
 def streamer_detection_stats(t) -> DataFrame:
@@ -156,12 +163,25 @@ def allocate_index(new: DataFrame, old: DataFrame, key: str, order: list[str], i
 def thin(frames: DataFrame, key: str, ts: str, gap: int = 10) -> DataFrame:
     """(key, ts) of the frames a greedy reader takes: each at least gap after the last one taken, starting from 0.
 
-    A key's frames are a chunk's, hence few; they are folded in order of time.
+    The distinct times of a key are sorted by Spark, which spills, and read as a stream that carries the last time taken
+    alone, so a key may have any number of frames. Null times are never taken.
     """
-    start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda acc, x: F.when(x - acc["last"] >= gap, F.struct(x.alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
-    kept = F.aggregate(F.sort_array(F.collect_list(F.col(ts).cast("long"))), start, step)["kept"]
-    return frames.groupBy(key).agg(kept.alias("kept")).select(key, F.explode("kept").alias(ts))
+    kind = frames.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last, begun = None, 0, False
+        for batch in batches:
+            taken = []
+            for i, (k, x) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if not begun or k != own:
+                    own, last, begun = k, 0, True
+                if x - last >= gap:
+                    last = x
+                    taken.append(i)
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    rows = frames.select(key, F.col(ts).cast("long").alias(ts)).filter(F.col(ts).isNotNull()).distinct()
+    return rows.repartition(key).sortWithinPartitions(key, ts).mapInArrow(run, f"`{key}` {kind}, `{ts}` bigint")
 
 
 def frame_times(chunks: DataFrame, rate: float = 0.5) -> DataFrame:

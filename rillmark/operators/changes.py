@@ -68,6 +68,7 @@ def command_results(commands: DataFrame, chunks: DataFrame) -> DataFrame:
     known = chunks.select("id").withColumn("__known", F.lit(True))
     rows = commands.join(known, "id", "left")
     bad = ~F.col("status").isin(*ALLOWED)
+    # The two messages.
     error = F.when(bad, F.format_string("Invalid status: %s. Must be one of: pending, processing, completed, failed", "status")).when(F.col("__known").isNull(), F.format_string("Chunk with ID %s not found", F.col("id").cast("string")))
     return rows.select("seq", "id", error.isNull().alias("success"), error.alias("error"))
 
@@ -84,9 +85,11 @@ def expired(leases: DataFrame, now: datetime) -> DataFrame:
     return leases.filter(F.col("lease_expires_at") < F.lit(now).cast("timestamp_ntz"))
 
 
-def admitted(t, limit: int | None, default: int | None = None, max_vods: int = 1, by_attempts: bool = False) -> DataFrame:
+def admitted(t, limit: int | None, default: int | None = None, max_vods: int = 1, by_attempts: bool = False, switched_on: bool = True) -> DataFrame:
     """Whole recordings to take next, none when limit chunks are active; a null limit and default mean no limit.
 
+    A recording is taken with all its chunks, so the limit may be passed by what is taken last. Switched off, none is.
+
     by_attempts: fewest attempts, then newest first, else oldest first; unknown dates count as the newest.
     """
     most = limit if limit is not None else default
@@ -96,6 +99,8 @@ def admitted(t, limit: int | None, default: int | None = None, max_vods: int = 1
         rows = rows.join(waiting, "vod_id", "left_semi")
     order = [F.asc("min_attempt_count"), F.desc_nulls_first("published_at")] if by_attempts else [F.asc_nulls_last("published_at")]
     picked = rows.orderBy(*order, F.asc("vod_id")).limit(max_vods).select("vod_id", "source_id", "pending_chunks")
+    if not switched_on:
+        return picked.limit(0)
     if most is None:
         return picked
     active = t.chunks.agg(F.count_if(F.col("status").isin("queued", "processing")).alias("__active"))
@@ -231,6 +236,12 @@ def notification_counts(detections: DataFrame, subscriptions: DataFrame) -> Data
     return subscriptions.filter("enabled").select("username", "user_id").join(n, "username")
 
 
+def count_notifications(subscriptions: DataFrame, detections: DataFrame) -> DataFrame:
+    """subscriptions (..., notification_count) with the matches of a batch of detections added; unmatched ones keep theirs."""
+    new = notification_counts(detections, subscriptions).select("username", "user_id", F.col("n").alias("__n"))
+    return subscriptions.join(new, ["username", "user_id"], "left").withColumn("notification_count", F.col("notification_count") + F.coalesce("__n", F.lit(0))).select(subscriptions.columns)
+
+
 def reprocess(t, ids: DataFrame) -> DataFrame:
     """(vod_id, success, chunks_deleted, detections_deleted, chunks_created) of forced recordings (vod_id)."""
     v = ids.select("vod_id").distinct().join(t.vods.select(F.col("id").alias("vod_id"), "availability"), "vod_id", "left")

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Templates are broadcast as one row.
+MAX_TEMPLATES = 1000
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -41,8 +45,11 @@ def difference_confidence(a: Column, b: Column, largest: float, mask: Column | N
 def classify(df: DataFrame, templates: DataFrame, key: str, vector: str, label: str, threshold: float) -> DataFrame:
     """(key, label, score) of the best template by correlation, the first label on ties; label null under threshold.
 
-    Templates are few by nature and held as one array row, so each vector is scored where it lies, without a join.
+    Templates are few: up to MAX_TEMPLATES are held as one array row, so each vector is scored where it lies, without a
+    join; more are refused.
     """
+    if templates.limit(MAX_TEMPLATES + 1).count() > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
     table = templates.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("l"), F.col("template").alias("t")))).alias("__t"))
     scored = F.transform("__t", lambda t: F.struct(correlation(F.col(vector), t["t"]).alias("score"), t["l"].alias("l")))
     start = F.struct(F.lit(-2.0).alias("score"), F.lit(None).cast(templates.schema[label].dataType).alias("l"))

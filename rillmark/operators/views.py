@@ -14,6 +14,10 @@ RANGE_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
 SEARCH_COLUMNS = ["detection_id", "username", "streamer_id", "streamer_login", "streamer_display_name", "streamer_avatar", "frame_time_seconds", "confidence", "rank", "vod_id", "vod_source_id", "vod_url", "actual_timestamp"]
 
 
+#: Effective-dated profiles are broadcast as one row; more are refused.
+MAX_PROFILES = 10_000
+
+
 def detection_search(t, min_confidence: float = 0.7) -> DataFrame:
     """Detections over min_confidence in available recordings, with recording and streamer; null confidence is out."""
     v = t.vods.filter("availability = 'available'").select(F.col("id").alias("vod_id"), F.col("source_id").alias("vod_source_id"), F.col("title").alias("vod_title"), F.col("published_at").alias("vod_published_at"), F.col("duration_seconds").alias("vod_duration_seconds"), F.col("availability").alias("vod_availability"), "streamer_id")
@@ -103,8 +107,10 @@ def presence(requested: DataFrame, returned: DataFrame, key: str) -> DataFrame:
 def effective_profile(vods: DataFrame, profiles: DataFrame) -> DataFrame:
     """Each recording with the latest-starting profile whose [from_date, to_date) holds its time; open ends are null.
 
-    Few profiles are effective-dated, so they are one sorted array that each recording searches; no range join.
+    Profiles are few: up to MAX_PROFILES are one sorted array that each recording searches, without a range join.
     """
+    if profiles.limit(MAX_PROFILES + 1).count() > MAX_PROFILES:
+        raise ValueError(f"more than {MAX_PROFILES} effective-dated profiles")
     p = F.struct("from_date", "to_date", F.col("id").alias("profile_id"))
     table = profiles.agg(F.sort_array(F.collect_list(p), asc=False).alias("__p"))
     fits = F.filter("__p", lambda x: (x["from_date"].isNull() | (x["from_date"] <= F.col("published_at"))) & (x["to_date"].isNull() | (F.col("published_at") < x["to_date"])))
@@ -137,7 +143,8 @@ def fuzzy_join(a: DataFrame, b: DataFrame, col: str, threshold: float) -> DataFr
     """(a_value, b_value, similarity) of all distinct values whose trigram similarity reaches threshold.
 
     Values similar enough share one of their rarest trigrams: of n trigrams the first n - ceil(threshold * n) + 1 in a
-    common order by rarity. Only those are joined; the candidates' full sets are then compared.
+    common order by rarity. Only those are joined, as (value, size, place): pairs of too unlike sizes, or that meet where
+    too few trigrams are left for the overlap they need, go at once. The candidates' full sets are then attached and compared.
     """
 
     def grams(df: DataFrame, p: str) -> DataFrame:
@@ -147,11 +154,14 @@ def fuzzy_join(a: DataFrame, b: DataFrame, col: str, threshold: float) -> DataFr
     seen = x.select(F.explode("a_value_set").alias("g")).unionByName(y.select(F.explode("b_value_set").alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
 
     def prefix(df: DataFrame, p: str) -> DataFrame:
-        n = F.size(f"{p}_set").alias("n")
-        each = df.select(p, f"{p}_set", n, F.explode(f"{p}_set").alias("g")).join(seen, "g")
+        each = df.select(p, F.size(f"{p}_set").alias("n"), F.explode(f"{p}_set").alias("g")).join(seen, "g")
         rank = F.row_number().over(Window.partitionBy(p).orderBy("df", "g"))
-        return each.withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select(p, f"{p}_set", "g")
-
-    pairs = prefix(x, "a_value").join(prefix(y, "b_value"), "g").dropDuplicates(["a_value", "b_value"])
-    scored = pairs.select("a_value", "b_value", C.set_similarity(F.col("a_value_set"), F.col("b_value_set")).alias("similarity"))
+        rows = each.withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+        return rows.select(p, "g", F.col("n").alias(f"{p}_n"), (F.col("n") - F.col("r") + 1).alias(f"{p}_left"))
+
+    m, n = F.col("a_value_n"), F.col("b_value_n")
+    both = (m + n) * (threshold / (1 + threshold)) - 1e-9
+    fits = (F.least(m, n) >= F.greatest(m, n) * threshold - 1e-9) & (F.least("a_value_left", "b_value_left") >= both)
+    pairs = prefix(x, "a_value").join(prefix(y, "b_value"), "g").filter(fits).select("a_value", "b_value").distinct()
+    scored = pairs.join(x, "a_value").join(y, "b_value").select("a_value", "b_value", C.set_similarity(F.col("a_value_set"), F.col("b_value_set")).alias("similarity"))
     return scored.filter(C.similar(F.col("similarity"), threshold))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -13,6 +13,7 @@ from ..operators import changes as G
 from ..operators import intervals as I
 from ..operators import views as V
 from ..sources import tables as T
+from ..streaming.jobs import shared_dir
 
 
 def _found(t, query: str | None, streamer_id: int | None, kind: str, threshold: float, now: datetime, known: tuple[str, ...], min_confidence: float) -> DataFrame:
@@ -20,8 +21,8 @@ def _found(t, query: str | None, streamer_id: int | None, kind: str, threshold:
     if not query:
         return rows.withColumn("similarity_score", F.lit(1.0).cast("float"))
     wanted = C.trigrams(F.lit(query))
-    scored = rows.withColumn("similarity_score", C.set_similarity(C.trigrams(F.col("username")), wanted))
-    return scored.filter(C.similar(F.col("similarity_score"), threshold))
+    names = rows.select("username").distinct().withColumn("similarity_score", C.set_similarity(C.trigrams(F.col("username")), wanted))
+    return rows.join(names.filter(C.similar(F.col("similarity_score"), threshold)), "username")  # each name is scored once
 
 
 def _order(query: str | None) -> list:
@@ -35,6 +36,10 @@ def fuzzy_search(t, now: datetime, query: str | None = None, streamer_id: int |
     No query matches all with a score of 1. Pages past the end are empty, so they carry no total either.
     """
     rows = _found(t, query, streamer_id, kind, threshold, now, ("day", "week", "month", "year"), 0.7)
+    if query:  # few match; they are found once, for the page and the total
+        path = shared_dir(t.spark)
+        rows.write.parquet(path)
+        rows = t.spark.read.schema(rows.schema).parquet(path)
     page = rows.orderBy(*_order(query)).offset(offset).limit(limit).select(*V.SEARCH_COLUMNS, "similarity_score", "truncated")
     return A.with_total(page, rows)
 
@@ -93,11 +98,28 @@ def next_chunks(t, limit: int = 100, min_priority: int = 0) -> DataFrame:
     return rows.orderBy(F.desc("priority"), F.asc_nulls_last("scheduled_for"), F.asc("id")).limit(limit).select("id", "vod_id", "priority", "scheduled_for")
 
 
+def _wanted(count: str) -> int:
+    return 10 if count.lower() == "all" else int(count) if count.isdigit() else 1
+
+
 def search_command(t, now: datetime, name: str, exact: bool = False, count: str = "1") -> DataFrame:
-    """The lines that answer a search command: exact is a threshold of 1, that is equal trigram sets."""
-    n = 10 if count.lower() == "all" else int(count) if count.isdigit() else 1
-    rows = fuzzy_search(t, now, name, threshold=1.0 if exact else 0.2, limit=n)
-    return rows.select("detection_id", C.result_line(F.col("username"), C.epoch_seconds(F.col("actual_timestamp")), F.col("vod_url")).alias("line"))
+    """(detection_id, position, line): what a search command answers, best first; exact asks for equal trigram sets.
+
+    A line has the streamer's name, the time and a link that opens the recording there; an unknown time is that of epoch 0.
+    """
+    rows = fuzzy_search(t, now, name, threshold=1.0 if exact else 0.2, limit=_wanted(count))
+    epoch = F.coalesce(C.epoch_seconds(F.col("actual_timestamp")), F.lit(0))
+    line = C.result_line(F.col("streamer_display_name"), epoch, C.hms_url(F.col("vod_source_id"), F.col("frame_time_seconds")))
+    position = F.row_number().over(Window.orderBy(*_order(name)))  # ten rows at most, already in order
+    return rows.select("detection_id", position.alias("position"), line.alias("line"))
+
+
+def search_message(t, now: datetime, name: str, exact: bool = False, count: str = "1") -> DataFrame:
+    """(content): the whole answer to a search command, one row, also where nothing is found."""
+    lines = search_command(t, now, name, exact, count).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    # The two headers and the answer without results.
+    header = f'**Latest result for "{name}":**' if _wanted(count) == 1 else f'**Results for "{name}":**'
+    return lines.select(F.when(F.col("lines") == "", F.lit(f"No results found for **{name}**")).otherwise(F.concat(F.lit(header + "\n"), "lines")).alias("content"))
 
 
 def dispatch_plan(t, until: datetime) -> DataFrame:

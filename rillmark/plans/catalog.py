@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -116,9 +116,9 @@ def A4_newest_per_key(t):
 def A5_batched_append(t):
     path = S.shared_dir(t.spark)
     rows = t.detections.select("id", F.when(F.col("chunk_id") % 3 != 0, F.col("username")).alias("username"), (F.col("chunk_id") % 2).alias("half"))
-    for half in (0, 1):
-        T.append_detections(rows.filter(F.col("half") == half).drop("half"), path)
-    return t.spark.read.parquet(path)
+    for half in (0, 1, 0):  # the first batch is tried again
+        T.append_detections(rows.filter(F.col("half") == half).drop("half"), path, half)
+    return t.spark.read.parquet(path).drop("batch")
 
 
 @q(domain("SELECT id, streamer_id, CASE WHEN id % 5 = 0 THEN 'changed' ELSE title END AS title, CASE WHEN id % 5 = 0 THEN duration_seconds + 1 ELSE duration_seconds END AS duration_seconds FROM vods UNION ALL SELECT id + 1000000000000, NULL, 'changed', duration_seconds + 1 FROM vods WHERE id % 5 = 0"))
@@ -404,15 +404,12 @@ def E6_thinning(t):
     return A.thin(_frames(t), "chunk_id", "ts", 10)
 
 
-@q(domain("SELECT id, k::INT AS k, (start_seconds + k * 2)::INT AS ts FROM (SELECT id, start_seconds, unnest(range(0, 900)) AS k FROM chunks WHERE chunk_index = 0 AND vod_id % 50 = 0)"))
+@q(domain("SELECT id, count(*) AS frames, min(ts) AS first, max(ts) AS last, sum(ts)::BIGINT AS total, sum(k * ts)::BIGINT AS moment FROM (SELECT id, k, (start_seconds + k * 2)::INT AS ts FROM (SELECT id, start_seconds, unnest(range(0, 900)) AS k FROM chunks)) GROUP BY id"))
 def E7_frame_clock(t):
-    return A.frame_times(t.chunks.filter("chunk_index = 0 AND vod_id % 50 = 0"), 0.5)
-
-
-@q()
-def E7_all_frame_clocks(t):
-    """E7 over all chunks; its SQL makes 900 rows of each, so a test holds a few chunks to it instead."""
-    return A.frame_times(t.chunks, 0.5)
+    """The frame times of all chunks, summed up by chunk."""
+    rows = A.frame_times(t.chunks, 0.5).groupBy("id")
+    ts = F.col("ts").cast("long")
+    return rows.agg(F.count(F.lit(1)).alias("frames"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum(ts).alias("total"), F.sum(ts * F.col("k")).alias("moment"))
 
 
 @q(domain(f"SELECT id, source_id, last_availability_check FROM vods WHERE availability = 'available' AND (last_availability_check IS NULL OR last_availability_check < {NOW_SQL} - INTERVAL 24 HOUR) ORDER BY last_availability_check NULLS FIRST, id LIMIT 100"))
@@ -494,16 +491,11 @@ def H5_time_text(t):
     return rows.select("id", "hms", C.parse_hms(F.col("hms")).alias("back"), C.epoch_seconds(F.col("published_at")).alias("at"))
 
 
-@q(r"SELECT doc_id, CASE WHEN length(b) BETWEEN 4 AND 25 AND regexp_matches(b, '^[a-zA-Z0-9]') THEN b END AS name FROM (SELECT doc_id, regexp_replace(substr(text, 1, 20), '[^a-zA-Z0-9_\-.]', '', 'g') AS b FROM documents)")
-def H8_clean_username(t):
-    return t.documents.select("doc_id", C.clean_username(F.substring("text", 1, 20)).alias("name"))
-
-
 CLEANED = r"CASE WHEN length(b) BETWEEN 4 AND 25 AND regexp_matches(b, '^[a-zA-Z0-9]') THEN b END AS name"
 
 
 @q(rf"SELECT doc_id, {CLEANED}, count(*) AS n FROM (SELECT doc_id, regexp_replace(w, '[^a-zA-Z0-9_\-.]', '', 'g') AS b FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[\x20\x09-\x0D]+')) AS w FROM documents) WHERE w <> '') GROUP BY ALL")
-def H8_clean_words(t):
+def H8_clean_username(t):
     """Every word of every whole text."""
     words = t.documents.select("doc_id", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''")
     return words.groupBy("doc_id", C.clean_username(F.col("w")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
@@ -552,30 +544,24 @@ def H24_signature(t):
 # --- I: changes and streams
 
 
-NOTES = """hit AS (SELECT d.id AS detection_id, s.* FROM detections d JOIN subscriptions s ON s.username = d.username AND s.enabled WHERE d.chunk_id % 5 = 0)"""
+NOTES = """hit AS (SELECT d.id AS detection_id, s.* FROM detections d JOIN subscriptions s ON s.username = d.username AND s.enabled)"""
 
 
 @q(domain("SELECT detection_id, 'dm' AS kind, user_id AS target, user_id AS users FROM hit WHERE notify_type IN ('dm', 'both') UNION ALL SELECT detection_id, 'server', channel_id, string_agg(DISTINCT user_id, ' ' ORDER BY user_id) FROM hit JOIN channels USING (guild_id) WHERE notify_type IN ('server', 'both') GROUP BY detection_id, channel_id", NOTES))
 def I1_notifications(t):
-    return G.notifications(t.detections.filter("chunk_id % 5 = 0"), t.subscriptions, t.channels)
+    return G.notifications(t.detections, t.subscriptions, t.channels)
 
 
 @q(domain("SELECT username, user_id, count(*) AS n FROM hit GROUP BY ALL", NOTES))
 def I2_notification_counts(t):
-    return G.notification_counts(t.detections.filter("chunk_id % 5 = 0"), t.subscriptions)
-
-
-ALL_NOTES = """hit AS (SELECT d.id AS detection_id, s.* FROM detections d JOIN subscriptions s ON s.username = d.username AND s.enabled)"""
-
+    return G.notification_counts(t.detections, t.subscriptions)
 
-@q(domain("SELECT detection_id, 'dm' AS kind, user_id AS target, user_id AS users FROM hit WHERE notify_type IN ('dm', 'both') UNION ALL SELECT detection_id, 'server', channel_id, string_agg(DISTINCT user_id, ' ' ORDER BY user_id) FROM hit JOIN channels USING (guild_id) WHERE notify_type IN ('server', 'both') GROUP BY detection_id, channel_id", ALL_NOTES))
-def I1_all_notifications(t):
-    return G.notifications(t.detections, t.subscriptions, t.channels)
 
-
-@q(domain("SELECT username, user_id, count(*) AS n FROM hit GROUP BY ALL", ALL_NOTES))
-def I2_all_notification_counts(t):
-    return G.notification_counts(t.detections, t.subscriptions)
+@q(domain("SELECT user_id, username, enabled, user_id::BIGINT % 7 + coalesce(n, 0) AS notification_count FROM subscriptions LEFT JOIN (SELECT username, user_id, count(*) AS n FROM hit GROUP BY ALL) USING (user_id, username)", NOTES))
+def I2_stored_counts(t):
+    """The counts that subscriptions hold, with a batch of detections added."""
+    stored = t.subscriptions.select("user_id", "username", "enabled", (F.col("user_id").cast("long") % 7).alias("notification_count"))
+    return G.count_notifications(stored, t.detections)
 
 
 @q(domain("SELECT vod_id, status FROM ro WHERE vod_id % 3 = 0 AND status IS DISTINCT FROM CASE WHEN vod_id % 2 = 0 THEN 'pending' END", ROLLUP))
@@ -612,7 +598,11 @@ def I7_drop_work(t):
 
 @q(f"WITH {FRAMES}, {THIN.format('fr')} SELECT chunk_id, ts FROM th")
 def I8_debounce_stream(t):
-    ev = S.source(t.spark, f"{t.sf_dir}/events.parquet*")
+    path = S.shared_dir(t.spark)
+    third = F.when(F.dayofmonth("ts") <= 10, 0).when(F.dayofmonth("ts") <= 20, 1).otherwise(2)
+    for n in range(3):  # files arrive in order of time, so the state of every key is carried from batch to batch
+        t.events.select("user_id", "ts").filter(third == n).coalesce(1).write.mode("append").parquet(path)
+    ev = S.source(t.spark, path, files_per_batch=1)
     frames = ev.select(F.col("user_id").alias("chunk_id"), F.floor(F.timestamp_diff("SECOND", F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz"), F.col("ts")) / 600).alias("ts"))
     return S.drain(S.debounce(frames, "chunk_id", "ts"))
 
@@ -647,6 +637,12 @@ def I11_claims(t):
     return G.claim(claims, t.chunks)
 
 
+@q(f"{ORACLES['I11_claims'].replace('SELECT id AS chunk_id', 'SELECT * FROM (SELECT id AS chunk_id', 1)}) WHERE lease_expires_at < {EVENTS_NOW_SQL} - INTERVAL 20 DAY")
+def I11_expired_leases(t):
+    """Leases that have run out ten days after the first events."""
+    return G.expired(I11_claims(t), datetime(2024, 1, 11))
+
+
 @q(domain(f"SELECT id, CASE WHEN status = 'pending' AND vod_id % 9 = 0 THEN 'queued' ELSE status END AS status, CASE WHEN status = 'pending' AND vod_id % 9 = 0 THEN {NOW_SQL} END AS queued_at FROM chunks"))
 def I13_queue(t):
     return G.queue(t.chunks, t.vods.filter("id % 9 = 0").select(F.col("id").alias("vod_id")), NOW).select("id", "status", "queued_at")
@@ -679,19 +675,11 @@ def _toggles(t) -> DataFrame:
     return t.events.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("user_id"), F.lit("name").alias("username"), where.alias("notify_type"), F.when(F.col("event_id") % 4 != 0, (F.col("user_id") % 25).cast("string")).alias("guild_id"))
 
 
-TOGGLES = "tg AS (SELECT * FROM (SELECT event_id AS seq, user_id::STRING AS user_id, (['dm', 'server', 'both'])[event_id % 3 + 1] AS k, CASE WHEN event_id % 4 <> 0 THEN (user_id % 25)::STRING END AS g FROM events) WHERE k = 'dm' OR g IN (SELECT guild_id FROM channels)), tn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS n FROM tg)"
-
-
-@q(domain("SELECT user_id, 'name' AS username, max(n) % 2 = 1 AS enabled, max_by(k, n) FILTER (n % 2 = 1) AS notify_type, max_by({v: CASE WHEN k <> 'dm' THEN g END}, n) FILTER (n % 2 = 1)['v'] AS guild_id FROM tn GROUP BY user_id", TOGGLES).replace("max_by({v: CASE WHEN k <> 'dm' THEN g END}, n) FILTER (n % 2 = 1)['v']", "(max_by({v: CASE WHEN k <> 'dm' THEN g END}, n) FILTER (n % 2 = 1)).v"))
-def I17_subscription_toggles(t):
-    return G.toggle_subscriptions(_toggles(t), t.subscriptions.limit(0), t.channels)
-
-
 KNOWN_TOGGLES = "own AS (SELECT user_id, min(username) AS name FROM subscriptions GROUP BY 1), kt AS (SELECT * FROM (SELECT event_id AS seq, e.user_id::STRING AS user_id, CASE WHEN event_id % 11 = 0 THEN coalesce(own.name, 'name') ELSE 'name' END AS username, (['dm', 'server', 'both'])[event_id % 3 + 1] AS k, CASE WHEN event_id % 4 <> 0 THEN (e.user_id % 25)::STRING END AS g FROM events e LEFT JOIN own ON own.user_id = e.user_id::STRING) WHERE k = 'dm' OR g IN (SELECT guild_id FROM channels)), kn AS (SELECT kt.*, row_number() OVER (PARTITION BY kt.user_id, kt.username ORDER BY seq) + coalesce(s.enabled, false)::INT AS n FROM kt LEFT JOIN subscriptions s ON s.user_id = kt.user_id AND s.username = kt.username), kf AS (SELECT user_id, username, max(n) % 2 = 1 AS enabled, max_by({k: k, g: CASE WHEN k <> 'dm' THEN g END}, n) FILTER (n % 2 = 1) AS l FROM kn GROUP BY ALL)"
 
 
 @q(domain("SELECT coalesce(f.user_id, s.user_id) AS user_id, coalesce(f.username, s.username) AS username, coalesce(f.enabled, s.enabled) AS enabled, CASE WHEN f.l IS NULL THEN s.notify_type ELSE f.l['k'] END AS notify_type, CASE WHEN f.l IS NULL THEN s.guild_id ELSE f.l['g'] END AS guild_id FROM kf f FULL JOIN subscriptions s ON s.user_id = f.user_id AND s.username = f.username", KNOWN_TOGGLES))
-def I17_known_subscription_toggles(t):
+def I17_subscription_toggles(t):
     """Toggles of new pairs and of the subscriptions there are, all of which are carried through."""
     own = t.subscriptions.groupBy("user_id").agg(F.min("username").alias("own"))
     rows = _toggles(t).join(own, "user_id", "left").withColumn("username", F.when(F.col("seq") % 11 == 0, F.coalesce("own", "username")).otherwise(F.col("username"))).drop("own")
@@ -756,8 +744,13 @@ def J3_fuzzy_search_test(t):
     return J.fuzzy_search(t, NOW, QUERY, threshold=0.4)
 
 
-@q(domain(f"SELECT {OUT}, 1.0::FLOAT AS similarity_score FROM ds ORDER BY actual_timestamp DESC NULLS FIRST, detection_id LIMIT 100", search_cte()))
+@q(page_sql(f"{OUT}, similarity_score", 0.7, "similarity_score::DOUBLE >= 0.2", RANKED, "LIMIT 100", False))
 def J4_fuzzy_search_first(t):
+    return J.fuzzy_search_first(t, NOW, QUERY)
+
+
+@q(domain(f"SELECT {OUT}, 1.0::FLOAT AS similarity_score FROM ds ORDER BY actual_timestamp DESC NULLS FIRST, detection_id LIMIT 100", search_cte()))
+def J4_without_a_query(t):
     return J.fuzzy_search_first(t, NOW)
 
 
@@ -771,9 +764,9 @@ def J6_global_stats(t):
     return J.global_stats_json(t)
 
 
-@q(domain("SELECT c.id AS chunk_id, c.vod_id, v.source_id, c.chunk_index, c.start_seconds, c.end_seconds, c.status, c.attempt_count FROM chunks c JOIN vods v ON v.id = c.vod_id WHERE v.id IN (1, 2, 3, 4, 5, 6, 7) AND v.id = 3 AND c.status = 'pending' AND v.availability = 'available' AND v.ready_for_processing AND EXISTS (SELECT 1 FROM streamers s WHERE s.id = v.streamer_id AND s.processing_enabled)"))
+@q(domain("SELECT c.id AS chunk_id, c.vod_id, v.source_id, c.chunk_index, c.start_seconds, c.end_seconds, c.status, c.attempt_count FROM chunks c JOIN vods v ON v.id = c.vod_id WHERE v.id = 9 AND c.status = 'pending' AND v.availability = 'available' AND v.ready_for_processing AND EXISTS (SELECT 1 FROM streamers s WHERE s.id = v.streamer_id AND s.processing_enabled)"))
 def J7_pending_chunks(t):
-    return J.pending_chunks(t, vod_id=3, source_id="3")
+    return J.pending_chunks(t, vod_id=9, source_id="9")
 
 
 @q(domain("SELECT count(*) AS total_vods, sum(pending_chunks)::BIGINT AS total_pending_chunks, count(*) AS ready_vods FROM pe", PENDING))
@@ -794,19 +787,35 @@ def J10_auto_queue(t):
     return G.admitted(t, None)
 
 
-@q(domain("SELECT * FROM pl WHERE vod_id % 2 = 1", f"{SEGMENTS}, {GAPS}, {PIECES}"))
-def J11_simulate_plan(t):
-    return I.simulate_chunk_plan(G._With(t, vods=t.vods.filter("id % 2 = 1")))
+@q(ORACLES["J10_auto_queue"].replace("SELECT vod_id, source_id", "SELECT true AS switch, vod_id, source_id", 1))
+def J10_auto_queue_switch(t):
+    """The next recording with the switch on and off; off gives none."""
+    return I.union_pages(*(G.admitted(t, None, switched_on=on).select(F.lit(on).alias("switch"), "*") for on in (True, False)))
 
 
 @q(domain("SELECT * FROM pl", f"{SEGMENTS}, {GAPS}, {PIECES}"))
-def J11_simulate_whole_plan(t):
+def J11_simulate_plan(t):
     return I.simulate_chunk_plan(t)
 
 
-@q(domain(f"SELECT detection_id, '**' || username || '** - <t:' || epoch(actual_timestamp)::BIGINT || ':f> - [Watch](' || vod_url || ')' AS line FROM ds, qq WHERE {sim(tri('username'), 'qq.g')} >= 1 AND actual_timestamp IS NOT NULL ORDER BY actual_timestamp DESC, detection_id LIMIT 10", f"{search_cte()}, qq AS (SELECT {tri(f"'{QUERY}'")} AS g)"))
+#: A name with several detections, one of them of a recording without a date.
+NAME = "bluering40"
+
+
+def command_sql(threshold: float, limit: int, select: str) -> str:
+    ctes = f"""{search_cte()}, qq AS (SELECT {tri(f"'{NAME}'")} AS g), sc AS (SELECT ds.*, {sim(tri('username'), 'qq.g')} AS similarity_score FROM ds, qq),
+ln AS (SELECT detection_id, row_number() OVER (ORDER BY {RANKED})::INT AS position, '**' || streamer_display_name || '** - <t:' || coalesce(epoch(actual_timestamp)::BIGINT, 0) || ':f> - [Watch]({URL}' || vod_source_id || '?t=' || frame_time_seconds // 3600 || 'h' || frame_time_seconds % 3600 // 60 || 'm' || frame_time_seconds % 60 || 's)' AS line FROM sc WHERE similarity_score::DOUBLE >= {threshold} ORDER BY position LIMIT {limit})"""
+    return domain(select, ctes)
+
+
+@q(command_sql(1.0, 10, "SELECT * FROM ln"))
 def J13_search_command(t):
-    return J.search_command(t, NOW, QUERY, exact=True, count="all").filter("line NOT LIKE '%null%'")
+    return J.search_command(t, NOW, NAME, exact=True, count="all")
+
+
+@q(command_sql(0.2, 1, f"SELECT CASE WHEN count(*) = 0 THEN 'No results found for **{NAME}**' ELSE '**Latest result for \"{NAME}\":**' || chr(10) || string_agg(line, chr(10) ORDER BY position) END AS content FROM ln"))
+def J13_search_message(t):
+    return J.search_message(t, NOW, NAME)
 
 
 @q(domain("SELECT user_id, username FROM subscriptions WHERE enabled"))
@@ -819,9 +828,9 @@ def J15_dispatch_plan(t):
     return J.dispatch_plan(t, datetime(1998, 1, 1))
 
 
-@q(domain("SELECT id, chunk_index, start_seconds, end_seconds FROM chunks WHERE vod_id = 2 AND status = 'queued'"))
+@q(domain("SELECT id, chunk_index, start_seconds, end_seconds FROM chunks WHERE vod_id = 43 AND status = 'queued'"))
 def J16_queued_chunks(t):
-    return J.queued_chunks(t, 2)
+    return J.queued_chunks(t, 43)
 
 
 @q(domain("SELECT id FROM streamers WHERE processing_enabled AND (has_vods OR id % 41 = 40 OR has_vods IS NULL) AND id % 41 >= 12 ORDER BY id % 41 DESC, id LIMIT 10"))
@@ -931,13 +940,6 @@ def C6_in_subquery(t):
 @q(ORACLES["I1_notifications"])
 def C11_stream_enrichment(t):
     """I1 over detections that arrive as files, a batch at a time, joined to the tables as they stand."""
-    path = S.shared_dir(t.spark)
-    t.detections.filter("chunk_id % 5 = 0").select("id", "username").write.parquet(path)
-    return S.notify(S.source(t.spark, path), t.subscriptions, t.channels)
-
-
-@q(ORACLES["I1_all_notifications"])
-def C11_whole_stream_enrichment(t):
     path = S.shared_dir(t.spark)
     t.detections.select("id", "username").write.parquet(path)
     return S.notify(S.source(t.spark, path), t.subscriptions, t.channels)
@@ -980,8 +982,6 @@ def E2_total_over_page(t):
 
 @q(domain("SELECT vod_id, b AS hole_start, start_seconds AS hole_end FROM (SELECT vod_id, start_seconds, coalesce(max(end_seconds) OVER (PARTITION BY vod_id ORDER BY start_seconds, end_seconds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM chunks) WHERE start_seconds > b"))
 def E5_gap_scan(t):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("vod_id").orderBy("start_seconds", "end_seconds").rowsBetween(Window.unboundedPreceding, -1)
     return t.chunks.select("vod_id", F.coalesce(F.max("end_seconds").over(w), F.lit(0)).alias("hole_start"), F.col("start_seconds").alias("hole_end")).filter("hole_end > hole_start")
 
@@ -991,13 +991,8 @@ def F2_top_groups(t):
     return V.detection_search(t).groupBy("streamer_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "streamer_id").limit(10)
 
 
-@q(domain("SELECT id, chunk_index FROM chunks WHERE vod_id % 100 = 1"))
-def F6_by_index(t):
-    return t.chunks.filter("vod_id % 100 = 1").select("id", "chunk_index").orderBy("chunk_index", "id")
-
-
 @q(domain("SELECT id, chunk_index FROM chunks"))
-def F6_all_by_index(t):
+def F6_by_index(t):
     return t.chunks.select("id", "chunk_index").orderBy("chunk_index", "id")
 
 
@@ -1044,6 +1039,14 @@ def I12_admission_full(t):
     return G.admitted(t, 50, 10, 5, by_attempts=True)
 
 
+@q(domain(f"SELECT vod_id, source_id, pending_chunks, {ACTIVE} AS active FROM pe ORDER BY mac, published_at DESC NULLS FIRST, vod_id LIMIT 5", PENDING))
+def I12_admission_near_the_limit(t):
+    """One chunk below the limit, whole recordings are taken, past it; at the limit none is."""
+    active = t.chunks.filter("status IN ('queued', 'processing')").count()
+    taken = [G.admitted(t, active + more, 10, 5, by_attempts=True) for more in (1, 0)]
+    return I.union_pages(*taken).withColumn("active", F.lit(active).cast("long"))
+
+
 @q(domain(f"SELECT id, CASE WHEN id % 5 = 0 THEN 'changed' ELSE title END AS title, CASE WHEN id % 5 = 0 THEN {NOW_SQL} ELSE published_at END AS updated_at FROM vods"))
 def I21_updated_at(t):
     base = t.vods.select("id", "title", F.col("published_at").alias("updated_at"))
@@ -1053,3 +1056,89 @@ def I21_updated_at(t):
 @q(ORACLES["I22_force_reprocess"].replace("v.id % 8 = 0", "v.id % 6 = 0"))
 def J12_force_process(t):
     return J.force_process(t, t.vods.filter("id % 6 = 0").select(F.col("id").alias("vod_id")))
+
+
+# --- the plainest functions, each by itself
+
+
+@q(domain(f"SELECT id, published_at FROM vods ORDER BY published_at DESC NULLS FIRST, id LIMIT 20 OFFSET 40"))
+def F1_ranked_page(t):
+    return t.vods.select("id", "published_at").orderBy(F.desc_nulls_first("published_at"), "id").offset(40).limit(20)
+
+
+@q(domain("SELECT streamer_id, n, r FROM (SELECT streamer_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, streamer_id)::INT AS r FROM vods GROUP BY 1) ORDER BY r LIMIT 50"))
+def F5_final_order(t):
+    """The largest groups in order; r is a row's place in the ordered output."""
+    top = t.vods.groupBy("streamer_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "streamer_id").limit(50)
+    return top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "streamer_id")))  # fifty rows
+
+
+@q("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN a * 3600 + b * 60 + c WHEN 1 THEN b * 60 WHEN 2 THEN 0 END::BIGINT AS seconds FROM (SELECT o_orderkey, o_custkey % 30 AS a, o_orderkey % 60 AS b, o_custkey % 60 AS c FROM orders)")
+def H6_parse_hms(t):
+    a, b, c = F.col("o_custkey") % 30, F.col("o_orderkey") % 60, F.col("o_custkey") % 60
+    text = F.when(F.col("o_orderkey") % 4 == 0, F.format_string("%dh%dm%ds", a, b, c)).when(F.col("o_orderkey") % 4 == 1, F.format_string("about %dm", b)).when(F.col("o_orderkey") % 4 == 2, "no time")
+    return t.orders.select("o_orderkey", C.parse_hms(text).alias("seconds"))
+
+
+@q(domain("SELECT d.id, epoch(v.published_at + to_seconds(d.frame_time_seconds))::BIGINT AS at FROM detections d JOIN vods v ON v.id = d.vod_id"))
+def H7_epoch_seconds(t):
+    v = t.vods.select(F.col("id").alias("vod_id"), "published_at")
+    return t.detections.join(v, "vod_id").select("id", C.epoch_seconds(C.plus_seconds(F.col("published_at"), F.col("frame_time_seconds"))).alias("at"))
+
+
+@q("SELECT p_partkey, lower(p_name) AS low, contains(lower(p_type), 'steel') AS steel FROM part")
+def H9_lower_contains(t):
+    return t.part.select("p_partkey", F.lower("p_name").alias("low"), F.contains(F.lower("p_type"), F.lit("steel")).alias("steel"))
+
+
+@q(domain("SELECT id, coalesce(quality, status) AS c, nullif(status, 'pending') AS n, CASE WHEN quality IS NULL THEN 'none' WHEN quality = '480p' THEN 'high' ELSE 'low' END AS k FROM chunks"))
+def H11_null_handling(t):
+    q_ = F.col("quality")
+    return t.chunks.select("id", F.coalesce(q_, "status").alias("c"), F.nullif(F.col("status"), F.lit("pending")).alias("n"), F.when(q_.isNull(), "none").when(q_ == "480p", "high").otherwise("low").alias("k"))
+
+
+@q("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, ((round(l_extendedprice * 100)::BIGINT * 2 + 8) // 16) / 100.0::DOUBLE AS r FROM lineitem")
+def H12_round_half_away(t):
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.round(price / F.lit(8).cast("decimal(18,0)"), 2).cast("double").alias("r"))
+
+
+@q(domain("SELECT id, len(chapters) AS n, chapters[1] AS first, chapters[len(chapters)] AS last, chapters[9] AS beyond, [id, duration_seconds] AS built FROM vods"))
+def H13_arrays(t):
+    c = F.col("chapters")
+    n = F.when(c.isNotNull(), F.size(c)).cast("long")
+    return t.vods.select("id", n.alias("n"), F.get(c, F.lit(0)).alias("first"), F.get(c, (n - 1).cast("int")).alias("last"), F.get(c, F.lit(8)).alias("beyond"), F.array("id", F.col("duration_seconds").cast("long")).alias("built"))
+
+
+@q("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN (props::JSON->>'k')::BIGINT END AS k FROM events")
+def H15_json_parse(t):
+    """A body that is no JSON gives nulls."""
+    body = F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.col("props"))
+    return t.events.select("event_id", F.from_json(body, "k bigint")["k"].alias("k"))
+
+
+@q(domain("SELECT id, 'chunk ' || id || ' of ' || vod_id || ' is ' || status AS text FROM chunks"))
+def H16_format(t):
+    return t.chunks.select("id", F.format_string("chunk %d of %d is %s", "id", "vod_id", "status").alias("text"))
+
+
+@q(domain(f"SELECT count(*) AS rows, count(*) AS ids, count(*) AS well_formed, {NOW_SQL} AS now FROM chunks"))
+def H22_default_ids_and_clock(t):
+    """A new id for each chunk: all different, all version 4; the clock is given."""
+    rows = t.chunks.select(F.uuid().alias("u"))
+    good = F.col("u").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("u").alias("ids"), F.count_if(good).alias("well_formed")).withColumn("now", F.lit(NOW).cast("timestamp_ntz"))
+
+
+@q("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 10 WHEN 1 THEN 10 WHEN 2 THEN user_id::INT ELSE 1 END AS n FROM events")
+def H25_result_count(t):
+    i = F.col("event_id") % 4
+    return t.events.select("event_id", C.result_count(F.when(i == 0, "all").when(i == 1, "ALL").when(i == 2, F.col("user_id").cast("string")).otherwise("some")).alias("n"))
+
+
+@q("SELECT vec_id, round(1 - least(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: CASE WHEN i % 2 = 1 THEN pow(e.embedding[i]::DOUBLE - z.embedding[i]::DOUBLE, 2) ELSE 0 END)) / (len(e.embedding) * 4.0), 1.0), 6) AS confidence FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) z")
+def K2_masked_confidence(t):
+    """Every second element masked out: it adds no difference, but counts in what is possible."""
+    z = t.embeddings.filter("vec_id = 0").select(F.col("embedding").alias("z"))
+    mask = F.transform("embedding", lambda x, i: F.when(i % 2 == 0, 1.0).otherwise(0.0))
+    return t.embeddings.crossJoin(F.broadcast(z)).select("vec_id", F.round(K.difference_confidence(F.col("embedding"), F.col("z"), 2.0, mask), 6).alias("confidence"))  # one row

@@ -71,9 +71,9 @@ def first_seen(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return newest_per_key(df, key, order, 1)
 
 
-def append_detections(df: DataFrame, path: str) -> None:
-    """Appends the rows that have a username."""
-    df.filter(F.col("username").isNotNull()).write.mode("append").parquet(path)
+def append_detections(df: DataFrame, path: str, batch: str | int) -> None:
+    """Appends the rows that have a username as a batch; a batch that is written again replaces itself."""
+    df.filter(F.col("username").isNotNull()).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def merge_snapshot(base: DataFrame, updates: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:

@@ -32,15 +32,14 @@ def test_entry_and_names(spark):
 
 def test_whole_values_are_cleaned(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("text IS NOT NULL")
-    got = catalog.QUERIES["H8_clean_words"](spark, SF)
+    got = catalog.QUERIES["H8_clean_username"](spark, SF)
     assert got.agg({"n": "sum"}).head()[0] == sum(len(r.text.encode().split()) for r in docs.collect())
-    cut = catalog.QUERIES["H8_clean_username"](spark, SF).filter("name IS NOT NULL")
-    assert catalog.QUERIES["H8_clean_whole_texts"](spark, SF).filter("name IS NULL").join(cut, "doc_id").count() > 0
+    assert catalog.QUERIES["H8_clean_whole_texts"](spark, SF).filter("name IS NULL").count() > 0
 
 
 def test_toggles_start_from_the_subscriptions_there_are(spark):
     old = {(r.user_id, r.username): r for r in catalog.T.Tables(spark, SF).subscriptions.collect()}
-    new = {(r.user_id, r.username): r for r in catalog.QUERIES["I17_known_subscription_toggles"](spark, SF).collect()}
+    new = {(r.user_id, r.username): r for r in catalog.QUERIES["I17_subscription_toggles"](spark, SF).collect()}
     assert old.keys() < new.keys()
     same_row = lambda a, b: (a.enabled, a.notify_type, a.guild_id) == (b.enabled, b.notify_type, b.guild_id)
     both = [(old[k], new[k]) for k in old]
@@ -51,13 +50,50 @@ def test_toggles_start_from_the_subscriptions_there_are(spark):
 
 def test_no_chunk_or_detection_is_left_out(spark):
     t = catalog.T.Tables(spark, SF)
-    chunks = t.chunks.filter("end_seconds > start_seconds").count()
-    assert catalog.QUERIES["E7_all_frame_clocks"](spark, SF).select("id").distinct().count() == chunks
+    assert catalog.QUERIES["E7_frame_clock"](spark, SF).count() == t.chunks.filter("end_seconds > start_seconds").count()
     few = t.chunks.filter("chunk_index > 0").orderBy("id").limit(3)
     want = sorted((r.id, k, r.start_seconds + 2 * k) for r in few.collect() for k in range((r.end_seconds - r.start_seconds) // 2))
     assert sorted(map(tuple, catalog.A.frame_times(few, 0.5).collect())) == want
-    assert catalog.QUERIES["F6_all_by_index"](spark, SF).count() == t.chunks.count()
-    hit = catalog.QUERIES["I1_all_notifications"](spark, SF).select("detection_id").distinct()
+    assert catalog.QUERIES["F6_by_index"](spark, SF).count() == t.chunks.count()
+    hit = catalog.QUERIES["I1_notifications"](spark, SF).select("detection_id").distinct()
     lines = t.detections.withColumnRenamed("id", "detection_id").join(hit, "detection_id").selectExpr("chunk_id % 10 AS line").distinct()
     assert lines.count() > 1
-    assert catalog.QUERIES["J11_simulate_whole_plan"](spark, SF).filter("vod_id % 2 = 0").count() > 0
+    assert catalog.QUERIES["J11_simulate_plan"](spark, SF).filter("vod_id % 2 = 0").count() > 0
+
+
+@pytest.mark.parametrize("name", ["J7_pending_chunks", "J16_queued_chunks", "I12_admission_near_the_limit", "J13_search_command", "I11_expired_leases", "J10_auto_queue_switch"])
+def test_compared_queries_are_not_empty(con, name):
+    assert len(con.execute(catalog.ORACLES[name]).fetchall()) > 0
+
+
+def test_answers_to_a_search(spark):
+    t, J = catalog.T.Tables(spark, SF), catalog.J
+    lines = [r.line for r in J.search_command(t, catalog.NOW, catalog.NAME, exact=True, count="all").orderBy("position").collect()]
+    assert any("<t:0:f>" in x for x in lines)  # no date
+    assert all(x.startswith("**Customer#") and "h" in x.rsplit("?t=")[1] and "None" not in x and "null" not in x for x in lines)
+    many = J.search_message(t, catalog.NOW, catalog.NAME, exact=True, count="all").collect()
+    assert [r.content for r in many] == [f'**Results for "{catalog.NAME}":**\n' + "\n".join(lines)]
+    assert [r.content for r in J.search_message(t, catalog.NOW, "nobody at all").collect()] == ["No results found for **nobody at all**"]
+
+
+def test_a_batch_that_is_written_again_replaces_itself(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, username string")
+    for batch in ("x", "y", "x"):
+        catalog.T.append_detections(rows, str(tmp_path / "d"), batch)
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 2
+
+
+def test_thinning_streams_any_number_of_times(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(r.choice(["a", "b", None]), r.randrange(5000) if r.random() > 0.01 else None) for _ in range(8000)]
+    want = []
+    for key in ("a", "b", None):
+        last = 0
+        for x in sorted({t for k, t in rows if k == key and t is not None}):
+            if x - last >= 10:
+                last = x
+                want.append((key, x))
+    got = [tuple(x) for x in catalog.A.thin(spark.createDataFrame(rows, "k string, ts int"), "k", "ts").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
