@@ -4,6 +4,7 @@ import random
 import zlib
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -11,11 +12,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rillmark.llm import mixing, packing, warc
+from rillmark.llm import mixing, packing, quality_rules, warc
 from rillmark.llm.near_dedup import near_duplicates
 from rillmark.llm.queries import ORACLES, QUERIES, public_bpe
 
 from ..compare import connection, same
+from .test_dedup import BLANKS, components
+from .test_models import counts as plain_counts
 
 
 def test_ids_are_those_of_the_tokenizers_library(docs):
@@ -44,9 +47,9 @@ def test_packed_ids_are_those_of_the_json_as_it_is(spark, tmp_path):
     assert got == want
 
 
-def cheapest(at, cost, window):
-    """All ways to cut, tried one by one."""
-    price = lambda n: 0 if n == window else packing.SHORT if n & (n - 1) == 0 else window - n
+def cheapest(at, cost, window, smallest=1):
+    """All ways to cut, tried one by one; powers of two below smallest are lengths like any other."""
+    price = lambda n: 0 if n == window else packing.SHORT if n & (n - 1) == 0 and n >= smallest else window - n
     best = None
     inner = at[1:-1]
     for k in range(len(inner) + 1):
@@ -59,19 +62,22 @@ def cheapest(at, cost, window):
     return best
 
 
-def test_best_cuts_are_cheapest():
+@pytest.mark.parametrize("all_powers", [True, False])
+def test_best_cuts_are_cheapest(all_powers):
+    """With all powers of two, as in a partition's last block, and with the three largest alone, as before it."""
     r = random.Random(5)
-    price = lambda n, w: min(w - n, packing.SHORT if n & (n - 1) == 0 else w)
-    for _ in range(150):
+    for _ in range(200):
         window = r.choice([8, 64, 256])
+        smallest = 1 if all_powers else window // 8
+        price = lambda n: min(window - n, packing.SHORT if n & (n - 1) == 0 and n >= smallest else window)  # noqa: E731, B023
         at = [0]
         for _ in range(r.randrange(1, 9)):
-            at.append(at[-1] + r.randrange(1, window + 1))
+            at.append(at[-1] + min(window, r.choice([r.randrange(1, window + 1), window // 2, window // 4, window // 8, window // 16 or 1])))
         cost = [0] + [r.choice([0, 2, 24]) for _ in at[1:-1]] + [0]
-        cuts = packing.best_cuts(np.array(at), np.array(cost, float), window, 0)
+        cuts = packing.best_cuts(np.array(at), np.array(cost, float), window, *([0] if all_powers else []))
         assert cuts[0] == 0 and cuts[-1] == at[-1] and set(cuts) <= set(at)
-        total = sum(price(b - a, window) for a, b in zip(cuts, cuts[1:])) + sum(cost[at.index(c)] for c in cuts[1:-1])
-        assert total == pytest.approx(cheapest(at, cost, window))
+        total = sum(price(b - a) for a, b in zip(cuts, cuts[1:])) + sum(cost[at.index(c)] for c in cuts[1:-1])
+        assert total == pytest.approx(cheapest(at, cost, window, smallest))
 
 
 def check_packing(rows, texts, encode, window=2048):
@@ -232,3 +238,44 @@ def test_pipeline_stages_keep_what_they_should(spark, docs, odd):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, sf).count()
         stage(spark, odd.limit(0), sf).count()
+
+
+def test_pipeline_equals_brute_force(spark, docs, labels):
+    """Every stage of a run against a plain loop, or the mixing's SQL, over what the stage before kept."""
+    sf = "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    rules = quality_rules.fit_rules(docs, labels)
+    now = docs.collect()
+    stats = {r.doc_id: r for r in quality_rules.with_counts(docs, "text").select("doc_id", *(c.alias(f) for f, c in quality_rules.features().items())).collect()}
+
+    def good(r):
+        n, _, _, _, again = plain_counts(r.text or "")
+        x = {f: np.array([float(stats[r.doc_id][f])]) for f in quality_rules.RATIOS}
+        return n >= 50 and 100 * again <= 50 * n and not any(rule.holds(x)[0] for rule in rules)
+
+    out = stages["quality rules"](spark, docs, sf)
+    kept = [r for r in now if good(r)]
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in kept)
+
+    total, pages = {}, {}
+    for r in kept:
+        total[r.source or ""] = total.get(r.source or "", 0) + 1
+        for x in {x.strip(BLANKS) for x in (r.text or "").split("\n")} - {""}:
+            pages.setdefault((r.source or "", x), set()).add(r.text)
+    bad = {k for k, c in pages.items() if len(c) >= 3 and len(c) > 0.01 * total[k[0]]}
+    text = {r.doc_id: "\n".join(x for x in r.text.split("\n") if (r.source or "", x.strip(BLANKS)) not in bad) for r in kept}
+    out = stages["line dedup"](spark, out, sf).cache()
+    assert {r.doc_id: r.text for r in out.collect()} == text
+
+    firsts = {i for i, _, c in components(list(text.items()), 5, 4, 5) if c == i}
+    out = stages["near dedup"](spark, out, sf).cache()
+    assert {r.doc_id for r in out.collect()} == firsts
+
+    con = duckdb.connect()
+    con.register("documents", out.toArrow())
+    want = {r[0] for r in con.execute(ORACLES["op6_mixing"]).fetchall() if r[4]}
+    out = stages["mixing"](spark, out, sf).cache()
+    assert {r.doc_id for r in out.collect()} == want
+
+    rows = stages["packing"](spark, out, sf).withColumnRenamed("doc_id", "id").collect()
+    check_packing(rows, [(r.doc_id, r.text) for r in out.collect()], public_bpe()[0])

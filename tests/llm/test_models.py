@@ -177,6 +177,19 @@ def test_codewords_lie_apart():
         assert far >= max(1, code.shape[1] // 4)
 
 
+def test_decoding_equals_a_naive_loop(docs):
+    """For every language, the trust-weighted logistic loss of each bit against its codeword, one by one."""
+    rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL").orderBy("doc_id").limit(120).collect()
+    m = langid.fit([r.text for r in rows], [r.lang for r in rows])
+    texts = [r.text for r in rows[:10]] + ["x", "und nicht"]
+    got = m.probabilities(np.stack([langid.profile(t) for t in texts]))
+    for t, p in zip(texts, got):
+        margin = [float(sum(langid.profile(t) * m.w[:, j]) + m.b[j]) for j in range(m.code.shape[1])]
+        loss = [sum(float(m.trust[j]) * np.log1p(np.exp(-margin[j] * int(m.code[k, j]))) for j in range(len(margin))) for k in range(len(m.langs))]
+        share = np.exp(-np.array(loss))
+        assert np.allclose(p, share / share.sum(), atol=1e-4) and int(p.argmax()) == int(np.argmin(loss))
+
+
 def test_language_of_odd_rows(odd, none, docs):
     model = langid.fit_languages(docs)
     got = {r.id: r for r in langid.identify(odd, model).collect()}
@@ -219,6 +232,17 @@ def test_rules_find_planted_thresholds():
     assert Q.learn(x, np.zeros(3000, bool)) == [] and Q.learn({k: v[:0] for k, v in x.items()}, bad[:0]) == []
 
 
+def test_rules_as_a_case_expression_say_what_they_hold(docs, labels):
+    rules = Q.fit_rules(docs, labels)
+    assert rules
+    got = Q.quality_verdicts(docs, rules).select("__rule", *(c.alias(f) for f, c in Q.features().items())).collect()
+    x = {f: np.array([r[f] for r in got], float) for f in Q.RATIOS}
+    first = np.zeros(len(got), int)
+    for i, rule in reversed(list(enumerate(rules, 1))):
+        first[rule.holds(x)] = i
+    assert [r["__rule"] or 0 for r in got] == first.tolist() and first.any()
+
+
 def test_quality_keeps_clean_and_odd_rows(odd, none, docs, labels):
     rules = Q.fit_rules(docs, labels)
     got = Q.quality_verdicts(docs, rules).join(labels, "doc_id").collect()
