@@ -43,8 +43,12 @@ def topic(text: Column, words: list[str]) -> Column:
     if not words:
         return F.lit(OTHER)
     hits = F.filter(_letters(text), lambda w: w.isin(words))
-    counted = [F.struct(F.size(F.array_remove(hits, w)).alias("others"), F.lit(i).alias("at"), F.lit(w).alias("word")) for i, w in enumerate(words)]
-    return F.when(F.size(hits) == 0, F.lit(OTHER)).otherwise(F.array_min(F.array(*counted))["word"])
+
+    def best(h: Column) -> Column:
+        counted = [F.struct(F.size(F.array_remove(h, w)).alias("others"), F.lit(i).alias("at"), F.lit(w).alias("word")) for i, w in enumerate(words)]
+        return F.when(F.size(h) == 0, F.lit(OTHER)).otherwise(F.array_min(F.array(*counted))["word"])
+
+    return F.transform(F.array(hits), best)[0]  # within a lambda, the words are looked for once
 
 
 def tokens(text: Column) -> Column:
