@@ -82,3 +82,17 @@ def test_interval_and_count_texts(spark):
 def test_ratio_guards_zero(spark):
     df = spark.createDataFrame([(1, 3), (5, 0), (1, 8)], "a long, n long")
     assert [float(r[0]) for r in df.select(C.ratio(F.col("a"), F.col("n"))).collect()] == [0.33, 0.0, 0.13]
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from rillmark.streaming.jobs import shared_dir
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("spark://host:7077", "hdfs:///shared")).startswith("hdfs:///shared/")
+    assert shared_dir(session("local[*]", None))
+    with pytest.raises(ValueError):
+        shared_dir(session("yarn", None))
