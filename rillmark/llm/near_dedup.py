@@ -165,10 +165,14 @@ def _loose_pairs(member: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     kind = member.schema["node"].dataType.simpleString()
     undecided = _split(member)
     nodes = staged(undecided.select("node", "n", "component").distinct(), "near-undecided")
+    if nodes.isEmpty():
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
     each = nodes.join(sets, nodes["node"] == sets["id"]).select("node", "n", "shingles").mapInArrow(_spread(kind, 2), f"node {kind}, n bigint, shingle bigint")
     common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").select("shingle")
     able = each.join(common, "shingle").groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") * den >= F.col("n") * num).select("node")
     live = staged(_split(undecided.join(able, "node", "left_semi")), "near-live")
+    if live.isEmpty():
+        return live.select(F.col("node").alias("a"), F.col("node").alias("b"))
 
     firsts = live.groupBy("bucket").agg(F.min("node").alias("a"))
     groups = connected_components(live.join(firsts, "bucket").select("a", F.col("node").alias("b")).distinct())
@@ -193,16 +197,18 @@ def _loose_pairs(member: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     w = Window.partitionBy("node")
     at = F.col("d") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("f", "shingle")) - 1
     slack = F.col("d") * whole + F.col("n") * rest - 2 * whole * at  # the largest k of a partner that first meets here
-    posts = staged(posts.join(often, ["grp", "shingle"]).withColumn("slack", slack).select("grp", "shingle", "node", "component", "out", "k", "slack"), "near-posts")
+    every = staged(posts.join(often, ["grp", "shingle"]).withColumn("slack", slack).select("grp", "shingle", "node", "component", "out", "k", "slack"), "near-posts")
     of_out = lambda c: F.when(F.col("out"), F.col(c))
-    seen = posts.groupBy("grp", "shingle").agg(F.min("k").alias("k0"), F.max("slack").alias("s0"), F.min(of_out("k")).alias("k1"), F.max(of_out("slack")).alias("s1"))
+    seen = every.groupBy("grp", "shingle").agg(F.min("k").alias("k0"), F.max("slack").alias("s0"), F.min(of_out("k")).alias("k1"), F.max(of_out("slack")).alias("s1"))
     low, high = F.when(F.col("out"), F.col("k0")).otherwise(F.col("k1")), F.when(F.col("out"), F.col("s0")).otherwise(F.col("s1"))
-    posts = posts.join(seen, ["grp", "shingle"]).filter((F.col("slack") >= low) & (F.col("k") <= high)).select("grp", "shingle", "node", "component", "out", "k", "slack")
+    posts = every.join(seen, ["grp", "shingle"]).filter((F.col("slack") >= low) & (F.col("k") <= high)).select("grp", "shingle", "node", "component", "out", "k", "slack")
     posts = staged(posts, "near-posts")
     few = posts.filter("out").select("grp", "shingle", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("k").alias("pk"), F.col("slack").alias("ps"))
     meet = (F.col("component") != F.col("pc")) & (F.col("slack") >= F.col("pk")) & (F.col("ps") >= F.col("k")) & (~F.col("out") | (F.col("p") < F.col("node")))
     pairs = posts.join(few, ["grp", "shingle"]).filter(meet).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
-    return staged(hub_pairs.unionByName(pairs).distinct(), "near-loose")
+    out = staged(hub_pairs.unionByName(pairs).distinct(), "near-loose")
+    discard(nodes, live, own, diff, near, every, posts)
+    return out
 
 
 def near_duplicates(

@@ -341,3 +341,18 @@ def test_labelled_sample_is_the_smallest_hashes(spark):
     got = [r.id for r in labelled_sample(rows, "id", "y", 100, True).collect()]
     want = rows.filter("id >= 50").filter(~held_out("id")).orderBy(F.xxhash64("id")).limit(100).collect()
     assert sorted(got) == sorted(r.id for r in want)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from rillmark.llm.common import shared_dir
+
+    def session(master, folder):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=context)
+
+    assert shared_dir(session("spark://host:7077", "hdfs:///shared")) == "hdfs:///shared"
+    assert shared_dir(session("local[4]", None))
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://host:7077", None))
