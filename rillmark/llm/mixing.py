@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,13 +85,13 @@ def _class_targets(cells: DataFrame, dim: str, target: Target, budget: float, st
     return classes.select(dim, F.least(F.col("has").cast("double"), F.col("weight") * scale).alias(f"t_{dim}"))
 
 
-def rake(cells: DataFrame, targets: dict[str, Target], rate: float, rounds: int = 25, tolerance: float = 1e-3) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, Target], rate: float, rounds: int = 25, tolerance: float = 1e-3, every: int = 5) -> DataFrame:
     """cells (dims..., tokens) with keep, the expected tokens kept of a cell, and residual.
 
     Iterative proportional fitting within bounds: from rate * tokens, each round scales every dimension's classes in
-    turn to their targets (_class_targets), then cuts what exceeds a cell's tokens. It stops when every class is within
-    tolerance of its target, or after rounds; residual is the largest relative distance left, the same in each row.
-    A class's sum is a partial aggregate joined back to its cells, so no class meets in one task.
+    turn to their targets (_class_targets), then cuts what exceeds a cell's tokens. Every few rounds it looks whether all
+    classes are within tolerance of their targets, and stops if so, or after rounds; residual is the largest relative
+    distance left, the same in each row. A class's sum is a partial aggregate joined back to its cells, so no class meets in one task.
     """
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     now = cells.withColumn("keep", F.col("tokens") * float(rate))
@@ -98,13 +100,11 @@ def rake(cells: DataFrame, targets: dict[str, Target], rate: float, rounds: int
     now, columns = staged(now, "raked"), now.columns
     residual = 0.0
     for step in range(rounds + 1):
-        apart = [now.groupBy(dim).agg(F.sum("keep").alias("own"), F.first(f"t_{dim}").alias("t")).select(F.when(F.col("t") > 0, F.abs(F.col("own") / F.col("t") - 1)).otherwise(0.0).alias("off")) for dim in targets]
-        worst = apart[0]
-        for more in apart[1:]:
-            worst = worst.unionByName(more)
-        residual = worst.agg(F.coalesce(F.max("off"), F.lit(0.0))).first()[0]
-        if residual <= tolerance or step == rounds:
-            break
+        if step % every == 0 or step == rounds:
+            apart = [now.groupBy(dim).agg(F.sum("keep").alias("own"), F.first(f"t_{dim}").alias("t")).select(F.when(F.col("t") > 0, F.abs(F.col("own") / F.col("t") - 1)).otherwise(0.0).alias("off")) for dim in targets]
+            residual = reduce(DataFrame.unionByName, apart).agg(F.coalesce(F.max("off"), F.lit(0.0))).first()[0]
+            if residual <= tolerance or step == rounds:
+                break
         start = now
         for dim in targets:
             own = now.groupBy(dim).agg(F.sum("keep").alias("own"))
@@ -115,7 +115,7 @@ def rake(cells: DataFrame, targets: dict[str, Target], rate: float, rounds: int
     return now.select(*cells.columns, "keep").withColumn("residual", F.lit(float(residual)))
 
 
-def mix(docs: DataFrame, targets: dict[str, Target], dims: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rate: float = 0.5, rounds: int = 25, tolerance: float = 1e-3) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, Target], dims: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rate: float = 0.5, rounds: int = 25, tolerance: float = 1e-3, every: int = 5) -> DataFrame:
     """docs with __tokens, __p, __residual and __kept: a sample whose token weights follow the targets.
 
     dims: the classes of a document by dimension; a null class is OTHER. Tokens are summed by cell (a combination of
@@ -130,7 +130,7 @@ def mix(docs: DataFrame, targets: dict[str, Target], dims: dict[str, Column], id
     names = {d: f"__d_{d}" for d in dims}
     rows = docs.withColumns({names[d]: F.coalesce(c.cast("string"), F.lit(OTHER)) for d, c in dims.items()} | {"__tokens": tokens(F.col(text_col))})
     cells = staged(rows.groupBy(*(F.col(v).alias(d) for d, v in names.items())).agg(F.sum("__tokens").alias("tokens")), "cells")
-    found = rake(cells, targets, rate, rounds, tolerance)
+    found = rake(cells, targets, rate, rounds, tolerance, every)
     found = found.select(*(F.col(d).alias(v) for d, v in names.items()), (F.col("keep") / F.col("tokens")).alias("__p"), F.col("residual").alias("__residual"))
     out = rows.join(found, list(names.values()), "left")
     return out.withColumn("__kept", chance(id_col) < F.col("__p")).select(*docs.columns, "__tokens", "__p", "__residual", "__kept")

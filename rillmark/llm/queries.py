@@ -125,14 +125,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The mixture that the mixing query and the pipeline aim at: sources alike, large languages and topics held back.
 TARGETS = {"source": None, "lang": 0.7, "topic": 0.9}
-RATE, ROUNDS, TOLERANCE, TOPICS = 0.5, 25, 0.001, 3
+RATE, ROUNDS, EVERY, TOLERANCE, TOPICS = 0.5, 25, 5, 0.001, 3
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     from .mixing import mix, topic, topic_words
 
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"), topic_words(docs, F.col("lang"), k=TOPICS))}
-    return mix(docs, TARGETS, dims, rate=RATE, rounds=ROUNDS, tolerance=TOLERANCE)
+    return mix(docs, TARGETS, dims, rate=RATE, rounds=ROUNDS, tolerance=TOLERANCE, every=EVERY)
 
 
 @query
@@ -160,10 +160,11 @@ s_{d} AS (SELECT arg_min(({RATE} * (SELECT sum(tokens) FROM c) - used) / free, n
 t_{d} AS (SELECT {d}, least(has, w * coalesce(scale, 1e300)) AS t_{d} FROM h_{d}, s_{d})""")
     steps, last = [], "w0"
     for i in range(ROUNDS):
-        own = ", ".join(f"sum(keep) OVER (PARTITION BY {d}) AS own_{d}" for d in dims)
-        off = ", ".join(f"CASE WHEN t_{d} > 0 THEN abs(own_{d} / t_{d} - 1) ELSE 0 END" for d in dims)
-        steps.append(f"r{i} AS (SELECT * EXCLUDE ({', '.join(f'own_{d}' for d in dims)}) REPLACE (max(greatest({off})) OVER () AS res) FROM (SELECT *, {own} FROM {last}))")
-        last = f"r{i}"
+        if i % EVERY == 0:
+            own = ", ".join(f"sum(keep) OVER (PARTITION BY {d}) AS own_{d}" for d in dims)
+            off = ", ".join(f"CASE WHEN t_{d} > 0 THEN abs(own_{d} / t_{d} - 1) ELSE 0 END" for d in dims)
+            steps.append(f"r{i} AS (SELECT * EXCLUDE ({', '.join(f'own_{d}' for d in dims)}) REPLACE (max(greatest({off})) OVER () AS res) FROM (SELECT *, {own} FROM {last}))")
+            last = f"r{i}"
         for d in dims:
             steps.append(f"r{i}_{d} AS (SELECT * EXCLUDE (own) REPLACE (CASE WHEN res <= {TOLERANCE} THEN keep WHEN own > 0 THEN keep * t_{d} / own ELSE 0 END AS keep) FROM (SELECT *, sum(keep) OVER (PARTITION BY {d}) AS own FROM {last}))")
             last = f"r{i}_{d}"
