@@ -29,7 +29,7 @@ PART, STEP = 64, 32
 #: Marks a cut end of a part; no byte of UTF-8.
 _CUT = b"\xff"
 #: The inputs of so many bytes of words are computed at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_~`"
 
 
