@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .scan import running
 from .views import detection_search, eligible_vods
 
 #: The statuses of chunks, in the order of their columns.
@@ -118,9 +119,8 @@ def histogram(df: DataFrame, by: list[str], col: str, bounds: list[float] = BOUN
 
 
 def gauge(df: DataFrame, key: str, order: list[str], delta: str) -> DataFrame:
-    """df with value: the running sum of delta of each key."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("value", F.sum(delta).over(w))
+    """df with value: the running sum of delta of each key; order tells a key's rows apart."""
+    return running(df, [key], order, {"value": ("sum", delta)})
 
 
 def refresh_streamers(feed: DataFrame) -> DataFrame:
@@ -156,8 +156,8 @@ def with_total(page: DataFrame, everything: DataFrame) -> DataFrame:
 def allocate_index(new: DataFrame, old: DataFrame, key: str, order: list[str], index: str = "chunk_index") -> DataFrame:
     """new with the indexes that follow each key's highest, in order."""
     last = old.groupBy(key).agg(F.max(index).alias("__last"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return new.join(last, key, "left").withColumn(index, F.coalesce("__last", F.lit(-1)) + rank).drop("__last")
+    ranked = running(new, [key], order, {"__nth": ("count", key)})
+    return ranked.join(last, key, "left").withColumn(index, F.coalesce("__last", F.lit(-1)) + F.col("__nth")).drop("__last", "__nth")
 
 
 def thin(frames: DataFrame, key: str, ts: str, gap: int = 10) -> DataFrame:

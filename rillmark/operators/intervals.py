@@ -5,28 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running
+
 TARGET, MIN_GAP, LEGACY_MIN = 3600, 300, 600
 
 
 def intervals_from_markers(markers: DataFrame, key: str, position_ms: str, order: str, length: str, wanted: str) -> DataFrame:
     """(key, start_seconds, end_seconds) of markers where wanted holds: each ends where the key's next one of any kind begins."""
-    w = Window.partitionBy(key).orderBy(position_ms, order)
     seconds = lambda c: F.floor(c / 1000)
-    end = F.coalesce(seconds(F.lead(position_ms).over(w)), F.col(length).cast("long"))
-    rows = markers.withColumn("start_seconds", seconds(F.col(position_ms))).withColumn("end_seconds", end)
+    end = F.coalesce(seconds(F.col("__next")), F.col(length).cast("long"))
+    rows = running(markers, [key], [position_ms, order], {"__next": ("next", position_ms)}).withColumn("start_seconds", seconds(F.col(position_ms))).withColumn("end_seconds", end)
     return rows.filter(wanted).select(key, "start_seconds", "end_seconds")
 
 
 def range_agg(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """The union of each key's half-open ranges: overlapping and adjacent ones become one; empty ones go."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = df.filter(F.col(end) > F.col(start)).select(key, start, end)
-    rows = rows.withColumn("__new", F.when(F.col(start) <= before, 0).otherwise(1))
-    rows = rows.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = running(rows, [key], [start, end], {"__before": ("max_before", end)}, keep_block=True)
+    rows = rows.withColumn("__new", F.when(F.col(start) <= F.col("__before"), 0).otherwise(1))
+    rows = running(rows, [key], [start, end], {"__island": ("sum", "__new")})
     return rows.groupBy(key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 
+def holes(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, hole_start, hole_end): what lies uncovered before each range of a key, from 0 on."""
+    rows = running(df.select(key, start, end), [key], [start, end], {"__before": ("max_before", end)})
+    return rows.select(key, F.coalesce("__before", F.lit(0)).alias("hole_start"), F.col(start).alias("hole_end")).filter("hole_end > hole_start")
+
+
 def segments(vods: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
     """(vod_id, segment, segment_start, segment_end): chapter pairs clamped to the recording, short and empty ones left out.
 
@@ -52,8 +58,8 @@ def subtract_ranges(seg: DataFrame, covered: DataFrame) -> DataFrame:
     keys = ["vod_id", "segment", "segment_start", "segment_end"]
     cut = cut.select(*keys, F.greatest("start_seconds", "segment_start").alias("s"), F.least("end_seconds", "segment_end").alias("e"))
     rows = cut.unionByName(seg.select(*keys, F.col("segment_end").alias("s"), F.col("segment_end").alias("e")))
-    w = Window.partitionBy("vod_id", "segment").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("gap_start", F.coalesce(F.max("e").over(w), F.col("segment_start")))
+    rows = running(rows, ["vod_id", "segment"], ["s", "e"], {"__before": ("max_before", "e")})
+    rows = rows.withColumn("gap_start", F.coalesce("__before", F.col("segment_start")))
     return rows.filter("s > gap_start").select(*keys, "gap_start", F.col("s").alias("gap_end"))
 
 
@@ -136,8 +142,8 @@ def legacy_chunks(t, longest: int = 3600) -> DataFrame:
 
 def overlap_violations(chunks: DataFrame) -> DataFrame:
     """Chunks that begin before an earlier one of their recording has ended."""
-    w = Window.partitionBy("vod_id").orderBy("start_seconds", "end_seconds", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("__b", F.max("end_seconds").over(w)).filter("start_seconds < __b").select("vod_id", "id", "start_seconds", F.col("__b").alias("covered_to"))
+    rows = running(chunks, ["vod_id"], ["start_seconds", "end_seconds", "id"], {"__b": ("max_before", "end_seconds")})
+    return rows.filter("start_seconds < __b").select("vod_id", "id", "start_seconds", F.col("__b").alias("covered_to"))
 
 
 def coverage(t) -> DataFrame:

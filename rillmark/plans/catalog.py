@@ -982,8 +982,7 @@ def E2_total_over_page(t):
 
 @q(domain("SELECT vod_id, b AS hole_start, start_seconds AS hole_end FROM (SELECT vod_id, start_seconds, coalesce(max(end_seconds) OVER (PARTITION BY vod_id ORDER BY start_seconds, end_seconds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM chunks) WHERE start_seconds > b"))
 def E5_gap_scan(t):
-    w = Window.partitionBy("vod_id").orderBy("start_seconds", "end_seconds").rowsBetween(Window.unboundedPreceding, -1)
-    return t.chunks.select("vod_id", F.coalesce(F.max("end_seconds").over(w), F.lit(0)).alias("hole_start"), F.col("start_seconds").alias("hole_end")).filter("hole_end > hole_start")
+    return I.holes(t.chunks, "vod_id", "start_seconds", "end_seconds")
 
 
 @q(domain("SELECT streamer_id, count(*) AS n FROM ds GROUP BY 1 ORDER BY n DESC, streamer_id LIMIT 10", search_cte()))

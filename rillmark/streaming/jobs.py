@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,15 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import changes
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder where all executors can write: under spark.checkpoint.dir, or a temporary one where none is set and Spark runs in one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = base or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+from ..sources.staging import shared_dir
 
 
 def source(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
