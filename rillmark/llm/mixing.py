@@ -7,8 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from ..operators.scan import running_sums
+from .common import discard, refuse, staged, whole
 
+#: Up to so many cells are raked in one task, and so many at a time are broadcast to the documents.
+SMALL_CELLS, BROADCAST_CELLS = 50_000, 200_000
+#: Raking goes on while the residual falls by this share at least from one look to the next.
+PROGRESS = 0.01
 #: The part of a hash that a sampling decision uses: 13 hexadecimal digits, which a double holds exactly.
 HEX = 13
 OTHER = "other"
@@ -63,74 +68,88 @@ def chance(id_col: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, HEX), 16, 10).cast("double") / float(16**HEX)
 
 
-def _class_targets(cells: DataFrame, dim: str, target: Target, budget: float, steps: int = 40) -> DataFrame:
+def _class_targets(cells: DataFrame, dim: str, target: Target, budget: float) -> DataFrame:
     """(dim, t_dim): the tokens to keep of every class, budget in all: in proportion to its weight, but no more than it has.
 
-    What a class has too little of goes to the others in proportion; each step finds more such classes, until none is
-    new. A class without a weight gets OTHER's, else none. Only sums reach the driver.
+    What a class has too little of goes to the others in proportion. In the order of has / weight, the classes that are
+    taken whole come first, and the scale of the others is what they leave of the budget over the weights behind them;
+    the first class that has enough at its own place's scale gives the scale of all. Sums over sorted classes are sums of
+    the blocks before and of the rows in a block (running), so no number of classes meets in one task. A class without a
+    weight gets OTHER's, else none.
     """
-    own = cells.groupBy(dim).agg(F.sum("tokens").alias("has"))
+    own = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("has"))
     if isinstance(target, dict):
         weight = F.coalesce(F.create_map(*[F.lit(x) for kv in target.items() for x in kv])[F.col(dim)], F.lit(float(target.get(OTHER, 0.0)))).cast("double")
     else:
-        weight = F.lit(1.0) if target is None else F.pow(F.col("has").cast("double"), F.lit(float(target)))
+        weight = F.lit(1.0) if target is None else F.pow("has", F.lit(float(target)))
     classes = staged(own.select(dim, "has", weight.alias("weight")), "classes")
-    scale, full = 0.0, -1
-    for _ in range(steps):
-        is_full = F.col("has") < F.col("weight") * scale
-        n, used, left = classes.agg(F.count_if(is_full), F.sum(F.when(is_full, F.col("has")).otherwise(0)), F.sum(F.when(is_full, 0.0).otherwise(F.col("weight")))).first()
-        if n == full or not left:
-            break
-        scale, full = (budget - used) / left, n
-    return classes.select(dim, F.least(F.col("has").cast("double"), F.col("weight") * scale).alias(f"t_{dim}"))
+    some = classes.filter("weight > 0").withColumn("full_at", F.col("has") / F.col("weight"))
+    sums = running_sums(some, [F.col("full_at"), F.col(dim)], {"used": "has", "passed": "weight"})
+    whole_weight = some.agg(F.sum("weight")).first()[0] or 0.0
+    scale = (F.lit(float(budget)) - (F.col("used") - F.col("has"))) / (F.lit(float(whole_weight)) - (F.col("passed") - F.col("weight")))
+    first = sums.withColumn("scale", scale).filter("full_at >= scale").agg(F.min_by("scale", F.struct("full_at", dim))).first()[0]
+    return classes.select(dim, F.least(F.col("has"), F.col("weight") * (1e300 if first is None else first)).alias(f"t_{dim}"))
 
 
-def rake(cells: DataFrame, targets: dict[str, Target], rate: float, rounds: int = 25, tolerance: float = 1e-3, every: int = 5) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, Target], rate: float, tolerance: float = 1e-3, every: int = 5) -> DataFrame:
     """cells (dims..., tokens) with keep, the expected tokens kept of a cell, and residual.
 
     Iterative proportional fitting within bounds: from rate * tokens, each round scales every dimension's classes in
-    turn to their targets (_class_targets), then cuts what exceeds a cell's tokens. Every few rounds it looks whether all
-    classes are within tolerance of their targets, and stops if so, or after rounds; residual is the largest relative
-    distance left, the same in each row. A class's sum is a partial aggregate joined back to its cells, so no class meets in one task.
+    turn to their targets (_class_targets), then cuts what exceeds a cell's tokens. Every few rounds it looks how far, in
+    proportion, the worst class is from its target (residual, the same in each row), and stops within tolerance, or
+    where the distance has not fallen by PROGRESS since the last look: then the bounds and targets contradict each
+    other, and a residual over tolerance says so. Up to SMALL_CELLS cells are one partition, whose windows need no
+    exchange; of more, a class's sum is a partial aggregate joined back, so that no class meets in one task.
     """
-    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    total, n = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
     now = cells.withColumn("keep", F.col("tokens") * float(rate))
     for dim, target in targets.items():
         now = now.join(_class_targets(cells, dim, target, rate * total), dim)
-    now, columns = staged(now, "raked"), now.columns
-    residual = 0.0
-    for step in range(rounds + 1):
-        if step % every == 0 or step == rounds:
-            apart = [now.groupBy(dim).agg(F.sum("keep").alias("own"), F.first(f"t_{dim}").alias("t")).select(F.when(F.col("t") > 0, F.abs(F.col("own") / F.col("t") - 1)).otherwise(0.0).alias("off")) for dim in targets]
-            residual = reduce(DataFrame.unionByName, apart).agg(F.coalesce(F.max("off"), F.lit(0.0))).first()[0]
-            if residual <= tolerance or step == rounds:
-                break
+    now, columns, residual = staged(now, "raked"), now.columns, None
+    small = n <= SMALL_CELLS
+
+    def own(df: DataFrame, dim: str) -> DataFrame:
+        if small:
+            return df.withColumn("own", F.sum("keep").over(Window.partitionBy(dim)))
+        return df.join(df.groupBy(dim).agg(F.sum("keep").alias("own")), dim)
+
+    while True:
+        apart = [now.groupBy(dim).agg(F.sum("keep").alias("own"), F.first(f"t_{dim}").alias("t")).select(F.when(F.col("t") > 0, F.abs(F.col("own") / F.col("t") - 1)).otherwise(0.0).alias("off")) for dim in targets]
+        last, residual = residual, reduce(DataFrame.unionByName, apart).agg(F.coalesce(F.max("off"), F.lit(0.0))).first()[0]
+        if residual <= tolerance or (last is not None and residual > last * (1 - PROGRESS)):
+            return now.select(*cells.columns, "keep").withColumn("residual", F.lit(float(residual)))
         start = now
-        for dim in targets:
-            own = now.groupBy(dim).agg(F.sum("keep").alias("own"))
-            scaled = F.when(F.col("own") > 0, F.col("keep") * F.col(f"t_{dim}") / F.col("own")).otherwise(0.0)
-            now = now.join(own, dim).withColumn("keep", scaled).select(columns)
-        now = staged(now.withColumn("keep", F.least("keep", F.col("tokens").cast("double"))), "raked")
+        for k in range(every):
+            now = now.coalesce(1) if small else now
+            for dim in targets:
+                scaled = F.when(F.col("own") > 0, F.col("keep") * F.col(f"t_{dim}") / F.col("own")).otherwise(0.0)
+                now = own(now, dim).withColumn("keep", scaled).select(columns)
+            now = now.withColumn("keep", F.least("keep", F.col("tokens").cast("double")))
+            if not small or k == every - 1:
+                now = staged(now, "raked")
         discard(start)
-    return now.select(*cells.columns, "keep").withColumn("residual", F.lit(float(residual)))
 
 
-def mix(docs: DataFrame, targets: dict[str, Target], dims: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rate: float = 0.5, rounds: int = 25, tolerance: float = 1e-3, every: int = 5) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, Target], dims: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rate: float = 0.5, tolerance: float = 1e-3, every: int = 5) -> DataFrame:
     """docs with __tokens, __p, __residual and __kept: a sample whose token weights follow the targets.
 
     dims: the classes of a document by dimension; a null class is OTHER. Tokens are summed by cell (a combination of
     classes that documents have), the cells raked to rate of all tokens (rake), and a cell's documents kept with
     probability keep / tokens, at most 1. A document is kept if the hash of its id falls below its probability, so
-    repeated rows share their fate and a run can be repeated. A null id hashes as an empty one. Only cells are raked and
-    joined back; where a dimension has a class a source, there are as many cells as sources times other classes, and all
-    steps over them are partial sums and joins. No document is dropped by anything but its probability; null and empty
-    texts weigh 1 token. Other columns pass through unchanged. __residual is how far, in proportion, the worst class is
-    from its target.
+    repeated rows share their fate and a run can be repeated. A null id hashes as an empty one. Documents are never
+    shuffled: cells come to them by broadcast, BROADCAST_CELLS at a time. No document is dropped by anything but its
+    probability; null and empty texts weigh 1 token; an empty table gives none. Other columns pass through unchanged,
+    whatever their names; only columns named like the new ones are refused. __residual is how far, in proportion, the
+    worst class is from its target.
     """
-    names = {d: f"__d_{d}" for d in dims}
-    rows = docs.withColumns({names[d]: F.coalesce(c.cast("string"), F.lit(OTHER)) for d, c in dims.items()} | {"__tokens": tokens(F.col(text_col))})
-    cells = staged(rows.groupBy(*(F.col(v).alias(d) for d, v in names.items())).agg(F.sum("__tokens").alias("tokens")), "cells")
-    found = rake(cells, targets, rate, rounds, tolerance, every)
-    found = found.select(*(F.col(d).alias(v) for d, v in names.items()), (F.col("keep") / F.col("tokens")).alias("__p"), F.col("residual").alias("__residual"))
-    out = rows.join(found, list(names.values()), "left")
-    return out.withColumn("__kept", chance(id_col) < F.col("__p")).select(*docs.columns, "__tokens", "__p", "__residual", "__kept")
+    refuse(docs, "__tokens", "__p", "__residual", "__kept")
+    rows = docs.select(whole(docs).alias("row"), F.struct(*(F.coalesce(c.cast("string"), F.lit(OTHER)).alias(d) for d, c in dims.items())).alias("cell"), tokens(F.col(text_col)).alias("tokens"), chance(id_col).alias("chance"))
+    cells = staged(rows.groupBy("cell").agg(F.sum("tokens").alias("tokens")).select("cell.*", "tokens"), "cells")
+    found = staged(rake(cells, targets, rate, tolerance, every), "cells-raked")
+    found = found.select(F.struct(*dims).alias("cell"), (F.col("keep") / F.col("tokens")).alias("p"), "residual")
+    parts = max(1, -(-found.count() * 5 // (BROADCAST_CELLS * 4)))  # parts by hash are not quite equal
+    rows = rows.withColumns({"p": F.lit(None).cast("double"), "residual": F.lit(None).cast("double")})
+    for k in range(parts):
+        some = found.filter(F.pmod(F.xxhash64("cell"), F.lit(parts)) == k).toDF("cell", "_p", "_residual")
+        rows = rows.join(F.broadcast(some), "cell", "left").select("row", "cell", "tokens", "chance", F.coalesce("p", "_p").alias("p"), F.coalesce("residual", "_residual").alias("residual"))
+    return rows.select("row.*", F.col("tokens").alias("__tokens"), F.col("p").alias("__p"), F.col("residual").alias("__residual"), (F.col("chance") < F.col("p")).alias("__kept"))

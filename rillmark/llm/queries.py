@@ -125,14 +125,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The mixture that the mixing query and the pipeline aim at: sources alike, large languages and topics held back.
 TARGETS = {"source": None, "lang": 0.7, "topic": 0.9}
-RATE, ROUNDS, EVERY, TOLERANCE, TOPICS = 0.5, 25, 5, 0.001, 3
+RATE, EVERY, TOLERANCE, TOPICS = 0.5, 5, 0.001, 3
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     from .mixing import mix, topic, topic_words
 
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"), topic_words(docs, F.col("lang"), k=TOPICS))}
-    return mix(docs, TARGETS, dims, rate=RATE, rounds=ROUNDS, tolerance=TOLERANCE, every=EVERY)
+    return mix(docs, TARGETS, dims, rate=RATE, tolerance=TOLERANCE, every=EVERY)
 
 
 @query
@@ -142,7 +142,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixing_sql() -> str:
-    """The same in SQL: class targets by sorting instead of steps; rounds that change nothing once within tolerance."""
+    """The same in SQL: a recursion from look to look."""
+    from .mixing import PROGRESS
+
     blank = r"[\x20\x09-\x0D]+"
     dims = list(TARGETS)
 
@@ -158,22 +160,16 @@ def _mixing_sql() -> str:
 o_{d} AS (SELECT *, coalesce(sum(has) OVER o, 0) AS used, row_number() OVER (ORDER BY has / w, {d}) AS nth, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS free FROM h_{d} WHERE w > 0 WINDOW o AS (ORDER BY has / w, {d} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s_{d} AS (SELECT arg_min(({RATE} * (SELECT sum(tokens) FROM c) - used) / free, nth) FILTER (has / w >= ({RATE} * (SELECT sum(tokens) FROM c) - used) / free) AS scale FROM o_{d}),
 t_{d} AS (SELECT {d}, least(has, w * coalesce(scale, 1e300)) AS t_{d} FROM h_{d}, s_{d})""")
-    steps, last = [], "w0"
-    for i in range(ROUNDS):
-        if i % EVERY == 0:
-            own = ", ".join(f"sum(keep) OVER (PARTITION BY {d}) AS own_{d}" for d in dims)
-            off = ", ".join(f"CASE WHEN t_{d} > 0 THEN abs(own_{d} / t_{d} - 1) ELSE 0 END" for d in dims)
-            steps.append(f"r{i} AS (SELECT * EXCLUDE ({', '.join(f'own_{d}' for d in dims)}) REPLACE (max(greatest({off})) OVER () AS res) FROM (SELECT *, {own} FROM {last}))")
-            last = f"r{i}"
+    step = f"SELECT * FROM r WHERE res > {TOLERANCE} AND res <= last * {1 - PROGRESS}"
+    for _ in range(EVERY):
         for d in dims:
-            steps.append(f"r{i}_{d} AS (SELECT * EXCLUDE (own) REPLACE (CASE WHEN res <= {TOLERANCE} THEN keep WHEN own > 0 THEN keep * t_{d} / own ELSE 0 END AS keep) FROM (SELECT *, sum(keep) OVER (PARTITION BY {d}) AS own FROM {last}))")
-            last = f"r{i}_{d}"
-        steps.append(f"w{i + 1} AS (SELECT * REPLACE (least(keep, tokens::DOUBLE) AS keep) FROM {last})")
-        last = f"w{i + 1}"
+            step = f"SELECT * EXCLUDE (own) REPLACE (CASE WHEN own > 0 THEN keep * t_{d} / own ELSE 0 END AS keep) FROM (SELECT *, sum(keep) OVER (PARTITION BY {d}) AS own FROM ({step}))"
+        step = f"SELECT * REPLACE (least(keep, tokens::DOUBLE) AS keep) FROM ({step})"
     own = ", ".join(f"sum(keep) OVER (PARTITION BY {d}) AS own_{d}" for d in dims)
     off = ", ".join(f"CASE WHEN t_{d} > 0 THEN abs(own_{d} / t_{d} - 1) ELSE 0 END" for d in dims)
+    gone = ", ".join(f"own_{d}" for d in dims)
     return f"""
-WITH x AS (
+WITH RECURSIVE x AS (
   SELECT doc_id, coalesce(source, 'other') AS source, coalesce(lang, 'other') AS lang, coalesce(text, '') AS t,
     regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+') AS letters FROM documents),
 g AS (SELECT lang, count(*) AS docs FROM x GROUP BY lang),
@@ -186,9 +182,12 @@ d AS (
   FROM x LEFT JOIN b ON b.doc_id = x.doc_id AND pick = 1),
 c AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROUP BY ALL),
 {", ".join(parts)},
-w0 AS (SELECT c.*, tokens * {RATE}::DOUBLE AS keep, 0::DOUBLE AS res, {", ".join(f"t_{d}" for d in dims)} FROM c {" ".join(f"JOIN t_{d} USING ({d})" for d in dims)}),
-{", ".join(steps)},
-p AS (SELECT source, lang, topic, keep / tokens AS p, max(greatest({off})) OVER () AS residual FROM (SELECT *, {own} FROM {last}))
+w AS (SELECT c.*, tokens * {RATE}::DOUBLE AS keep, {", ".join(f"t_{d}" for d in dims)} FROM c {" ".join(f"JOIN t_{d} USING ({d})" for d in dims)}),
+r AS (
+  SELECT 0 AS look, 1e300 AS last, max(greatest({off})) OVER () AS res, * EXCLUDE ({gone}) FROM (SELECT *, {own} FROM w)
+  UNION ALL
+  SELECT look + 1, res, max(greatest({off})) OVER (), * EXCLUDE (look, last, res, {gone}) FROM (SELECT *, {own} FROM ({step}))),
+p AS (SELECT source, lang, topic, keep / tokens AS p, res AS residual FROM r QUALIFY look = max(look) OVER ())
 SELECT doc_id, tokens, round(p, 6) AS p, round(residual, 4) AS residual, ('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < p AS kept
 FROM d JOIN p USING (source, lang, topic)
 """
@@ -246,3 +245,148 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND
   CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to, url_key, row_number() OVER (ORDER BY url_key, page_id) - 1 AS place
 FROM k
 """
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH x AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+f AS (
+  SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS e FROM x),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+m AS (
+  SELECT part, a, b, c, d, e, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN g USING (doc_id) GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+o AS (
+  SELECT p.l || q.l || r.l || s.l || t.l AS filter_order FROM l p, l q, l r, l s, l t
+  WHERE p.l <> q.l AND r.l NOT IN (p.l, q.l) AND s.l NOT IN (p.l, q.l, r.l) AND t.l NOT IN (p.l, q.l, r.l, s.l)),
+u AS (SELECT o.filter_order, i::INT AS step, filter_order[i] AS k FROM o, range(1, 6) r(i)),
+z AS (
+  SELECT m.*, filter_order, step, k, (CASE k WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END) AS fails, a::INT + b::INT + c::INT + d::INT + e::INT AS n_fails,
+    least(CASE WHEN a THEN instr(filter_order, 'A') ELSE 6 END, CASE WHEN b THEN instr(filter_order, 'B') ELSE 6 END, CASE WHEN c THEN instr(filter_order, 'C') ELSE 6 END,
+      CASE WHEN d THEN instr(filter_order, 'D') ELSE 6 END, CASE WHEN e THEN instr(filter_order, 'E') ELSE 6 END) AS falls FROM m, u),
+y AS (
+  SELECT part, filter_order, step, k, coalesce(sum(n) FILTER (falls > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (falls = step), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails AND falls < step), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND n_fails = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (falls = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (falls = step), 0)::BIGINT AS toxic_lost FROM z GROUP BY ALL)
+SELECT * EXCLUDE (k), sum(removed) OVER (PARTITION BY part, k)::BIGINT AS shapley FROM y
+"""
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
+def _repair_sql() -> str:
+    """The same in SQL: the cheapest, then audit-least way to each of the four states, row by row."""
+
+    def after(state: str, cost: str, letter: str, item: str | None = None) -> str:
+        lines = f"list_append({state}.t, {item})" if item else f"{state}.t"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {lines}}}"
+
+    def best(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    never = "{'c': 1000000000, 'a': '~', 't': ['']}"
+    to_user = [after(s, "5", "I", "'user:'") for s in ("s", "y", "a")]
+    user = best("u", *to_user)
+    assistant = best("a", after("u2", "5", "I", "'assistant:'"))
+    stay = {s: after(s, "2", "D") for s in ("s", "y", "u2", "a2")}
+
+    def new(before: list[str], initial: str, name: str) -> list[str]:
+        kept = [f"CASE WHEN NOT gone AND initial = '{initial}' THEN {after(b, 'late', 'K', 'line')} ELSE {never} END" for b in before]
+        moved = [f"CASE WHEN NOT gone THEN {after(b, '1 + late', 'R', f"'{name}:' || text")} ELSE {never} END" for b in before] if name else []
+        return kept + moved
+
+    return f"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+z AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(k) * 8), lambda i: (ascii(k[i // 8 + 1]) >> (i % 8)::INT)::BIGINT & 1)),
+    lambda s, b: xor(s >> 1, CASE WHEN xor(s, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 20 AS fate FROM k),
+d AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM z, range(1, CASE fate WHEN 0 THEN 1 WHEN 3 THEN 3 ELSE 2 END)),
+g AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+o AS (SELECT g, d.*, left(role, 1) AS initial, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM d JOIN g ON g.conv_id IS NOT DISTINCT FROM d.conv_id),
+f AS (
+  SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again,
+    right(rtrim(text, E' \\t\\n\\x0b\\f\\r'), 1) NOT IN ('.', '!', '?') AS cut, lag(initial) OVER (PARTITION BY g ORDER BY i) AS last FROM o),
+r AS (SELECT g, i, initial, text, role || ':' || text AS line, blank OR again AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS late FROM f),
+w AS (
+  SELECT g, 0::BIGINT AS n, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS s, {{'c': 1000000000::BIGINT, 'a': '~', 't': []::VARCHAR[]}} AS y, {{'c': 1000000000::BIGINT, 'a': '~', 't': []::VARCHAR[]}} AS u,
+    {{'c': 1000000000::BIGINT, 'a': '~', 't': []::VARCHAR[]}} AS a FROM g
+  UNION ALL
+  SELECT g, n + 1, {stay["s"]}, {best(stay["y"], *new(["s"], "s", ""))}, {best(stay["u2"], *new(["s", "y", "a2"], "u", "user"))}, {best(stay["a2"], *new(["u2"], "a", "assistant"))}
+  FROM (SELECT *, {assistant} AS a2 FROM (SELECT w.*, {user} AS u2, initial, text, line, gone, late FROM w JOIN r ON r.g = w.g AND r.i = w.n + 1))),
+e AS (SELECT g, {best("s", "a2")} AS e FROM (SELECT *, {assistant} AS a2 FROM (SELECT *, {user} AS u2 FROM w QUALIFY n = max(n) OVER (PARTITION BY g)))),
+c AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (cut AND NOT blank AND NOT again) AS truncated, count(*) FILTER (last || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  e.e.c AS cost, e.e.a AS audit, sha256(array_to_string(e.e.t, chr(10))) AS repaired_sha256
+FROM g JOIN e USING (g) LEFT JOIN c USING (g)
+"""
+
+
+ORACLES["op12_conversation_repair"] = _repair_sql()
+
+
+SHARDS = 8
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), shards=SHARDS).withColumnRenamed("id", "doc_id")
+
+
+def _sharding_sql() -> str:
+    """The same in SQL, over a list of all ends of groups."""
+    floor = lambda x: f"coalesce(list_max(list_filter(p, lambda e: e <= {x})), 0)"
+    ceil = lambda x: f"(CASE WHEN {x} <= 0 THEN 0 ELSE list_min(list_filter(p, lambda e: e >= {x})) END)"
+    greedy = "SELECT *, (lo + hi) // 2 AS mid, 0::BIGINT AS a0 FROM b WHERE lo < hi"
+    for k in range(SHARDS):
+        greedy = f"SELECT *, {floor(f'a{k} + mid')} AS a{k + 1} FROM ({greedy})"
+    back = f"SELECT *, total AS r{SHARDS}, 0::BIGINT AS k0 FROM b WHERE lo = hi"
+    for k in range(SHARDS - 1, 0, -1):
+        back = f"SELECT *, {ceil(f'r{k + 1} - lo')} AS r{k} FROM ({back})"
+    for k in range(1, SHARDS):
+        back = f"SELECT *, k{k - 1} + (total - k{k - 1} + {SHARDS - k}) // {SHARDS - k + 1} AS share{k} FROM ({back})"
+        back = f"SELECT *, {floor(f'share{k}')} AS below{k}, {ceil(f'share{k}')} AS above{k} FROM ({back})"
+        near = f"CASE WHEN below{k} > k{k - 1} AND share{k} - below{k} <= above{k} - share{k} THEN below{k} ELSE above{k} END"
+        back = f"SELECT *, least(greatest({near}, r{k}), {floor(f'k{k - 1} + lo')}) AS k{k} FROM ({back})"
+    return rf"""
+WITH RECURSIVE v AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, n: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS v),
+d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size, sha256(coalesce(text, '')) AS digest FROM documents),
+y AS (SELECT digest, t, list_transform(regexp_extract_all(t, '(?s).'), lambda x: unicode(x)::BIGINT) AS u FROM (SELECT digest, any_value(t) AS t FROM d GROUP BY 1)),
+z AS (SELECT digest, flatten(list_transform(u, lambda u: CASE WHEN u < 128 THEN [u] WHEN u < 2048 THEN [192 + (u >> 6), 128 + (u & 63)] WHEN u < 65536 THEN [224 + (u >> 12), 128 + ((u >> 6) & 63), 128 + (u & 63)]
+  ELSE [240 + (u >> 18), 128 + ((u >> 12) & 63), 128 + ((u >> 6) & 63), 128 + (u & 63)] END)) AS bytes FROM y),
+c AS (SELECT digest, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, v[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM z, v),
+g AS (SELECT digest, sum(size)::BIGINT AS bytes FROM d GROUP BY 1),
+h AS (SELECT *, CASE WHEN bytes * 65536 >= sum(bytes) OVER () THEN -bytes ELSE 0 END AS ahead FROM g),
+e AS (SELECT *, (sum(bytes) OVER (ORDER BY ahead, digest))::BIGINT AS upto FROM h),
+b AS (
+  SELECT greatest((total + {SHARDS - 1}) // {SHARDS}, largest) AS lo, greatest((total + {SHARDS - 1}) // {SHARDS}, largest) + largest AS hi, total, p
+  FROM (SELECT sum(bytes)::BIGINT AS total, max(bytes) AS largest, list(upto ORDER BY upto) AS p FROM e)
+  UNION ALL
+  SELECT CASE WHEN a{SHARDS} = total THEN lo ELSE mid + 1 END, CASE WHEN a{SHARDS} = total THEN mid ELSE hi END, total, p FROM ({greedy})),
+k AS (SELECT [{", ".join(f"k{k}" for k in range(1, SHARDS))}] AS cuts FROM ({back})),
+s AS (SELECT digest, ahead, len(list_filter(cuts, lambda x: x < upto))::INT AS shard FROM e, k)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY ahead, digest, doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard
+FROM d JOIN s USING (digest) JOIN c USING (digest)
+"""
+
+
+ORACLES["op13_sharding"] = _sharding_sql()
