@@ -45,8 +45,20 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns of df as one struct: beside it, an operator's own columns clash with no name of the user's."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
+
+
+def refuse(df: DataFrame, *names: str) -> None:
+    """Raises where df has a column of a name that the result needs for its own."""
+    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"rename these columns, the result has its own of that name: {', '.join(sorted(taken))}")
+
+
 def _bloom_marked(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
-    """rows with __hit: true where key may be among the one column of ids (never false if it is), and where key is null.
+    """(row, hit): every row as a struct, and true where key may be among the one column of ids (never false if it is), or is null.
 
     The filter has one bit for each hashed id, in pieces of 4 KB that Spark's bitmap functions build in parallel; rows
     look their piece up in a broadcast map of at most MAX_BITS, whatever the number of ids.
@@ -57,17 +69,18 @@ def _bloom_marked(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
         bits *= 2
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
     at = place(F.col(ids.columns[0]))
-    pieces = ids.dropna().groupBy(F.bitmap_bucket_number(at).alias("__piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
-    out = rows.withColumn("__at", place(key)).withColumn("__piece", F.bitmap_bucket_number("__at")).join(F.broadcast(pieces), "__piece", "left")
-    byte = F.expr("cast(conv(hex(substring(__bits, cast(bitmap_bit_position(__at) div 8 as int) + 1, 1)), 16, 10) as bigint)")
-    hit = F.coalesce(F.getbit(byte, F.expr("cast(bitmap_bit_position(__at) % 8 as int)")) == 1, F.lit(False)) | key.isNull()
-    return out.withColumn("__hit", hit).select(*rows.columns, "__hit")
+    pieces = ids.dropna().groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = rows.select(whole(rows).alias("row"), place(key).alias("at"), key.isNull().alias("none"))
+    out = out.withColumn("piece", F.bitmap_bucket_number("at")).join(F.broadcast(pieces), "piece", "left")
+    byte = F.expr("cast(conv(hex(substring(bits, cast(bitmap_bit_position(at) div 8 as int) + 1, 1)), 16, 10) as bigint)")
+    hit = F.coalesce(F.getbit(byte, F.expr("cast(bitmap_bit_position(at) % 8 as int)")) == 1, F.lit(False)) | F.col("none")
+    return out.select("row", hit.alias("hit"))
 
 
 def bloom_split(rows: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be among ids, rows whose key is not): what must be joined with ids and what need not be shuffled."""
     marked = _bloom_marked(rows, key, ids)
-    return marked.filter("__hit").drop("__hit"), marked.filter("NOT __hit").drop("__hit")
+    return marked.filter("hit").select("row.*"), marked.filter("NOT hit").select("row.*")
 
 
 def with_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:

@@ -28,13 +28,11 @@ HEAD = frozenset("html head base basefont bgsound link meta title noscript nofra
 CLOSES = {"li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}} | {t: {"p"} for t in BLOCK - {"li", "dd", "dt", "tr", "td", "th", "option", "body", "html"}}
 
 _NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
-_REST = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_MARK = re.compile("[>\"']")
 _NAMED = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 #: A block's path has the parts of so many outermost and innermost open elements, and of each so many names.
 OUTER, INNER, NAMES = 16, 32, 12
-#: Tags whose quotes never end are tried so often in a page; after that, quotes are ignored.
-BAD_QUOTES = 8
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 512, 1024, 12, 6, 6, 12
 
 
@@ -47,26 +45,40 @@ class Block:
     linked: float
 
 
+def _tag_end(page: str, at: int, endless: set[int]) -> int:
+    """The place of the ">" that ends a tag, outside quotes; -1 if there is none.
+
+    endless holds the opening quotes from which earlier looks found no end. No look starts from one twice, so all looks
+    together take time in proportion to the page.
+    """
+    seen = []
+    while m := _MARK.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        close = -1 if m.start() in endless else page.find(m[0], m.end())
+        seen.append(m.start())
+        if close < 0:
+            break
+        at = close + 1
+    endless.update(seen)
+    return -1
+
+
 def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
     """(start, end, "/" or "", tag, attributes) of each tag, comment and declaration, the last two without a tag.
 
     One pass: every character is looked at a bounded number of times, however tags are broken. A tag whose quotes never
     end stops at the next ">"; what no ">" follows is text. Texts of RAW elements belong to their start tag's token.
     """
-    at, bad = 0, 0
+    at, endless = 0, set()
     while (start := page.find("<", at)) >= 0:
         at = start + 1
         m = _NAME.match(page, at)
         if m:
-            rest = _REST.match(page, m.end()) if bad < BAD_QUOTES else None
-            if rest:
-                attributes, end = rest[1], rest.end()
-            else:
-                bad += 1
-                stop = page.find(">", m.end())
-                if stop < 0:
-                    return
-                attributes, end = page[m.end() : stop], stop + 1
+            stop = _tag_end(page, m.end(), endless)
+            if stop < 0 and (stop := page.find(">", m.end())) < 0:
+                return
+            attributes, end = page[m.end() : stop], stop + 1
             tag = m[2].lower()
             if tag in RAW and not m[1]:
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(page, end)
@@ -196,6 +208,7 @@ class Labeller:
     def __init__(self, seed: int = 7):
         r, h, d = np.random.default_rng(seed), HIDDEN, PATH_DIM + WORD_DIM + NUMBERS
         f = lambda *s: r.normal(0, 0.2, s).astype(np.float32)
+        self.trained = False
         self.p = {"path": f(PATH_BUCKETS, PATH_DIM), "word": f(WORD_BUCKETS, WORD_DIM), "w": f(d, 8 * h), "uf": f(h, 4 * h), "ub": f(h, 4 * h), "o": f(2 * h + d), "b": np.zeros(1, np.float32)}
 
     def vectors(self, page: tuple) -> np.ndarray:
@@ -221,9 +234,11 @@ class Labeller:
         return x, mask
 
     def label(self, pages: list[list[Block]], max_steps: int = 20_000) -> list[np.ndarray]:
-        """True for each block of the main text; pages of like length share a batch."""
+        """True for each block of the main text; pages of like length share a batch. A labeller that saw no page refuses."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
+        if order and not self.trained:
+            raise ValueError("the labeller was trained on no page")
         at = 0
         while at < len(order):
             n = 1
@@ -239,6 +254,7 @@ class Labeller:
     def fit(self, pages: list[tuple[tuple, np.ndarray]], epochs: int = 10, seed: int = 7) -> None:
         """pages: (block_inputs, 0/1 labels)."""
         r, adam, h = np.random.default_rng(seed), Adam(self.p, 0.01), HIDDEN
+        self.trained = self.trained or bool(pages)
         for _ in range(epochs if pages else 0):
             order = r.permutation(len(pages))
             for some in np.array_split(order, max(1, len(order) // 16)):
@@ -367,15 +383,15 @@ def train(pages: list[str], layouts: int, nameless: float, seed: int) -> Labelle
     return model
 
 
-def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = 300, max_chars: int = 30_000, layouts: int = 1100, nameless: float = 0.3, seed: int = 7) -> Labeller:
-    """Trains on at most max_pages pages of at most max_chars characters, and on layouts pages arranged from their texts.
+def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = 300, layouts: int = 1100, nameless: float = 0.3, seed: int = 7) -> Labeller:
+    """Trains on at most max_pages pages, each whole, and on layouts pages arranged from their texts.
 
     The tables hold no labels. Pages that mark an article and nothing odd within it label themselves by their tags; the
     arranged pages set the same texts under many other names, and a share of nameless ones under none that say
     anything, so that length, links, place and the blocks around must tell them apart.
     """
-    ids = few_by_hash(pages.select(F.col(id_col).alias("id")).dropna(), "id", max_pages).orderBy(F.xxhash64("id"), "id").limit(max_pages)
-    texts = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.length("html").between(1, max_chars))
+    texts = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter("html <> '' AND id IS NOT NULL")
+    ids = few_by_hash(texts.select("id"), "id", max_pages).orderBy(F.xxhash64("id"), "id").limit(max_pages)
     rows = texts.join(F.broadcast(ids.distinct()), "id").orderBy("id", "html").limit(max_pages).collect()  # bounded by max_pages
     return train([row["html"] for row in rows], layouts, nameless, seed)
 
@@ -385,7 +401,7 @@ def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id", url_col:
 
     text: the blocks labelled main, in page order, joined by one blank; character references are decoded, white space
     in a block becomes one blank. Null and empty pages, and pages without a main block, have an empty text. Whole pages
-    of any length are read; repeated rows each get the same text; other columns are ignored, whatever their names.
+    of any length are read; repeated rows each get the same text, an empty table gives none; other columns are ignored, whatever their names.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the bucket and state counts
 

@@ -97,9 +97,9 @@ def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 12) ->
     return model
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_labelled: int = 2000, max_chars: int = 20_000) -> LanguageModel:
-    """Fits on at most max_labelled texts of at most max_chars characters with a language, of ids that are not held out."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text").between(1, max_chars))
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_labelled: int = 2000) -> LanguageModel:
+    """Fits on at most max_labelled texts with a language, each whole, of ids that are not held out."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text <> ''")
     sample = labelled_sample(docs, id_col, lang_col, max_labelled, training_only=True)
     got = rows.join(F.broadcast(sample), "id").dropDuplicates(["id"]).orderBy("id").limit(max_labelled).collect()  # bounded by max_labelled
     return fit([r["text"] for r in got], [str(r["label"]) for r in got])
@@ -111,7 +111,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     lang_pred is the language whose codeword the predicted bits lose least against, score its share of the exponential
     losses; ambiguous where the next language's share is within doubt of it. Null texts and texts without a letter are
     "und" with a score of 0 and ambiguous. A model of one language always says that one. Null ids stay null, repeated
-    rows each get the same answer, other columns are ignored, whatever their names.
+    rows each get the same answer, an empty table gives none, other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS times the number of bits
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, labelled_sample
-from .text_batches import slices, window_hashes, word_hashes, words
+from .common import BLANKS, labelled_sample, refuse, whole
+from .text_batches import window_hashes, word_hashes, words
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -35,7 +34,7 @@ RATIOS = {
 
 def features() -> dict[str, Column]:
     """The features as expressions over the counts of with_counts."""
-    return {f: F.col(f"__c_{a}") / F.greatest(F.col(f"__c_{b}"), F.lit(1)) for f, (a, b) in RATIOS.items()}
+    return {f: F.col(a) / F.greatest(F.col(b), F.lit(1)) for f, (a, b) in RATIOS.items()}
 
 
 def text_counts(text: str) -> tuple[int, ...]:
@@ -66,17 +65,17 @@ def text_counts(text: str) -> tuple[int, ...]:
 
 
 def with_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with the counts of COUNTS behind, named __c_<count> so that they clash with nothing."""
-    at = docs.columns.index(text_col)
-    schema = ", ".join(f"__c_{c} bigint" for c in COUNTS)
+    """(row, n_words, ...): every row as a struct, and its counts by the names of COUNTS.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, at):
-            counts = np.array([text_counts(t) for t in texts], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in counts.T)], names=[*batch.schema.names, *(f"__c_{c}" for c in COUNTS)])
+    Only the text goes to Python and only counts come back; all other columns stay where they are.
+    """
+
+    @F.arrow_udf(", ".join(f"{c} bigint" for c in COUNTS).join(("struct<", ">")).replace(" bigint", ":bigint"))
+    def count(texts: pa.Array) -> pa.Array:
+        counts = np.array([text_counts(t.as_py() or "") for t in texts], np.int64).reshape(-1, len(COUNTS))
+        return pa.StructArray.from_arrays([pa.array(c) for c in counts.T], names=COUNTS)
 
-    own = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{own}, {schema}")
+    return docs.select(whole(docs).alias("row"), count(F.col(text_col)).alias("counts")).select("row", "counts.*")
 
 
 @dataclass(frozen=True)
@@ -160,7 +159,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """Learns from at most max_labelled labelled ids (label 0 is bad); no rule without both kinds of labels."""
     sample = labelled_sample(labels, id_col, label_col, max_labelled, training_only=False)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # bounded by max_labelled
-    rows = with_counts(picked, "text").select("id", "label", *(c.alias(f) for f, c in features().items())).dropDuplicates(["id"]).orderBy("id").limit(max_labelled).collect()
+    rows = with_counts(picked, "text").select("row.id", "row.label", *(c.alias(f) for f, c in features().items())).dropDuplicates(["id"]).orderBy("id").limit(max_labelled).collect()
     x = {f: np.array([r[f] for r in rows], float) for f in RATIOS}
     return learn(x, np.array([r["label"] == 0 for r in rows], bool))
 
@@ -170,13 +169,16 @@ def quality_verdicts(docs: DataFrame, rules: list[Rule], text_col: str = "text",
 
     Base: fewer than min_words words, or over max_repeat percent of the words in 3-word windows found twice or more.
     Past it, the rules are one ordered CASE expression; a text that no rule names is kept. Null and empty texts have
-    no words and fail the base. All columns pass through, and repeated rows each get the same verdict.
+    no words and fail the base. Null ids and repeated rows each get their text's verdict, an empty table gives none.
+    All columns pass through, whatever their names; only columns named like the new ones are refused.
     """
-    out = with_counts(docs, text_col)
-    n, r = F.col("__c_n_words"), F.col("__c_n_repeat_words")
-    out = out.withColumn("__base_failed", (n < min_words) | (100 * r > max_repeat * n))
+    refuse(docs, *(f"__c_{c}" for c in COUNTS), "__base_failed", "__rule", "__kept")
+    n, r = F.col("n_words"), F.col("n_repeat_words")
+    out = with_counts(docs, text_col).withColumn("base_failed", (n < min_words) | (100 * r > max_repeat * n))
     columns = features()
     case = F.lit(None).cast("int")
     for i, rule in reversed(list(enumerate(rules, 1))):
         case = F.when(rule.column(columns), F.lit(i)).otherwise(case)
-    return out.withColumn("__rule", case).withColumn("__kept", ~F.col("__base_failed") & F.col("__rule").isNull())
+    out = out.withColumn("rule", case)
+    kept = ~F.col("base_failed") & F.col("rule").isNull()
+    return out.select("row.*", *(F.col(c).alias(f"__c_{c}") for c in COUNTS), F.col("base_failed").alias("__base_failed"), F.col("rule").alias("__rule"), kept.alias("__kept"))

@@ -352,10 +352,10 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> ToxicityModel:
     return ToxicityModel(counts.numbers(), net, (a, b), empty)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 4000, max_chars: int = 20_000) -> ToxicityModel:
-    """Fits on at most max_labelled labelled texts of at most max_chars characters, of ids that are not held out."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 4000) -> ToxicityModel:
+    """Fits on at most max_labelled labelled texts, each whole, of ids that are not held out."""
     sample = labelled_sample(labels, id_col, label_col, max_labelled, training_only=True)
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= max_chars).join(F.broadcast(sample), "id")  # bounded by max_labelled
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").join(F.broadcast(sample), "id")  # bounded by max_labelled
     rows = picked.dropDuplicates(["id"]).orderBy("id").limit(max_labelled).collect()
     return fit([r["text"] for r in rows], np.array([int(r["label"] == 1) for r in rows], np.int64))
 
@@ -364,7 +364,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     """(id, score), one row per input row: the calibrated highest score of a text's overlapping windows, 0 to 1.
 
     Whole texts are scored, by nothing but their words, long ones in parts. Null, empty and wordless texts get a low base score. Null ids
-    stay null; repeated rows each get the same score. Other columns are ignored, whatever their names.
+    stay null; repeated rows each get the same score, an empty table gives none. Other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS, WORD_BUCKETS, VECTORS and HIDDEN
 

@@ -1,5 +1,10 @@
+import re
+from pathlib import Path
+
 import pytest
 
+import rillmark.llm
+
 ODD_ROWS = [
     (1, "Alpha beta gamma delta epsilon zeta eta theta.", "en", "s0"),
     (2, "alpha  BETA gamma delta epsilon zeta eta\ntheta.", "en", "s0"),
@@ -16,7 +21,20 @@ ODD_ROWS = [
     (11, "1234 5678 !!!", "en", "s0"),
     (12, "a b c d\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n", "en", "s0"),
 ]
-CLASHES = ["id", "kept", "n_shingles", "component_id", "keep_id", "label", "text_sha256", "node", "bucket", "t", "n", "host", "score", "value", "key"]
+#: Columns that operators add to those of the user, and refuse if they are there.
+RESULTS = {"__n_lines", "__n_dropped", "__tokens", "__p", "__residual", "__base_failed", "__rule", "__kept"}
+
+
+def own_names() -> list[str]:
+    """The names that the operators' code gives to columns, read from it."""
+    found: set[str] = set()
+    for path in [*Path(rillmark.llm.__file__).parent.glob("*.py"), Path(rillmark.llm.__file__).parents[1] / "operators" / "scan.py"]:
+        code = path.read_text()
+        found |= set(re.findall(r'(?:alias|withColumn|withColumnRenamed|struct)\((?:"\w+", )*"(\w+)"', code)) | set(re.findall(r'alias\("(\w+)"', code)) | set(re.findall(r'"(\w+)": F\.', code))
+    return sorted(n for n in found - RESULTS - {"doc_id", "text", "lang", "source"} if not n.startswith("__c_"))
+
+
+CLASHES = own_names()
 
 
 @pytest.fixture(scope="session")

@@ -168,7 +168,7 @@ def test_raking_meets_targets(spark):
     r = random.Random(1)
     cells = spark.createDataFrame([(a, b, r.randrange(50, 100)) for a in "xyz" for b in "pq"], "a string, b string, tokens long")
     total = sum(c.tokens for c in cells.collect())
-    out = mixing.rake(cells, {"a": None, "b": {"p": 3.0, "q": 1.0}}, 0.3, 60, 1e-9).collect()
+    out = mixing.rake(cells, {"a": None, "b": {"p": 3.0, "q": 1.0}}, 0.3, 1e-9).collect()
     assert out[0].residual <= 1e-6 and all(0 < c.keep <= c.tokens for c in out)
     for a in "xyz":
         assert sum(c.keep for c in out if c.a == a) == pytest.approx(0.1 * total, rel=1e-6)
@@ -183,7 +183,7 @@ def test_raking_within_bounds(spark):
     """A class that has too little is kept whole, what it lacks goes to the others, and no cell is kept more than whole."""
     rows = [("big", "p", 900), ("big", "q", 700), ("mid", "p", 300), ("mid", "q", 50), ("small", "p", 20), ("small", "q", 5)]
     cells = spark.createDataFrame(rows, "a string, b string, tokens long")
-    out = mixing.rake(cells, {"a": None, "b": {"p": 1.0, "q": 1.0}}, 0.4, 200, 1e-6).collect()
+    out = mixing.rake(cells, {"a": None, "b": {"p": 1.0, "q": 1.0}}, 0.4, 1e-6).collect()
     assert all(c.keep <= c.tokens for c in out) and out[0].residual < 0.01
     assert sum(c.keep for c in out if c.a == "small") == pytest.approx(25, rel=0.01)
     want = (0.4 * 1975 - 25) / 2
@@ -194,6 +194,39 @@ def test_raking_within_bounds(spark):
     assert all(c.keep == pytest.approx(0.4 * c.tokens) for c in alike)
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_raking_says_where_targets_contradict_each_other(spark, monkeypatch, small):
+    """Both of x and p want half of the tokens, but stand in different cells than they would need."""
+    monkeypatch.setattr(mixing, "SMALL_CELLS", 10 if small else 0)
+    cells = spark.createDataFrame([("x", "p", 100), ("y", "q", 900)], "a string, b string, tokens long")
+    out = mixing.rake(cells, {"a": {"x": 1.0, "y": 1.0}, "b": {"p": 1.0, "q": 7.0}}, 0.1).collect()
+    assert out[0].residual > 0.1 and all(c.keep <= c.tokens for c in out)
+
+
+def test_targets_of_very_many_classes(spark):
+    """Classes that are kept whole one after another, far more than any number of steps."""
+    sizes = [(f"c{i}", 1.03**i) for i in range(300)]
+    cells = spark.createDataFrame([(c, int(1000 * s)) for c, s in sizes], "a string, tokens long")
+    has = {r.a: r.tokens for r in cells.collect()}
+    budget = 0.5 * sum(has.values())
+    got = {r.a: r.t_a for r in mixing._class_targets(cells, "a", None, budget).collect()}
+    scale = max(got.values())
+    assert sum(got.values()) == pytest.approx(budget) and all(got[c] == pytest.approx(min(has[c], scale)) for c in has)
+    none = mixing._class_targets(cells, "a", {"c0": 0.0, "other": 0.0}, budget).collect()
+    assert all(r.t_a == 0 for r in none)
+
+
+def test_documents_of_many_cells_are_not_shuffled(spark, monkeypatch):
+    """Cells come by broadcast in parts; no exchange holds a text."""
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 100)
+    monkeypatch.setattr(mixing, "SMALL_CELLS", 100)
+    docs = spark.createDataFrame([(i, f"text {i}", f"s{i % 250}") for i in range(500)], "doc_id long, text string, source string")
+    out = mixing.mix(docs, {"source": None}, {"source": F.col("source")})
+    assert out.filter("__p IS NULL").count() == 0 and out.count() == 500
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 3 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 def test_mixing_of_odd_rows(odd, none):
     lang = F.col("lang")
     assert mixing.topic_words(none, lang) == [] and isinstance(mixing.topic_words(odd, lang), list)
@@ -246,7 +279,7 @@ def test_pipeline_equals_brute_force(spark, docs, labels):
     stages = dict(corpus_pipeline.STAGES)
     rules = quality_rules.fit_rules(docs, labels)
     now = docs.collect()
-    stats = {r.doc_id: r for r in quality_rules.with_counts(docs, "text").select("doc_id", *(c.alias(f) for f, c in quality_rules.features().items())).collect()}
+    stats = {r.doc_id: r for r in quality_rules.with_counts(docs, "text").select("row.doc_id", *(c.alias(f) for f, c in quality_rules.features().items())).collect()}
 
     def good(r):
         n, _, _, _, again = plain_counts(r.text or "")

@@ -217,7 +217,7 @@ def test_quality_counts_equal_brute_force(odd):
         assert Q.text_counts(t)[:5] == counts(t)
     got = Q.with_counts(odd.filter("doc_id < 9"), "text").collect()
     for r in got:
-        assert (r["__c_n_words"], r["__c_word_chars"], r["__c_n_symbols"], r["__c_n_dup_lines"], r["__c_n_repeat_words"]) == counts(r.text or "")
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(r.row.text or "")
 
 
 def test_rules_find_planted_thresholds():
@@ -330,6 +330,52 @@ def test_extraction(spark):
     assert "Head & line First bold text here. Second part é A." in [r.text for r in got]
     assert H.extract(odd.limit(0), model).collect() == []
     assert H.extract(odd.filter(F.col("page_id") == 1), H.fit_labeller(odd.limit(0))).count() == 1
+    with pytest.raises(ValueError, match="no page"):
+        H.Labeller().label([H.leaf_blocks(PAGE)])
+
+
+def test_long_pages_train_like_short_ones(spark):
+    """Every page is made long by a comment: what is read of it, and so every label, stays the same."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    long = pages.withColumn("html", F.concat("html", F.lit("<!--" + "x" * 31_000 + "-->")))
+    model, other = H.fit_labeller(pages, layouts=40), H.fit_labeller(long, layouts=40)
+    assert model.trained and all((model.p[k] == other.p[k]).all() for k in model.p)
+    one = {r.id: r.text for r in H.extract(pages, model).collect()}
+    assert one == {r.id: r.text for r in H.extract(long, other).collect()} and any(one.values())
+
+
+def test_labels_equal_a_naive_loop(spark):
+    """Block by block, one gate after another, against the batched forward pass over padded pages."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(12).collect()]
+    model = H.train(pages, 30, 0.3, 7)
+    blocks = [H.leaf_blocks(p) for p in [*pages, PAGE]]
+    h, p = H.HIDDEN, model.p
+    s = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(x, w, u):
+        out, hidden, cell = [], np.zeros(h), np.zeros(h)
+        for row in x:
+            g = row @ w + hidden @ u
+            i, f, o, c = (g[k * h : (k + 1) * h] for k in range(4))
+            gates = {"i": s(i), "f": s(f), "o": s(o), "c": np.tanh(c)}
+            cell = gates["f"] * cell + gates["i"] * gates["c"]
+            hidden = gates["o"] * np.tanh(cell)
+            out.append(hidden)
+        return out
+
+    for bs, got in zip(blocks, model.label(blocks)):
+        paths, words, numbers = H.block_inputs(bs)
+        x = [np.concatenate((p["path"][a].sum(axis=0), p["word"][w].mean(axis=0), n)) for a, w, n in zip(paths, words, numbers)]
+        front, back = states(x, p["w"][:, : 4 * h], p["uf"]), states(x[::-1], p["w"][:, 4 * h :], p["ub"])[::-1]
+        logits = [np.concatenate((f, b, v)) @ p["o"] + p["b"][0] for f, b, v in zip(front, back, x)]
+        assert [bool(v > 0) for v, near in zip(logits, logits) if abs(near) > 1e-4] == [bool(y) for y, v in zip(got, logits) if abs(v) > 1e-4]
+
+
+def test_quotes_without_end_change_nothing_behind_them():
+    """However many tags have quotes that never end: one that is well formed keeps the > in its attribute."""
+    for n in (1, 9, 50):
+        page = "<p>" + "".join(f"<b x='{i}>t{i} " for i in range(n if n % 2 else n + 1)) + '<p title="a > b">end'
+        assert H.leaf_blocks(page)[-1].text == "end"
 
 
 def test_labelled_sample_is_the_smallest_hashes(spark):
