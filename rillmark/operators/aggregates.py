@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .scan import running
+from .scan import HOT_ROWS, running, spread
 from .views import detection_search, eligible_vods
 
 #: The statuses of chunks, in the order of their columns.
@@ -160,28 +161,90 @@ def allocate_index(new: DataFrame, old: DataFrame, key: str, order: list[str], i
     return ranked.join(last, key, "left").withColumn(index, F.coalesce("__last", F.lit(-1)) + F.col("__nth")).drop("__last", "__nth")
 
 
-def thin(frames: DataFrame, key: str, ts: str, gap: int = 10) -> DataFrame:
-    """(key, ts) of the frames a greedy reader takes: each at least gap after the last one taken, starting from 0.
-
-    The distinct times of a key are sorted by Spark, which spills, and read as a stream that carries the last time taken
-    alone, so a key may have any number of frames. Null times are never taken.
-    """
-    kind = frames.schema[key].dataType.simpleString()
+def _thinned(gap: int):
+    """Batches of (key, block, ts, entry), sorted, to those of (key, ts) taken; a block starts with entry as the last time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last, begun = None, 0, False
+        own, last = None, 0
         for batch in batches:
+            keys, blocks, times, entries = (c.to_pylist() for c in batch.columns)
             taken = []
-            for i, (k, x) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if not begun or k != own:
-                    own, last, begun = k, 0, True
+            for i, x in enumerate(times):
+                if (keys[i], blocks[i]) != own:
+                    own, last = (keys[i], blocks[i]), entries[i] or 0
                 if x - last >= gap:
                     last = x
                     taken.append(i)
-            yield batch.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken, pa.int64())), batch.column(2).take(pa.array(taken, pa.int64()))], names=["key", "ts"])
+
+    return run
+
+
+def _block_maps(gap: int):
+    """Batches of (key, block, ts), sorted, to (key, block, first, exits): the last time taken behind a block by that before it.
+
+    exits[i] is for a last time i + 1 before the block's first, exits[gap - 1] for any earlier one, exits[gap] for a key's
+    start; null where the block takes nothing. The ways from all of them run side by side and merge where they take the
+    same time; a queue by last time holds at most gap + 1 of them.
+    """
 
-    rows = frames.select(key, F.col(ts).cast("long").alias(ts)).filter(F.col(ts).isNotNull()).distinct()
-    return rows.repartition(key).sortWithinPartitions(key, ts).mapInArrow(run, f"`{key}` {kind}, `{ts}` bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, first, live, kinds = None, 0, deque(), None
+
+        def closed() -> pa.RecordBatch:
+            exits = [None] * (gap + 1)
+            for last, entries, moved in live:
+                for e in entries:
+                    exits[e] = last if moved else None
+            return pa.RecordBatch.from_arrays([pa.array([own[0]], kinds), pa.array([own[1]], pa.int32()), pa.array([first], pa.int64()), pa.array([exits], pa.list_(pa.int64()))], names=["key", "block", "first", "exits"])
+
+        for batch in batches:
+            kinds = batch.column(0).type
+            for k, b, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, b) != own:
+                    if own is not None:
+                        yield closed()
+                    own, first = (k, b), x
+                    starts = [(x - i - 1, [i], False) for i in range(gap)] + [(0, [gap], False)]
+                    live = deque(sorted(starts, key=lambda w: w[0]))
+                if live[0][0] <= x - gap:
+                    merged: list[int] = []
+                    while live and live[0][0] <= x - gap:
+                        merged += live.popleft()[1]
+                    live.append((x, merged, True))
+        if own is not None:
+            yield closed()
+
+    return run
+
+
+def thin(frames: DataFrame, key: str, ts: str, gap: int = 10, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(key, ts) of the frames a greedy reader takes: each at least gap after the last one taken, starting from 0.
+
+    The times of a key are sorted by Spark, which spills, and read as a stream that carries the last time taken. A hot
+    key's times are cut into blocks (spread). The last time before a block matters only by how far, up to gap, it lies
+    before the block's first; so every block, on its own, gives a map from gap + 1 beginnings to an end. A key's maps, one
+    row a block, are followed in order, which gives every block its beginning; then all blocks run in parallel. Null
+    times are never taken; without a positive gap, every distinct time from gap on is.
+    """
+    rows = frames.select(F.col(key).alias("key"), F.col(ts).cast("long").alias("ts")).filter(F.col("ts").isNotNull())
+    if gap <= 0:
+        return rows.filter(F.col("ts") >= gap).distinct().toDF(key, ts)
+    kind = rows.schema["key"].dataType.simpleString()
+    rows = spread(rows, ["key"], "ts", hot_rows).select("key", F.col("__block").alias("block"), "ts")
+    maps = rows.filter("block > 0").repartition("key", "block").sortWithinPartitions("key", "block", "ts").mapInArrow(_block_maps(gap), f"key {kind}, block int, first bigint, exits array<bigint>")
+    along = maps.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("block", "first", "exits"))).alias("maps"))  # BLOCKS rows a hot key
+
+    def step(s: Column, m: Column) -> Column:
+        begun = F.size(s["entries"]) > 0
+        before = F.when(begun, F.least(m["first"] - s["last"], F.lit(gap)).cast("int")).otherwise(gap + 1)
+        return F.struct(F.array_append(s["entries"], F.struct(m["block"].alias("block"), s["last"].alias("entry"))).alias("entries"), F.coalesce(F.element_at(m["exits"], before), s["last"]).alias("last"))
+
+    start = F.struct(F.array().cast("array<struct<block:int,entry:bigint>>").alias("entries"), F.lit(0).cast("bigint").alias("last"))
+    entries = along.select(F.col("key").alias("_key"), F.explode(F.aggregate("maps", start, step, lambda s: s["entries"])).alias("e")).select("_key", F.col("e.block").alias("_block"), "e.entry")
+    told = rows.join(F.broadcast(entries), rows["key"].eqNullSafe(entries["_key"]) & (rows["block"] == entries["_block"]), "left").select("key", "block", "ts", "entry")
+    taken = told.repartition("key", "block").sortWithinPartitions("key", "block", "ts").mapInArrow(_thinned(gap), f"key {kind}, ts bigint")
+    return taken.toDF(key, ts)
 
 
 def frame_times(chunks: DataFrame, rate: float = 0.5) -> DataFrame:

@@ -10,57 +10,72 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from .aggregates import pending_by_vod, rollup_status
 from .intervals import create_missing_chunks
+from .scan import running
 from .views import enabled, lookup_fallback, presence
 
 ALLOWED = ("pending", "processing", "completed", "failed")
 
 
-def _fold(commands: DataFrame, state: DataFrame, key: str, order: str, fields: list[str], start: Column, step) -> DataFrame:
-    """state with each key's commands folded in order; a key's commands are few, as each is a user's or worker's act."""
-    cmd = F.struct(order, *fields)
-    per = commands.groupBy(key).agg(F.sort_array(F.collect_list(cmd)).alias("__c"))
-    rows = state.join(per, key)
-    return rows.select(key, F.aggregate("__c", start, step).alias("s")).select(key, "s.*")
+#: Where a chunk's state has no such column yet, it starts from null.
+_STAMPS = {"started_at": "timestamp_ntz", "completed_at": "timestamp_ntz", "last_error": "string"}
+
+
+def _chunk_state(chunks: DataFrame) -> DataFrame:
+    """(id, o_status, ...): the state of chunks that commands change."""
+    own = {c: F.col(c) if c in chunks.columns else F.lit(None).cast(k) for c, k in _STAMPS.items()}
+    return chunks.select("id", F.col("status").alias("o_status"), F.col("attempt_count").cast("int").alias("o_attempts"), *(v.alias(f"o_{c}") for c, v in own.items()))
+
+
+def summarize_status(commands: DataFrame) -> DataFrame:
+    """(id, last, start, error, again): what the commands (seq, id, status, error, at) of each chunk come to.
+
+    Of every field the latest command that sets it, with its place, and how many attempts were added: maxima and a sum,
+    so summaries of parts merge (merge_status), and a chunk with any number of commands is one row before the shuffle.
+    """
+    place, st = F.struct("seq", "status", "error", "at"), F.col("status")
+    again = st.isin("pending", "failed")
+    return commands.filter(st.isin(*ALLOWED)).groupBy("id").agg(
+        F.max(F.struct(place.alias("place"), st.alias("status"), F.when(st.isin("completed", "failed"), F.col("at")).alias("completed_at"))).alias("last"),
+        F.max(F.when(st.isin("processing", "pending"), F.struct(place.alias("place"), F.when(st == "processing", F.col("at")).alias("started_at")))).alias("start"),
+        F.max(F.when(~again | F.col("error").isNotNull(), F.struct(place.alias("place"), F.when(again, F.col("error")).alias("last_error")))).alias("error"),
+        F.count_if(again).alias("again"),
+    )
+
+
+def merge_status(summaries: DataFrame) -> DataFrame:
+    """One summary a chunk from those of any parts of the commands, in any order."""
+    return summaries.groupBy("id").agg(*(F.max(c).alias(c) for c in ("last", "start", "error")), F.sum("again").alias("again"))
 
 
 def apply_status_commands(commands: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks after status commands (seq, id, status, error, at) by the database's rules.
+    """Chunks with commands (seq, id, status, error, at), after them by the database's rules.
 
     Commands with an unknown status or chunk change nothing. Processing sets the start and clears the error; completed
     clears it too; pending and failed count an attempt and keep the error given; completed and failed set the end.
     """
-    ok = commands.filter(F.col("status").isin(*ALLOWED))
-    start = F.struct(F.col("status"), F.lit(None).cast("timestamp_ntz").alias("started_at"), F.lit(None).cast("timestamp_ntz").alias("completed_at"), F.col("attempt_count").cast("int").alias("attempt_count"), F.lit(None).cast("string").alias("last_error"))
-
-    def step(s: Column, c: Column) -> Column:
-        st = c["status"]
-        again = st.isin("pending", "failed")
-        return F.struct(
-            st.alias("status"),
-            F.when(st == "processing", c["at"]).when(st == "pending", None).otherwise(s["started_at"]).alias("started_at"),
-            F.when(st.isin("completed", "failed"), c["at"]).alias("completed_at"),
-            (s["attempt_count"] + again.cast("int")).alias("attempt_count"),
-            F.when(again & c["error"].isNotNull(), c["error"]).when(~again, None).otherwise(s["last_error"]).alias("last_error"),
-        )
-
-    return _fold(ok, chunks.select("id", "status", "attempt_count"), "id", "seq", ["status", "error", "at"], start, step)
+    rows = _chunk_state(chunks).join(summarize_status(commands), "id")
+    pick = lambda of, name: F.when(F.col(of).isNotNull(), F.col(of)[name]).otherwise(F.col(f"o_{name}")).alias(name)
+    return rows.select("id", F.col("last.status").alias("status"), pick("start", "started_at"), F.col("last.completed_at").alias("completed_at"), (F.col("o_attempts") + F.col("again")).cast("int").alias("attempt_count"), pick("error", "last_error"))
 
 
 def apply_worker_commands(commands: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The same commands by the worker's rules: processing resets attempts to 1, pending adds one, given errors overwrite."""
-    start = F.struct(F.col("status"), F.lit(None).cast("timestamp_ntz").alias("started_at"), F.lit(None).cast("timestamp_ntz").alias("completed_at"), F.col("attempt_count").cast("int").alias("attempt_count"), F.lit(None).cast("string").alias("last_error"))
+    """The same commands by the worker's rules: processing resets attempts to 1, pending adds one, given errors overwrite.
 
-    def step(s: Column, c: Column) -> Column:
-        st = c["status"]
-        return F.struct(
-            st.alias("status"),
-            F.when(st == "processing", c["at"]).otherwise(s["started_at"]).alias("started_at"),
-            F.when(st == "completed", c["at"]).otherwise(s["completed_at"]).alias("completed_at"),
-            F.when(st == "processing", 1).when(st == "pending", s["attempt_count"] + 1).otherwise(s["attempt_count"]).alias("attempt_count"),
-            F.coalesce(c["error"], s["last_error"]).alias("last_error"),
-        )
-
-    return _fold(commands, chunks.select("id", "status", "attempt_count"), "id", "seq", ["status", "error", "at"], start, step)
+    Commands are numbered by the resets up to them (a running sum, which hot chunks spread over tasks), counted by chunk
+    and number, and of a chunk's few maxima the last number's count stands.
+    """
+    place, st = F.struct("seq", "status", "error", "at"), F.col("status")
+    rows = commands.select("id", "seq", "status", "error", "at", (st == "processing").cast("int").alias("reset"))
+    rows = running(rows, ["id"], ["seq", "status", "error", "at"], {"resets": ("sum", "reset")})
+    latest = lambda c, **v: F.max(F.when(c, F.struct(place.alias("place"), *(x.alias(n) for n, x in v.items()))))
+    parts = rows.groupBy("id", "resets").agg(
+        latest(F.lit(True), status=st).alias("last"), latest(st == "processing", at=F.col("at")).alias("start"), latest(st == "completed", at=F.col("at")).alias("end"),
+        latest(F.col("error").isNotNull(), error=F.col("error")).alias("error"), F.count_if(st == "pending").alias("again"),
+    )
+    own = parts.groupBy("id").agg(*(F.max(c).alias(c) for c in ("last", "start", "end", "error")), F.max(F.struct("resets", "again")).alias("n"))
+    r = _chunk_state(chunks).join(own, "id")
+    attempts = F.when(F.col("n.resets") > 0, 1).otherwise(F.col("o_attempts")) + F.col("n.again")
+    return r.select("id", F.col("last.status").alias("status"), F.coalesce("start.at", "o_started_at").alias("started_at"), F.coalesce("end.at", "o_completed_at").alias("completed_at"), attempts.cast("int").alias("attempt_count"), F.coalesce("error.error", "o_last_error").alias("last_error"))
 
 
 def command_results(commands: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -200,16 +215,15 @@ def toggle_subscriptions(commands: DataFrame, subscriptions: DataFrame, channels
     known = channels.select(F.col("guild_id").alias("__g")).distinct()
     valid = commands.withColumn("notify_type", kind).join(known, commands["guild_id"] == known["__g"], "left").filter("notify_type = 'dm' OR __g IS NOT NULL").drop("__g")
     keys = ["user_id", "username"]
-    per = valid.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", "notify_type", "guild_id"))).alias("__c"))
+    nth = running(valid.select(*keys, "seq", "notify_type", "guild_id"), keys, ["seq", "notify_type", "guild_id"], {"nth": ("count", "seq")})
+    on = F.struct("nth", "notify_type", F.when(F.col("notify_type") != "dm", F.col("guild_id")).alias("guild_id"))
+    per = nth.groupBy(*keys).agg(F.max("nth").alias("n"), F.max(F.when(F.col("nth") % 2 == 1, on)).alias("odd"), F.max(F.when(F.col("nth") % 2 == 0, on)).alias("even"))
     rows = subscriptions.select(*keys, "enabled", F.col("notify_type").alias("k"), F.col("guild_id").alias("g")).join(per, keys, "full_outer")
-    start = F.struct(F.coalesce("enabled", F.lit(False)).alias("enabled"), F.col("k"), F.col("g"))
-
-    def step(s: Column, c: Column) -> Column:
-        on = ~s["enabled"]
-        return F.struct(on.alias("enabled"), F.when(on, c["notify_type"]).otherwise(s["k"]).alias("k"), F.when(on, F.when(c["notify_type"] != "dm", c["guild_id"])).otherwise(s["g"]).alias("g"))
-
-    folded = F.when(F.col("__c").isNull(), start).otherwise(F.aggregate("__c", start, step))
-    return rows.select(*keys, folded.alias("s")).select(*keys, "s.enabled", F.col("s.k").alias("notify_type"), F.col("s.g").alias("guild_id"))
+    was = F.coalesce("enabled", F.lit(False))
+    # the odd toggles switch on what was off, the even ones what was on
+    rows = rows.select(*keys, "k", "g", (was.cast("int") + F.coalesce("n", F.lit(0))) % 2 == 1, F.when(was, F.col("even")).otherwise(F.col("odd"))).toDF(*keys, "k", "g", "enabled", "on")
+    pick = lambda name, old: F.when(F.col("on").isNotNull(), F.col("on")[name]).otherwise(F.col(old)).alias(name)
+    return rows.select(*keys, "enabled", pick("notify_type", "k"), pick("guild_id", "g"))
 
 
 def set_channels(commands: DataFrame) -> DataFrame:
