@@ -30,18 +30,22 @@ def status_counts(chunks: DataFrame, key: str = "vod_id") -> DataFrame:
     return chunks.groupBy(key).agg(F.count(F.lit(1)).alias("chunks"), *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
 
 
-def rollup_status(t) -> DataFrame:
-    """(vod_id, status) of every recording from its chunks' statuses; one without chunks is pending."""
+def status_by_counts() -> Column:
+    """A recording's status from its counts of chunks (status_counts); without chunks it is pending."""
     c = F.coalesce("chunks", F.lit(0))
-    counts = t.vods.select(F.col("id").alias("vod_id")).join(status_counts(t.chunks), "vod_id", "left")
-    status = (
+    return (
         F.when((c == 0) | (c == F.col("pending")), "pending")
         .when((F.col("queued") > 0) | (F.col("processing") > 0), "processing")
         .when(c == F.col("completed"), "completed")
         .when(c == F.col("failed"), "failed")
         .otherwise("partial")
     )
-    return counts.select("vod_id", status.alias("status"))
+
+
+def rollup_status(t) -> DataFrame:
+    """(vod_id, status) of every recording from its chunks' statuses; one without chunks is pending."""
+    counts = t.vods.select(F.col("id").alias("vod_id")).join(status_counts(t.chunks), "vod_id", "left")
+    return counts.select("vod_id", status_by_counts().alias("status"))
 
 
 def only_value(col: str) -> Column:

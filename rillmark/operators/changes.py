@@ -131,10 +131,14 @@ def queue(chunks: DataFrame, vods: DataFrame, now: datetime) -> DataFrame:
 
 
 def changed_rollups(before: DataFrame, touched: DataFrame, t) -> DataFrame:
-    """(vod_id, status) of touched recordings whose rolled-up status differs from before (vod_id, status)."""
-    now = rollup_status(t).join(touched.select("vod_id").distinct(), "vod_id", "left_semi")
+    """(vod_id, status) of touched recordings whose rolled-up status differs from before (vod_id, status).
+
+    Only their chunks are counted; streaming.rollups keeps stored counts up instead.
+    """
+    ids = touched.select("vod_id").distinct()
+    some = _With(t, vods=t.vods.join(ids.select(F.col("vod_id").alias("id")), "id", "left_semi"), chunks=t.chunks.join(ids, "vod_id", "left_semi"))
     old = before.select("vod_id", F.col("status").alias("__old"))
-    return now.join(old, "vod_id", "left").filter(C.changed(F.col("__old"), F.col("status"))).drop("__old")
+    return rollup_status(some).join(old, "vod_id", "left").filter(C.changed(F.col("__old"), F.col("status"))).drop("__old")
 
 
 def rechunk(t, changes: DataFrame, shortest: int = 600) -> DataFrame:

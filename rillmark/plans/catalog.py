@@ -15,8 +15,10 @@ from ..operators import changes as G
 from ..operators import intervals as I
 from ..operators import vectors as K
 from ..operators import views as V
+from ..sources import snapshots as P
 from ..sources import tables as T
 from ..streaming import jobs as S
+from ..streaming import rollups as R
 from . import api as J
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +130,18 @@ def A6_upsert(t):
     return T.merge_snapshot(base, up, ["id"], ["title", "duration_seconds"])
 
 
+@q(ORACLES["A6_upsert"])
+def A6_snapshot_upsert(t):
+    """The same on a stored table, of which only the partitions of the updated keys are rewritten; done twice."""
+    path = S.shared_dir(t.spark)
+    base = t.vods.select("id", "streamer_id", "title", "duration_seconds")
+    P.write_snapshot(base, path, "id", 32)
+    up = base.filter("id % 5 = 0").select(F.explode(F.array("id", F.col("id") + 1_000_000_000_000)).alias("id"), F.lit("changed").alias("title"), (F.col("duration_seconds") + 1).alias("duration_seconds"))
+    for _ in range(2):
+        P.upsert(t.spark, path, up, "id", ["title", "duration_seconds"], 32)
+    return P.read_snapshot(t.spark, path).drop(P.BUCKET)
+
+
 @q(domain("SELECT 'streamers' AS name, count(*) AS n FROM streamers WHERE id % 10 <> 0 UNION ALL SELECT 'vods', count(*) FROM lv UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE vod_id NOT IN (SELECT id FROM gv) UNION ALL SELECT 'detections', count(*) FROM detections WHERE vod_id NOT IN (SELECT id FROM gv)", "gv AS (SELECT id FROM vods WHERE streamer_id % 10 = 0), lv AS (SELECT id FROM vods WHERE streamer_id % 10 <> 0)"))
 def A7_delete_cascade(t):
     left = T.delete_cascade({n: getattr(t, n) for n in ("streamers", "vods", "chunks", "detections")}, t.streamers.filter("id % 10 = 0"))
@@ -140,6 +154,18 @@ def A8_replace_partition(t):
     return T.replace_partition(base, t.chunks.filter("vod_id % 7 = 0 AND chunk_index = 0").select("id", "vod_id", F.lit("pending").alias("status")), "vod_id")
 
 
+@q("SELECT o_orderkey, CASE WHEN month(o_orderdate) = 3 THEN 0 ELSE o_totalprice END AS o_totalprice, month(o_orderdate)::INT AS part FROM orders WHERE month(o_orderdate) <> 3 OR o_orderkey % 2 = 0")
+def A8_overwritten_partitions(t):
+    """A table by month of which one month is written anew, twice: that partition is replaced, the others are not touched."""
+    path = S.shared_dir(t.spark)
+    base = t.orders.select("o_orderkey", "o_totalprice", F.month("o_orderdate").alias("part"))
+    base.repartition("part").write.partitionBy("part").parquet(path)
+    march = base.filter("part = 3 AND o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(0.0).cast(base.schema["o_totalprice"].dataType))
+    for _ in range(2):
+        P.overwrite_partitions(march, path, "part")
+    return t.spark.read.parquet(path)
+
+
 @q(domain("SELECT chunk_id, to_json({chunk_id: chunk_id, detections_count: count(*), detections: list({timestamp: frame_time_seconds, username: username, rank: rank} ORDER BY frame_time_seconds, id)})::STRING AS document FROM detections GROUP BY chunk_id"))
 def A9_summary_export(t):
     return T.export_summary(t.detections)
@@ -570,6 +596,24 @@ def I3_changed_rollups(t):
     return G.changed_rollups(before, before.filter("vod_id % 3 = 0"), t)
 
 
+MOVED = "mv AS (SELECT id, vod_id, CASE WHEN id % 5 = 4 THEN NULL WHEN id % 5 < 3 AND status = 'pending' THEN 'queued' WHEN id % 5 < 3 AND status = 'queued' THEN 'processing' WHEN id % 5 < 3 AND status = 'processing' THEN 'completed' ELSE status END AS status FROM chunks)"
+
+
+@q(domain("SELECT vod_id, chunks, pending, queued, processing, completed, failed, CASE WHEN chunks = 0 OR chunks = pending THEN 'pending' WHEN queued > 0 OR processing > 0 THEN 'processing' WHEN chunks = completed THEN 'completed' WHEN chunks = failed THEN 'failed' ELSE 'partial' END AS status FROM (SELECT vod_id, count(status) AS chunks, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM mv GROUP BY 1)", MOVED))
+def I3_rollup_stream(t):
+    """Counts stored of all chunks, then three batches in which chunks move on or go: the stored counts after them."""
+    state, path, folder = (S.shared_dir(t.spark) for _ in range(3))
+    R.start_rollups(t.chunks, state)
+    row = F.struct("vod_id", "status")
+    nxt = F.when(F.col("status") == "pending", "queued").when(F.col("status") == "queued", "processing").when(F.col("status") == "processing", "completed").otherwise(F.col("status"))
+    changes = t.chunks.select(F.col("id"), row.alias("old"), F.when(F.col("id") % 5 != 4, F.struct("vod_id", nxt.alias("status"))).alias("new")).filter("id % 5 <> 3")
+    changes.withColumn("b", F.col("id") % 3).repartition(3, "b").write.partitionBy("b").parquet(path)
+    for b in range(3):
+        R.apply_batch(t.spark, state, t.spark.read.parquet(f"{path}/b={b}"), b)
+    R.apply_batch(t.spark, state, t.spark.read.parquet(f"{path}/b=2"), 2)  # a batch that comes again changes nothing
+    return R.stored_status(t.spark, state)
+
+
 RECHUNK = "pl2 AS (SELECT pl.* FROM pl JOIN vods v ON v.id = pl.vod_id JOIN streamers s ON s.id = v.streamer_id WHERE s.processing_enabled {}), nx AS (SELECT p.vod_id, (coalesce(m, -1) + row_number() OVER (PARTITION BY p.vod_id ORDER BY segment, start_seconds))::INT AS chunk_index, start_seconds, end_seconds FROM pl2 p LEFT JOIN (SELECT vod_id, max(chunk_index) AS m FROM chunks GROUP BY 1) c ON c.vod_id = p.vod_id)"
 
 
@@ -598,13 +642,16 @@ def I7_drop_work(t):
 
 @q(f"WITH {FRAMES}, {THIN.format('fr')} SELECT chunk_id, ts FROM th")
 def I8_debounce_stream(t):
+    """Frames of five batches of files that overlap by days, in no order within, closed by a frame of no key."""
     path = S.shared_dir(t.spark)
-    third = F.when(F.dayofmonth("ts") <= 10, 0).when(F.dayofmonth("ts") <= 20, 1).otherwise(2)
-    for n in range(3):  # files arrive in order of time, so the state of every key is carried from batch to batch
-        t.events.select("user_id", "ts").filter(third == n).coalesce(1).write.mode("append").parquet(path)
-    ev = S.source(t.spark, path, files_per_batch=1)
-    frames = ev.select(F.col("user_id").alias("chunk_id"), F.floor(F.timestamp_diff("SECOND", F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz"), F.col("ts")) / 600).alias("ts"))
-    return S.drain(S.debounce(frames, "chunk_id", "ts"))
+    day = F.dayofmonth("ts") - F.pmod(F.xxhash64("event_id"), F.lit(5))  # a frame comes up to four days late
+    seconds = F.timestamp_diff("SECOND", F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz"), F.col("ts"))
+    frames = t.events.select(F.col("user_id").alias("chunk_id"), F.floor(seconds / 600).cast("long").alias("ts"), F.greatest(F.lit(0), F.least(F.lit(4), F.floor((day + 4) / 7))).cast("int").alias("b"))
+    last = t.spark.range(1).select(F.lit(None).cast("long").alias("chunk_id"), F.lit(100_000).cast("long").alias("ts"))
+    for b in range(5):  # five batches of two files each
+        frames.filter(F.col("b") == b).drop("b").repartition(2, "chunk_id").write.mode("append").parquet(path)
+    last.unionByName(last).repartition(2).write.mode("append").parquet(path)
+    return S.drain(S.debounce(S.source(t.spark, path, files_per_batch=2), "chunk_id", "ts", late=10 * 144, unit=600))
 
 
 def _commands(t) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..operators import changes
 from ..sources.staging import shared_dir
@@ -43,21 +44,63 @@ def drain_batches(stream: DataFrame, f: Callable[[DataFrame], DataFrame], folder
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
-def debounce(frames: DataFrame, key: str, ts: str, gap: int = 10) -> DataFrame:
-    """Greedy thinning with the last time taken as state; a key's rows must arrive in order across batches."""
-
-    def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0
-        kept = []
-        for x in sorted(v for pdf in pdfs for v in pdf[ts]):
-            if x - last >= gap:
-                last = int(x)
-                kept.append(last)
-        state.update((last,))
-        yield pd.DataFrame({key: [k[0]] * len(kept), ts: kept})
-
-    rows = frames.select(F.col(key).cast("long").alias(key), F.col(ts).cast("long").alias(ts))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, {ts} long", "last long", "append", GroupStateTimeout.NoTimeout)
+class Debouncer(StatefulProcessor):
+    """Greedy thinning of a key's frames in order of event time, however they arrive.
+
+    Frames wait in a map by their time until the watermark has passed it, as no earlier one can come then; a timer for
+    each time releases them in order. Once the last time taken is gap behind the watermark it can hold no frame back any
+    more, and a timer drops it: an idle key keeps no state.
+    """
+
+    def __init__(self, key: str, ts: str, gap: int, unit: int):
+        self.key, self.ts, self.gap, self.unit = key, ts, gap, unit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts long")
+        self.waiting = handle.getMapState("waiting", "ts long", "n long")
+
+    def _milliseconds(self, x: int) -> int:
+        return x * self.unit * 1000
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        for x in {int(x) for pdf in rows for x in pdf[self.ts].dropna()}:
+            if self._milliseconds(x) > now and not self.waiting.containsKey((x,)):
+                self.waiting.updateValue((x,), (1,))
+                self.handle.registerTimer(self._milliseconds(x))
+        yield pd.DataFrame({self.key: [], self.ts: []}).astype("int64")
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        x = expiredTimerInfo.getExpiryTimeInMs() // (self.unit * 1000)
+        out = []
+        if self.waiting.containsKey((x,)):
+            self.waiting.removeKey((x,))
+            last = self.last.get()[0] if self.last.exists() else 0
+            if x - last >= self.gap:
+                self.last.update((x,))
+                self.handle.registerTimer(self._milliseconds(x + self.gap))
+                out.append(x)
+        if self.last.exists() and x - self.last.get()[0] >= self.gap:
+            self.last.clear()
+        yield pd.DataFrame({self.key: [key[0]] * len(out), self.ts: out}).astype("int64")
+
+
+def debounce(frames: DataFrame, key: str, ts: str, gap: int = 10, late: int = 600, unit: int = 1) -> DataFrame:
+    """Greedy thinning of a stream: (key, ts) of the frames taken, each once the watermark has passed it.
+
+    ts counts units of so many seconds. Frames may come in any order, up to late units behind the latest of all keys;
+    what comes later is dropped. A row without a key moves the watermark and is no frame; one far ahead closes a stream.
+    """
+    with_state_store(frames.sparkSession)
+    rows = frames.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias(key), F.when(F.col(key).isNotNull(), F.col(ts).cast("long")).alias(ts), F.timestamp_seconds(F.col(ts) * unit).alias("__at"))
+    # a filter here would be pushed below the watermark, which rows without a key are to move
+    return rows.withWatermark("__at", f"{late * unit} seconds").groupBy(key).transformWithStateInPandas(Debouncer(key, ts, gap, unit), f"{key} long, {ts} long", "Append", "EventTime")
+
+
+def with_state_store(spark: SparkSession) -> None:
+    """transformWithState needs the store that can hold several states of a key."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def metric_windows(metrics: DataFrame, width: str = "10 seconds", late: str = "1 minute", by: tuple[str, ...] = ("name", "attr")) -> DataFrame:
