@@ -47,8 +47,9 @@ def drain_batches(stream: DataFrame, f: Callable[[DataFrame], DataFrame], folder
 class Debouncer(StatefulProcessor):
     """Greedy thinning of a key's frames in order of event time, however they arrive.
 
-    Frames wait in a map by their time until the watermark has passed it, as no earlier one can come then; a timer for
-    each time releases them in order. Once the last time taken is gap behind the watermark it can hold no frame back any
+    Frames wait in a list until the watermark has passed them, as no earlier one can come then. A timer at the first one
+    waiting releases, in order, all that the watermark has passed by then: state is touched a few times for a key and
+    batch, not for a frame. Once the last time taken is gap behind the watermark it can hold no frame back any
     more, and a timer drops it: an idle key keeps no state.
     """
 
@@ -58,32 +59,37 @@ class Debouncer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "ts long")
-        self.waiting = handle.getMapState("waiting", "ts long", "n long")
-
-    def _milliseconds(self, x: int) -> int:
-        return x * self.unit * 1000
+        self.waiting = handle.getListState("waiting", "ts long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        for x in {int(x) for pdf in rows for x in pdf[self.ts].dropna()}:
-            if self._milliseconds(x) > now and not self.waiting.containsKey((x,)):
-                self.waiting.updateValue((x,), (1,))
-                self.handle.registerTimer(self._milliseconds(x))
-        yield pd.DataFrame({self.key: [], self.ts: []}).astype("int64")
+        new = sorted({int(x) for pdf in rows for x in pdf[self.ts].dropna()})
+        if new:
+            self.waiting.appendList([(x,) for x in new])
+            self.handle.registerTimer(new[0] * self.unit * 1000)
+        return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        x = expiredTimerInfo.getExpiryTimeInMs() // (self.unit * 1000)
-        out = []
-        if self.waiting.containsKey((x,)):
-            self.waiting.removeKey((x,))
-            last = self.last.get()[0] if self.last.exists() else 0
-            if x - last >= self.gap:
-                self.last.update((x,))
-                self.handle.registerTimer(self._milliseconds(x + self.gap))
+        passed = timerValues.getCurrentWatermarkInMs() // (self.unit * 1000)
+        times = sorted({r[0] for r in self.waiting.get()})
+        ripe = [x for x in times if x <= passed]
+        last = self.last.get()
+        before = last[0] if last else 0
+        now, out = before, []
+        for x in ripe:
+            if x - now >= self.gap:
+                now = x
                 out.append(x)
-        if self.last.exists() and x - self.last.get()[0] >= self.gap:
+        if len(ripe) == len(times):
+            self.waiting.clear()
+        elif ripe:
+            self.waiting.put([(x,) for x in times[len(ripe) :]])
+            self.handle.registerTimer(times[len(ripe)] * self.unit * 1000)
+        if now != before:
+            self.last.update((now,))
+            self.handle.registerTimer((now + self.gap) * self.unit * 1000)
+        elif last and len(ripe) == len(times) and passed - now >= self.gap:
             self.last.clear()
-        yield pd.DataFrame({self.key: [key[0]] * len(out), self.ts: out}).astype("int64")
+        return iter([pd.DataFrame({self.key: [key[0]] * len(out), self.ts: out})] if out else [])
 
 
 def debounce(frames: DataFrame, key: str, ts: str, gap: int = 10, late: int = 600, unit: int = 1) -> DataFrame:
@@ -101,6 +107,7 @@ def debounce(frames: DataFrame, key: str, ts: str, gap: int = 10, late: int = 60
 def with_state_store(spark: SparkSession) -> None:
     """transformWithState needs the store that can hold several states of a key."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def metric_windows(metrics: DataFrame, width: str = "10 seconds", late: str = "1 minute", by: tuple[str, ...] = ("name", "attr")) -> DataFrame:
