@@ -230,10 +230,16 @@ def toggle_subscriptions(commands: DataFrame, subscriptions: DataFrame, channels
     return rows.select(*keys, "enabled", pick("notify_type", "k"), pick("guild_id", "g"))
 
 
-def set_channels(commands: DataFrame) -> DataFrame:
-    """(guild_id, channel_id): the last command of each guild; a null channel clears it."""
+def set_channels(commands: DataFrame, channels: DataFrame | None = None) -> DataFrame:
+    """(guild_id, channel_id) after commands (seq, guild_id, channel_id): the last of each guild counts, a null channel clears.
+
+    channels are those stored before; a guild without a command keeps its own.
+    """
     last = commands.groupBy("guild_id").agg(F.max_by(F.struct("channel_id"), "seq").alias("c"))
-    return last.select("guild_id", "c.channel_id").filter("channel_id IS NOT NULL")
+    if channels is None:
+        return last.select("guild_id", "c.channel_id").filter("channel_id IS NOT NULL")
+    both = channels.select("guild_id", F.col("channel_id").alias("__was")).join(last, "guild_id", "full_outer")
+    return both.select("guild_id", F.when(F.col("c").isNotNull(), F.col("c.channel_id")).otherwise(F.col("__was")).alias("channel_id")).filter("channel_id IS NOT NULL")
 
 
 def notifications(detections: DataFrame, subscriptions: DataFrame, channels: DataFrame) -> DataFrame:
@@ -248,6 +254,18 @@ def notifications(detections: DataFrame, subscriptions: DataFrame, channels: Dat
     return dm.unionByName(guild.select("detection_id", F.lit("server").alias("kind"), F.col("channel_id").alias("target"), "users"))
 
 
+def notified(detections: DataFrame, subscriptions: DataFrame, channels: DataFrame) -> DataFrame:
+    """(detection_id, notified) of every detection: its direct messages, and its users in guilds that have a channel.
+
+    Subscriptions are counted by username before they meet detections, so a hot name is one row.
+    """
+    known = channels.select("guild_id", F.lit(1).alias("__has")).distinct()
+    on = subscriptions.filter("enabled").select("username", F.coalesce("notify_type", F.lit("both")).alias("kind"), "guild_id").join(known, "guild_id", "left")
+    each = F.col("kind").isin("dm", "both").cast("int") + (F.col("kind").isin("server", "both") & F.col("__has").isNotNull()).cast("int")
+    per = on.groupBy("username").agg(F.sum(each).alias("n"))
+    return detections.select(F.col("id").alias("detection_id"), "username").join(per, "username", "left").select("detection_id", F.coalesce("n", F.lit(0)).cast("long").alias("notified"))
+
+
 def notification_counts(detections: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(username, user_id, n): every matched subscription counts, delivered or not; matches are counted by name first."""
     n = detections.groupBy("username").agg(F.count(F.lit(1)).alias("n"))
@@ -267,8 +285,60 @@ def reprocess(t, ids: DataFrame) -> DataFrame:
     go = v.filter(ok).select("vod_id")
     c = t.chunks.join(go, "vod_id", "left_semi").groupBy("vod_id").agg(F.count(F.lit(1)).alias("c"))
     d = t.detections.join(go, "vod_id", "left_semi").groupBy("vod_id").agg(F.count(F.lit(1)).alias("d"))
-    rest = _With(t, vods=t.vods.join(go.select(F.col("vod_id").alias("id")), "id", "left_semi"), chunks=t.chunks.join(go, "vod_id", "left_anti"))
+    # all their chunks go, so that none is left to count or to avoid
+    rest = _With(t, vods=t.vods.join(go.select(F.col("vod_id").alias("id")), "id", "left_semi"), chunks=t.chunks.limit(0))
     n = create_missing_chunks(rest).groupBy("vod_id").agg(F.count(F.lit(1)).alias("n"))
     rows = v.join(c, "vod_id", "left").join(d, "vod_id", "left").join(n, "vod_id", "left")
     zero = lambda x, name: F.coalesce(x, F.lit(0)).alias(name)
     return rows.select("vod_id", ok.alias("success"), zero("c", "chunks_deleted"), zero("d", "detections_deleted"), zero("n", "chunks_created"))
+
+
+def force_process(t, requests: DataFrame) -> DataFrame:
+    """(request_id, vod_id, success, answer) of requests (request_id, vod_id, source_id): the JSON that each caller gets.
+
+    An id rules over a source id. Requests for recordings that are unknown or not available, or that name none, are
+    answered by an error; all others by what was deleted and created. Equal requests are each answered alike.
+    """
+    by_source = t.vods.groupBy("source_id").agg(F.min("id").alias("__found"))
+    r = requests.join(by_source, "source_id", "left").withColumn("__id", F.coalesce("vod_id", "__found"))
+    r = r.select("request_id", F.col("vod_id").alias("__asked"), "source_id", F.col("__id").alias("vod_id"))
+    known = t.vods.select(F.col("id").alias("vod_id"), "availability")
+    done = reprocess(t, r.select("vod_id").dropna())
+    rows = r.join(known, "vod_id", "left").join(done.drop("success"), "vod_id", "left")
+    text = F.col("vod_id").cast("string")
+    # The messages.
+    error = (
+        F.when(F.col("__asked").isNull() & F.col("source_id").isNull(), "Must provide either p_vod_id or p_source_id")
+        .when(F.col("vod_id").isNull(), F.concat(F.lit("VOD not found with source_id: "), "source_id"))
+        .when(F.col("availability").isNull(), F.concat(F.lit("VOD not found with id: "), text))
+        .when(F.col("availability") != "available", F.format_string("VOD %s is not available (status: %s)", text, "availability"))
+    )
+    counts = [F.col(c) for c in ("chunks_deleted", "detections_deleted", "chunks_created")]
+    message = F.format_string("Force-processed VOD %s: deleted %d chunks/%d detections, created %d new chunks", text, *counts)
+    good = F.struct(F.lit(True).alias("success"), "vod_id", counts[0].alias("deleted_chunks"), counts[1].alias("deleted_detections"), counts[2].alias("created_chunks"), message.alias("message"))
+    bad = F.struct(F.lit(False).alias("success"), F.col("error"), F.col("vod_id"))
+    whole = {"ignoreNullFields": "false"}
+    return rows.withColumn("error", error).select("request_id", "vod_id", F.col("error").isNull().alias("success"), F.when(F.col("error").isNull(), F.to_json(good, whole)).otherwise(F.to_json(bad, whole)).alias("answer"))
+
+
+def sweep_counts(requested: DataFrame, returned: DataFrame, key: str = "id") -> DataFrame:
+    """(checked, marked_unavailable, still_available) of a probe, one row."""
+    seen = presence(requested, returned, key)
+    return seen.agg(F.count(F.lit(1)).alias("checked"), F.count_if(~F.col("available")).alias("marked_unavailable"), F.count_if("available").alias("still_available"))
+
+
+def counted(rows: DataFrame, by: str) -> DataFrame:
+    """(by, n): how many rows took each route, or had each reason."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def list_subscriptions(subscriptions: DataFrame, user_id: str) -> DataFrame:
+    """(username, created_at) of a user's enabled subscriptions, the oldest first."""
+    return subscriptions.filter((F.col("user_id") == user_id) & F.col("enabled")).select("username", "created_at").orderBy("created_at", "username")
+
+
+def list_message(subscriptions: DataFrame, user_id: str) -> DataFrame:
+    """(content): the answer to a user's list command, one row."""
+    own = list_subscriptions(subscriptions, user_id).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("created_at", "username"))), lambda x: F.concat(F.lit("- **"), x["username"], F.lit("**"))), "\n").alias("names"))
+    # The answers with and without subscriptions.
+    return own.select(F.when(F.col("names") == "", "You have no active subscriptions. Use `/notify <username>` to subscribe.").otherwise(F.concat(F.lit("Your active subscriptions:\n"), "names")).alias("content"))

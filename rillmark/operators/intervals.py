@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scan import running
+from .views import overlap_join
 
 TARGET, MIN_GAP, LEGACY_MIN = 3600, 300, 600
 
@@ -54,9 +55,10 @@ def subtract_ranges(seg: DataFrame, covered: DataFrame) -> DataFrame:
     Covered ranges are clipped to the segment, an empty one is put at its end, and wherever a range begins behind the
     largest end so far lies a hole.
     """
-    cut = seg.join(covered.select("vod_id", "start_seconds", "end_seconds"), "vod_id").filter("start_seconds < segment_end AND segment_start < end_seconds")
     keys = ["vod_id", "segment", "segment_start", "segment_end"]
-    cut = cut.select(*keys, F.greatest("start_seconds", "segment_start").alias("s"), F.least("end_seconds", "segment_end").alias("e"))
+    a = seg.select("vod_id", "segment", F.col("segment_start").alias("start"), F.col("segment_end").alias("end"))
+    both = overlap_join(a, covered.select("vod_id", F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end")), "vod_id")
+    cut = both.select("vod_id", F.col("a_segment").alias("segment"), F.col("a_start").alias("segment_start"), F.col("a_end").alias("segment_end"), F.greatest("a_start", "b_start").alias("s"), F.least("a_end", "b_end").alias("e"))
     rows = cut.unionByName(seg.select(*keys, F.col("segment_end").alias("s"), F.col("segment_end").alias("e")))
     rows = running(rows, ["vod_id", "segment"], ["s", "e"], {"__before": ("max_before", "e")})
     rows = rows.withColumn("gap_start", F.coalesce("__before", F.col("segment_start")))

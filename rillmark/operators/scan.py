@@ -98,17 +98,26 @@ def running(df: DataFrame, key: list[str], order: list[str], values: dict[str, t
     return rows.select(*rest, *(joined(n, kind).alias(n) for n, (kind, _) in values.items()))
 
 
-def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """df with one more column for each of sums (name: column): its sum over all rows up to this one, in order.
+def running_all(df: DataFrame, order: list[Column], values: dict[str, tuple[str, str]]) -> DataFrame:
+    """df with one more column for each of values (name: ("sum" or "last", column)), running over all rows in order.
 
-    Rows are dealt to tasks by ranges of the order and staged; a range's rows add up in its task, and the sums of the
-    ranges before, one row a range, are broadcast.
+    Rows are dealt to tasks by ranges of the order and staged; a range's rows add up in its task, and what the ranges
+    before come to, one row a range, is broadcast. "last" is the last value not null.
     """
     named = {f"__o{i}": o for i, o in enumerate(order)}
     own = staged(df.withColumns(named).repartitionByRange(*named).withColumn("__range", F.spark_partition_id()))
-    totals = own.groupBy("__range").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
+    at = F.struct(*named)
+    comes_to = {"sum": F.sum, "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at))}
+    totals = own.groupBy("__range").agg(*(comes_to[kind](c).alias(f"__{n}") for n, (kind, c) in values.items()))
     earlier = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    past = totals.select("__range", *(F.sum(f"__{n}").over(earlier).alias(f"__{n}") for n in sums))
+    over = {"sum": lambda c, w: F.sum(c).over(w), "last": lambda c, w: F.last(c, ignorenulls=True).over(w)}
+    past = totals.select("__range", *(over[kind](f"__{n}", earlier).alias(f"__{n}") for n, (kind, _) in values.items()))
     w = Window.partitionBy("__range").orderBy(*named).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = own.withColumns({n: F.sum(c).over(w) for n, c in sums.items()}).join(F.broadcast(past), "__range")
-    return rows.select(*df.columns, *((F.col(n) + F.coalesce(f"__{n}", F.lit(0))).alias(n) for n in sums))
+    rows = own.withColumns({n: over[kind](c, w) for n, (kind, c) in values.items()}).join(F.broadcast(past), "__range")
+    joined = {"sum": lambda n: F.coalesce(F.col(n) + F.col(f"__{n}"), n, f"__{n}"), "last": lambda n: F.coalesce(n, f"__{n}")}
+    return rows.select(*df.columns, *(joined[kind](n).alias(n) for n, (kind, _) in values.items()))
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df with one more column for each of sums (name: column): its sum over all rows up to this one, in order."""
+    return running_all(df, order, {n: ("sum", c) for n, c in sums.items()})

@@ -8,16 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.staging import staged
+from .dyadic import stab, with_ancestors, with_nodes
+from .scan import running_all, running_sums
 
 #: What a date range means, in days; each entry point says which of them it knows.
 RANGE_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
 SEARCH_COLUMNS = ["detection_id", "username", "streamer_id", "streamer_login", "streamer_display_name", "streamer_avatar", "frame_time_seconds", "confidence", "rank", "vod_id", "vod_source_id", "vod_url", "actual_timestamp"]
 
 
-#: Effective-dated profiles are broadcast as one row; more are refused.
-MAX_PROFILES = 10_000
-
-
 def detection_search(t, min_confidence: float = 0.7) -> DataFrame:
     """Detections over min_confidence in available recordings, with recording and streamer; null confidence is out."""
     v = t.vods.filter("availability = 'available'").select(F.col("id").alias("vod_id"), F.col("source_id").alias("vod_source_id"), F.col("title").alias("vod_title"), F.col("published_at").alias("vod_published_at"), F.col("duration_seconds").alias("vod_duration_seconds"), F.col("availability").alias("vod_availability"), "streamer_id")
@@ -107,14 +106,31 @@ def presence(requested: DataFrame, returned: DataFrame, key: str) -> DataFrame:
 def effective_profile(vods: DataFrame, profiles: DataFrame) -> DataFrame:
     """Each recording with the latest-starting profile whose [from_date, to_date) holds its time; open ends are null.
 
-    Profiles are few: up to MAX_PROFILES are one sorted array that each recording searches, without a range join.
+    Among profiles that start alike, an open start being the earliest, the one that ends later counts, then the larger
+    id. A recording without a time has only profiles open on both sides. Any number of profiles: their dates cut time
+    into pieces, each of which gets its profile (a profile is stored at the nodes of its run of pieces, a node keeps its
+    best, a piece takes the best of its nodes); then pieces and recordings are put in one order of time, and each
+    recording takes the last piece begun.
     """
-    if profiles.limit(MAX_PROFILES + 1).count() > MAX_PROFILES:
-        raise ValueError(f"more than {MAX_PROFILES} effective-dated profiles")
-    p = F.struct("from_date", "to_date", F.col("id").alias("profile_id"))
-    table = profiles.agg(F.sort_array(F.collect_list(p), asc=False).alias("__p"))
-    fits = F.filter("__p", lambda x: (x["from_date"].isNull() | (x["from_date"] <= F.col("published_at"))) & (x["to_date"].isNull() | (F.col("published_at") < x["to_date"])))
-    return vods.crossJoin(F.broadcast(table)).withColumn("profile_id", F.get(fits, F.lit(0))["profile_id"]).drop("__p")  # one row
+    p = profiles.select(F.col("id").alias("profile_id"), "from_date", "to_date").filter("from_date IS NULL OR to_date IS NULL OR from_date < to_date")
+    rank = F.struct(F.col("from_date").isNotNull(), F.coalesce("from_date", F.lit(datetime(1, 1, 1)).cast(p.schema["from_date"].dataType)), F.col("to_date").isNull(), F.col("to_date"), F.col("profile_id"))
+    dates = p.select(F.col("from_date").alias("date")).unionByName(p.select(F.col("to_date").alias("date"))).dropna().distinct()
+    dates = staged(running_sums(dates.withColumn("one", F.lit(1)), [F.col("date")], {"nth": "one"}).select("date", F.col("nth").cast("long").alias("nth")))
+    begin, end = dates.toDF("from_date", "lo"), dates.toDF("to_date", "hi")
+    runs = p.withColumn("rank", rank).join(begin, "from_date", "left").join(end, "to_date", "left")
+    runs = runs.select("rank", "profile_id", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", F.lit(1 << 40)).alias("hi"))
+    some = dates.count()
+    best = with_nodes(runs, F.col("lo"), F.least("hi", F.lit(some + 1))).groupBy("level", "place").agg(F.max(F.struct("rank", "profile_id")).alias("best"))
+    pieces = dates.unionByName(profiles.sparkSession.range(1).select(F.lit(None).cast(dates.schema["date"].dataType).alias("date"), F.lit(0).cast("long").alias("nth")))
+    own = with_ancestors(pieces, F.col("nth"), best).join(best, ["level", "place"]).groupBy("nth").agg(F.max("best").alias("best"))
+    found = pieces.join(own, "nth", "left").select("date", F.struct(F.col("best.profile_id").alias("profile_id")).alias("piece"))
+    row = F.struct(*(F.col(f"`{c}`") for c in vods.columns))
+    timed = vods.filter("published_at IS NOT NULL").select(F.col("published_at").alias("date"), row.alias("row"))
+    both = found.select("date", "piece", F.lit(None).cast(timed.schema["row"].dataType).alias("row")).unionByName(timed.select("date", F.lit(None).cast("struct<profile_id:" + p.schema["profile_id"].dataType.simpleString() + ">").alias("piece"), "row"))
+    told = running_all(both, [F.col("date"), F.col("row").isNotNull()], {"last": ("last", "piece")}).filter("row IS NOT NULL")
+    always = p.filter("from_date IS NULL AND to_date IS NULL").agg(F.max("profile_id").alias("profile_id"))
+    rest = vods.filter("published_at IS NULL").crossJoin(F.broadcast(always))  # one row
+    return told.select("row.*", F.col("last.profile_id").alias("profile_id")).unionByName(rest)
 
 
 def profile_for(t, default: int = 1) -> DataFrame:
@@ -126,17 +142,23 @@ def profile_for(t, default: int = 1) -> DataFrame:
 def overlap_join(a: DataFrame, b: DataFrame, key: str, width: int = 3600) -> DataFrame:
     """Pairs of ranges (key, start, end) of one key that overlap; touching ones don't.
 
-    Both sides are dealt to the bins of width seconds they cover; a pair is taken in the bin where it begins, so each
-    comes once and long or many ranges of one key spread over its bins.
+    Of two overlapping ranges one begins in the other, so each side's beginnings are joined with the other's ranges as
+    dyadic nodes over cells of width seconds: a range of length L takes 2 log2(L / width) + 2 rows at most, each pair
+    comes once, and long or many ranges of one key spread over its nodes.
     """
 
-    def binned(df: DataFrame, p: str) -> DataFrame:
-        cols = df.select(*(F.col(c).alias(c if c == key else f"{p}_{c}") for c in df.columns)).filter(F.col(f"{p}_end") > F.col(f"{p}_start"))
-        bins = F.sequence(F.floor(F.col(f"{p}_start") / width), F.floor((F.col(f"{p}_end") - 1) / width))
-        return cols.withColumn("__bin", F.explode(bins))
+    def told(df: DataFrame, p: str) -> DataFrame:
+        return df.select(*(F.col(c).alias(c if c == key else f"{p}_{c}") for c in df.columns)).filter(F.col(f"{p}_end") > F.col(f"{p}_start"))
+
+    x, y = told(a, "a"), told(b, "b")
+    cell = lambda c: F.floor(c / width).cast("long")
+
+    def begun(points: DataFrame, ranges: DataFrame, p: str, r: str) -> DataFrame:
+        return stab(points, cell(F.col(f"{p}_start")), ranges, cell(F.col(f"{r}_start")), cell(F.col(f"{r}_end") - 1) + 1, [key])
 
-    pairs = binned(a, "a").join(binned(b, "b"), [key, "__bin"]).filter("a_start < b_end AND b_start < a_end")
-    return pairs.filter(F.col("__bin") == F.floor(F.greatest("a_start", "b_start") / width)).drop("__bin")
+    in_b = begun(x, y, "a", "b").filter("a_start >= b_start AND a_start < b_end")
+    in_a = begun(y, x, "b", "a").filter("b_start > a_start AND b_start < a_end")
+    return in_b.unionByName(in_a)
 
 
 def fuzzy_join(a: DataFrame, b: DataFrame, col: str, threshold: float) -> DataFrame:

@@ -135,8 +135,8 @@ def queued_chunks(t, vod_id: int) -> DataFrame:
     return t.chunks.filter((F.col("vod_id") == vod_id) & (F.col("status") == "queued")).select("id", "chunk_index", "start_seconds", "end_seconds").orderBy("chunk_index")
 
 
-def refresh_catalogue(feed: DataFrame, vods: DataFrame, wanted: str, needle: str) -> DataFrame:
-    """vods with a feed's recordings merged by source id.
+def catalogue_updates(feed: DataFrame, wanted: str, needle: str) -> DataFrame:
+    """(source_id, title, duration_seconds, chapters) of a feed's recordings that are to be stored.
 
     Chapters are the wanted markers' intervals, each up to the next marker of any kind. A recording without a wanted
     marker is taken whole if its main game is wanted, else it is left out.
@@ -150,8 +150,26 @@ def refresh_catalogue(feed: DataFrame, vods: DataFrame, wanted: str, needle: str
     rows = feed.withColumnRenamed("id", "source_id").join(chapters.select("source_id", flat.alias("own")), "source_id", "left")
     main = C.is_category(F.lit(None).cast("string"), F.col("game"), wanted, needle)
     rows = rows.withColumn("chapters", F.when(F.col("own").isNotNull(), F.col("own")).when(main, F.array(F.lit(0), F.col("length_seconds")))).filter("chapters IS NOT NULL")
-    updates = rows.select("source_id", "title", F.col("length_seconds").alias("duration_seconds"), "chapters")
-    return T.merge_snapshot(vods, updates, ["source_id"], ["title", "duration_seconds", "chapters"])
+    return rows.select("source_id", "title", F.col("length_seconds").alias("duration_seconds"), "chapters")
+
+
+def refresh_catalogue(feed: DataFrame, vods: DataFrame, wanted: str, needle: str) -> DataFrame:
+    """vods with a feed's recordings merged by source id."""
+    return T.merge_snapshot(vods, catalogue_updates(feed, wanted, needle), ["source_id"], ["title", "duration_seconds", "chapters"])
+
+
+def refresh_streamers(feed: DataFrame, live: DataFrame, vods: DataFrame, wanted: str, needle: str) -> dict[str, DataFrame]:
+    """A refresh as a whole, of a feed with streamer_id and published_at: {"vods", "streamers", "counts"}.
+
+    The newest recording of a live streamer is left out of everything. vods are the stored ones with the rest merged in;
+    streamers what each one's row then says; counts (streamer_id, fetched, upserted, segments, oldest) what was done.
+    """
+    rest = I.skip_live(feed, live)
+    taken = catalogue_updates(rest, wanted, needle)
+    own = taken.select(F.col("source_id").alias("id"), (F.size("chapters") / 2).cast("int").alias("pairs"))
+    marked = rest.join(own, "id", "left").withColumn("matching", F.col("pairs").isNotNull())
+    counts = marked.groupBy("streamer_id").agg(F.count(F.lit(1)).alias("fetched"), F.count("pairs").alias("upserted"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("segments"), F.min("published_at").alias("oldest"))
+    return {"vods": T.merge_snapshot(vods, taken, ["source_id"], ["title", "duration_seconds", "chapters"]), "streamers": A.refresh_streamers(marked), "counts": counts}
 
 
 def discover(videos: DataFrame, known: DataFrame) -> DataFrame:
@@ -160,9 +178,12 @@ def discover(videos: DataFrame, known: DataFrame) -> DataFrame:
     return V.new_streamers(first.select(F.col("streamer_id").alias("id"), "page"), known).withColumn("processing_enabled", F.lit(True))
 
 
-def frames_to_detections(frames: DataFrame, ranks: DataFrame, texts: DataFrame, threshold: float = 0.5, gap: int = 10) -> DataFrame:
+def frames_to_detections(frames: DataFrame, ranks: DataFrame, texts: DataFrame, threshold: float = 0.5, gap: int = 10, edges: DataFrame | None = None) -> DataFrame:
     """(chunk_id, frame_time_seconds, username, confidence, rank) of frames (frame_id, chunk_id, ts).
 
+    With edges (frame_id, width, custom_edge, opaque_edge, detected_x), also no_right_edge and truncated, as right_edge
+    decides them; a frame without a row there has no edge.
+
     The best rank (frame_id, rank, score, position) decides which frames count; they are thinned, whether or not a name
     is then read; of the texts (frame_id, idx, text, score) the best is cleaned, and frames without a name go.
     """
@@ -172,7 +193,11 @@ def frames_to_detections(frames: DataFrame, ranks: DataFrame, texts: DataFrame,
     one = hit.join(kept, (hit["ts"] == kept["t"]) & (hit["chunk_id"] == kept["chunk_id"]), "left_semi")
     one = T.first_seen(one.withColumn("__k", F.struct("chunk_id", "ts")), "__k", [F.asc("frame_id")]).drop("__k")
     read = A.argmax(texts, "frame_id", "score", "idx").select("frame_id", C.clean_username(F.col("text")).alias("username"), F.col("score").alias("confidence"))
-    return one.join(read, "frame_id").filter("username IS NOT NULL").select("chunk_id", F.col("ts").alias("frame_time_seconds"), "username", "confidence", "rank")
+    rows, more = one.join(read, "frame_id").filter("username IS NOT NULL"), []
+    if edges is not None:
+        edge = C.right_edge(F.col("width"), F.col("custom_edge"), F.col("opaque_edge"), F.col("detected_x"))
+        rows, more = rows.join(edges, "frame_id", "left").withColumn("__e", edge), ["__e.no_right_edge", "__e.truncated"]
+    return rows.select("chunk_id", F.col("ts").alias("frame_time_seconds"), "username", "confidence", "rank", *more)
 
 
-force_process = G.reprocess
+force_process = G.force_process

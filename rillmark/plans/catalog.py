@@ -1099,9 +1099,17 @@ def I21_updated_at(t):
     return T.stamped(base, base.filter("id % 5 = 0").select("id", F.lit("changed").alias("title")), ["id"], ["title"], NOW)
 
 
-@q(ORACLES["I22_force_reprocess"].replace("v.id % 8 = 0", "v.id % 6 = 0"))
+@q(domain("""SELECT v.request_id, v.vod_id, v.error IS NULL AS success, CASE WHEN v.error IS NULL THEN to_json({success: true, vod_id: v.vod_id, deleted_chunks: coalesce(c.n, 0), deleted_detections: coalesce(d.n, 0), created_chunks: coalesce(p.n, 0), message: 'Force-processed VOD ' || v.vod_id || ': deleted ' || coalesce(c.n, 0) || ' chunks/' || coalesce(d.n, 0) || ' detections, created ' || coalesce(p.n, 0) || ' new chunks'})::VARCHAR ELSE to_json({success: false, error: v.error, vod_id: v.vod_id})::VARCHAR END AS answer
+FROM an v LEFT JOIN (SELECT vod_id, count(*) AS n FROM chunks GROUP BY 1) c ON c.vod_id = v.vod_id LEFT JOIN (SELECT vod_id, count(*) AS n FROM detections GROUP BY 1) d ON d.vod_id = v.vod_id LEFT JOIN (SELECT vod_id, count(*) AS n FROM pl GROUP BY 1) p ON p.vod_id = v.vod_id""", f"""{SEGMENTS}, gp AS (SELECT vod_id, segment, segment_start, segment_end, segment_start AS gap_start, segment_end AS gap_end FROM sg), {PIECES},
+rq AS (SELECT id AS request_id, CASE WHEN id % 5 IN (1, 2) THEN id WHEN id % 5 = 3 THEN -id END AS vod_id, CASE WHEN id % 5 = 4 THEN source_id WHEN id % 5 = 2 AND id % 2 = 0 THEN 'none' WHEN id % 5 = 0 AND id % 2 = 0 THEN 'x' || source_id END AS source_id FROM vods WHERE id % 6 = 0),
+an AS (SELECT request_id, vod_id, CASE WHEN asked IS NULL AND q.source_id IS NULL THEN 'Must provide either p_vod_id or p_source_id' WHEN vod_id IS NULL THEN 'VOD not found with source_id: ' || q.source_id WHEN v.id IS NULL THEN 'VOD not found with id: ' || vod_id WHEN v.availability <> 'available' THEN 'VOD ' || vod_id || ' is not available (status: ' || v.availability || ')' END AS error
+  FROM (SELECT rq.request_id, rq.vod_id AS asked, rq.source_id, coalesce(rq.vod_id, w.id) AS vod_id FROM rq LEFT JOIN vods w ON w.source_id = rq.source_id) q LEFT JOIN vods v ON v.id = q.vod_id)"""))
 def J12_force_process(t):
-    return J.force_process(t, t.vods.filter("id % 6 = 0").select(F.col("id").alias("vod_id")))
+    """Requests by id, by source id, by both, by neither; of recordings that are there, unknown or not available."""
+    k = F.col("id") % 5
+    source = F.when(k == 4, F.col("source_id")).when((k == 2) & (F.col("id") % 2 == 0), "none").when((k == 0) & (F.col("id") % 2 == 0), F.concat(F.lit("x"), "source_id"))
+    requests = t.vods.filter("id % 6 = 0").select(F.col("id").alias("request_id"), F.when(k.isin(1, 2), F.col("id")).when(k == 3, -F.col("id")).alias("vod_id"), source.alias("source_id"))
+    return J.force_process(t, requests)
 
 
 # --- the plainest functions, each by itself
@@ -1188,3 +1196,120 @@ def K2_masked_confidence(t):
     z = t.embeddings.filter("vec_id = 0").select(F.col("embedding").alias("z"))
     mask = F.transform("embedding", lambda x, i: F.when(i % 2 == 0, 1.0).otherwise(0.0))
     return t.embeddings.crossJoin(F.broadcast(z)).select("vec_id", F.round(K.difference_confidence(F.col("embedding"), F.col("z"), 2.0, mask), 6).alias("confidence"))  # one row
+
+
+# --- what users ask of the above as a whole
+
+
+@q("SELECT o_orderkey, o_custkey, NULL::VARCHAR AS o_note FROM orders")
+def A1_declared_schema(t):
+    """A scan by a declared schema: two columns of the file, and one that it lacks."""
+    return T.load_declared(t.spark, t.sf_dir, "orders", "o_orderkey bigint, o_custkey bigint, o_note string")
+
+
+@q("SELECT o_custkey, o_orderkey, ((r - 1) // 2 + 1)::INT AS page FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 6")
+def A4_fetched_pages(t):
+    """Up to three pages of two rows for each key."""
+    return T.fetched_pages(t.orders, "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")], page=2, pages=3).select("o_custkey", "o_orderkey", "page")
+
+
+@q(domain("SELECT c.id AS chunk_id, to_json({vod_id: c.vod_id, chunk_id: c.id, chunk_index: c.chunk_index, start_seconds: c.start_seconds, end_seconds: c.end_seconds, quality: c.quality, detections_count: count(d.id), detections: coalesce(list({timestamp: frame_time_seconds, username: username, confidence: round(confidence, 6), rank: rank} ORDER BY frame_time_seconds, d.id) FILTER (d.id IS NOT NULL), [])})::STRING AS document FROM chunks c LEFT JOIN detections d ON d.chunk_id = c.id GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY c.id, c.vod_id, c.chunk_index, c.start_seconds, c.end_seconds, c.quality")))
+def A9_written_summaries(t):
+    """Documents of all chunks, written by partition and read again."""
+    path = S.shared_dir(t.spark)
+    T.write_summaries(T.export_summary(t.detections, t.chunks.select("id", "vod_id", "chunk_index", "start_seconds", "end_seconds", "quality")), path)
+    return t.spark.read.text(path).select(F.get_json_object("value", "$.chunk_id").cast("bigint").alias("chunk_id"), F.col("value").alias("document"))
+
+
+@q("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '360p' WHEN 1 THEN '480p' WHEN 2 THEN '720p60' ELSE 'audio' END AS label, CASE p_size % 4 WHEN 0 THEN '640x360' WHEN 2 THEN '1280x720' ELSE '854x480' END AS resolution FROM part")
+def H21_resolution(t):
+    """Each quality's label and its resolution; a label that is not known has the default one."""
+    k = F.col("p_size") % 4
+    label = F.when(k == 0, "360p").when(k == 1, "480p").when(k == 2, C.quality_label(F.lit("720p"), F.lit(60))).otherwise("audio")
+    return t.part.select("p_partkey", label.alias("label"), C.resolution(label).alias("resolution"))
+
+
+@q(domain("SELECT d.id AS detection_id, coalesce(n, 0)::BIGINT AS notified FROM detections d LEFT JOIN (SELECT username, sum((notify_type IN ('dm', 'both'))::INT + (notify_type IN ('server', 'both') AND guild_id IN (SELECT guild_id FROM channels))::INT) AS n FROM subscriptions WHERE enabled GROUP BY 1) s USING (username)"))
+def I1_notified(t):
+    return G.notified(t.detections, t.subscriptions, t.channels)
+
+
+@q(f"SELECT route, count(*) AS n FROM ({ROUTES}) GROUP BY 1")
+def I14_route_counts(t):
+    return G.counted(G.route(_messages(t), "a secret"), "route")
+
+
+@q(ORACLES["I15_offline_events"].replace("SELECT e.event_id, CASE", "SELECT reason, count(*) AS n FROM (SELECT e.event_id, CASE", 1) + ") GROUP BY 1")
+def I15_reason_counts(t):
+    return G.counted(I15_offline_events(t), "reason")
+
+
+@q(domain("SELECT coalesce(l.g, c.guild_id) AS guild_id, CASE WHEN l.g IS NOT NULL THEN l.c ELSE c.channel_id END AS channel_id FROM channels c FULL JOIN (SELECT (user_id % 40)::STRING AS g, max_by({v: CASE WHEN event_id % 5 <> 0 THEN 'c' || event_id END}, event_id).v AS c FROM events WHERE user_id % 40 >= 10 GROUP BY 1) l ON l.g = c.guild_id WHERE CASE WHEN l.g IS NOT NULL THEN l.c ELSE c.channel_id END IS NOT NULL"))
+def I18_stored_channels(t):
+    """Commands of some guilds folded into the channels that are stored; the others keep theirs."""
+    rows = t.events.filter("user_id % 40 >= 10").select(F.col("event_id").alias("seq"), (F.col("user_id") % 40).cast("string").alias("guild_id"), F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("c"), "event_id")).alias("channel_id"))
+    return G.set_channels(rows, t.channels)
+
+
+@q(domain("SELECT count(*) AS checked, count(*) FILTER (id % 3 <> 0) AS marked_unavailable, count(*) FILTER (id % 3 = 0) AS still_available FROM vods WHERE id % 2 = 0"))
+def I20_sweep_counts(t):
+    return G.sweep_counts(t.vods.filter("id % 2 = 0"), t.vods.filter("id % 3 = 0"))
+
+
+def _dated_subscriptions(t) -> DataFrame:
+    n = F.col("user_id").cast("int")
+    return t.subscriptions.select((n % 20).cast("string").alias("user_id"), "username", "enabled", F.date_add(F.lit(datetime(2024, 1, 1)).cast("date"), n % 90).alias("created_at"))
+
+
+DATED = "sb AS (SELECT (user_id::INT % 20)::STRING AS user_id, username, enabled, DATE '2024-01-01' + (user_id::INT % 90) AS created_at FROM subscriptions)"
+
+
+@q(domain("SELECT username, created_at FROM sb WHERE user_id = '7' AND enabled ORDER BY created_at, username", DATED))
+def J14_user_subscriptions(t):
+    return G.list_subscriptions(_dated_subscriptions(t), "7")
+
+
+@q(domain("SELECT 'Your active subscriptions:' || chr(10) || string_agg('- **' || username || '**', chr(10) ORDER BY created_at, username) AS content FROM sb WHERE user_id = '7' AND enabled", DATED))
+def J14_list_message(t):
+    return G.list_message(_dated_subscriptions(t), "7")
+
+
+def _live(t) -> DataFrame:
+    return t.streamers.filter("id % 3 = 0").select(F.col("id").alias("streamer_id"))
+
+
+def _owned_feed(t) -> DataFrame:
+    own = t.vods.select(F.col("source_id").alias("id"), "streamer_id", "published_at")
+    return _feed(t).drop("published_at").join(own, "id")
+
+
+REFRESH = CATALOGUE + """, ow AS (SELECT up.*, v.streamer_id, v.published_at, row_number() OVER (PARTITION BY v.streamer_id ORDER BY v.published_at DESC NULLS LAST, up.id DESC) AS r FROM up JOIN vods v ON v.source_id = up.id), rs AS (SELECT * FROM ow WHERE streamer_id % 3 <> 0 OR r > 1)"""
+
+
+@q(domain("SELECT streamer_id, count(*) AS fetched, count(a) AS upserted, coalesce(sum(len(a) // 2), 0)::BIGINT AS segments, min(published_at) AS oldest FROM rs GROUP BY 1", REFRESH))
+def J18_refresh_counts(t):
+    """What a refresh of all streamers did, the newest recording of each live one left out."""
+    return J.refresh_streamers(_owned_feed(t), _live(t), t.vods.select("source_id", "title", "duration_seconds", "chapters"), "none", "game r")["counts"]
+
+
+@q(domain("SELECT streamer_id, count(*) > 1 AS has_vods, CASE WHEN count(*) > 1 THEN count(*) ELSE 0 END AS num_vods, CASE WHEN count(*) > 1 THEN count(a) ELSE 0 END AS num_matching, CASE WHEN count(*) > 1 THEN min(published_at) END AS oldest_vod FROM rs GROUP BY 1", REFRESH))
+def J18_refreshed_streamers(t):
+    return J.refresh_streamers(_owned_feed(t), _live(t), t.vods.select("source_id", "title", "duration_seconds", "chapters"), "none", "game r")["streamers"]
+
+
+@q(domain("SELECT v.source_id, CASE WHEN rs.a IS NOT NULL THEN rs.length_seconds ELSE v.duration_seconds END AS duration_seconds, array_to_string(CASE WHEN rs.a IS NOT NULL THEN rs.a ELSE v.chapters END, ',') AS chapters FROM vods v LEFT JOIN rs ON rs.id = v.source_id", REFRESH))
+def J18_refreshed_vods(t):
+    out = J.refresh_streamers(_owned_feed(t), _live(t), t.vods.select("source_id", "title", "duration_seconds", "chapters"), "none", "game r")["vods"]
+    return out.select("source_id", "duration_seconds", F.array_join(F.transform("chapters", lambda x: x.cast("string")), ",").alias("chapters"))
+
+
+@q(ORACLES["J20_frames_to_detections"].replace(", rank FROM one JOIN events", ", rank, NOT (event_id % 3 = 0) AND event_id % 2 = 0 AS no_right_edge, event_id % 3 = 0 OR (event_id % 2 = 0 AND event_id % 5 <> 0) AS truncated FROM one JOIN events"))
+def J20_frames_with_edges(t):
+    """Frames with an edge decision: every third is opaque with a custom edge, of the others every second has none
+    detected, and one in five of those no custom edge either."""
+    e = F.col("event_id")
+    frames = _frames(t)
+    ranks = frames.select("frame_id", F.posexplode(F.array(*map(F.lit, A.RANKS))).alias("position", "rank")).withColumn("score", (F.col("frame_id") * 37 + F.col("position") * 53) % 100)
+    texts = t.events.select(e.alias("frame_id"), F.lit(0).alias("idx"), F.concat("event_type", F.lit("_ "), "user_id").alias("text"), F.lit(0.9).alias("score"))
+    edges = t.events.select(e.alias("frame_id"), F.lit(854).alias("width"), F.when((e % 3 == 0) | (e % 5 != 0), 0.8).alias("custom_edge"), (e % 3 == 0).alias("opaque_edge"), F.when(e % 2 == 1, 700).alias("detected_x"))
+    return J.frames_to_detections(frames, ranks, texts, threshold=95, edges=edges)

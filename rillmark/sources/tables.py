@@ -34,6 +34,13 @@ def load(spark: SparkSession, sf_dir: str, name: str, cols: Iterable[str] | None
     return df.select(*cols) if cols else df
 
 
+def load_declared(spark: SparkSession, sf_dir: str, name: str, schema: str, cols: Iterable[str] | None = None) -> DataFrame:
+    """A table by a declared schema (DDL): files are not asked for theirs, a column they lack is null, and one of another
+    type is an error when it is read."""
+    df = spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*cols) if cols else df
+
+
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Literal rows as a table."""
     return spark.createDataFrame(rows, schema)
@@ -67,6 +74,17 @@ def newest_per_key(df: DataFrame, key: str, order: list[Column], n: int = 100) -
     return df.withColumn("__r", rank).filter(F.col("__r") <= min(n, 100)).drop("__r")
 
 
+def fetched_pages(df: DataFrame, key: str, order: list[Column], n: int | None = None, page: int = 100, pages: int = 50) -> DataFrame:
+    """df with page (from 1): what a paged fetch gets of each key, first in order.
+
+    With n, one page of min(n, page) rows; without, up to so many full pages.
+    """
+    most = min(n, page) if n else page * pages
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    rows = df.withColumn("__r", rank).filter(F.col("__r") <= most)
+    return rows.withColumn("page", (F.floor((F.col("__r") - 1) / page) + 1).cast("int")).drop("__r")
+
+
 def first_seen(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return newest_per_key(df, key, order, 1)
 
@@ -102,12 +120,28 @@ def replace_partition(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return base.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def export_summary(detections: DataFrame) -> DataFrame:
-    """A JSON document for each chunk: its id, how many detections, and they themselves in order of time and id."""
+def export_summary(detections: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """A JSON document for each chunk: its id, how many detections, and they themselves in order of time and id.
+
+    With chunks (id, vod_id, chunk_index, start_seconds, end_seconds, quality), their columns stand in the header, and
+    chunks without detections have a document too.
+    """
     item = F.struct(F.col("frame_time_seconds").alias("timestamp"), "id", "username", "confidence", "rank")
     grouped = detections.groupBy("chunk_id").agg(F.sort_array(F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("n"))
-    rows = F.transform("items", lambda x: F.struct(x["timestamp"].alias("timestamp"), x["username"].alias("username"), x["rank"].alias("rank")))
-    return grouped.select("chunk_id", F.to_json(F.struct("chunk_id", F.col("n").alias("detections_count"), rows.alias("detections"))).alias("document"))
+    plain = lambda c: F.transform(c, lambda x: F.struct(x["timestamp"].alias("timestamp"), x["username"].alias("username"), x["rank"].alias("rank")))
+    if chunks is None:
+        return grouped.select("chunk_id", F.to_json(F.struct("chunk_id", F.col("n").alias("detections_count"), plain("items").alias("detections"))).alias("document"))
+    rows = chunks.withColumnRenamed("id", "chunk_id").join(grouped, "chunk_id", "left")
+    full = F.transform("items", lambda x: F.struct(x["timestamp"].alias("timestamp"), x["username"].alias("username"), F.round(x["confidence"], 6).alias("confidence"), x["rank"].alias("rank")))
+    body = F.coalesce(full, F.array().cast("array<struct<timestamp:int,username:string,confidence:double,rank:string>>"))
+    head = ["vod_id", "chunk_id", "chunk_index", "start_seconds", "end_seconds", "quality"]
+    return rows.select("chunk_id", F.to_json(F.struct(*head, F.coalesce("n", F.lit(0)).alias("detections_count"), body.alias("detections")), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def write_summaries(documents: DataFrame, path: str, parts: int = 16) -> None:
+    """Documents (chunk_id, document) as text files, in folders by a hash of the chunk: so many, however many chunks there are."""
+    rows = documents.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
+    rows.select("part", F.col("document").alias("value")).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").text(path)
 
 
 PAGE = "struct<user:struct<videos:struct<edges:array<struct<node:struct<id:string,title:string,lengthSeconds:int,publishedAt:string,game:struct<id:string,displayName:string>,moments:struct<edges:array<struct<node:struct<positionMilliseconds:bigint,type:string,game:struct<id:string,displayName:string>>>>>>>>>>>"
