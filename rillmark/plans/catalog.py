@@ -747,6 +747,32 @@ def I19_metric_windows(t):
     return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("total", F.round("total", 6))
 
 
+EDGES = [10.0, 25.0, 50.0, 75.0, 90.0]
+
+
+@q("SELECT w AS window_start, name, attr, count(*) AS n, round(sum(value), 6) AS total, [" + ", ".join(f"count(*) FILTER (len(list_filter({EDGES}::DOUBLE[], lambda b: value > b)) = {i})" for i in range(len(EDGES) + 1)) + "] AS buckets FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type AS name, user_id % 4 AS attr, value FROM events WHERE value IS NOT NULL) WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events) GROUP BY ALL")
+def I19_histogram_windows(t):
+    """Bucket counts of the hours that the watermark has closed."""
+    ev = S.source(t.spark, f"{t.sf_dir}/events.parquet*")
+    rows = S.drain(S.histogram_windows(ev.select("ts", F.col("event_type").alias("name"), (F.col("user_id") % 4).alias("attr"), "value"), EDGES, "1 hour"))
+    return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("total", F.round("total", 6))
+
+
+@q("SELECT seq, name, attr, round(CASE WHEN cum >= lag(cum) OVER w THEN cum - lag(cum) OVER w ELSE cum END, 6) AS delta FROM (SELECT event_id AS seq, event_type AS name, user_id % 4 AS attr, ts, sum(abs(value)) OVER (PARTITION BY event_type, user_id % 4, day(ts) ORDER BY ts, event_id) AS cum FROM events WHERE value IS NOT NULL) WINDOW w AS (PARTITION BY name, attr ORDER BY ts, seq)")
+def I19_delta_sums(t):
+    """Cumulative counters that start anew every day, in three batches of files that overlap by days, as what each grew by."""
+    path = S.shared_dir(t.spark)
+    points = t.events.filter("value IS NOT NULL").select(F.col("event_type").alias("name"), (F.col("user_id") % 4).alias("attr"), "ts", F.col("event_id").alias("seq"), F.abs("value").alias("v"), F.dayofmonth("ts").alias("day"))
+    cum = A.gauge(points.withColumn("k", F.concat_ws("/", "name", "attr", "day")), "k", ["ts", "seq"], "v")
+    cum = cum.select("name", "attr", "ts", "seq", "value", F.greatest(F.lit(0), F.least(F.lit(2), F.floor((F.col("day") - F.col("seq") % 4) / 10))).cast("int").alias("b"))
+    closing = t.spark.range(1).select(F.lit(None).cast("string").alias("name"), F.lit(None).cast(cum.schema["attr"].dataType).alias("attr"), F.lit(datetime(2030, 1, 1)).cast(cum.schema["ts"].dataType).alias("ts"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("double").alias("value"))
+    for b in range(3):
+        cum.filter(F.col("b") == b).drop("b").coalesce(1).write.mode("append").parquet(path)
+    closing.coalesce(1).write.mode("append").parquet(path)
+    out = S.drain(S.delta_sums(S.source(t.spark, path, files_per_batch=1), "5 days"))
+    return out.select("seq", "name", "attr", F.round("delta", 6).alias("delta"))
+
+
 @q(ROUTES)
 def I16_routed_stream(t):
     """Signed messages, written as a table and read as a stream, routed once each."""

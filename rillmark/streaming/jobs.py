@@ -44,52 +44,94 @@ def drain_batches(stream: DataFrame, f: Callable[[DataFrame], DataFrame], folder
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
-class Debouncer(StatefulProcessor):
-    """Greedy thinning of a key's frames in order of event time, however they arrive.
+class InOrder(StatefulProcessor):
+    """Handles a key's rows in order of event time, however they arrive.
 
-    Frames wait in a list until the watermark has passed them, as no earlier one can come then. A timer at the first one
+    Rows wait in a list until the watermark has passed them, as no earlier one can come then. A timer at the first one
     waiting releases, in order, all that the watermark has passed by then: state is touched a few times for a key and
-    batch, not for a frame. Once the last time taken is gap behind the watermark it can hold no frame back any
-    more, and a timer drops it: an idle key keeps no state.
+    batch, not for a row. The first of columns is the row's time, in units of so many milliseconds.
     """
 
-    def __init__(self, key: str, ts: str, gap: int, unit: int):
-        self.key, self.ts, self.gap, self.unit = key, ts, gap, unit
+    def __init__(self, columns: list[str], types: list[str], millis: float):
+        self.columns, self.types, self.millis = columns, types, millis
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ts long")
-        self.waiting = handle.getListState("waiting", "ts long")
+        self.last = handle.getValueState("last", f"last {self.types[-1]}")
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c} {k}" for c, k in zip(self.columns, self.types)))
+
+    def at(self, x: int) -> int:
+        return int(x * self.millis)
+
+    def release(self, key: tuple, rows: list[tuple], passed: int, all_gone: bool) -> pd.DataFrame | None:
+        """What rows in order give, after those before; passed is the watermark in ms, all_gone: no row is waiting."""
+        raise NotImplementedError
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = sorted({int(x) for pdf in rows for x in pdf[self.ts].dropna()})
+        new = [tuple(r) for pdf in rows for r in pdf[self.columns].dropna().astype({c: "int64" for c, k in zip(self.columns, self.types) if k == "long"}).itertuples(index=False)]
         if new:
-            self.waiting.appendList([(x,) for x in new])
-            self.handle.registerTimer(new[0] * self.unit * 1000)
+            self.waiting.appendList(new)
+            self.handle.registerTimer(self.at(min(r[0] for r in new)))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() // (self.unit * 1000)
-        times = sorted({r[0] for r in self.waiting.get()})
-        ripe = [x for x in times if x <= passed]
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        ripe = [r for r in rows if self.at(r[0]) <= passed]
+        rest = rows[len(ripe) :]
+        if not rest:
+            self.waiting.clear()
+        elif ripe:
+            self.waiting.put(rest)
+            self.handle.registerTimer(self.at(rest[0][0]))
+        out = self.release(key, ripe, passed, not rest)
+        return iter([] if out is None else [out])
+
+
+class Debouncer(InOrder):
+    """Greedy thinning of a key's frames.
+
+    Once the last time taken is gap behind the watermark it can hold no frame back any more, and a timer drops it: an
+    idle key keeps no state.
+    """
+
+    def __init__(self, key: str, ts: str, gap: int, unit: int):
+        super().__init__([ts], ["long"], unit * 1000)
+        self.key, self.ts, self.gap = key, ts, gap
+
+    def release(self, key: tuple, rows: list[tuple], passed: int, all_gone: bool) -> pd.DataFrame | None:
         last = self.last.get()
         before = last[0] if last else 0
         now, out = before, []
-        for x in ripe:
+        for (x,) in rows:
             if x - now >= self.gap:
                 now = x
                 out.append(x)
-        if len(ripe) == len(times):
-            self.waiting.clear()
-        elif ripe:
-            self.waiting.put([(x,) for x in times[len(ripe) :]])
-            self.handle.registerTimer(times[len(ripe)] * self.unit * 1000)
         if now != before:
             self.last.update((now,))
-            self.handle.registerTimer((now + self.gap) * self.unit * 1000)
-        elif last and len(ripe) == len(times) and passed - now >= self.gap:
+            self.handle.registerTimer(self.at(now + self.gap))
+        elif last and all_gone and passed >= self.at(now + self.gap):
             self.last.clear()
-        return iter([pd.DataFrame({self.key: [key[0]] * len(out), self.ts: out})] if out else [])
+        return pd.DataFrame({self.key: [key[0]] * len(out), self.ts: out}) if out else None
+
+
+class Deltas(InOrder):
+    """What a cumulative counter grew by from each point to the next; where it fell it was reset, and its value is the growth."""
+
+    def __init__(self) -> None:
+        super().__init__(["at", "seq", "value"], ["long", "long", "double"], 0.001)
+
+    def release(self, key: tuple, rows: list[tuple], passed: int, all_gone: bool) -> pd.DataFrame | None:
+        if not rows:
+            return None
+        last = self.last.get()
+        before = last[0] if last else None
+        out = []
+        for at, seq, value in rows:
+            out.append((*key, at, seq, value if before is None or value < before else value - before))
+            before = value
+        self.last.update((before,))
+        return pd.DataFrame(out, columns=["name", "attr", "at", "seq", "delta"])
 
 
 def debounce(frames: DataFrame, key: str, ts: str, gap: int = 10, late: int = 600, unit: int = 1) -> DataFrame:
@@ -104,6 +146,29 @@ def debounce(frames: DataFrame, key: str, ts: str, gap: int = 10, late: int = 60
     return rows.withWatermark("__at", f"{late * unit} seconds").groupBy(key).transformWithStateInPandas(Debouncer(key, ts, gap, unit), f"{key} long, {ts} long", "Append", "EventTime")
 
 
+def delta_sums(points: DataFrame, late: str = "1 minute") -> DataFrame:
+    """(name, attr, ts, seq, delta) of cumulative points (name, attr, ts, seq, value), in any order within late.
+
+    Points of one time follow their seq; a point without a value only moves the watermark, and one far ahead closes the
+    stream. Each counter, a name and attr, begins at nothing.
+    """
+    with_state_store(points.sparkSession)
+    rows = points.select("name", "attr", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("seq").cast("long").alias("seq"), F.col("value").cast("double").alias("value"), F.col("ts").cast("timestamp").alias("__at"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = rows.withWatermark("__at", late).groupBy("name", "attr").transformWithStateInPandas(Deltas(), f"name {kinds['name']}, attr {kinds['attr']}, at long, seq long, delta double", "Append", "EventTime")
+    return out.select("name", "attr", F.timestamp_micros("at").alias("ts"), "seq", "delta")
+
+
+def histogram_windows(metrics: DataFrame, bounds: list[float], width: str = "10 seconds", late: str = "1 minute", by: tuple[str, ...] = ("name", "attr")) -> DataFrame:
+    """Counts, sums and bucket counts of each window, name and attribute; a bucket holds values up to its bound, the last all beyond."""
+    edges = F.array(*[F.lit(float(b)) for b in bounds])
+    bucket = F.size(F.filter(edges, lambda b: F.col("value") > b))
+    w = metrics.filter("value IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("__b", bucket).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), *by)
+    counts = [F.count_if(F.col("__b") == i).alias(f"__{i}") for i in range(len(bounds) + 1)]
+    out = w.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), *counts)
+    return out.select(F.col("w.start").alias("window_start"), *by, "n", "total", F.array(*(f"__{i}" for i in range(len(bounds) + 1))).alias("buckets"))
+
+
 def with_state_store(spark: SparkSession) -> None:
     """transformWithState needs the store that can hold several states of a key."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
