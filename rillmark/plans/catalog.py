@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import aggregates as A
 from ..operators import changes as G
+from ..operators import distinct as N
 from ..operators import intervals as I
 from ..operators import vectors as K
 from ..operators import views as V
@@ -1339,3 +1340,13 @@ def J20_frames_with_edges(t):
     texts = t.events.select(e.alias("frame_id"), F.lit(0).alias("idx"), F.concat("event_type", F.lit("_ "), "user_id").alias("text"), F.lit(0.9).alias("score"))
     edges = t.events.select(e.alias("frame_id"), F.lit(854).alias("width"), F.when((e % 3 == 0) | (e % 5 != 0), 0.8).alias("custom_edge"), (e % 3 == 0).alias("opaque_edge"), F.when(e % 2 == 1, 700).alias("detected_x"))
     return J.frames_to_detections(frames, ranks, texts, threshold=95, edges=edges)
+
+
+@q(ORACLES["D1_global_stats"])
+def D1_kept_up_stats(t):
+    """The global counts from stored summaries of three batches of detections, of which the last comes twice."""
+    path, seen = S.shared_dir(t.spark), V.detection_search(t).select("streamer_id", "vod_id")
+    for b in (0, 1, 2, 2):
+        N.summarize(seen.filter(F.col("vod_id") % 3 == b), ["streamer_id", "vod_id"]).write.mode("overwrite").parquet(f"{path}/batch={b}")
+    state = N.merge(t.spark.read.parquet(path).drop("batch"))
+    return N.counts(state, {"streamer_id": "streamers", "vod_id": "vods", N.ROWS: "detections"})

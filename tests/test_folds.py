@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rillmark.operators import aggregates as A
 from rillmark.operators import changes as G
+from rillmark.operators import distinct as N
 from rillmark.operators import scan
 
 
@@ -126,3 +127,16 @@ def test_no_command_is_gathered(spark):
     cmd, chunks = spark.createDataFrame(commands(1, 5), SCHEMA), spark.createDataFrame(CHUNKS, "id long, status string, attempt_count int")
     for apply in (G.apply_status_commands, G.apply_worker_commands):
         assert "collect_" not in apply(cmd, chunks)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_distinct_counts_of_parts_equal_those_at_once(spark):
+    r = random.Random(3)
+    rows = [(None if r.random() < 0.1 else r.randrange(100_000), r.choice([5, 32_768, 32_769, -7, None])) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "a long, b int")
+    names = {"a": "a", "b": "b", N.ROWS: "n"}
+    parts = [N.summarize(spark.createDataFrame(rows[k::3], "a long, b int"), ["a", "b"]) for k in range(3)]
+    merged = N.merge(N.merge(parts[0].unionByName(parts[2])).unionByName(parts[1]))
+    want = (len({a for a, _ in rows} - {None}), len({b for _, b in rows} - {None}), len(rows))
+    assert tuple(N.counts(merged, names).first()) == tuple(N.counts(N.summarize(df, ["a", "b"]), names).first()) == want
+    assert tuple(N.counts(N.summarize(df.limit(0), ["a", "b"]), names).first()) == (0, 0, 0)
+    assert "Expand" not in N.counts(N.summarize(df, ["a", "b"]), names)._jdf.queryExecution().executedPlan().toString()
