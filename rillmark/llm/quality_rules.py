@@ -32,9 +32,9 @@ RATIOS = {
 }
 
 
-def features() -> dict[str, Column]:
-    """The features as expressions over the counts of with_counts."""
-    return {f: F.col(a) / F.greatest(F.col(b), F.lit(1)) for f, (a, b) in RATIOS.items()}
+def features(prefix: str = "") -> dict[str, Column]:
+    """The features as expressions over the counts of with_counts, or over columns named like them behind a prefix."""
+    return {f: F.col(prefix + a) / F.greatest(F.col(prefix + b), F.lit(1)) for f, (a, b) in RATIOS.items()}
 
 
 def text_counts(text: str) -> tuple[int, ...]:

@@ -235,7 +235,7 @@ def test_rules_find_planted_thresholds():
 def test_rules_as_a_case_expression_say_what_they_hold(docs, labels):
     rules = Q.fit_rules(docs, labels)
     assert rules
-    got = Q.quality_verdicts(docs, rules).select("__rule", *(c.alias(f) for f, c in Q.features().items())).collect()
+    got = Q.quality_verdicts(docs, rules).select("__rule", *(c.alias(f) for f, c in Q.features("__c_").items())).collect()
     x = {f: np.array([r[f] for r in got], float) for f in Q.RATIOS}
     first = np.zeros(len(got), int)
     for i, rule in reversed(list(enumerate(rules, 1))):
@@ -243,6 +243,15 @@ def test_rules_as_a_case_expression_say_what_they_hold(docs, labels):
     assert [r["__rule"] or 0 for r in got] == first.tolist() and first.any()
 
 
+def test_columns_named_like_results_are_refused(docs):
+    from rillmark.llm import line_dedup, mixing
+
+    clash = docs.withColumn("__Kept", F.lit(1)).withColumn("__n_lines", F.lit(1))
+    for use in (lambda: Q.quality_verdicts(clash, []), lambda: line_dedup.line_dedup(clash), lambda: mixing.mix(clash, {"source": None}, {"source": F.col("source")})):
+        with pytest.raises(ValueError, match="rename"):
+            use()
+
+
 def test_quality_keeps_clean_and_odd_rows(odd, none, docs, labels):
     rules = Q.fit_rules(docs, labels)
     got = Q.quality_verdicts(docs, rules).join(labels, "doc_id").collect()
