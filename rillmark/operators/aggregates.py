@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .scan import HOT_ROWS, running, spread
+from .scan import HOT_ROWS, is_small, running, spread
 from .views import detection_search, eligible_vods
 
 #: The statuses of chunks, in the order of their columns.
@@ -235,7 +235,11 @@ def thin(frames: DataFrame, key: str, ts: str, gap: int = 10, hot_rows: int = HO
     if gap <= 0:
         return rows.filter(F.col("ts") >= gap).distinct().toDF(key, ts)
     kind = rows.schema["key"].dataType.simpleString()
+    plain = hot_rows >= HOT_ROWS and is_small(rows)
     rows = spread(rows, ["key"], "ts", hot_rows).select("key", F.col("__block").alias("block"), "ts")
+    if plain:
+        told = rows.withColumn("entry", F.lit(None).cast("bigint"))
+        return told.repartition("key").sortWithinPartitions("key", "ts").mapInArrow(_thinned(gap), f"key {kind}, ts bigint").toDF(key, ts)
     maps = rows.filter("block > 0").repartition("key", "block").sortWithinPartitions("key", "block", "ts").mapInArrow(_block_maps(gap), f"key {kind}, block int, first bigint, exits array<bigint>")
     along = maps.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("block", "first", "exits"))).alias("maps"))  # BLOCKS rows a hot key
 

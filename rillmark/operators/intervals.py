@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import running
+from .scan import is_small, running
 from .views import overlap_join
 
 TARGET, MIN_GAP, LEGACY_MIN = 3600, 300, 600
@@ -60,7 +60,7 @@ def subtract_ranges(seg: DataFrame, covered: DataFrame) -> DataFrame:
     both = overlap_join(a, covered.select("vod_id", F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end")), "vod_id")
     cut = both.select("vod_id", F.col("a_segment").alias("segment"), F.col("a_start").alias("segment_start"), F.col("a_end").alias("segment_end"), F.greatest("a_start", "b_start").alias("s"), F.least("a_end", "b_end").alias("e"))
     rows = cut.unionByName(seg.select(*keys, F.col("segment_end").alias("s"), F.col("segment_end").alias("e")))
-    rows = running(rows, ["vod_id", "segment"], ["s", "e"], {"__before": ("max_before", "e")})
+    rows = running(rows, ["vod_id", "segment"], ["s", "e"], {"__before": ("max_before", "e")}, small=is_small(seg, covered))
     rows = rows.withColumn("gap_start", F.coalesce("__before", F.col("segment_start")))
     return rows.filter("s > gap_start").select(*keys, "gap_start", F.col("s").alias("gap_end"))
 

@@ -15,10 +15,17 @@ from ..sources.staging import staged
 
 #: A key is hot with more rows than HOT_ROWS, if it is among the MOST_KEYS largest: any other has under 1 / MOST_KEYS of all rows.
 HOT_ROWS, MOST_KEYS = 1_000_000, 4096
+#: What Spark expects to be smaller than this, about one task's input, is not looked through for hot keys.
+SMALL_BYTES = 64 << 20
 #: A hot key's rows are cut into so many blocks at most.
 BLOCKS = 64
 
 
+def is_small(*tables: DataFrame) -> bool:
+    """Whether all tables together are under SMALL_BYTES by the optimizer's estimate; no job is run. Only plans depend on it."""
+    return sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables) < SMALL_BYTES
+
+
 def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
     return reduce(Column.__and__, (a[n].eqNullSafe(b[f"__{n}"]) for n in names))
 
@@ -29,6 +36,8 @@ def spread(df: DataFrame, key: list[str], order: str, hot_rows: int = HOT_ROWS)
     Rows with equal values of order are in one block, null ones in the first. The hot keys are at most MOST_KEYS rows,
     which are broadcast with their cuts; without any, adaptive execution drops the work for them.
     """
+    if hot_rows >= HOT_ROWS and is_small(df):
+        return df.withColumn("__block", F.lit(0))
     counts = df.groupBy(*(F.col(k).alias(f"__{k}") for k in key)).agg(F.count(F.lit(1)).alias("__rows"))
     hot = counts.filter(F.col("__rows") > hot_rows).orderBy(F.desc("__rows")).limit(MOST_KEYS).drop("__rows")
     own = df.select(*key, order)
@@ -44,14 +53,16 @@ def spread(df: DataFrame, key: list[str], order: str, hot_rows: int = HOT_ROWS)
 #: out, "next" is the value of the row behind.
 
 
-def running(df: DataFrame, key: list[str], order: list[str], values: dict[str, tuple[str, str]], hot_rows: int = HOT_ROWS, keep_block: bool = False) -> DataFrame:
+def running(df: DataFrame, key: list[str], order: list[str], values: dict[str, tuple[str, str]], hot_rows: int = HOT_ROWS, keep_block: bool = False, small: bool | None = None) -> DataFrame:
     """df with one more column for each of values (name: (kind, column)): running values of a key's rows in ascending order.
 
     Equal to windows partitioned by key and ordered by order, which must tell a key's rows apart where that matters. Hot
     keys, with a third of all rows say, are worked on in blocks by many tasks. With keep_block, the rows' blocks stay as
-    __block, and a second scan of the same rows in the same order uses them again.
+    __block, and a second scan of the same rows in the same order uses them again. small says that the rows are few where
+    the optimizer can't tell, as behind a join.
     """
-    own = df if "__block" in df.columns else spread(df, key, order[0], hot_rows)
+    plain = hot_rows >= HOT_ROWS and (is_small(df) if small is None else small)
+    own = df if "__block" in df.columns else df.withColumn("__block", F.lit(0)) if plain else spread(df, key, order[0], hot_rows)
     w = Window.partitionBy(*key, "__block").orderBy(*order)
     upto, before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
     at = F.struct(*order)
@@ -62,6 +73,10 @@ def running(df: DataFrame, key: list[str], order: list[str], values: dict[str, t
         "max_before": lambda c: F.max(c).over(before),
         "next": lambda c: F.lead(F.struct(c)).over(w),
     }
+    rest = [c for c in df.columns if c != "__block"] + (["__block"] if keep_block else [])
+    rows = own.withColumns({n: local[kind](c) for n, (kind, c) in values.items()})
+    if plain:
+        return rows.select(*rest, *((F.col(f"{n}.{c}") if kind == "next" else F.col(n)).alias(n) for n, (kind, c) in values.items()))
     hands_on = {
         "sum": F.sum,
         "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)),
@@ -92,9 +107,7 @@ def running(df: DataFrame, key: list[str], order: list[str], values: dict[str, t
         both = F.coalesce(mine, past)
         return both if kind == "last" else F.get(F.array(both.getField(values[name][1])), F.lit(0))
 
-    rows = own.withColumns({n: local[kind](c) for n, (kind, c) in values.items()})
     rows = rows.join(F.broadcast(carried), _same(rows, carried, [*key, "__block"]), "left")  # at most MOST_KEYS * BLOCKS rows
-    rest = [c for c in df.columns if c != "__block"] + (["__block"] if keep_block else [])
     return rows.select(*rest, *(joined(n, kind).alias(n) for n, (kind, _) in values.items()))
 
 

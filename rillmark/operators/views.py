@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..sources.staging import staged
 from .dyadic import stab, with_ancestors, with_nodes
-from .scan import running_all, running_sums
+from .scan import is_small, running_all, running_sums
 
 #: What a date range means, in days; each entry point says which of them it knows.
 RANGE_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
@@ -139,18 +139,21 @@ def profile_for(t, default: int = 1) -> DataFrame:
     return t.vods.select(F.col("id").alias("vod_id"), "streamer_id").join(s, "streamer_id").join(p, "profile_id")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, key: str, width: int = 3600) -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, key: str, width: int = 3600, wide: bool = False) -> DataFrame:
     """Pairs of ranges (key, start, end) of one key that overlap; touching ones don't.
 
     Of two overlapping ranges one begins in the other, so each side's beginnings are joined with the other's ranges as
     dyadic nodes over cells of width seconds: a range of length L takes 2 log2(L / width) + 2 rows at most, each pair
-    comes once, and long or many ranges of one key spread over its nodes.
+    comes once, and long or many ranges of one key spread over its nodes. Small tables (is_small), unless wide is set, are
+    joined by key alone.
     """
 
     def told(df: DataFrame, p: str) -> DataFrame:
         return df.select(*(F.col(c).alias(c if c == key else f"{p}_{c}") for c in df.columns)).filter(F.col(f"{p}_end") > F.col(f"{p}_start"))
 
     x, y = told(a, "a"), told(b, "b")
+    if not wide and is_small(a, b):
+        return x.join(y, key).filter("a_start < b_end AND b_start < a_end")
     cell = lambda c: F.floor(c / width).cast("long")
 
     def begun(points: DataFrame, ranges: DataFrame, p: str, r: str) -> DataFrame:

@@ -49,11 +49,12 @@ class InOrder(StatefulProcessor):
 
     Rows wait in a list until the watermark has passed them, as no earlier one can come then. A timer at the first one
     waiting releases, in order, all that the watermark has passed by then: state is touched a few times for a key and
-    batch, not for a row. The first of columns is the row's time, in units of so many milliseconds.
+    batch, not for a row. The first of columns is the row's time, in units of so many milliseconds. Rows that are known to
+    come in order from batch to batch may be handled at once, without a watermark and timers.
     """
 
-    def __init__(self, columns: list[str], types: list[str], millis: float):
-        self.columns, self.types, self.millis = columns, types, millis
+    def __init__(self, columns: list[str], types: list[str], millis: float, at_once: bool = False):
+        self.columns, self.types, self.millis, self.at_once = columns, types, millis, at_once
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -69,6 +70,9 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         new = [tuple(r) for pdf in rows for r in pdf[self.columns].dropna().astype({c: "int64" for c, k in zip(self.columns, self.types) if k == "long"}).itertuples(index=False)]
+        if self.at_once:
+            out = self.release(key, sorted(set(new)), 0, False)
+            return iter([] if out is None else [out])
         if new:
             self.waiting.appendList(new)
             self.handle.registerTimer(self.at(min(r[0] for r in new)))
@@ -95,8 +99,8 @@ class Debouncer(InOrder):
     idle key keeps no state.
     """
 
-    def __init__(self, key: str, ts: str, gap: int, unit: int):
-        super().__init__([ts], ["long"], unit * 1000)
+    def __init__(self, key: str, ts: str, gap: int, unit: int, at_once: bool):
+        super().__init__([ts], ["long"], unit * 1000, at_once)
         self.key, self.ts, self.gap = key, ts, gap
 
     def release(self, key: tuple, rows: list[tuple], passed: int, all_gone: bool) -> pd.DataFrame | None:
@@ -109,7 +113,8 @@ class Debouncer(InOrder):
                 out.append(x)
         if now != before:
             self.last.update((now,))
-            self.handle.registerTimer(self.at(now + self.gap))
+            if not self.at_once:
+                self.handle.registerTimer(self.at(now + self.gap))
         elif last and all_gone and passed >= self.at(now + self.gap):
             self.last.clear()
         return pd.DataFrame({self.key: [key[0]] * len(out), self.ts: out}) if out else None
@@ -134,16 +139,20 @@ class Deltas(InOrder):
         return pd.DataFrame(out, columns=["name", "attr", "at", "seq", "delta"])
 
 
-def debounce(frames: DataFrame, key: str, ts: str, gap: int = 10, late: int = 600, unit: int = 1) -> DataFrame:
-    """Greedy thinning of a stream: (key, ts) of the frames taken, each once the watermark has passed it.
+def debounce(frames: DataFrame, key: str, ts: str, gap: int = 10, late: int | None = None, unit: int = 1) -> DataFrame:
+    """Greedy thinning of a stream: (key, ts) of the frames taken.
 
-    ts counts units of so many seconds. Frames may come in any order, up to late units behind the latest of all keys;
-    what comes later is dropped. A row without a key moves the watermark and is no frame; one far ahead closes a stream.
+    ts counts units of so many seconds. With late, frames may come in any order, up to late units behind the latest of
+    all keys; what comes later is dropped, and a frame is given once the watermark has passed it. A row without a key
+    moves the watermark and is no frame; one far ahead closes a stream. Without late, a key's frames must come in order
+    from batch to batch; they are given at once, and each key keeps its last time.
     """
     with_state_store(frames.sparkSession)
     rows = frames.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias(key), F.when(F.col(key).isNotNull(), F.col(ts).cast("long")).alias(ts), F.timestamp_seconds(F.col(ts) * unit).alias("__at"))
+    if late is None:
+        return rows.filter(F.col(ts).isNotNull()).groupBy(key).transformWithStateInPandas(Debouncer(key, ts, gap, unit, True), f"{key} long, {ts} long", "Append", "None")
     # a filter here would be pushed below the watermark, which rows without a key are to move
-    return rows.withWatermark("__at", f"{late * unit} seconds").groupBy(key).transformWithStateInPandas(Debouncer(key, ts, gap, unit), f"{key} long, {ts} long", "Append", "EventTime")
+    return rows.withWatermark("__at", f"{late * unit} seconds").groupBy(key).transformWithStateInPandas(Debouncer(key, ts, gap, unit, False), f"{key} long, {ts} long", "Append", "EventTime")
 
 
 def delta_sums(points: DataFrame, late: str = "1 minute") -> DataFrame:

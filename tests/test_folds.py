@@ -80,7 +80,7 @@ def worker(rows, state):
 def test_commands_in_pieces_equal_all_at_once(spark, monkeypatch, apply, loop):
     rows = [c for c in commands(3, 400) if loop is database or c[2] != "archived"]
     if loop is worker:
-        monkeypatch.setattr(scan.running, "__defaults__", (50, False))  # a hot chunk
+        monkeypatch.setattr(scan.running, "__defaults__", (50, False, None))  # a hot chunk
     chunks = spark.createDataFrame(CHUNKS, "id long, status string, attempt_count int")
     make = lambda some: spark.createDataFrame(some, SCHEMA)
     plain = lambda df: {r.id: tuple(r)[1:] for r in df.collect()}

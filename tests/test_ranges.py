@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillmark.operators import intervals as I
+from rillmark.operators import scan
 from rillmark.operators import vectors as K
 from rillmark.operators import views as V
 from rillmark.operators.dyadic import nodes, with_nodes
@@ -25,23 +26,26 @@ def test_nodes_are_few_and_cover_a_range_once(spark):
 def test_a_very_long_range_takes_few_rows(spark):
     df = spark.createDataFrame([(1, 0, 1 << 40), (1, 12345, (1 << 40) - 777)], "k long, start long, end long")
     assert with_nodes(df, F.col("start"), F.col("end")).count() <= 2 * 2 * 40
-    pairs = V.overlap_join(df, df.withColumn("n", F.lit(1)), "k", width=1)
+    pairs = V.overlap_join(df, df.withColumn("n", F.lit(1)), "k", width=1, wide=True)
     assert pairs.count() == 4
 
 
-@pytest.mark.parametrize("width", [1, 7, 3600])
-def test_overlaps_equal_all_pairs(spark, width):
+@pytest.mark.parametrize("width,wide", [(1, True), (7, True), (3600, True), (3600, False)])
+def test_overlaps_equal_all_pairs(spark, width, wide):
     r = random.Random(width)
     make = lambda n, p: [(r.randrange(3), f"{p}{i}", s := r.randrange(-300, 3000), s + r.choice([0, 1, 5, 40, 2000, 10**6])) for i in range(n)]
     a, b = make(80, "a"), make(90, "b")
     df = lambda rows: spark.createDataFrame(rows, "k long, id string, start long, end long")
-    got = sorted((x.a_id, x.b_id) for x in V.overlap_join(df(a), df(b), "k", width).collect())
+    got = sorted((x.a_id, x.b_id) for x in V.overlap_join(df(a), df(b), "k", width, wide).collect())
     want = sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] < x[3] and y[2] < y[3] and x[2] < y[3] and y[2] < x[3])
     assert got == want
-    assert V.overlap_join(df(a).limit(0), df(b), "k", width).count() == 0
+    assert V.overlap_join(df(a).limit(0), df(b), "k", width, wide).count() == 0
 
 
-def test_difference_with_long_and_many_ranges(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_difference_with_long_and_many_ranges(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(scan, "SMALL_BYTES", 0)
     r = random.Random(4)
     seg = [(v, i, i * 40_000, i * 40_000 + 30_000) for v in range(4) for i in range(3)]
     cov = [(r.randrange(5), s := r.randrange(0, 120_000), s + r.choice([10, 500, 9000])) for _ in range(120)]
