@@ -33,9 +33,9 @@ def topic_words(docs: DataFrame, by: Column, text_col: str = "text", k: int = 3)
     for each word of a text pass the lower bound, and only k words a class reach the driver. Classes and their words in
     order; a word that several classes share counts for the first.
     """
-    rows = docs.select(F.coalesce(by.cast("string"), F.lit(OTHER)).alias("by"), F.array_distinct(_letters(F.col(text_col))).alias("words"))
+    rows = docs.select(F.coalesce(by.cast("string"), F.lit(OTHER)).alias("by"), F.array_distinct(F.filter(_letters(F.col(text_col)), lambda w: F.length(w).between(*LETTERS))).alias("words"))
     sizes = rows.groupBy("by").agg(F.count(F.lit(1)).alias("docs"))
-    each = rows.select("by", F.explode(F.filter("words", lambda w: F.length(w).between(*LETTERS))).alias("word"))
+    each = rows.select("by", F.explode("words").alias("word"))
     common = each.groupBy("by", "word").agg(F.count(F.lit(1)).alias("df")).join(sizes, "by").filter((F.col("df") * RARE >= F.col("docs")) & (F.col("df") * COMMON <= F.col("docs")))
     best = common.withColumn("r", F.row_number().over(Window.partitionBy("by").orderBy(F.desc("df"), "word"))).filter(F.col("r") <= k)
     return list(dict.fromkeys(r["word"] for r in best.orderBy("by", "r").collect()))
@@ -108,14 +108,24 @@ def rake(cells: DataFrame, targets: dict[str, Target], rate: float, tolerance: f
     now, columns, residual = staged(now, "raked"), now.columns, None
     small = n <= SMALL_CELLS
 
+    def distance(df: DataFrame) -> float:
+        """How far the worst class is from its target."""
+        off = lambda d: F.when(F.col(f"t_{d}") > 0, F.abs(F.col("own") / F.col(f"t_{d}") - 1)).otherwise(0.0)
+        if small:
+            for d in targets:
+                df = own(df.coalesce(1), d).withColumn(f"off_{d}", off(d)).drop("own")
+            worst = [df.select(F.greatest(F.lit(0.0), *(F.col(f"off_{d}") for d in targets)).alias("off"))]
+        else:
+            worst = [df.groupBy(d).agg(F.sum("keep").alias("own"), F.first(f"t_{d}").alias(f"t_{d}")).select(off(d).alias("off")) for d in targets]
+        return reduce(DataFrame.unionByName, worst).agg(F.coalesce(F.max("off"), F.lit(0.0))).first()[0]
+
     def own(df: DataFrame, dim: str) -> DataFrame:
         if small:
             return df.withColumn("own", F.sum("keep").over(Window.partitionBy(dim)))
         return df.join(df.groupBy(dim).agg(F.sum("keep").alias("own")), dim)
 
     while True:
-        apart = [now.groupBy(dim).agg(F.sum("keep").alias("own"), F.first(f"t_{dim}").alias("t")).select(F.when(F.col("t") > 0, F.abs(F.col("own") / F.col("t") - 1)).otherwise(0.0).alias("off")) for dim in targets]
-        last, residual = residual, reduce(DataFrame.unionByName, apart).agg(F.coalesce(F.max("off"), F.lit(0.0))).first()[0]
+        last, residual = residual, distance(now)
         if residual <= tolerance or (last is not None and residual > last * (1 - PROGRESS)):
             return now.select(*cells.columns, "keep").withColumn("residual", F.lit(float(residual)))
         start = now
@@ -130,7 +140,7 @@ def rake(cells: DataFrame, targets: dict[str, Target], rate: float, tolerance: f
         discard(start)
 
 
-def mix(docs: DataFrame, targets: dict[str, Target], dims: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rate: float = 0.5, tolerance: float = 1e-3, every: int = 5) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, Target], dims: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", rate: float = 0.5, tolerance: float = 1e-3, every: int = 5, carry: list[str] | None = None) -> DataFrame:
     """docs with __tokens, __p, __residual and __kept: a sample whose token weights follow the targets.
 
     dims: the classes of a document by dimension; a null class is OTHER. Tokens are summed by cell (a combination of
@@ -140,10 +150,13 @@ def mix(docs: DataFrame, targets: dict[str, Target], dims: dict[str, Column], id
     shuffled: cells come to them by broadcast, BROADCAST_CELLS at a time. No document is dropped by anything but its
     probability; null and empty texts weigh 1 token; an empty table gives none. Other columns pass through unchanged,
     whatever their names; only columns named like the new ones are refused. __residual is how far, in proportion, the
-    worst class is from its target.
+    worst class is from its target. carry names the columns of docs that the result needs, all by default; without the
+    text among them, what is read of the texts is staged, and the texts are read once.
     """
     refuse(docs, "__tokens", "__p", "__residual", "__kept")
-    rows = docs.select(whole(docs).alias("row"), F.struct(*(F.coalesce(c.cast("string"), F.lit(OTHER)).alias(d) for d, c in dims.items())).alias("cell"), tokens(F.col(text_col)).alias("tokens"), chance(id_col).alias("chance"))
+    rows = docs.select((whole(docs.select(*carry)) if carry else whole(docs)).alias("row"), F.struct(*(F.coalesce(c.cast("string"), F.lit(OTHER)).alias(d) for d, c in dims.items())).alias("cell"), tokens(F.col(text_col)).alias("tokens"), chance(id_col).alias("chance"))
+    if carry and text_col not in carry:
+        rows = staged(rows, "mixing-rows")
     cells = staged(rows.groupBy("cell").agg(F.sum("tokens").alias("tokens")).select("cell.*", "tokens"), "cells")
     found = staged(rake(cells, targets, rate, tolerance, every), "cells-raked")
     found = found.select(F.struct(*dims).alias("cell"), (F.col("keep") / F.col("tokens")).alias("p"), "residual")

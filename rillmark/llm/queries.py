@@ -128,16 +128,16 @@ TARGETS = {"source": None, "lang": 0.7, "topic": 0.9}
 RATE, EVERY, TOLERANCE, TOPICS = 0.5, 5, 0.001, 3
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     from .mixing import mix, topic, topic_words
 
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"), topic_words(docs, F.col("lang"), k=TOPICS))}
-    return mix(docs, TARGETS, dims, rate=RATE, tolerance=TOLERANCE, every=EVERY)
+    return mix(docs, TARGETS, dims, rate=RATE, tolerance=TOLERANCE, every=EVERY, carry=carry)
 
 
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixed(table(spark, sf_dir, "documents"))
+    out = mixed(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc_id", F.col("__tokens").alias("tokens"), F.round("__p", 6).alias("p"), F.round("__residual", 4).alias("residual"), F.col("__kept").alias("kept"))
 
 
