@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 FILTERS = "ABCDE"
 MASKS = 1 << len(FILTERS)
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
@@ -37,7 +39,7 @@ def mask_counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     A text's digest stands for it. A document is a repeat (E) if a smaller id has its text; of the documents of a text,
     those with its smallest id and those without an id are not. These are found by counts of a text's documents by part,
     mask and labels, which are summed before they are shuffled, so that copies by the million meet as a few rows. Texts
-    are read once and never shuffled. Null texts are empty, null parts the empty string; of an id labelled more than
+    are read once and never shuffled; the counts are staged, as the smallest ids are found from them too. Null texts are empty, null parts the empty string; of an id labelled more than
     once, any label counts; repeated rows count each.
     """
     text = F.coalesce(text_col, F.lit(""))
@@ -49,7 +51,7 @@ def mask_counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     marked = rows.join(marks, "id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
     kind = ["digest", "part", "mask", "good", "toxic"]
     each = marked.groupBy(*kind, "id").agg(F.count(F.lit(1)).alias("n"))
-    some = each.groupBy(*kind).agg(F.sum("n").alias("n"), F.min("id").alias("id"), F.min_by("n", "id").alias("firsts"), F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0)).alias("nameless"))
+    some = staged(each.groupBy(*kind).agg(F.sum("n").alias("n"), F.min("id").alias("id"), F.min_by("n", "id").alias("firsts"), F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0)).alias("nameless")), "audit")
     least = some.groupBy("digest").agg(F.min("id").alias("least"))
     told = some.join(least, "digest")
     new = F.col("nameless") + F.when(F.col("id") == F.col("least"), F.col("firsts")).otherwise(0)
