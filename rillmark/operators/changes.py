@@ -242,16 +242,40 @@ def set_channels(commands: DataFrame, channels: DataFrame | None = None) -> Data
     return both.select("guild_id", F.when(F.col("c").isNotNull(), F.col("c.channel_id")).otherwise(F.col("__was")).alias("channel_id")).filter("channel_id IS NOT NULL")
 
 
+def messages_by_name(subscriptions: DataFrame, channels: DataFrame) -> DataFrame:
+    """(username, kind, target, users) of every name that enabled subscriptions ask for: what a detection of it sends.
+
+    A message to each user by dm, and one to each guild's channel for all its users. As many rows as subscriptions at most.
+    """
+    on = subscriptions.filter("enabled AND username IS NOT NULL").select("username", "user_id", "notify_type", "guild_id")
+    dm = on.filter("notify_type IN ('dm', 'both')").select("username", F.lit("dm").alias("kind"), F.col("user_id").alias("target"), F.array("user_id").alias("users"))
+    guild = on.filter("notify_type IN ('server', 'both')").join(channels, "guild_id").groupBy("username", "channel_id").agg(F.sort_array(F.collect_set("user_id")).alias("users"))
+    return dm.unionByName(guild.select("username", F.lit("server").alias("kind"), F.col("channel_id").alias("target"), "users"))
+
+
+def send(detections: DataFrame, messages: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(detection_id, kind, target, users): the messages (messages_by_name) of detections (id, username), within by.
+
+    Only ids and names are shuffled: what is sent is put together behind the last exchange. Where one id comes with
+    several names, and only there, a channel's users are gathered over them.
+    """
+    rows = detections.filter("username IS NOT NULL").select(*by, F.col("id").alias("detection_id"), "username")
+    dm = rows.join(messages.filter("kind = 'dm'"), [*by, "username"]).select("detection_id", "kind", "target", F.col("target").alias("users"))
+    guild = messages.filter("kind = 'server'")
+    named = rows.groupBy(*by, "detection_id").agg(F.collect_set("username").alias("names"))
+    one = named.filter("size(names) = 1").select(*by, "detection_id", F.get("names", F.lit(0)).alias("username")).join(guild, [*by, "username"])
+    more = named.filter("size(names) > 1").select(*by, "detection_id", F.explode("names").alias("username")).join(guild, [*by, "username"])
+    more = more.groupBy(*by, "detection_id", "target").agg(F.flatten(F.collect_list("users")).alias("users"))
+    both = one.select("detection_id", "target", "users").unionByName(more.select("detection_id", "target", F.array_sort(F.array_distinct("users")).alias("users")))
+    return dm.unionByName(both.select("detection_id", F.lit("server").alias("kind"), "target", F.array_join("users", " ").alias("users")))
+
+
 def notifications(detections: DataFrame, subscriptions: DataFrame, channels: DataFrame) -> DataFrame:
     """(detection_id, kind, target, users): a message to each user by dm, and one to each guild's channel for all its users.
 
     Usernames match exactly, case and all; only enabled subscriptions count.
     """
-    on = subscriptions.filter("enabled").select("username", "user_id", "notify_type", "guild_id")
-    hit = detections.select(F.col("id").alias("detection_id"), "username").join(on, "username")
-    dm = hit.filter("notify_type IN ('dm', 'both')").select("detection_id", F.lit("dm").alias("kind"), F.col("user_id").alias("target"), F.col("user_id").alias("users"))
-    guild = hit.filter("notify_type IN ('server', 'both')").join(channels, "guild_id").groupBy("detection_id", "channel_id").agg(F.array_join(F.sort_array(F.collect_set("user_id")), " ").alias("users"))
-    return dm.unionByName(guild.select("detection_id", F.lit("server").alias("kind"), F.col("channel_id").alias("target"), "users"))
+    return send(detections, messages_by_name(subscriptions, channels))
 
 
 def notified(detections: DataFrame, subscriptions: DataFrame, channels: DataFrame) -> DataFrame:
