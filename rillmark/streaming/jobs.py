@@ -31,19 +31,6 @@ def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) ->
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def drain_batches(stream: DataFrame, f: Callable[[DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
-    """Runs f on every micro-batch and writes its rows under the batch's number, so a repeated batch replaces itself."""
-    spark = stream.sparkSession
-    folder = folder or shared_dir(spark)
-
-    def batch(df: DataFrame, n: int) -> None:
-        f(df).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
-
-    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
-
-
 class InOrder(StatefulProcessor):
     """Handles a key's rows in order of event time, however they arrive.
 
@@ -190,9 +177,24 @@ def metric_windows(metrics: DataFrame, width: str = "10 seconds", late: str = "1
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), *by, "n", "total")
 
 
-def notify(detections: DataFrame, subscriptions: DataFrame, channels: DataFrame) -> DataFrame:
-    """The messages of every batch of new detections."""
-    return drain_batches(detections, lambda df: changes.notifications(df, subscriptions, channels))
+def notify(detections: DataFrame, subscriptions: DataFrame, channels: DataFrame, folder: str | None = None) -> DataFrame:
+    """The messages of every batch of new detections, by the subscriptions and channels as they stand when it comes.
+
+    A batch stores its detections and, once, what each name sends, under its number; a batch that comes again replaces
+    itself. They are put together where they are read, so what is stored grows with the tables, not with their matches.
+    """
+    spark = detections.sparkSession
+    folder = folder or shared_dir(spark)
+    part = lambda what, n: f"{folder}/{what}/batch={n}"
+
+    def batch(df: DataFrame, n: int) -> None:
+        changes.messages_by_name(subscriptions, channels).write.mode("overwrite").parquet(part("messages", n))
+        df.select("id", "username").write.mode("overwrite").parquet(part("detections", n))
+
+    q = detections.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    stored = lambda what: spark.read.parquet(f"{folder}/{what}")
+    return changes.send(stored("detections"), stored("messages"), ("batch",))
 
 
 def routed(messages: DataFrame, secret: str, late: str = "10 minutes") -> DataFrame:

@@ -121,3 +121,26 @@ def test_an_upsert_rewrites_only_its_partitions(spark, tmp_path, times):
     want = {i: (f"t{i}", i) for i in range(200)} | {3: (None, 3), 7: ("new", 7), 1000: ("added", None)}
     assert got == want
     assert P.upsert(spark, path, up.limit(0), "id", ["title"], 16) == []
+
+
+def test_messages_are_stored_by_name_not_by_match(spark, tmp_path):
+    """60 detections of one name with 50 subscribers: a batch stores 60 rows and the name's messages, not 3000 matches."""
+    subs = spark.createDataFrame([(str(i), n, i % 10 != 9, ("dm", "server", "both")[i % 3], str(i % 4)) for i in range(50) for n in ("a", "b")], "user_id string, username string, enabled boolean, notify_type string, guild_id string")
+    channels = spark.createDataFrame([("0", "x"), ("1", "x"), ("2", "y")], "guild_id string, channel_id string")
+    rows = [(f"d{i}", "a") for i in range(60)] + [("two", "a"), ("two", "b"), ("d0", "a"), ("d1", None), ("d2", "nobody")]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, "id string, username string").write.parquet(src)
+    on = [(r.user_id, r.username, r.notify_type, r.guild_id) for r in subs.collect() if r.enabled]
+    to = {r.guild_id: r.channel_id for r in channels.collect()}
+    want, groups = [], {}
+    for d, n in rows:
+        for u, name, kind, g in on:
+            if name == n and kind != "server":
+                want.append((d, "dm", u, u))
+            if name == n and kind != "dm" and g in to:
+                groups.setdefault((d, to[g]), set()).add(u)
+    want += [(d, "server", c, " ".join(sorted(us))) for (d, c), us in groups.items()]
+    got = S.notify(S.source(spark, src), subs, channels, out)
+    assert sorted(map(tuple, got.select("detection_id", "kind", "target", "users").collect())) == sorted(want)
+    stored = sum(spark.read.parquet(f"{out}/{what}").count() for what in ("detections", "messages"))
+    assert stored < len(rows) + 2 * len(on)
