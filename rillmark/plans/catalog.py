@@ -434,9 +434,7 @@ def E6_thinning(t):
 @q(domain("SELECT id, count(*) AS frames, min(ts) AS first, max(ts) AS last, sum(ts)::BIGINT AS total, sum(k * ts)::BIGINT AS moment FROM (SELECT id, k, (start_seconds + k * 2)::INT AS ts FROM (SELECT id, start_seconds, unnest(range(0, 900)) AS k FROM chunks)) GROUP BY id"))
 def E7_frame_clock(t):
     """The frame times of all chunks, summed up by chunk."""
-    rows = A.frame_times(t.chunks, 0.5).groupBy("id")
-    ts = F.col("ts").cast("long")
-    return rows.agg(F.count(F.lit(1)).alias("frames"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum(ts).alias("total"), F.sum(ts * F.col("k")).alias("moment"))
+    return A.frame_sums(t.chunks, 0.5)
 
 
 @q(domain(f"SELECT id, source_id, last_availability_check FROM vods WHERE availability = 'available' AND (last_availability_check IS NULL OR last_availability_check < {NOW_SQL} - INTERVAL 24 HOUR) ORDER BY last_availability_check NULLS FIRST, id LIMIT 100"))

@@ -92,3 +92,14 @@ def test_thinning_streams_any_number_of_times(spark):
                 want.append((key, x))
     got = [tuple(x) for x in catalog.A.thin(spark.createDataFrame(rows, "k string, ts int"), "k", "ts").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_frame_sums_equal_the_frames_without_a_row_for_each(spark):
+    rows = [(1, 0, 1800), (2, 1800, 1801), (2, 7, 12), (3, 5, 5), (4, 9, 2), (5, None, 3), (6, -9, 40), (7, 3, 3604)]
+    few = spark.createDataFrame(rows, "id long, start_seconds int, end_seconds int")
+    for rate in (0.5, 1.0, 0.3, 2.0, 0.0):
+        frames = catalog.A.frame_times(few, rate).selectExpr("id", "CAST(k AS LONG) AS k", "ts").groupBy("id")
+        want = frames.agg(catalog.F.expr("count(*)"), catalog.F.min("ts"), catalog.F.max("ts"), catalog.F.expr("sum(CAST(ts AS LONG))"), catalog.F.expr("sum(k * ts)"))
+        got = catalog.A.frame_sums(few, rate)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Generate" not in catalog.QUERIES["E7_frame_clock"](spark, SF)._jdf.queryExecution().executedPlan().toString()
