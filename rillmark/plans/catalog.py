@@ -457,7 +457,7 @@ def G1_segments(t):
 
 @q(domain("SELECT * FROM gp", f"{SEGMENTS}, {GAPS}"))
 def G2_range_difference(t):
-    return I.subtract_ranges(I.segments(t.vods), t.chunks)
+    return I.subtract_ranges(I.segments(t.vods, crossing=True), t.chunks)
 
 
 @q("WITH gp AS (SELECT o_orderkey AS vod_id, 0 AS segment, 0 AS segment_start, 0 AS segment_end, 0 AS gap_start, floor(o_totalprice / 10)::INT AS gap_end FROM orders), " + PIECES + " SELECT vod_id, piece, start_seconds, end_seconds FROM pl")

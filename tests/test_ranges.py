@@ -60,6 +60,21 @@ def test_difference_with_long_and_many_ranges(spark, monkeypatch, small):
     assert got == want
 
 
+def test_difference_sweeps_large_tables_without_a_join(spark, monkeypatch):
+    monkeypatch.setattr(scan, "SMALL_BYTES", 0)
+    vods = [(v, 9000, c) for v, c in enumerate([None, [0, 4000, 4000, 9000], [500, 2000, 6000, 9100], [0, 5000, 4000, 9000]])]
+    cov = spark.createDataFrame([(v, s, e) for v in range(4) for s, e in ((0, 700), (300, 400), (1800, 3600), (4000, 5400), (4000, 4100), (9000, 9500))], "vod_id long, start_seconds int, end_seconds int")
+    seg = I.segments(spark.createDataFrame(vods, "id long, duration_seconds int, chapters array<int>"), crossing=True)
+    assert {r.vod_id for r in seg.filter("crossing").collect()} == {3}
+    plain = I.subtract_ranges(seg.filter("vod_id < 3"), cov)
+    assert "level" not in plain._jdf.queryExecution().optimizedPlan().toString()  # no dyadic nodes
+    want = {(0, 0, 700, 1800), (0, 0, 3600, 4000), (0, 0, 5400, 9000), (1, 0, 700, 1800), (1, 0, 3600, 4000), (1, 1, 5400, 9000), (2, 0, 700, 1800), (2, 1, 6000, 9000)}
+    assert {(r.vod_id, r.segment, r.gap_start, r.gap_end) for r in plain.collect()} == want
+    whole = {(r.vod_id, r.segment, r.gap_start, r.gap_end) for r in I.subtract_ranges(seg, cov).collect()}
+    assert whole == want | {(3, 0, 700, 1800), (3, 0, 3600, 4000), (3, 1, 5400, 9000)}
+    assert whole == {(r.vod_id, r.segment, r.gap_start, r.gap_end) for r in I.subtract_ranges(seg.drop("crossing"), cov).collect()}
+
+
 def effective(at, profiles):
     fits = [(f is not None, f or datetime(1, 1, 1), t is None, t or datetime(1, 1, 1), i) for i, f, t in profiles if (f is None or (at is not None and f <= at)) and (t is None or (at is not None and at < t)) and not (f and t and t <= f)]
     return max(fits)[-1] if fits else None
