@@ -103,3 +103,14 @@ def test_frame_sums_equal_the_frames_without_a_row_for_each(spark):
         got = catalog.A.frame_sums(few, rate)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "Generate" not in catalog.QUERIES["E7_frame_clock"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_of_a_rollup_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    folders = iter(str(tmp_path / n) for n in "abc")
+    monkeypatch.setattr(catalog.S, "shared_dir", lambda _: next(folders))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        catalog.QUERIES["I3_rollup_stream"](spark, SF)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(len(list((tmp_path / "b" / f"b={b}").glob("*.parquet"))) > 1 for b in range(3))
