@@ -136,7 +136,7 @@ def changed_rollups(before: DataFrame, touched: DataFrame, t) -> DataFrame:
     Only their chunks are counted; streaming.rollups keeps stored counts up instead.
     """
     ids = touched.select("vod_id").distinct()
-    some = _With(t, vods=t.vods.join(ids.select(F.col("vod_id").alias("id")), "id", "left_semi"), chunks=t.chunks.join(ids, "vod_id", "left_semi"))
+    some = With(t, vods=t.vods.join(ids.select(F.col("vod_id").alias("id")), "id", "left_semi"), chunks=t.chunks.join(ids, "vod_id", "left_semi"))
     old = before.select("vod_id", F.col("status").alias("__old"))
     return rollup_status(some).join(old, "vod_id", "left").filter(C.changed(F.col("__old"), F.col("status"))).drop("__old")
 
@@ -147,16 +147,16 @@ def rechunk(t, changes: DataFrame, shortest: int = 600) -> DataFrame:
     due = (F.col("op") == "insert") | (~F.coalesce(old["ready"], F.lit(False)) & new["ready"]) | C.changed(old["duration_seconds"], new["duration_seconds"]) | C.changed(old["chapters"], new["chapters"])
     ids = changes.filter(due & (new["duration_seconds"] >= shortest)).select(new["id"].alias("id"))
     vods = t.vods.join(enabled(t), "streamer_id", "left_semi").join(ids, "id", "left_semi")
-    return create_missing_chunks(_With(t, vods=vods))
+    return create_missing_chunks(With(t, vods=vods))
 
 
 def chunk_enabled(t, switched_on: DataFrame) -> DataFrame:
     """New chunks of all ready recordings of streamers that were switched on."""
     vods = t.vods.filter("ready_for_processing").join(switched_on.select("streamer_id"), "streamer_id", "left_semi")
-    return create_missing_chunks(_With(t, vods=vods))
+    return create_missing_chunks(With(t, vods=vods))
 
 
-class _With:
+class With:
     """Tables with some replaced."""
 
     def __init__(self, t, **own: DataFrame):
@@ -310,7 +310,7 @@ def reprocess(t, ids: DataFrame) -> DataFrame:
     c = t.chunks.join(go, "vod_id", "left_semi").groupBy("vod_id").agg(F.count(F.lit(1)).alias("c"))
     d = t.detections.join(go, "vod_id", "left_semi").groupBy("vod_id").agg(F.count(F.lit(1)).alias("d"))
     # all their chunks go, so that none is left to count or to avoid
-    rest = _With(t, vods=t.vods.join(go.select(F.col("vod_id").alias("id")), "id", "left_semi"), chunks=t.chunks.limit(0))
+    rest = With(t, vods=t.vods.join(go.select(F.col("vod_id").alias("id")), "id", "left_semi"), chunks=t.chunks.limit(0))
     n = create_missing_chunks(rest).groupBy("vod_id").agg(F.count(F.lit(1)).alias("n"))
     rows = v.join(c, "vod_id", "left").join(d, "vod_id", "left").join(n, "vod_id", "left")
     zero = lambda x, name: F.coalesce(x, F.lit(0)).alias(name)

@@ -13,16 +13,18 @@ from ..operators import changes as G
 from ..operators import intervals as I
 from ..operators import views as V
 from ..sources import tables as T
+from ..sources.staging import staged
 from ..streaming.jobs import shared_dir
 
 
 def _found(t, query: str | None, streamer_id: int | None, kind: str, threshold: float, now: datetime, known: tuple[str, ...], min_confidence: float) -> DataFrame:
+    if query:  # each name is scored once, and only detections of those that match meet recordings
+        names = t.detections.filter(F.col("confidence") > min_confidence).select("username").distinct()
+        names = names.withColumn("similarity_score", C.set_similarity(C.trigrams(F.col("username")), C.trigrams(F.lit(query))))
+        named = t.detections.join(staged(names.filter(C.similar(F.col("similarity_score"), threshold))), "username")
+        t = G.With(t, detections=named)
     rows = V.date_range(V.opt_filter(V.detection_search(t, min_confidence), "streamer_id", streamer_id), "actual_timestamp", kind, now, known)
-    if not query:
-        return rows.withColumn("similarity_score", F.lit(1.0).cast("float"))
-    wanted = C.trigrams(F.lit(query))
-    names = rows.select("username").distinct().withColumn("similarity_score", C.set_similarity(C.trigrams(F.col("username")), wanted))
-    return rows.join(names.filter(C.similar(F.col("similarity_score"), threshold)), "username")  # each name is scored once
+    return rows if query else rows.withColumn("similarity_score", F.lit(1.0).cast("float"))
 
 
 def _order(query: str | None) -> list:
@@ -30,6 +32,19 @@ def _order(query: str | None) -> list:
     return [*first, F.desc_nulls_first("actual_timestamp"), F.asc("detection_id")]
 
 
+def _first(t, query: str | None, limit: int, *how) -> DataFrame:
+    """Rows of _found among which the first limit are.
+
+    Without a query all match: their order is found by ids and times alone, and only those first are looked up whole.
+    """
+    if query:
+        return _found(t, query, *how)
+    ids = staged(_found(t, query, *how).orderBy(*_order(query)).limit(limit).select("vod_id", F.col("detection_id").alias("id")).distinct())
+    own = t.detections.join(F.broadcast(ids), ["vod_id", "id"], "left_semi")  # limit rows
+    vods = staged(t.vods.join(F.broadcast(ids.select(F.col("vod_id").alias("id")).distinct()), "id", "left_semi"))
+    return _found(G.With(t, detections=own, vods=vods), query, *how)
+
+
 def fuzzy_search(t, now: datetime, query: str | None = None, streamer_id: int | None = None, kind: str = "all", threshold: float = 0.2, limit: int = 100, offset: int = 0) -> DataFrame:
     """A ranked page of detections whose username resembles query, with the number of all that match.
 
@@ -46,22 +61,29 @@ def fuzzy_search(t, now: datetime, query: str | None = None, streamer_id: int |
 
 def fuzzy_search_debug(t, now: datetime, query: str | None = None, streamer_id: int | None = None, kind: str = "all", threshold: float = 0.2, limit: int = 100) -> DataFrame:
     """Down to any positive confidence, without total and offset; "day" is no range here."""
-    rows = _found(t, query, streamer_id, kind, threshold, now, ("week", "month", "year"), 0.0)
+    rows = _first(t, query, limit, streamer_id, kind, threshold, now, ("week", "month", "year"), 0.0)
     return rows.orderBy(*_order(query)).limit(limit).select(*V.SEARCH_COLUMNS, "similarity_score", "truncated")
 
 
 def fuzzy_search_first(t, now: datetime, query: str | None = None, streamer_id: int | None = None, kind: str = "all", threshold: float = 0.2, limit: int = 100) -> DataFrame:
     """The first version: no total, no truncated, no offset; "day" is no range here."""
-    rows = _found(t, query, streamer_id, kind, threshold, now, ("week", "month", "year"), 0.7)
+    rows = _first(t, query, limit, streamer_id, kind, threshold, now, ("week", "month", "year"), 0.7)
     return rows.orderBy(*_order(query)).limit(limit).select(*V.SEARCH_COLUMNS, "similarity_score")
 
 
 def top_streamers(t, top: int = 10, each: int = 3) -> DataFrame:
-    """The streamers with most detections, the smallest id first on ties, with their latest detections."""
-    d = V.detection_search(t)
+    """The streamers with most detections, the smallest id first on ties, with their latest detections.
+
+    Detections are counted by recording before they meet one; then only the best streamers' are looked up.
+    """
     by = ["streamer_id", "streamer_login", "streamer_display_name", "streamer_avatar"]
-    best = d.groupBy(*by).agg(F.count(F.lit(1)).alias("total_detections"), F.countDistinct("vod_id").alias("total_vods")).orderBy(F.desc("total_detections"), "streamer_id").limit(top)
-    rows = d.join(best.select("streamer_id", "total_detections", "total_vods"), "streamer_id")
+    n = t.detections.filter("confidence > 0.7").groupBy("vod_id").agg(F.count(F.lit(1)).alias("n"))
+    v = t.vods.filter("availability = 'available'").select(F.col("id").alias("vod_id"), "streamer_id")
+    per = n.join(v, "vod_id").groupBy("streamer_id").agg(F.sum("n").alias("total_detections"), F.countDistinct("vod_id").alias("total_vods"))
+    known = t.streamers.select(F.col("id").alias("streamer_id"))
+    best = staged(per.join(known, "streamer_id", "left_semi").orderBy(F.desc("total_detections"), "streamer_id").limit(top))
+    own = staged(t.vods.join(F.broadcast(best.select("streamer_id")), "streamer_id", "left_semi"))  # top rows
+    rows = V.detection_search(G.With(t, vods=own)).join(best, "streamer_id")
     last = A.topk_per_group(rows, "streamer_id", [F.desc_nulls_first("actual_timestamp"), F.asc("detection_id")], each, "detection_row_num")
     cols = [*by, "total_detections", "total_vods", "detection_id", "username", "frame_time_seconds", "confidence", "rank", "vod_id", "vod_source_id", "vod_url", "actual_timestamp", "detection_row_num", "truncated"]
     return last.select(*cols).orderBy(F.desc("total_detections"), "streamer_id", "detection_row_num")

@@ -105,6 +105,31 @@ def test_frame_sums_equal_the_frames_without_a_row_for_each(spark):
     assert "Generate" not in catalog.QUERIES["E7_frame_clock"](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
+def scans(df, column):
+    """How many tables with a column the optimized plan of df reads."""
+    return sum("Relation" in x and f"{column}#" in x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+@pytest.mark.parametrize("name", ["J2_fuzzy_search_debug", "J4_fuzzy_search_first"])
+def test_a_search_finds_names_before_detections_meet_recordings(spark, name):
+    assert scans(catalog.QUERIES[name](spark, SF), "l_orderkey") == 1
+
+
+@pytest.mark.parametrize("name", ["J4_without_a_query", "J5_top_streamers"])
+def test_only_what_comes_first_is_looked_up_whole(spark, name):
+    assert scans(catalog.QUERIES[name](spark, SF), "o_orderkey") == 0
+
+
+def test_first_rows_keep_copies_and_ties(spark):
+    t = catalog.T.Tables(spark, SF)
+    twice = catalog.G.With(t, detections=t.detections.unionByName(t.detections))
+    for limit in (1, 5, 30):
+        got = [tuple(r) for r in catalog.J.fuzzy_search_debug(twice, catalog.NOW, limit=limit).collect()]
+        whole = catalog.J._found(twice, None, None, "all", 0.2, catalog.NOW, (), 0.0)
+        want = whole.orderBy(*catalog.J._order(None)).limit(limit).select(*catalog.V.SEARCH_COLUMNS, "similarity_score", "truncated")
+        assert got == [tuple(r) for r in want.collect()]
+
+
 def test_batches_of_a_rollup_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     folders = iter(str(tmp_path / n) for n in "abc")
     monkeypatch.setattr(catalog.S, "shared_dir", lambda _: next(folders))
