@@ -139,9 +139,12 @@ def export_summary(detections: DataFrame, chunks: DataFrame | None = None) -> Da
 
 
 def write_summaries(documents: DataFrame, path: str, parts: int = 16) -> None:
-    """Documents (chunk_id, document) as text files, in folders by a hash of the chunk: so many, however many chunks there are."""
+    """Documents (chunk_id, document) as text files, in folders by a hash of the chunk: so many, however many chunks there are.
+
+    Each task writes what it has of each folder, so documents are not shuffled again.
+    """
     rows = documents.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
-    rows.select("part", F.col("document").alias("value")).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").text(path)
+    rows.select("part", F.col("document").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").text(path)
 
 
 PAGE = "struct<user:struct<videos:struct<edges:array<struct<node:struct<id:string,title:string,lengthSeconds:int,publishedAt:string,game:struct<id:string,displayName:string>,moments:struct<edges:array<struct<node:struct<positionMilliseconds:bigint,type:string,game:struct<id:string,displayName:string>>>>>>>>>>>"

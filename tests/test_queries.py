@@ -147,3 +147,15 @@ def test_batches_of_a_rollup_are_written_by_many_tasks(spark, tmp_path, monkeypa
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert all(len(list((tmp_path / "b" / f"b={b}").glob("*.parquet"))) > 1 for b in range(3))
+
+
+def test_documents_are_written_where_they_are(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 4).selectExpr("id AS chunk_id", "CONCAT('document ', id) AS document")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        catalog.T.write_summaries(rows, str(tmp_path / "out"), 3)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(p.name for p in (tmp_path / "out").glob("part=*")) == ["part=0", "part=1", "part=2"]
+    assert all(len(list((tmp_path / "out" / f"part={n}").glob("*.txt"))) == 4 for n in range(3))  # one of each task
+    assert {r.value for r in spark.read.text(str(tmp_path / "out")).collect()} == {f"document {i}" for i in range(400)}
