@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,12 +37,11 @@ class InOrder(StatefulProcessor):
 
     Rows wait in a list until the watermark has passed them, as no earlier one can come then. A timer at the first one
     waiting releases, in order, all that the watermark has passed by then: state is touched a few times for a key and
-    batch, not for a row. The first of columns is the row's time, in units of so many milliseconds. Rows that are known to
-    come in order from batch to batch may be handled at once, without a watermark and timers.
+    batch, not for a row. The first of columns is the row's time, in units of so many milliseconds.
     """
 
-    def __init__(self, columns: list[str], types: list[str], millis: float, at_once: bool = False):
-        self.columns, self.types, self.millis, self.at_once = columns, types, millis, at_once
+    def __init__(self, columns: list[str], types: list[str], millis: float):
+        self.columns, self.types, self.millis = columns, types, millis
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -51,15 +51,12 @@ class InOrder(StatefulProcessor):
     def at(self, x: int) -> int:
         return int(x * self.millis)
 
-    def release(self, key: tuple, rows: list[tuple], passed: int, all_gone: bool) -> pd.DataFrame | None:
-        """What rows in order give, after those before; passed is the watermark in ms, all_gone: no row is waiting."""
+    def release(self, key: tuple, rows: list[tuple]) -> pd.DataFrame | None:
+        """What rows in order give, after those before."""
         raise NotImplementedError
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         new = [tuple(r) for pdf in rows for r in pdf[self.columns].dropna().astype({c: "int64" for c, k in zip(self.columns, self.types) if k == "long"}).itertuples(index=False)]
-        if self.at_once:
-            out = self.release(key, sorted(set(new)), 0, False)
-            return iter([] if out is None else [out])
         if new:
             self.waiting.appendList(new)
             self.handle.registerTimer(self.at(min(r[0] for r in new)))
@@ -75,36 +72,82 @@ class InOrder(StatefulProcessor):
         elif ripe:
             self.waiting.put(rest)
             self.handle.registerTimer(self.at(rest[0][0]))
-        out = self.release(key, ripe, passed, not rest)
+        out = self.release(key, ripe)
         return iter([] if out is None else [out])
 
 
-class Debouncer(InOrder):
-    """Greedy thinning of a key's frames.
+class Debouncer(StatefulProcessor):
+    """Greedy thinning of the frames of a group of keys.
 
-    Once the last time taken is gap behind the watermark it can hold no frame back any more, and a timer drops it: an
-    idle key keeps no state.
+    State is touched a few times for a group and batch, however many keys and frames it has: frames wait as arrays of keys
+    and times, one pair for each batch, until the watermark has passed them, as no earlier one can come then. A timer at
+    the first one waiting takes all that the watermark has passed by then. Once the last time taken of a key is gap behind
+    the watermark it can hold no frame back any more and goes: idle keys keep no state. Frames that are known to come in
+    order from batch to batch may be handled at once, without a watermark and timers.
     """
 
     def __init__(self, key: str, ts: str, gap: int, unit: int, at_once: bool):
-        super().__init__([ts], ["long"], unit * 1000, at_once)
-        self.key, self.ts, self.gap = key, ts, gap
+        self.key, self.ts, self.gap, self.millis, self.at_once = key, ts, gap, unit * 1000, at_once
 
-    def release(self, key: tuple, rows: list[tuple], passed: int, all_gone: bool) -> pd.DataFrame | None:
-        last = self.last.get()
-        before = last[0] if last else 0
-        now, out = before, []
-        for (x,) in rows:
-            if x - now >= self.gap:
-                now = x
-                out.append(x)
-        if now != before:
-            self.last.update((now,))
-            if not self.at_once:
-                self.handle.registerTimer(self.at(now + self.gap))
-        elif last and all_gone and passed >= self.at(now + self.gap):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.done = handle, None
+        self.last = handle.getValueState("last", "keys binary, times binary")
+        self.waiting = handle.getListState("waiting", "keys binary, times binary")
+
+    @staticmethod
+    def packed(keys: np.ndarray, times: np.ndarray) -> tuple[bytes, bytes]:
+        return keys.astype("<i8").tobytes(), times.astype("<i8").tobytes()
+
+    @staticmethod
+    def unpacked(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.concatenate([np.empty(0, "<i8"), *(np.frombuffer(p[i], "<i8") for p in parts)]) for i in (0, 1))
+
+    def taken(self, keys: np.ndarray, times: np.ndarray, passed: int | None) -> tuple[Iterator[pd.DataFrame], int | None]:
+        """The frames taken, and the first time until which a key's last one counts; passed is the watermark in ms."""
+        stored = self.last.get()
+        last = dict(zip(*(x.tolist() for x in self.unpacked([stored] if stored else []))))
+        out: list[tuple[int, int]] = []
+        order = np.lexsort((times, keys))
+        for k, x in zip(keys[order].tolist(), times[order].tolist()):
+            if x - last.get(k, 0) >= self.gap:
+                last[k] = x
+                out.append((k, x))
+        if passed is not None:
+            last = {k: x for k, x in last.items() if (x + self.gap) * self.millis > passed}
+        if last:
+            self.last.update(self.packed(np.array(list(last)), np.array(list(last.values()))))
+        elif stored:
             self.last.clear()
-        return pd.DataFrame({self.key: [key[0]] * len(out), self.ts: out}) if out else None
+        return iter([pd.DataFrame(out, columns=[self.key, self.ts])] if out else []), min(last.values()) + self.gap if last else None
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat([pdf.loc[pdf["frame"], ["key", "time"]] for pdf in rows])
+        if not len(new):
+            return iter(())
+        keys, times = new["key"].to_numpy(), new["time"].to_numpy()
+        if self.at_once:
+            return self.taken(keys, times, None)[0]
+        self.waiting.appendValue(self.packed(keys, times))
+        self.handle.registerTimer(int(times.min()) * self.millis)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        if self.done == (key, passed):  # another timer of the group has done it
+            return iter(())
+        self.done = key, passed
+        keys, times = self.unpacked(list(self.waiting.get()))
+        ripe = times * self.millis <= passed
+        out, until = self.taken(keys[ripe], times[ripe], passed)
+        rest = times[~ripe]
+        if not len(rest):
+            self.waiting.clear()
+        elif ripe.any():
+            self.waiting.put([self.packed(keys[~ripe], rest)])
+        ahead = ([int(rest.min())] if len(rest) else []) + ([] if until is None else [until])
+        if ahead:
+            self.handle.registerTimer(min(ahead) * self.millis)
+        return out
 
 
 class Deltas(InOrder):
@@ -113,7 +156,7 @@ class Deltas(InOrder):
     def __init__(self) -> None:
         super().__init__(["at", "seq", "value"], ["long", "long", "double"], 0.001)
 
-    def release(self, key: tuple, rows: list[tuple], passed: int, all_gone: bool) -> pd.DataFrame | None:
+    def release(self, key: tuple, rows: list[tuple]) -> pd.DataFrame | None:
         if not rows:
             return None
         last = self.last.get()
@@ -126,20 +169,23 @@ class Deltas(InOrder):
         return pd.DataFrame(out, columns=["name", "attr", "at", "seq", "delta"])
 
 
-def debounce(frames: DataFrame, key: str, ts: str, gap: int = 10, late: int | None = None, unit: int = 1) -> DataFrame:
+def debounce(frames: DataFrame, key: str, ts: str, gap: int = 10, late: int | None = None, unit: int = 1, groups: int = 256) -> DataFrame:
     """Greedy thinning of a stream: (key, ts) of the frames taken.
 
     ts counts units of so many seconds. With late, frames may come in any order, up to late units behind the latest of
     all keys; what comes later is dropped, and a frame is given once the watermark has passed it. A row without a key
     moves the watermark and is no frame; one far ahead closes a stream. Without late, a key's frames must come in order
-    from batch to batch; they are given at once, and each key keeps its last time.
+    from batch to batch; they are given at once, and each key keeps its last time. Keys are dealt to so many groups by
+    hash, and each group has one state; a group's waiting frames fit in a task's memory. The number of groups must stay
+    the same for a checkpoint to go on.
     """
     with_state_store(frames.sparkSession)
-    rows = frames.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias(key), F.when(F.col(key).isNotNull(), F.col(ts).cast("long")).alias(ts), F.timestamp_seconds(F.col(ts) * unit).alias("__at"))
+    rows = frames.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("key"), F.coalesce(F.col(ts).cast("long"), F.lit(0)).alias("time"), (F.col(key).isNotNull() & F.col(ts).isNotNull()).alias("frame"), F.timestamp_seconds(F.col(ts) * unit).alias("at"))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int"))  # workers rename columns that begin with "_"
     if late is None:
-        return rows.filter(F.col(ts).isNotNull()).groupBy(key).transformWithStateInPandas(Debouncer(key, ts, gap, unit, True), f"{key} long, {ts} long", "Append", "None")
+        return rows.filter("frame").groupBy("group").transformWithStateInPandas(Debouncer(key, ts, gap, unit, True), f"{key} long, {ts} long", "Append", "None")
     # a filter here would be pushed below the watermark, which rows without a key are to move
-    return rows.withWatermark("__at", f"{late * unit} seconds").groupBy(key).transformWithStateInPandas(Debouncer(key, ts, gap, unit, False), f"{key} long, {ts} long", "Append", "EventTime")
+    return rows.withWatermark("at", f"{late * unit} seconds").groupBy("group").transformWithStateInPandas(Debouncer(key, ts, gap, unit, False), f"{key} long, {ts} long", "Append", "EventTime")
 
 
 def delta_sums(points: DataFrame, late: str = "1 minute") -> DataFrame:

@@ -144,3 +144,23 @@ def test_messages_are_stored_by_name_not_by_match(spark, tmp_path):
     assert sorted(map(tuple, got.select("detection_id", "kind", "target", "users").collect())) == sorted(want)
     stored = sum(spark.read.parquet(f"{out}/{what}").count() for what in ("detections", "messages"))
     assert stored < len(rows) + 2 * len(on)
+
+
+def test_thinning_keeps_one_state_for_many_keys(spark, tmp_path):
+    """400 keys in 8 groups: however many keys there are, a batch touches a state for each group, and gives the same."""
+    r = random.Random(8)
+    rows = [(k * (1 << 52) + 1, x) for k in range(400) for x in r.sample(range(60), 8)]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for some in ([x for x in rows if x[1] < 35], [x for x in rows if x[1] >= 35], [(7, None), (None, 5)]):
+        r.shuffle(some)
+        spark.createDataFrame(some, "k long, t long").coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: S.debounce(S.source(spark, src, files_per_batch=1), "k", "t", 10, late=100, groups=8)
+    assert S.drain(stream(), folder=out).count() == 0
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{out}/checkpoint")
+    assert waiting.select("key").distinct().count() == 8 and waiting.count() <= 16  # a list of two batches each
+    spark.createDataFrame([(None, 1000)], "k long, t long").coalesce(1).write.mode("append").parquet(src)
+    got = {}
+    for x in S.drain(stream(), folder=out).collect():
+        got.setdefault(x.k, []).append(x.t)
+    frames = {k * (1 << 52) + 1: sorted({x for j, x in rows if j == k * (1 << 52) + 1}) for k in range(400)}
+    assert {k: sorted(v) for k, v in got.items()} == {k: t for k, x in frames.items() if (t := taken(x, 10))}
