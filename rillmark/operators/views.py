@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..sources.staging import staged
 from .dyadic import stab, with_ancestors, with_nodes
-from .scan import is_small, running_all, running_sums
+from .scan import HOT_ROWS, is_small, running_all, running_sums
 
 #: What a date range means, in days; each entry point says which of them it knows.
 RANGE_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
+#: With at most so many ranges of a key, comparing each of them takes no more than the dyadic nodes of each would.
+DENSE = 16
 SEARCH_COLUMNS = ["detection_id", "username", "streamer_id", "streamer_login", "streamer_display_name", "streamer_avatar", "frame_time_seconds", "confidence", "rank", "vod_id", "vod_source_id", "vod_url", "actual_timestamp"]
 
 
@@ -144,24 +146,28 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, width: int = 3600, wide:
 
     Of two overlapping ranges one begins in the other, so each side's beginnings are joined with the other's ranges as
     dyadic nodes over cells of width seconds: a range of length L takes 2 log2(L / width) + 2 rows at most, each pair
-    comes once, and long or many ranges of one key spread over its nodes. Small tables (is_small), unless wide is set, are
-    joined by key alone.
+    comes once, and long or many ranges of one key spread over its nodes. Only keys with over DENSE ranges in b or
+    HOT_ROWS in a are joined so; the others, and small tables (is_small) unless wide is set, are joined by key alone.
     """
 
     def told(df: DataFrame, p: str) -> DataFrame:
         return df.select(*(F.col(c).alias(c if c == key else f"{p}_{c}") for c in df.columns)).filter(F.col(f"{p}_end") > F.col(f"{p}_start"))
 
     x, y = told(a, "a"), told(b, "b")
+    by_key = lambda r: x.join(r, key).filter("a_start < b_end AND b_start < a_end")
     if not wide and is_small(a, b):
-        return x.join(y, key).filter("a_start < b_end AND b_start < a_end")
+        return by_key(y)
+    over = lambda df, n: df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > n).select(key)
+    many = over(y, DENSE).unionByName(over(x, HOT_ROWS))
+    own_x, own_y = (df.join(many, key, "left_semi") for df in (x, y))
     cell = lambda c: F.floor(c / width).cast("long")
 
     def begun(points: DataFrame, ranges: DataFrame, p: str, r: str) -> DataFrame:
         return stab(points, cell(F.col(f"{p}_start")), ranges, cell(F.col(f"{r}_start")), cell(F.col(f"{r}_end") - 1) + 1, [key])
 
-    in_b = begun(x, y, "a", "b").filter("a_start >= b_start AND a_start < b_end")
-    in_a = begun(y, x, "b", "a").filter("b_start > a_start AND b_start < a_end")
-    return in_b.unionByName(in_a)
+    in_b = begun(own_x, own_y, "a", "b").filter("a_start >= b_start AND a_start < b_end")
+    in_a = begun(own_y, own_x, "b", "a").filter("b_start > a_start AND b_start < a_end")
+    return by_key(y.join(many, key, "left_anti")).unionByName(in_b).unionByName(in_a)
 
 
 def fuzzy_join(a: DataFrame, b: DataFrame, col: str, threshold: float) -> DataFrame:

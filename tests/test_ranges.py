@@ -130,3 +130,19 @@ def test_five_thousand_templates_equal_brute_force(spark):
     assert all((label is None) == (s < 0.97) for _, s, label in rows)
     single = {k for k, _ in vectors if sum(j == k for j, _ in vectors) == 1}
     assert all(abs(sum(a * b for a, b in zip(by_key[k], named[label])) - s) < 1e-9 for k, s, label in rows if label and k in single)
+
+
+def test_only_dense_keys_take_nodes(spark):
+    """Large tables with few ranges a key are joined by key; a key with many, of the second table, is spread over nodes."""
+    r = random.Random(5)
+    make = lambda keys: [(k, f"{k}-{i}", s := r.randrange(3000), s + r.randrange(300)) for k, n in keys for i in range(n)]
+    a, b = make([(k, 3) for k in range(50)] + [(77, 60)]), make([(k, 2) for k in range(50)] + [(77, 40), (78, 30)])
+    df = lambda rows: spark.createDataFrame(rows, "k long, id string, start long, end long")
+    pairs = lambda b: V.overlap_join(df(a), df(b), "k", 10, wide=True)
+    want = lambda b: sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] < x[3] and y[2] < y[3] and x[2] < y[3] and y[2] < x[3])
+    assert sorted((x.a_id, x.b_id) for x in pairs(b).collect()) == want(b)
+    few = pairs([x for x in b if x[0] < 77])
+    assert sorted((x.a_id, x.b_id) for x in few.collect()) == want([x for x in b if x[0] < 77])
+    few.collect()
+    final = few._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Generate" not in final  # no range is taken apart
