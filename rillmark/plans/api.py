@@ -157,22 +157,26 @@ def queued_chunks(t, vod_id: int) -> DataFrame:
     return t.chunks.filter((F.col("vod_id") == vod_id) & (F.col("status") == "queued")).select("id", "chunk_index", "start_seconds", "end_seconds").orderBy("chunk_index")
 
 
+def _with_chapters(feed: DataFrame, wanted: str, needle: str) -> DataFrame:
+    """feed with chapters, null where a recording is not to be stored; a row's markers are read where they are."""
+    mark = lambda m, i: F.struct(m["positionMilliseconds"].alias("ms"), i.alias("i"), C.is_category(m["game"]["id"], m["game"]["displayName"], wanted, needle).alias("hit"))
+    rows = feed.withColumn("__marks", F.sort_array(F.transform("moments", mark)))
+    own = I.intervals_in("__marks", "length_seconds")
+    main = C.is_category(F.lit(None).cast("string"), F.col("game"), wanted, needle)
+    return rows.withColumn("chapters", own).withColumn("chapters", F.when(F.size("chapters") > 0, F.col("chapters")).when(main, F.array(F.lit(0), F.col("length_seconds")))).drop("__marks")
+
+
+def _updates(rows: DataFrame) -> DataFrame:
+    return rows.filter("chapters IS NOT NULL").select(F.col("id").alias("source_id"), "title", F.col("length_seconds").alias("duration_seconds"), "chapters")
+
+
 def catalogue_updates(feed: DataFrame, wanted: str, needle: str) -> DataFrame:
     """(source_id, title, duration_seconds, chapters) of a feed's recordings that are to be stored.
 
     Chapters are the wanted markers' intervals, each up to the next marker of any kind. A recording without a wanted
     marker is taken whole if its main game is wanted, else it is left out.
     """
-    each = feed.select(F.col("id").alias("source_id"), "length_seconds", F.posexplode("moments").alias("i", "m"))
-    hit = C.is_category(F.col("m.game.id"), F.col("m.game.displayName"), wanted, needle)
-    marks = each.withColumn("ms", F.col("m.positionMilliseconds")).withColumn("hit", hit)
-    spans = I.intervals_from_markers(marks, "source_id", "ms", "i", "length_seconds", "hit")
-    chapters = spans.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("start_seconds", "end_seconds"))).alias("s"))
-    flat = F.flatten(F.transform("s", lambda x: F.array(x["start_seconds"], x["end_seconds"]))).cast("array<int>")
-    rows = feed.withColumnRenamed("id", "source_id").join(chapters.select("source_id", flat.alias("own")), "source_id", "left")
-    main = C.is_category(F.lit(None).cast("string"), F.col("game"), wanted, needle)
-    rows = rows.withColumn("chapters", F.when(F.col("own").isNotNull(), F.col("own")).when(main, F.array(F.lit(0), F.col("length_seconds")))).filter("chapters IS NOT NULL")
-    return rows.select("source_id", "title", F.col("length_seconds").alias("duration_seconds"), "chapters")
+    return _updates(_with_chapters(feed, wanted, needle))
 
 
 def refresh_catalogue(feed: DataFrame, vods: DataFrame, wanted: str, needle: str) -> DataFrame:
@@ -186,12 +190,10 @@ def refresh_streamers(feed: DataFrame, live: DataFrame, vods: DataFrame, wanted:
     The newest recording of a live streamer is left out of everything. vods are the stored ones with the rest merged in;
     streamers what each one's row then says; counts (streamer_id, fetched, upserted, segments, oldest) what was done.
     """
-    rest = I.skip_live(feed, live)
-    taken = catalogue_updates(rest, wanted, needle)
-    own = taken.select(F.col("source_id").alias("id"), (F.size("chapters") / 2).cast("int").alias("pairs"))
-    marked = rest.join(own, "id", "left").withColumn("matching", F.col("pairs").isNotNull())
+    rest = I.skip_live(_with_chapters(feed, wanted, needle), live)
+    marked = rest.withColumn("matching", F.col("chapters").isNotNull()).withColumn("pairs", F.when(F.col("matching"), (F.size("chapters") / 2).cast("int")))
     counts = marked.groupBy("streamer_id").agg(F.count(F.lit(1)).alias("fetched"), F.count("pairs").alias("upserted"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("segments"), F.min("published_at").alias("oldest"))
-    return {"vods": T.merge_snapshot(vods, taken, ["source_id"], ["title", "duration_seconds", "chapters"]), "streamers": A.refresh_streamers(marked), "counts": counts}
+    return {"vods": T.merge_snapshot(vods, _updates(rest), ["source_id"], ["title", "duration_seconds", "chapters"]), "streamers": A.refresh_streamers(marked), "counts": counts}
 
 
 def discover(videos: DataFrame, known: DataFrame) -> DataFrame:

@@ -159,3 +159,18 @@ def test_documents_are_written_where_they_are(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").glob("part=*")) == ["part=0", "part=1", "part=2"]
     assert all(len(list((tmp_path / "out" / f"part={n}").glob("*.txt"))) == 4 for n in range(3))  # one of each task
     assert {r.value for r in spark.read.text(str(tmp_path / "out")).collect()} == {f"document {i}" for i in range(400)}
+
+
+@pytest.mark.parametrize("name", ["J18_refresh_counts", "J18_refreshed_streamers", "J18_refreshed_vods", "J18_catalogue_refresh"])
+def test_a_refresh_reads_its_feed_once(spark, name):
+    assert scans(catalog.QUERIES[name](spark, SF), "l_linenumber") == 1
+
+
+def test_markers_are_read_in_their_row_in_order(spark):
+    """Markers in no order, of one time, with no time or game, of recordings that come twice."""
+    kind = "array<struct<positionMilliseconds:bigint,type:string,game:struct<id:string,displayName:string>>>"
+    mark = lambda ms, game: (ms, "GAME", game and ("1", game))
+    rows = [("a", [mark(9_900, "Game R"), mark(1_500, "Game R"), mark(4_000, None), mark(4_000, "Game R")], None), ("b", [], "Game R"), ("c", None, "Game R"), ("d", [mark(5, "Other")], None), ("e", [mark(None, "Game R"), mark(7_000, None)], None), ("a", [mark(2_000, "Game R")], None)]
+    feed = spark.createDataFrame([(k, "t", 20, g, m) for k, m, g in rows], f"id string, title string, length_seconds int, game string, moments {kind}")
+    got = sorted((x.source_id, x.chapters) for x in catalog.J.catalogue_updates(feed, "none", "game r").collect())
+    assert got == [("a", [1, 4, 4, 9, 9, 20]), ("a", [2, 20]), ("b", [0, 20]), ("c", [0, 20]), ("e", [None, 7])]
