@@ -64,8 +64,13 @@ def epoch_seconds(ts: Column) -> Column:
 
 
 def clean_username(text: Column) -> Column:
-    """Strips what no name has; null unless 4 to 25 characters are left and the first is a letter or digit."""
-    bare = F.regexp_replace(text, r"[^a-zA-Z0-9_\-.]", "")
+    """Strips what no name has; null unless 4 to 25 characters are left and the first is a letter or digit.
+
+    Where a 26th character is found that would stay, nothing is stripped: the result is null whatever follows.
+    """
+    own = r"a-zA-Z0-9_\-."
+    long = text.rlike(rf"^(?:[^{own}]*+[{own}]){{26}}")
+    bare = F.regexp_replace(F.when((F.length(text) <= 25) | ~long, text), rf"[^{own}]+", "")
     return F.when(F.length(bare).between(4, 25) & bare.rlike("^[a-zA-Z0-9]"), bare)
 
 

@@ -96,3 +96,21 @@ def test_no_machine_local_folder_on_a_cluster():
     assert shared_dir(session("local[*]", None))
     with pytest.raises(ValueError):
         shared_dir(session("yarn", None))
+
+
+def test_only_texts_that_may_be_names_are_stripped(spark):
+    import random
+
+    r = random.Random(4)
+    pick = lambda n, chars: "".join(r.choice(chars) for _ in range(n))
+    texts = [None, "", " ", "abc", "abcd", "_bcd", "-" * 26, "a" * 25, "a" * 26, "a" * 25 + "\n", "\n" * 9 + "a\r\n b" * 12, "é" * 5000 + "abcd", "😀 " * 3000 + "a" * 25, "a\n" * 25 + "😀" * 99, "a\n" * 26, "x" * 300_000]
+    texts += [pick(r.randrange(70), "ab9_-. é😀\n *") for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", C.clean_username(F.col("t")).alias("name"))
+
+    def want(t):
+        bare = re.sub(r"[^a-zA-Z0-9_\-.]", "", t or "")
+        return bare if 4 <= len(bare) <= 25 and re.match("[a-zA-Z0-9]", bare) else None
+
+    assert [x.name for x in df.orderBy("i").collect()] == [want(t) for t in texts]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(CASE WHEN" in plan and "regexp_replace(t#" not in plan
