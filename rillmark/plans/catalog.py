@@ -1240,9 +1240,9 @@ def A4_fetched_pages(t):
 
 @q(domain("SELECT c.id AS chunk_id, to_json({vod_id: c.vod_id, chunk_id: c.id, chunk_index: c.chunk_index, start_seconds: c.start_seconds, end_seconds: c.end_seconds, quality: c.quality, detections_count: count(d.id), detections: coalesce(list({timestamp: frame_time_seconds, username: username, confidence: round(confidence, 6), rank: rank} ORDER BY frame_time_seconds, d.id) FILTER (d.id IS NOT NULL), [])})::STRING AS document FROM chunks c LEFT JOIN detections d ON d.chunk_id = c.id GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY c.id, c.vod_id, c.chunk_index, c.start_seconds, c.end_seconds, c.quality")))
 def A9_written_summaries(t):
-    """Documents of all chunks, written by partition and read again."""
+    """Documents of all chunks, written by partition as compressed texts and read again."""
     path = S.shared_dir(t.spark)
-    T.write_summaries(T.export_summary(t.detections, t.chunks.select("id", "vod_id", "chunk_index", "start_seconds", "end_seconds", "quality")), path)
+    T.write_summaries(T.export_summary(t.detections, t.chunks.select("id", "vod_id", "chunk_index", "start_seconds", "end_seconds", "quality")), path, compression="gzip")
     return t.spark.read.text(path).select(F.get_json_object("value", "$.chunk_id").cast("bigint").alias("chunk_id"), F.col("value").alias("document"))
 
 

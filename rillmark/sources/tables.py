@@ -138,13 +138,19 @@ def export_summary(detections: DataFrame, chunks: DataFrame | None = None) -> Da
     return rows.select("chunk_id", F.to_json(F.struct(*head, F.coalesce("n", F.lit(0)).alias("detections_count"), body.alias("detections")), {"ignoreNullFields": "false"}).alias("document"))
 
 
-def write_summaries(documents: DataFrame, path: str, parts: int = 16) -> None:
+def write_summaries(documents: DataFrame, path: str, parts: int = 16, compression: str = "none") -> None:
     """Documents (chunk_id, document) as text files, in folders by a hash of the chunk: so many, however many chunks there are.
 
-    Each task writes what it has of each folder, so documents are not shuffled again.
+    Each task writes what it has of each folder, all at once: documents are neither shuffled nor sorted again.
     """
     rows = documents.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
-    rows.select("part", F.col("document").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").text(path)
+    conf, writers = documents.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    was = conf.get(writers)
+    conf.set(writers, str(parts))
+    try:
+        rows.select("part", F.col("document").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy("part").text(path)
+    finally:
+        conf.set(writers, was)
 
 
 PAGE = "struct<user:struct<videos:struct<edges:array<struct<node:struct<id:string,title:string,lengthSeconds:int,publishedAt:string,game:struct<id:string,displayName:string>,moments:struct<edges:array<struct<node:struct<positionMilliseconds:bigint,type:string,game:struct<id:string,displayName:string>>>>>>>>>>>"

@@ -174,3 +174,14 @@ def test_markers_are_read_in_their_row_in_order(spark):
     feed = spark.createDataFrame([(k, "t", 20, g, m) for k, m, g in rows], f"id string, title string, length_seconds int, game string, moments {kind}")
     got = sorted((x.source_id, x.chapters) for x in catalog.J.catalogue_updates(feed, "none", "game r").collect())
     assert got == [("a", [1, 4, 4, 9, 9, 20]), ("a", [2, 20]), ("b", [0, 20]), ("c", [0, 20]), ("e", [None, 7])]
+
+
+def test_written_summaries_are_stored_compressed_and_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog.S, "shared_dir", lambda _: str(tmp_path / "out"))
+    writers = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    got = {r.chunk_id: r.document for r in catalog.QUERIES["A9_written_summaries"](spark, SF).collect()}
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == writers
+    t = catalog.T.Tables(spark, SF)
+    assert got.keys() == {r.id for r in t.chunks.select("id").collect()}
+    stored = sum(p.stat().st_size for p in (tmp_path / "out").rglob("part-*"))
+    assert 0 < stored * 3 < sum(len(x.encode()) for x in got.values())
