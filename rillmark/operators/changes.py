@@ -257,9 +257,11 @@ def send(detections: DataFrame, messages: DataFrame, by: tuple[str, ...] = ()) -
     """(detection_id, kind, target, users): the messages (messages_by_name) of detections (id, username), within by.
 
     Only ids and names are shuffled: what is sent is put together behind the last exchange. Where one id comes with
-    several names, and only there, a channel's users are gathered over them.
+    several names, and only there, a channel's users are gathered over them. Messages are merged in, not broadcast, so
+    that the result comes name by name: its texts repeat from row to row, and a table of it stays small.
     """
     rows = detections.filter("username IS NOT NULL").select(*by, F.col("id").alias("detection_id"), "username")
+    messages = messages.hint("merge")
     dm = rows.join(messages.filter("kind = 'dm'"), [*by, "username"]).select("detection_id", "kind", "target", F.col("target").alias("users"))
     guild = messages.filter("kind = 'server'")
     named = rows.groupBy(*by, "detection_id").agg(F.collect_set("username").alias("names"))

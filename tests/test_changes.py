@@ -98,3 +98,18 @@ def test_correlation_and_difference(spark):
     keep = m > 0
     want = [np.corrcoef(x, y)[0, 1], np.corrcoef(x[keep], y[keep])[0, 1], 0.0, 1 - ((x - y) ** 2 * m).sum() / (8 * 16)]
     assert np.allclose(list(got), want)
+
+
+def test_messages_come_name_by_name(spark):
+    """Also where messages could be broadcast, each task gives all that a name sends at one place, so that a table of it stays small."""
+    from itertools import groupby
+
+    subs = spark.createDataFrame([(str(i), f"n{i % 40}", True, "both", str(i % 3)) for i in range(400)], "user_id string, username string, enabled boolean, notify_type string, guild_id string")
+    channels = spark.createDataFrame([("0", "x"), ("1", "y"), ("2", "z")], "guild_id string, channel_id string")
+    found = spark.range(0, 2000, 1, 4).selectExpr("CONCAT('d', id) AS id", "CONCAT('n', id * 7919 % 40) AS username")
+    rows = G.notifications(found, subs, channels).selectExpr("*", "spark_partition_id() AS task").collect()
+    name = {r.id: r.username for r in found.collect()}
+    assert len(rows) == 2000 * (10 + 3)
+    for _, part in groupby(rows, lambda r: (r.kind, r.task)):
+        runs = [k for k, _ in groupby(name[r.detection_id] for r in part)]
+        assert len(runs) == len(set(runs))
