@@ -164,3 +164,19 @@ def test_thinning_keeps_one_state_for_many_keys(spark, tmp_path):
         got.setdefault(x.k, []).append(x.t)
     frames = {k * (1 << 52) + 1: sorted({x for j, x in rows if j == k * (1 << 52) + 1}) for k in range(400)}
     assert {k: sorted(v) for k, v in got.items()} == {k: t for k, x in frames.items() if (t := taken(x, 10))}
+
+
+def test_a_streams_messages_come_name_by_name(spark, tmp_path):
+    """Stored messages are small enough to be broadcast, but a task gives what a name sends at one place."""
+    subs = spark.createDataFrame([(str(i), f"n{i % 40}", True, "both", str(i % 3)) for i in range(400)], "user_id string, username string, enabled boolean, notify_type string, guild_id string")
+    channels = spark.createDataFrame([("0", "x"), ("1", "y"), ("2", "z")], "guild_id string, channel_id string")
+    found = spark.range(0, 2000, 1, 4).selectExpr("CONCAT('d', id) AS id", "CONCAT('n', id * 7919 % 40) AS username")
+    src = str(tmp_path / "in")
+    found.write.parquet(src)
+    rows = S.notify(S.source(spark, src), subs, channels, str(tmp_path / "out")).selectExpr("*", "spark_partition_id() AS task").collect()
+    name = {r.id: r.username for r in found.collect()}
+    assert len(rows) == 2000 * (10 + 3)
+    for kind in ("dm", "server"):
+        for task in {r.task for r in rows}:
+            part = [name[r.detection_id] for r in rows if (r.kind, r.task) == (kind, task)]
+            assert sum(a != b for a, b in zip(part, part[1:])) == max(0, len(set(part)) - 1)
